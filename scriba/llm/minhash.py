@@ -189,3 +189,18 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
     own = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).otherwise(0)
     return docs.join(gone, id_col, "left_anti").withColumn("_own", own).dropDuplicates([id_col, "_own"]).drop("_own")
+
+
+#: All pairs that share a shingle, and all documents that links reach: for small tables.
+ORACLE = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS t FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 5 THEN [array_to_string(t, ' ')]
+        ELSE list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' ')) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+r AS (SELECT doc_id AS x, doc_id AS root FROM w UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.x)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.root) AS component_id, min(r.root) = w.doc_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN r ON r.x = w.doc_id GROUP BY w.doc_id, n.n
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriba.llm import edit_embedding, minhash
+from scriba.llm import edit_embedding, language_codes, minhash, mixing
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,9 +17,17 @@ def op1_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_embedding.fingerprint_classes(edit_embedding.neighbour_fingerprints(_read(spark, sf_dir, "documents")))
 
 
+def op2_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_codes.identify(_read(spark, sf_dir, "documents"))
+
+
 def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_edit_embedding, op3_superminhash)}
-ORACLES: dict[str, str] = {}
+def op4_hash_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_edit_embedding, op2_language_codes, op3_superminhash, op4_hash_mixing)}
+ORACLES: dict[str, str] = {"op3_superminhash": minhash.ORACLE, "op4_hash_mixing": mixing.ORACLE}
