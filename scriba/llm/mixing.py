@@ -76,6 +76,24 @@ def thresholds(slim: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", F.col("prefix").alias("below"))
 
 
+def planned(slim: DataFrame) -> DataFrame:
+    """For ``slim (source, size, u)``, a row for each source: ``s, source_size, target, whole, below``.
+
+    The mix takes a source's rows ``whole`` times, and those with ``u < below`` once more.
+    """
+    aims = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    aims = materialise(aims.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
+    ends = thresholds(slim, aims.select("source", "rest"))
+    aims = aims.join(ends.withColumnRenamed("source", "s"), aims["source"].eqNullSafe(F.col("s")), "left").drop("s")
+    return materialise(aims.select(F.col("source").alias("s"), "source_size", "target", "whole", "below"), "aims")
+
+
+def _times() -> Column:
+    """How often the mix takes a row that is joined with its source's plan."""
+    return F.col("whole") + F.when(F.coalesce(F.col("u") < F.col("below"), F.lit(False)), 1).otherwise(0)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """``(doc_id, size, source_size, target, taken)`` for every row.
 
@@ -86,15 +104,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"), order_hash(id_col).alias("u"))
     slim = materialise(slim, "sizes")
-    aims = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    aims = materialise(aims.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
-    ends = thresholds(slim, aims.select("source", "rest"))
-    aims = aims.join(ends.withColumnRenamed("source", "s"), aims["source"].eqNullSafe(F.col("s")), "left").drop("s")
-    aims = materialise(aims.select(F.col("source").alias("s"), "source_size", "target", "whole", "below"), "aims")
-    once = F.when(F.coalesce(F.col("u") < F.col("below"), F.lit(False)), 1).otherwise(0)
+    aims = planned(slim)
     joined = slim.join(aims, slim["source"].eqNullSafe(aims["s"]))
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + once)).alias("taken"))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * _times()).alias("taken"))
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it."""
+    slim = docs.select(F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"), order_hash(id_col).alias("u"))
+    aims = planned(materialise(slim, "sizes"))
+    joined = docs.withColumn("u", order_hash(id_col)).join(aims, F.col(source_col).cast("string").eqNullSafe(aims["s"]))
+    times = F.array_repeat(F.lit(1), _times().cast("int"))
+    return joined.withColumn("_time", F.explode(times)).select(*(docs[c] for c in docs.columns))
 
 
 ORACLE = """

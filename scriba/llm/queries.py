@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriba.llm import decontamination, edit_embedding, language_codes, minhash, mixing, quality, sharding
+from scriba.llm import decontamination, edit_embedding, guess_cost, language_codes, minhash, mixing, quality, quotes, sharding, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,5 +43,17 @@ def op7_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_edit_embedding, op2_language_codes, op3_superminhash, op4_hash_mixing, op5_site_quality, op6_spaced_seeds, op7_sampled_splitters)}
-ORACLES: dict[str, str] = {"op3_superminhash": minhash.ORACLE, "op4_hash_mixing": mixing.ORACLE}
+def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.linked(_read(spark, sf_dir, "conversations"))
+
+
+def op9_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(_read(spark, sf_dir, "pages"))
+
+
+def op10_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guess_cost.scan(_read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_edit_embedding, op2_language_codes, op3_superminhash, op4_hash_mixing, op5_site_quality, op6_spaced_seeds, op7_sampled_splitters, op8_quotation_linking, op9_capture_index, op10_guess_cost)}
+ORACLES: dict[str, str] = {"op3_superminhash": minhash.ORACLE, "op4_hash_mixing": mixing.ORACLE, "op8_quotation_linking": quotes.ORACLE, "op9_capture_index": warc.ORACLE}
