@@ -7,14 +7,19 @@ their sets' Jaccard similarity is 0.75 or more; a component is what links connec
    every element draws a value for each slot from its own permutation of ranks, rank by
    rank, until no further rank could lower a slot. 21 bands of 3 slots miss a pair at
    0.75 with a probability of 1e-5, and less above.
-2. Equal sets are one node. A bucket is what shares a band; in each one a pivot is held
-   against all others, on full sets, so the number of pairs is that of the bucket's rows.
-3. Nodes far from their pivot (under 0.5) are dealt with again in later rounds, with
-   pivots of their own. A link that no pivot has shows in what both sides differ from
-   their pivot in: with ``D(x)`` the symmetric difference of ``x`` and its pivot, two
-   linked nodes of which one isn't linked to the pivot share more than about half of
-   ``D(y)``. So they share an element of a short prefix of it; those few pairs are held
-   against each other on full sets too. No bucket is expanded into all its pairs.
+2. Equal sets are one node. A bucket is what shares a band; in each one a pivot, the node
+   with most neighbours over all its buckets, is held against all others, on full sets,
+   so the number of pairs is that of the buckets' rows.
+3. Nodes far from their pivot (under 0.5) are dealt with again in two more rounds, with
+   several pivots. Links that no pivot has show otherwise. With ``D(x)`` the symmetric
+   difference of ``x`` and its pivot, two linked nodes, of which one isn't linked to the
+   pivot and one isn't far from it, share more than about half of ``D(y)``, and so an
+   element of a short prefix of it. Two linked nodes that both remain far share an
+   element of a quarter of their sets (prefix filtering). In both prefixes, what the
+   pivot lacks comes first, as it is rarer. What follows the first shared element bounds
+   how much the two share; pairs of which this isn't enough for a link don't leave the
+   join. The few others are held against each other on full sets too. No bucket is
+   expanded into all its pairs, and no link is lost.
 4. Links go through union-find inside tasks, then star rounds between them.
 """
 
@@ -22,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +37,8 @@ from pyspark.sql import functions as F
 from scriba.llm.common import GOLDEN, MASK64, U, connected_components, materialise, mix, shingle_hashes, utf8
 
 SHINGLE, BANDS, ROWS = 5, 21, 3
-#: Pivots of a bucket in the rounds after the first.
-PIVOTS = 8
+#: Pivots of a bucket in the rounds after the first, and the number of rounds.
+PIVOTS, ROUNDS = 8, 3
 
 
 def superminhash(items: np.ndarray, m: int) -> np.ndarray:
@@ -93,7 +99,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "items"])
 
 
-_VERIFIED = "pivot long, node long, linked boolean, near boolean, prefix array<long>, differs array<long>"
+_VERIFIED = "pivot long, node long, linked boolean, near boolean, prefix array<long>, differs array<long>, whole array<long>, size int, extra int, n int"
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +111,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     the pivot cannot be linked to one at 0.5 or more (the Jaccard distance is a metric).
     """
     for batch in batches:
-        linked, near, prefix, differs = [], [], [], []
+        linked, near, prefix, differs, whole, size, extra, n = [], [], [], [], [], [], [], []
         left, right = batch.column(2), batch.column(3)
         for i in range(batch.num_rows):
             a = left[i].values.to_numpy(zero_copy_only=False).view(U)
@@ -123,7 +129,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near.append(is_near)
             prefix.append(d[: max(0, len(d) - must + 1)] if is_near else None)
             differs.append(d if not is_linked and 4 * common >= union else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(near, pa.bool_()), pa.array(prefix, pa.list_(pa.int64())), pa.array(differs, pa.list_(pa.int64()))], ["pivot", "node", "linked", "near", "prefix", "differs"])
+            whole.append(None if is_near else np.concatenate((b[~hit], b[hit])).view(np.int64)[: len(b) - -(-75 * len(b) // 100) + 1])
+            size.append(len(b))
+            extra.append(len(b) - common)
+            n.append(len(d))
+        lists = [pa.array(x, pa.list_(pa.int64())) for x in (prefix, differs, whole)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(near, pa.bool_()), *lists, pa.array(size, pa.int32()), pa.array(extra, pa.int32()), pa.array(n, pa.int32())], [x.split()[0] for x in _VERIFIED.split(", ")])
 
 
 def _held(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -133,6 +144,18 @@ def _held(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "pivot").join(b, "node").select("pivot", "node", "a", "b").mapInArrow(_verify, _VERIFIED)
 
 
+def _sharing(x: DataFrame, y: DataFrame, enough: str) -> DataFrame:
+    """Pairs of ``(pivot, node, size, extra, n, at, item)`` that share an item and may share enough.
+
+    Both have what the pivot lacks first, ``extra`` of their ``n`` items. If the item at
+    ``at`` is the first that they share, they share ``most`` at most.
+    """
+    rest = "least(x.n - x.extra, y.n - y.extra)"
+    most = f"if(y.at < y.extra, least(x.extra - x.at, y.extra - y.at) + {rest}, least(x.n - x.at, y.n - y.at))"
+    pairs = x.alias("x").join(y.alias("y"), F.expr(f"x.pivot = y.pivot and x.item = y.item and ({enough.replace('most', most)})"))
+    return pairs.select(F.least("x.node", "y.node").alias("pivot"), F.greatest("x.node", "y.node").alias("node")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs``.
 
@@ -148,10 +171,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = materialise(nodes, "nodes")
 
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    full = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket", F.col("low").alias("pivot"))
-    far = rows.join(full.select("bucket"), "bucket", "left_semi")
-    far, pivots, verified, sets = materialise(far, "buckets"), full, None, None
-    while not far.isEmpty():
+    full = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialise(rows.join(full, "bucket"), "buckets")
+    mass = shared.groupBy("node").agg(F.sum("n").alias("mass"))
+    pivots = shared.join(mass, "node").groupBy("bucket").agg(F.max(F.struct("mass", (-F.col("node")).alias("minus"))).alias("x"))
+    pivots = materialise(pivots.select("bucket", (-F.col("x.minus")).alias("pivot")), "pivots")
+    far = shared.select("bucket", "node")
+
+    links, held, seek, sets = [], [], [], None
+    for k in range(ROUNDS):
         tests = far.join(pivots, "bucket").where("node <> pivot")
         pairs = materialise(tests.select("pivot", "node").distinct(), "pairs")
         if sets is None:
@@ -159,26 +187,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             sets = docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "text", "set_key")
             sets = materialise(sets.mapInArrow(_sets, "node long, items array<long>").dropDuplicates(["node"]), "sets")
         now = materialise(_held(pairs, sets), "verified")
-        verified = now if verified is None else verified.unionByName(now)
+        links.append(now.where("linked").select(F.col("node").alias("src"), F.col("pivot").alias("dst")))
+        held.append(now.where("near").select("pivot", "node", "size", "extra", "n", F.posexplode("prefix").alias("at", "item")))
+        seek.append(now.where("differs is not null").select("pivot", "node", "size", "extra", "n", F.posexplode("differs").alias("at", "item")))
         # what is far from all pivots of its bucket is dealt with again, among itself
         seen = tests.join(now.select("pivot", "node", "near"), ["pivot", "node"]).groupBy("bucket", "node").agg(F.max("near").alias("near"))
         rest = seen.where("not near").select("bucket", "node").join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
-        alone = rest.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
-        far = materialise(rest.join(alone, "bucket", "left_semi"), "far")
-        order = Window.partitionBy("bucket").orderBy("node")
-        pivots = far.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS).select("bucket", F.col("node").alias("pivot"))
-
-    labels = nodes.select("set_key", "node")
-    if verified is None:
-        labels = labels.withColumn("component_id", F.col("node"))
-    else:
-        links = verified.where("linked").select(F.col("node").alias("src"), F.col("pivot").alias("dst"))
-        held = verified.where("near").select("pivot", F.col("node").alias("y"), F.explode("prefix").alias("item"))
-        seek = verified.where("differs is not null").select("pivot", F.col("node").alias("x"), F.explode("differs").alias("item"))
-        bridge = seek.join(held, ["pivot", "item"]).where("x <> y").select(F.least("x", "y").alias("pivot"), F.greatest("x", "y").alias("node")).distinct()
-        more = _held(bridge, sets).where("linked").select(F.col("node").alias("src"), F.col("pivot").alias("dst"))
-        roots = connected_components(links.unionByName(more))
-        labels = labels.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("component_id"))
+        if k + 1 == ROUNDS:
+            # one pivot of each bucket gives the order of all that remains far in it
+            first = pivots.groupBy("bucket").agg(F.min("pivot").alias("pivot"))
+            whole = rest.join(first, "bucket").select("pivot", "node").distinct().join(now.where("whole is not null").select("pivot", "node", "whole", "size", "extra"), ["pivot", "node"])
+            whole = whole.select("pivot", "node", "size", "extra", F.col("size").alias("n"), F.posexplode("whole").alias("at", "item"))
+        else:
+            alone = rest.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
+            far = materialise(rest.join(alone, "bucket", "left_semi"), "far")
+            order = Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
+            pivots = far.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS).select("bucket", F.col("node").alias("pivot"))
+            pivots = materialise(pivots, "pivots")
+
+    x, y = (reduce(DataFrame.unionByName, rows) for rows in (seek, held))
+    bridge = _sharing(x, y, "x.node <> y.node and 14 * most >= 7 * (x.n + y.n) - (x.size + y.size)")
+    apart = _sharing(whole, whole, "x.node < y.node and 7 * most >= 3 * (x.size + y.size)")
+    more = _held(bridge.unionByName(apart).distinct(), sets).where("linked").select(F.col("node").alias("src"), F.col("pivot").alias("dst"))
+    roots = connected_components(reduce(DataFrame.unionByName, [*links, more]))
+    labels = nodes.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(labels, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
