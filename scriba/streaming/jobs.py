@@ -74,10 +74,13 @@ def _row(key: tuple, held: tuple) -> pd.DataFrame:
 
 
 class JobReducer(StatefulProcessor):
-    """Folds a job's events into its state; those of later batches must be later ones. State without events expires."""
+    """Folds a job's events into its state; those of later batches must be later ones. State without events may expire."""
+
+    def __init__(self, forgotten_ms: int | None):
+        self.forgotten_ms = forgotten_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("job", "state string, segments long, position double, last_seq long", FORGOTTEN_MS)
+        self.state = handle.getValueState("job", "state string, segments long, position double, last_seq long", self.forgotten_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         held = fold(tuple(self.state.get()) if self.state.exists() else _NEW, pd.concat(list(rows)))
@@ -88,11 +91,16 @@ class JobReducer(StatefulProcessor):
         pass
 
 
-def reduce_jobs(events: DataFrame) -> DataFrame:
-    """A stream of job states, one row for each job that a batch has events of. Its state is held in RocksDB, off the heap."""
+def reduce_jobs(events: DataFrame, forgotten_ms: int | None = None) -> DataFrame:
+    """A stream of job states, one row for each job that a batch has events of.
+
+    Its state is held in RocksDB, off the heap. With ``forgotten_ms``, as in
+    ``FORGOTTEN_MS``, a live stream forgets jobs that have had no event for so long;
+    such a stream has timers, so it doesn't end by itself under ``availableNow``.
+    """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     dealt = events.select("job", "seq", "kind", "position").groupBy("job")
-    return dealt.transformWithStateInPandas(JobReducer(), STATE, "Update", "ProcessingTime")
+    return dealt.transformWithStateInPandas(JobReducer(forgotten_ms), STATE, "Update", "ProcessingTime" if forgotten_ms else "None")
 
 
 def reduce_batch(events: DataFrame) -> DataFrame:
