@@ -89,9 +89,9 @@ def planned(slim: DataFrame) -> DataFrame:
     return materialise(aims.select(F.col("source").alias("s"), "source_size", "target", "whole", "below"), "aims")
 
 
-def _times() -> Column:
+def _times(u: str = "u", whole: str = "whole", below: str = "below") -> Column:
     """How often the mix takes a row that is joined with its source's plan."""
-    return F.col("whole") + F.when(F.coalesce(F.col("u") < F.col("below"), F.lit(False)), 1).otherwise(0)
+    return F.col(whole) + F.when(F.coalesce(F.col(u) < F.col(below), F.lit(False)), 1).otherwise(0)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -112,10 +112,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 def repeated(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
     slim = docs.select(F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"), order_hash(id_col).alias("u"))
-    aims = planned(materialise(slim, "sizes"))
-    joined = docs.withColumn("u", order_hash(id_col)).join(aims, F.col(source_col).cast("string").eqNullSafe(aims["s"]))
-    times = F.array_repeat(F.lit(1), _times().cast("int"))
-    return joined.withColumn("_time", F.explode(times)).select(*(docs[c] for c in docs.columns))
+    aims = planned(materialise(slim, "sizes")).select(F.col("s").alias("_s"), F.col("whole").alias("_whole"), F.col("below").alias("_below"))
+    joined = docs.withColumn("_u", order_hash(id_col)).join(aims, F.col(source_col).cast("string").eqNullSafe(aims["_s"]))
+    times = F.array_repeat(F.lit(1), _times("_u", "_whole", "_below").cast("int"))
+    return joined.withColumn("_time", F.explode(times)).select(docs.columns)
 
 
 ORACLE = """

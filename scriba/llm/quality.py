@@ -142,18 +142,17 @@ def probability(model: dict, text: str | None) -> float:
     return 1 / (1 + float(np.exp(-np.clip(v, -9, 9))))
 
 
-def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``p_doc``."""
-    docs = docs.drop("p_doc")
+def score(docs: DataFrame, model: dict, text_col: str = "text", name: str = "p_doc") -> DataFrame:
+    """``docs`` with the classifier's own probability as ``name``."""
     at = docs.columns.index(text_col)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = [probability(held.value, t) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*batch.schema.names, "p_doc"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, type(docs.schema)(list(docs.schema.fields)).add("p_doc", "double"))
+    return docs.mapInArrow(run, type(docs.schema)(list(docs.schema.fields)).add(name, "double"))
 
 
 def _logit(p: Column) -> Column:
@@ -192,15 +191,13 @@ def assess(docs: DataFrame, labels: DataFrame, levels: dict[str, Column], id_col
 
 
 def judged(docs: DataFrame, model: dict, sites: DataFrame, levels: dict[str, Column], text_col: str = "text") -> DataFrame:
-    """``docs`` with ``p_doc``, ``p_host``, ``p_path``, ``score`` and ``keep``."""
-    last = f"p_{len(levels) - 1}"
-    scored = score(docs, model, text_col)
-    sites = sites.select(*(F.col(n).alias(f"_{n}") for n in levels), F.col("p_0").alias("p_host"), F.col(last).alias("p_path"), "p_all")
+    """``docs`` with ``_p_doc``, ``_p_host``, ``_p_path``, ``_score`` and ``_keep``."""
+    scored = score(docs, model, text_col, "_p_doc")
+    sites = sites.select(*(F.col(n).alias(f"_{n}") for n in levels), F.col("p_0").alias("_p_host"), F.col(f"p_{len(levels) - 1}").alias("_p_path"), F.col("p_all").alias("_p_all"))
     same = reduce(lambda a, b: a & b, (c.cast("string").eqNullSafe(F.col(f"_{n}")) for n, c in levels.items()))
-    joined = scored.join(sites, same)
-    odds = _logit(F.col("p_doc")) + _logit(F.col("p_path")) - _logit(F.col("p_all"))
-    joined = joined.withColumn("score", 1 / (1 + F.exp(-odds)))
-    return joined.withColumn("keep", F.col("score") >= KEEP).drop(*(f"_{n}" for n in levels), "p_all")
+    odds = _logit(F.col("_p_doc")) + _logit(F.col("_p_path")) - _logit(F.col("_p_all"))
+    joined = scored.join(sites, same).withColumn("_score", 1 / (1 + F.exp(-odds)))
+    return joined.withColumn("_keep", F.col("_score") >= KEEP)
 
 
 def document_levels() -> dict[str, Column]:
@@ -222,10 +219,10 @@ def assess_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
     model, sites = assess(slim, labels, document_levels())
-    return judged(slim, model, sites, document_levels()).select("doc_id", "p_doc", "p_host", "p_path", "score", "keep")
+    return judged(slim, model, sites, document_levels()).select("doc_id", *(F.col(f"_{c}").alias(c) for c in ("p_doc", "p_host", "p_path", "score", "keep")))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rejected rows."""
     model, sites = assess(docs, labels, document_levels())
-    return judged(docs, model, sites, document_levels()).where("keep").select(*docs.columns)
+    return judged(docs, model, sites, document_levels()).where("_keep").select(docs.columns)

@@ -68,7 +68,7 @@ def linked(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     before = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     own = F.filter(F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n"), lambda x: ~x.rlike(_MARKS))
     content = F.when(F.col("text").rlike(r"(?m)^[ \t]*>"), F.array_join(F.filter(own, lambda x: ~x.rlike(_CREDIT)), "\n")).otherwise(F.coalesce("text", F.lit("")))
-    out = m.select("conv_id", "turn", "role", F.trim(content).alias("content"), F.max("turn").over(before).alias("previous"))
+    out = m.select("conv_id", "turn", "role", F.regexp_replace(content, r"^\s+|\s+$", "").alias("content"), F.max("turn").over(before).alias("previous"))
     out = out.join(counts, ["conv_id", "turn"], "left").join(links, ["conv_id", "turn"], "left")
     return out.select("conv_id", "turn", "role", "content", F.coalesce("n_quoted", F.lit(0)).cast("long").alias("n_quoted"), F.coalesce("max_depth", F.lit(0)).alias("max_depth"), F.coalesce("quotes", F.array().cast("array<long>")).alias("quotes"), F.coalesce("quoted", F.when(F.col("conv_id").isNotNull(), F.col("previous"))).alias("reply_to"), F.col("quoted").isNotNull().alias("linked"))
 
@@ -98,7 +98,7 @@ k AS (SELECT p.conv_id, p.turn, list_sort(list(DISTINCT s.turn)) AS quotes, arg_
       FROM p JOIN s ON s.conv_id = p.conv_id AND s.norm = p.norm AND s.turn < p.turn GROUP BY ALL),
 c AS (SELECT conv_id, turn, count(*) AS n_quoted, max(depth) AS max_depth FROM p GROUP BY ALL)
 SELECT q.conv_id, q.turn, q.role,
-       trim(CASE WHEN quoting THEN array_to_string(list_filter(q.raw, lambda x: NOT regexp_matches(x, '^[ \t]*>') AND NOT regexp_matches(x, '^(On .* wrote:|.* (wrote|schrieb|escribió|a écrit) ?:)[ \t]*$')), chr(10)) ELSE q.text END, ' ') AS content,
+       regexp_replace(CASE WHEN quoting THEN array_to_string(list_filter(q.raw, lambda x: NOT regexp_matches(x, '^[ \t]*>') AND NOT regexp_matches(x, '^(On .* wrote:|.* (wrote|schrieb|escribió|a écrit) ?:)[ \t]*$')), chr(10)) ELSE q.text END, '^\\s+|\\s+$', '', 'g') AS content,
        coalesce(c.n_quoted, 0)::BIGINT AS n_quoted, coalesce(c.max_depth, 0)::INTEGER AS max_depth, coalesce(k.quotes, []::BIGINT[]) AS quotes,
        coalesce(k.quoted, max(q.turn) OVER (PARTITION BY q.conv_id ORDER BY q.turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS reply_to, k.quoted IS NOT NULL AS linked
 FROM q LEFT JOIN c ON c.conv_id = q.conv_id AND c.turn = q.turn LEFT JOIN k ON k.conv_id = q.conv_id AND k.turn = q.turn
