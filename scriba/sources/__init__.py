@@ -1,0 +1 @@
+"""Readers of manifests, logs, documents and sample streams."""
