@@ -84,7 +84,7 @@ def output_names(requests: DataFrame, taken: DataFrame) -> DataFrame:
     def run(key: tuple, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         owners = dict(zip(known["path"], known["owner"], strict=True))
         mine = {o: p for p, o in owners.items() if o is not None and not pd.isna(o)}
-        rows = []
+        rows, tried = [], {}  # numbers are never given back, so a search goes on where the last one ended
         for r in asked.sort_values("seq").to_dict("records"):
             folder, stem, ext = r["dir"], r["stem"], r["ext"]
             path, serial = mine.get(r["source"]), None
@@ -95,10 +95,13 @@ def output_names(requests: DataFrame, taken: DataFrame) -> DataFrame:
             else:
                 path = f"{folder}/{stem}.{ext}"
                 plain = path
-                for n in range(2, MOST_SERIALS + 2):
-                    if path not in owners:
-                        break
+                n = tried.get((stem, ext), 1)
+                if n > 1:
                     path, serial = f"{folder}/{stem} ({n}).{ext}", n
+                while path in owners and n <= MOST_SERIALS:
+                    n += 1
+                    path, serial = f"{folder}/{stem} ({n}).{ext}", n
+                tried[stem, ext] = n
                 if serial == MOST_SERIALS + 1:
                     path = plain
                 else:

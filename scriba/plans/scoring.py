@@ -19,8 +19,10 @@ ASCII_MARKS = ",.?!"
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pos, utt_id, dataset, reference, hypothesis, segments, coverage, recovered``."""
     turns = table(spark, sf_dir, "conversations").where("octet_length(text) = length(text)")
-    hyp = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hypothesis"))
-    both = turns.withColumnRenamed("text", "reference").join(hyp, ["conv_id", "turn"])
+    # edit distances cost far more than their input's bytes tell, so the join keeps this number of partitions
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    hyp = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hypothesis")).repartition(parts, "conv_id", "turn")
+    both = turns.withColumnRenamed("text", "reference").repartition(parts, "conv_id", "turn").join(hyp, ["conv_id", "turn"])
     kept = F.least(F.length("hypothesis") / F.length("reference"), F.lit(1.0))
     out = both.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("utt_id"), F.col("role").alias("dataset"),
