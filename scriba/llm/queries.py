@@ -8,51 +8,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriba.llm import decontamination, edit_embedding, guess_cost, language_codes, minhash, mixing, quality, quotes, sharding, warc
-
-
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+from scriba.sources.tables import read_table
 
 
 def op1_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_embedding.fingerprint_classes(edit_embedding.neighbour_fingerprints(_read(spark, sf_dir, "documents")))
+    return edit_embedding.fingerprint_classes(edit_embedding.neighbour_fingerprints(read_table(spark, sf_dir, "documents")))
 
 
 def op2_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_codes.identify(_read(spark, sf_dir, "documents"))
+    return language_codes.identify(read_table(spark, sf_dir, "documents"))
 
 
 def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def op4_hash_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_read(spark, sf_dir, "documents"))
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
 def op5_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.assess_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return quality.assess_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return decontamination.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def op7_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.shard(_read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    placed = sharding.shard(read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.linked(_read(spark, sf_dir, "conversations"))
+    return quotes.linked(read_table(spark, sf_dir, "conversations"))
 
 
 def op9_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive(_read(spark, sf_dir, "pages"))
+    return warc.archive(read_table(spark, sf_dir, "pages"))
 
 
 def op10_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return guess_cost.scan(_read(spark, sf_dir, "documents"))
+    return guess_cost.scan(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_edit_embedding, op2_language_codes, op3_superminhash, op4_hash_mixing, op5_site_quality, op6_spaced_seeds, op7_sampled_splitters, op8_quotation_linking, op9_capture_index, op10_guess_cost)}

@@ -294,7 +294,7 @@ def archive(pages: DataFrame, folder: str | None = None, **columns: str) -> Data
     merged = merge_runs(runs).select("file", "offset", "url_key", "position")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     records = read_archives(runs.select("file").distinct().repartition(parts, "file"), folder, payloads=False).drop("payload")
-    return records.join(merged, ["file", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "position")
+    return records.join(merged.hint("merge"), ["file", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "position")
 
 
 
