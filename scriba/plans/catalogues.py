@@ -22,14 +22,16 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _disk(files: DataFrame) -> DataFrame:
     """Most files are there; some have another size."""
-    return files.where("l_suppkey % 10 <> 0").select("id", "local", (F.col("l_quantity") + F.when(F.col("l_suppkey") % 13 == 0, 1).otherwise(0)).cast("long").alias("size")).dropDuplicates(["id", "local"])
+    real = (F.col("l_quantity") + F.when(F.col("l_suppkey") % 13 == 0, 1).otherwise(0)).cast("long")
+    return files.where("l_suppkey % 10 <> 0").groupBy("id", "local").agg(F.max(real).alias("size"))
 
 
 MODELS = """
 m AS (SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 3 = 0 THEN [(o_orderkey - 1)::VARCHAR, 'gone'] ELSE [] END AS requires FROM orders),
 r AS (SELECT e.id, e.needed, e.ordinal FROM (SELECT id, unnest(requires) AS needed, generate_subscripts(requires, 1) - 1 AS ordinal FROM m) e JOIN m ON m.id = e.needed),
 f AS (SELECT l_orderkey::VARCHAR AS id, l_linenumber || '-' || l_partkey AS local, CASE WHEN l_linestatus = 'O' THEN l_quantity::BIGINT END AS size, l_suppkey % 10 <> 0 AS there, l_quantity::BIGINT + CASE WHEN l_suppkey % 13 = 0 THEN 1 ELSE 0 END AS real FROM lineitem),
-a AS (SELECT m.id, coalesce(bool_and(there AND (size IS NULL OR size = real)), false) AS present FROM m LEFT JOIN f ON f.id = m.id GROUP BY m.id),
+d AS (SELECT id, local, max(real) AS real FROM f WHERE there GROUP BY ALL),
+a AS (SELECT m.id, coalesce(bool_and(d.real IS NOT NULL AND (f.size IS NULL OR f.size = d.real)), false) AS present FROM m LEFT JOIN f ON f.id = m.id LEFT JOIN d ON d.id = f.id AND d.local = f.local GROUP BY m.id),
 n AS (SELECT r.id, bool_and(a.present) AS needs FROM r JOIN a ON a.id = r.needed GROUP BY r.id)
 """
 
@@ -121,9 +123,9 @@ def health_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.health(workers, jobs, 639_014_694)
 
 
-@query("""WITH l AS (SELECT l_suppkey, l_partkey, arg_max(l_quantity, l_orderkey * 10 + l_linenumber) AS q FROM lineitem GROUP BY ALL) SELECT l_suppkey, sum(q) AS received FROM l GROUP BY l_suppkey""")
+@query("""WITH l AS (SELECT l_suppkey, l_partkey, arg_max(l_quantity, (l_orderkey * 10 + l_linenumber) * 100 + l_quantity) AS q FROM lineitem GROUP BY ALL) SELECT l_suppkey, sum(q) AS received FROM l GROUP BY l_suppkey""")
 def latest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    states = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey").alias("file"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_quantity").alias("received"))
+    states = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey").alias("file"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100 + F.col("l_quantity")).alias("seq"), F.col("l_quantity").alias("received"))
     return catalogue.latest_progress(states, "l_suppkey")
 
 

@@ -40,12 +40,12 @@ def energetic_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shipments stand for spans: from the ship date on, as many days as pieces."""
-    rows = table(spark, sf_dir, "lineitem")
-    return rows.select(F.col("l_suppkey").alias("file_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.unix_date(F.col("l_shipdate").cast("date")).cast("long").alias("start"), F.col("l_quantity").cast("long").alias("n"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("file_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return rows.agg(F.min(F.unix_date(F.col("l_shipdate").cast("date"))).cast("long").alias("start"), F.sum("l_quantity").cast("long").alias("n"))
 
 
 SPANS = """
-p AS (SELECT l_suppkey AS file_id, l_orderkey * 10 + l_linenumber AS seq, date_diff('day', DATE '1970-01-01', l_shipdate::DATE) AS s, l_quantity::BIGINT AS n FROM lineitem),
+p AS (SELECT l_suppkey AS file_id, l_orderkey * 10 + l_linenumber AS seq, min(date_diff('day', DATE '1970-01-01', l_shipdate::DATE)) AS s, sum(l_quantity)::BIGINT AS n FROM lineitem GROUP BY ALL),
 h AS (SELECT *, coalesce(max(s + n) OVER (PARTITION BY file_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS mark FROM p),
 v AS (SELECT file_id, sum(greatest(0, s + n - greatest(s, mark)))::BIGINT AS voiced, sum(n)::BIGINT AS all_n FROM h GROUP BY file_id)
 """
