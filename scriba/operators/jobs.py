@@ -168,3 +168,26 @@ def admission_status(requests: DataFrame) -> DataFrame:
     for failed, code, name in reversed(checks):
         status, kind = F.when(failed, code).otherwise(status), F.when(failed, name).otherwise(kind)
     return requests.withColumns({"status": status, "error_kind": kind})
+
+
+def views(jobs: DataFrame) -> DataFrame:
+    """What a list shows of ``jobs (job, input, state, submitted, started, finished)``: the file's name, a state, and times; a result can be deleted once it is done and written."""
+    timed = wait_and_work(jobs)
+    deletable = (F.col("state") == "done") & F.col("output").isNotNull()
+    return timed.select("job", F.element_at(F.split("input", "/"), -1).alias("label"), "state", "queued_ms", "elapsed_ms", is_settled().alias("settled"), deletable.alias("deletable"))
+
+
+def error_body(kind: Column, message: Column) -> Column:
+    """``{"error": {"kind": ..., "message": ...}}``."""
+    return F.to_json(F.struct(F.struct(kind.alias("kind"), message.alias("message")).alias("error")), {"ignoreNullFields": "false"})
+
+
+def durations(jobs: DataFrame, *by: str, value: str = "elapsed_ms") -> DataFrame:
+    """Median (between the two middle ones, where there are two), least and most of a group's durations, and how many there are."""
+    return jobs.groupBy(*by).agg(F.percentile(value, 0.5).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"), F.count(value).alias("n"))
+
+
+def renumbered(rows: DataFrame, by: str, order: str, gone: Column, name: str = "place") -> DataFrame:
+    """Rows that remain, with places from 0 that close the gaps."""
+    left = rows.where(~gone)
+    return left.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1)

@@ -108,3 +108,10 @@ def segments_of(spans: DataFrame, file: str = "file_id", seq: str = "seq", text:
     """Recognised spans as segments numbered from 0; a span without text is none."""
     order = Window.partitionBy(file).orderBy(seq)
     return spans.where(F.length(text) > 0).withColumn("seg_id", F.row_number().over(order) - 1)
+
+
+def padded(chunks: DataFrame, pad: int, file: str = "file_id", seq: str = "seq", samples: str = "samples") -> DataFrame:
+    """``chunks`` with the last ``pad`` samples of the chunk before each in front of it, as far as there are any."""
+    before = F.lag(samples).over(Window.partitionBy(file).orderBy(seq))
+    tail = F.slice(before, F.greatest(F.size(before) - pad + 1, F.lit(1)), F.lit(pad))
+    return chunks.withColumn("padded", F.when(before.isNull(), F.col(samples)).otherwise(F.concat(tail, F.col(samples))))

@@ -157,3 +157,31 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed sessions; the last of each job stay open until a later event passes them."""
     frames = job_events(streams.read_events(spark, sf_dir)).where("position >= 20").select("job", "ts")
     return streams.drain(streams.speech_sessions(frames, "6 hours"), "sessions", "append").drop("batch")
+
+
+# -- views -----------------------------------------------------------------
+
+
+@query(f"""WITH {JOBS} SELECT t.job, 'talk' || t.job || '.mp3' AS label, state, started - submitted AS queued_ms, finished - started AS elapsed_ms, state = 'done' AS settled, state = 'done' AND t.job % 3 <> 0 AS deletable FROM t""")
+def job_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("job").cast("string")
+    rows = _jobs(spark, sf_dir).withColumns({"input": F.concat(F.lit("/in/talk"), key, F.lit(".mp3")), "output": F.when(F.col("job") % 3 != 0, key)})
+    return jobs.views(rows)
+
+
+@query("""SELECT o_orderkey, '{"error":{"kind":"' || CASE o_orderstatus WHEN 'O' THEN 'io' ELSE 'engine' END || '","message":' || CASE WHEN o_orderkey % 4 = 0 THEN 'null' ELSE '"' || o_orderpriority || '"' END || '}}' AS body FROM orders WHERE o_orderstatus <> 'F'""")
+def error_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'")
+    kind = F.when(F.col("o_orderstatus") == "O", "io").otherwise("engine")
+    return rows.select("o_orderkey", jobs.error_body(kind, F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority"))).alias("body"))
+
+
+@query(f"WITH {JOBS} SELECT service, median(finished - started)::DOUBLE AS median, min(finished - started) AS least, max(finished - started) AS most, count(finished - started) AS n FROM t GROUP BY service")
+def job_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.durations(jobs.wait_and_work(_jobs(spark, sf_dir)), "service")
+
+
+@query("SELECT o_custkey, o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INTEGER AS place FROM orders WHERE o_orderstatus <> 'P'")
+def rows_renumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    return jobs.renumbered(rows, "o_custkey", "o_orderkey", F.col("o_orderstatus") == "P").drop("o_orderstatus")

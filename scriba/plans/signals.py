@@ -131,3 +131,11 @@ def pad_leading(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _sessions(spark, sf_dir).withColumns({f"{c}_s": F.col(c).cast("timestamp").cast("double") for c in ("start", "end")})
     spans = signal.speech_spans(rows, shortest=1800.0, longest=14_400.0, pad=600.0)
     return spans.select("file_id", "part", "span_start", "span_end")
+
+
+@query("""WITH l AS (SELECT label, vec_id, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS before FROM embeddings)
+SELECT vec_id, CASE WHEN before IS NULL THEN 64 ELSE 72 END AS n, round(list_sum(list_transform(list_concat(coalesce(before[57:64], []), embedding), lambda x: x::DOUBLE)), 6) AS total FROM l""")
+def pad_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("file_id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("samples"))
+    total = F.aggregate("padded", F.lit(0.0), lambda a, x: a + x)
+    return signal.padded(rows, 8).select(F.col("seq").alias("vec_id"), F.size("padded").alias("n"), F.round(total, 6).alias("total"))
