@@ -87,8 +87,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     y = labels.select(F.col(id_col).alias("_id"), F.col("quality").cast("int").alias("good"), F.coalesce(F.col("toxic").cast("int"), F.lit(0)).alias("toxic"))
     y = y.where("good is not null and _id is not null").dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
-    rows = docs.join(F.broadcast(y), docs[id_col] == F.col("_id"))  # SAMPLE rows at most
-    rows = materialise(rows.select(F.col(text_col).cast("string").alias("text"), "good", "toxic"), "labelled")
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("text"))
+    rows = texts.join(F.broadcast(y), F.col("_doc") == F.col("_id"))  # SAMPLE rows at most
+    rows = materialise(rows.select("text", "good", "toxic"), "labelled")
     sums = rows.mapInArrow(_telling, "bucket int, n0 long, n1 long, n2 long, n3 long").groupBy("bucket").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(4)))
     n = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"), F.sum("toxic").alias("toxic")).first()
     tables = np.zeros((2, BUCKETS))

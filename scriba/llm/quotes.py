@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Quote marks at the start of a line; spaces may stand between them.
 _MARKS = r"^[ \t]*((?:>[ \t]*)+)"
+#: Turns of a conversation that one task puts in order.
+_BLOCK = 1024
 #: A line that says whom the next one quotes.
 _CREDIT = r"^(On .* wrote:|.* (wrote|schrieb|escribió|a écrit) ?:)[ \t]*$"
 
@@ -42,6 +44,21 @@ def passages_of(lines: DataFrame) -> DataFrame:
     return runs.groupBy("conv_id", "turn", "passage", "depth").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "norm"))), lambda x: x["norm"]), " ").alias("norm"))
 
 
+def _with_previous(m: DataFrame) -> DataFrame:
+    """``m`` with ``previous``: the largest smaller turn of the conversation.
+
+    Turns are ordered in blocks, and the blocks by their last turns, so that a very long
+    conversation is no single task's.
+    """
+    block = F.floor(F.col("turn") / _BLOCK)
+    inner = Window.partitionBy("conv_id", "block").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = m.select("conv_id", "turn", block.alias("block")).groupBy("conv_id", "block").agg(F.max("turn").alias("top"))
+    ends = ends.select("conv_id", "block", F.max("top").over(order).alias("before"))
+    rows = m.withColumn("block", block).withColumn("inner", F.max("turn").over(inner)).join(ends, ["conv_id", "block"], "left")
+    return rows.withColumn("previous", F.coalesce("inner", "before")).drop("block", "inner", "before")
+
+
 def linked(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str = "role") -> DataFrame:
     """``(conv_id, turn, role, content, n_quoted, max_depth, quotes, reply_to, linked)`` for every message.
 
@@ -65,10 +82,9 @@ def linked(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     links = sought.join(said, ["conv_id", "hash"]).where("norm = said and origin < turn")
     links = links.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_set("origin")).alias("quotes"), F.max(F.struct((-F.col("depth")).alias("d"), "origin"))["origin"].alias("quoted"))
     counts = passages.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_quoted"), F.max("depth").cast("int").alias("max_depth"))
-    before = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     own = F.filter(F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n"), lambda x: ~x.rlike(_MARKS))
     content = F.when(F.col("text").rlike(r"(?m)^[ \t]*>"), F.array_join(F.filter(own, lambda x: ~x.rlike(_CREDIT)), "\n")).otherwise(F.coalesce("text", F.lit("")))
-    out = m.select("conv_id", "turn", "role", F.regexp_replace(content, r"^\s+|\s+$", "").alias("content"), F.max("turn").over(before).alias("previous"))
+    out = _with_previous(m).select("conv_id", "turn", "role", F.regexp_replace(content, r"^\s+|\s+$", "").alias("content"), "previous")
     out = out.join(counts, ["conv_id", "turn"], "left").join(links, ["conv_id", "turn"], "left")
     return out.select("conv_id", "turn", "role", "content", F.coalesce("n_quoted", F.lit(0)).cast("long").alias("n_quoted"), F.coalesce("max_depth", F.lit(0)).alias("max_depth"), F.coalesce("quotes", F.array().cast("array<long>")).alias("quotes"), F.coalesce("quoted", F.when(F.col("conv_id").isNotNull(), F.col("previous"))).alias("reply_to"), F.col("quoted").isNotNull().alias("linked"))
 

@@ -44,6 +44,13 @@ def test_edges(spark):
     assert op.linked(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_long_conversations_are_ordered_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(op, "_BLOCK", 4)
+    turns = [0, 1, 3, 9, 9, 30, 31, 32, 33]
+    got = op.linked(spark.createDataFrame([(1, t, "u", "x") for t in turns], "conv_id long, turn long, role string, text string")).orderBy("turn").collect()
+    assert [r.reply_to for r in got] == [max((u for u in turns if u < t), default=None) for t in turns]
+
+
 def test_plan_runs_no_python(spark):
     plan = op.linked(spark.createDataFrame([(1, 0, "u", "> x")], "conv_id long, turn long, role string, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
