@@ -22,10 +22,14 @@ from pyspark.sql import functions as F
 
 from scriba.llm.common import _stream, U, mix, word_hashes
 
-#: Masks over token positions; 1 is read, 0 is ignored.
-MASKS = ("111010011", "1100110011", "10110100101")
-#: Items too short for a mask are found by their first tokens, all read.
-SHORT = "11111"
+#: Masks over token positions; 1 is read, 0 is ignored. Wherever the substitutions of a
+#: leak stand, one of the masks reads none of them, so no leak is without a hit: a stretch
+#: of 13 or more tokens has a part of 13 to 25 that agrees as well as the whole.
+MASKS = ("1111", "11101")
+#: Items of under LENGTH tokens have less room and need these too.
+SHORT = ("11011", "10111", "111001")
+#: Items of fewer tokens leak nothing.
+LEAST = 5
 #: A leak agrees over so many tokens, or over the whole of a shorter item, ...
 LENGTH = 13
 #: ... and in this share of them.
@@ -61,25 +65,28 @@ def seeds(t: np.ndarray, mask: str) -> np.ndarray:
         return mix(h)
 
 
-def agreement(item: np.ndarray, doc: np.ndarray, at: int) -> tuple[int, int, int]:
-    """``(start, length, matched)`` of the best stretch of the item laid at position ``at`` of the document.
+def agreement(item: np.ndarray, doc: np.ndarray, at: int, least: int = 0) -> tuple[int, int, int]:
+    """``(start, length, matched)`` of the best stretch of ``least`` tokens or more of the item laid at position ``at`` of the document.
 
     The stretch maximises matches minus three times the mismatches: at that price one
-    that holds a quarter of mismatches is worth nothing.
+    that holds a quarter of mismatches is worth nothing, so a stretch agrees in three
+    quarters if and only if the best one does.
     """
     lo, hi = max(0, -at), min(len(item), len(doc) - at)
     same = item[lo:hi] == doc[at + lo : at + hi]
     gain = np.concatenate(([0], np.cumsum(np.where(same, 1, -3))))
-    low = np.minimum.accumulate(gain)
-    end = int(np.argmax(gain - low))
-    start = int(np.flatnonzero(gain[: end + 1] == low[end])[-1])
+    if len(gain) <= least:
+        return lo, 0, 0
+    low = np.minimum.accumulate(gain[: len(gain) - least])
+    last = int(np.argmax(gain[least:] - low))
+    start, end = int(np.flatnonzero(gain[: last + 1] == low[last])[-1]), last + least
     return lo + start, end - start, int(same[start:end].sum())
 
 
 def _seed_count(benchmark: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = sum(len(tokens(t)) * len(MASKS) for t in batch.column(1).to_pylist())
+            n = sum(len(tokens(t)) * len(MASKS + SHORT) for t in batch.column(1).to_pylist())
             yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
     return benchmark.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
@@ -90,15 +97,15 @@ class _Index:
 
     def __init__(self, items: list[tuple[int, str | None]]):
         self.ids, self.tokens = [], []
-        found: dict[str, list] = {m: [] for m in (*MASKS, SHORT)}
+        found: dict[str, list] = {m: [] for m in MASKS + SHORT}
         for i, text in items:
             t = tokens(text)
-            if len(t) < len(SHORT):
+            if len(t) < LEAST:
                 continue
             k = len(self.ids)
             self.ids.append(i)
             self.tokens.append(t)
-            for m in MASKS if len(t) >= max(map(len, MASKS)) else (SHORT,):
+            for m in MASKS if len(t) >= LENGTH else MASKS + SHORT:
                 h = seeds(t, m)
                 found[m].append((h, np.full(len(h), k, dtype=np.int32), np.arange(len(h), dtype=np.int32)))
         self.masks = {}
@@ -106,6 +113,8 @@ class _Index:
             if not parts:
                 continue
             h, k, at = (np.concatenate([p[x] for p in parts]) for x in range(3))
+            if not len(h):
+                continue
             by = np.argsort(h, kind="stable")
             bits = int(min(24, max(12, np.ceil(np.log2(64 * len(h))))))
             maybe = np.zeros(1 << bits, dtype=bool)
@@ -127,8 +136,8 @@ class _Index:
                 lain.update(zip(item[a:b].tolist(), (p - offset[a:b]).tolist(), strict=True))
         best: dict[int, tuple[int, int, int, int, int]] = {}
         for k, at in lain:
-            start, length, matched = agreement(self.tokens[k], doc, at)
             need = min(LENGTH, len(self.tokens[k]))
+            start, length, matched = agreement(self.tokens[k], doc, at, need)
             if length >= need and matched >= AGREE * length and (k not in best or (matched, -at) > (best[k][4], -best[k][1] + best[k][2])):
                 best[k] = (self.ids[k], at + start, start, length, matched)
         return list(best.values())

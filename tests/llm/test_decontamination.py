@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -65,3 +66,53 @@ def test_edges(spark):
     assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 4]
     assert op.find_leaks(df, items.limit(0)).count() == 0 and op.find_leaks(df.limit(0), items).count() == 0
     assert op.decontaminate(df, items.limit(0)).count() == len(docs)
+
+
+def test_masks_miss_no_leak():
+    """All places of all substitutions that a leak may have: the longest stretches with so many contain these."""
+    for n, wrong in (*((n, n // 4) for n in range(op.LEAST, op.LENGTH)), (13, 3), (16, 4), (20, 5), (24, 6)):
+        masks = op.MASKS if n >= op.LENGTH else op.MASKS + op.SHORT
+        left = np.array([(1 << n) - 1 - sum(1 << k for k in c) for c in combinations(range(n), wrong)])
+        for m in masks:
+            for at in range(n - len(m) + 1):
+                bits = int(m[::-1], 2) << at
+                left = left[left & bits != bits]
+        assert not len(left), (n, wrong)
+
+
+def test_substitutions_equal_brute_force():
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(3000)]
+
+    def leaks(item, doc):
+        need = min(op.LENGTH, len(item))
+        for at in range(-len(item) + 1, len(doc)):
+            same = [item[q] == doc[at + q] for q in range(max(0, -at), min(len(item), len(doc) - at))]
+            if any(sum(same[a:b]) >= op.AGREE * (b - a) for a in range(len(same)) for b in range(a + need, len(same) + 1)):
+                return True
+        return False
+
+    seen = set()
+    for n in range(5, 26):
+        for wrong in range(n // 3 + 2):
+            for _ in range(6):
+                item = [rng.choice(words) for _ in range(n)]
+                part = list(item)
+                for k in rng.sample(range(n), wrong):
+                    part[k] = "other"
+                cut = rng.choice((0, 0, 1, 3))
+                doc = [rng.choice(words) for _ in range(rng.randrange(4))] + part[cut:] + [rng.choice(words) for _ in range(rng.randrange(4))]
+                got, want = op._Index([(7, " ".join(item))]).leaks(" ".join(doc)), leaks(item, doc)
+                seen.add((n < op.LENGTH, want))
+                assert bool(got) == want, (item, doc)
+                for _, at, start, length, matched in got:
+                    assert length >= min(op.LENGTH, n) and matched >= op.AGREE * length
+                    assert matched == sum(item[start + q] == doc[at + q] for q in range(length))
+    assert len(seen) == 4
+
+
+def test_passages_of_the_review(spark):
+    item13, item16 = [f"a{k}" for k in range(13)], [f"b{k}" for k in range(16)]
+    docs = [(1, " ".join(["x", *item13[1:]])), (2, " ".join("x" if k in (3, 12) else w for k, w in enumerate(item16)))]
+    got = op.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item13)), (2, " ".join(item16))], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.length >= 13, r.agreement >= 0.75) for r in got} == {(1, 1, True, True), (2, 2, True, True)}
