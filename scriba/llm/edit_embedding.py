@@ -10,14 +10,16 @@ of what the walk sees there (the next four characters). The step a slot samples
 minimum of a random function over all steps of a text of that length, so texts of about
 the same length sample the same steps, whatever the length is.
 
-Groups: bands of four sampled slots propose pivots, the likeness of the whole
-fingerprints verifies them, connected components group them.
+Groups: two near fingerprints share a bucket of a band of sampled slots; those of a
+bucket are compared as wholes, in large buckets over pivots and smaller buckets of one
+slot more; connected components group them. No near pair is missed.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from math import isqrt
 
 import numpy as np
@@ -26,12 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriba.llm.common import _stream, connected_components, materialise
+from scriba.llm.common import U, _stream, connected_components, materialise, mix
 
 WALKS, SLOTS = 2, 64
 BANDS, ROWS = 16, 4
 #: Fingerprints from this likeness on are near.
 LIKE = 0.75
+#: Nodes of a bucket that one task compares with each other.
+BLOCK = 512
+#: Nodes of a larger bucket that say what is usual in it.
+SAMPLE = 24
 #: Texts walk together until so many are left; from then on, one by one.
 FEW = 24
 #: Characters of documents that walk together.
@@ -226,34 +232,137 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return out.where("edge is null").select(*_NAMES).unionByName(last)
 
 
+#: Slots in a fixed random order.
+_ORDER = np.random.Generator(np.random.PCG64(5)).permutation(SLOTS)
+#: Two near fingerprints agree in one of any so many slots.
+FIRST = int((1 - LIKE) * SLOTS) + 1
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, SLOTS)
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Band keys of fingerprints; a band is four slots of a fixed random order."""
-    order = np.random.Generator(np.random.PCG64(5)).permutation(SLOTS)[: BANDS * ROWS].reshape(BANDS, ROWS)
+    """Band keys of fingerprints, of which two near ones share one or more.
+
+    A band is four slots of a fixed random order. Near fingerprints differ in 16 slots
+    at most: either not in every band, or once in each; then they share three slots of
+    the first band, so that has a key for each choice of three.
+    """
+    order = _ORDER[: BANDS * ROWS].reshape(BANDS, ROWS)
+    kept = [np.delete(order[0], j) for j in range(ROWS)] + list(order[1:])
     for batch in batches:
         f = np.array([np.frombuffer(bytes.fromhex(x), dtype=np.uint8) for x in batch.column(0).to_pylist()]).reshape(-1, SLOTS)
-        key = [(f[:, order[b]].astype(np.int64) << np.array([0, 8, 16, 24])).sum(axis=1) + (b << 32) for b in range(BANDS)]
+        key = [(f[:, x].astype(np.int64) << np.array([0, 8, 16, 24])[: len(x)]).sum(axis=1) + (b << 32) for b, x in enumerate(kept)]
         yield pa.RecordBatch.from_arrays([pa.array(list(np.stack(key, axis=1)), pa.list_(pa.int64()))] + [batch.column(1)], ["bands", "node"])
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _flood(f: np.ndarray) -> list[tuple[int, int]]:
+    """``(row, root)`` of what is reachable over near rows; reached rows are not compared again."""
+    out, left = [], np.arange(len(f))
+    while len(left):
+        root, left = int(left[0]), left[1:]
+        queue = [root]
+        while queue and len(left):
+            near = _like(f[left], f[queue.pop()]) >= LIKE
+            found, left = left[near].tolist(), left[~near]
+            queue += found
+            out += [(x, root) for x in found]
+    return out
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that connect what near fingerprints of a bucket connect; ``bucket, node, print`` come sorted by bucket."""
+
+    def linked(bucket: np.ndarray, node: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+        start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else np.zeros(1, dtype=np.int64)
+        size = np.diff(start)
+        two = start[:-1][size == 2]
+        two = two[_like(f[two], f[two + 1]) >= LIKE]
+        src, dst = [node[two + 1]], [node[two]]
+        for at, n in zip(start[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            found = np.array(_flood(f[at : at + n]), dtype=np.int64).reshape(-1, 2) + at
+            src.append(node[found[:, 0]])
+            dst.append(node[found[:, 1]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (src, dst)], ["src", "dst"])
+
+    held = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty((0, SLOTS), dtype=np.uint8))
+    for batch in batches:
+        if batch.num_rows:
+            held = tuple(np.concatenate(x) for x in zip(held, (batch.column(0).to_numpy(), batch.column(1).to_numpy(), _bytes(batch.column(2))), strict=True))
+            cut = int(np.flatnonzero(held[0] != held[0][-1])[-1]) + 1 if held[0][0] != held[0][-1] else 0
+            yield linked(*(x[:cut] for x in held))
+            held = tuple(x[cut:] for x in held)
+    yield linked(*held)
+
+
+def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each bucket's sample: the node with most of what is usual, and what is usual in each slot and how often."""
+    for batch in batches:
+        pivot, prints, usual, often = [], [], [], []
+        for x in batch.column(1).to_pylist():
+            f = np.frombuffer(b"".join(r["print"] for r in x), dtype=np.uint8).reshape(-1, SLOTS)
+            n = (f[:, None, :] == f[None, :, :]).sum(axis=1)
+            top, best = n.argmax(axis=0), int(n.sum(axis=1).argmax())
+            pivot.append(x[best]["node"])
+            prints.append(f[best].tobytes())
+            usual.append(f[top, np.arange(SLOTS)].tobytes())
+            often.append(n.max(axis=0).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pivot, pa.int64()), *(pa.array(x, pa.binary()) for x in (prints, usual, often))], ["bucket", "pivot", "pivot_print", "usual", "often"])
+
+
+def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``bucket, node, pivot, near`` for the smaller buckets of each node, and a row without bucket for a link to the pivot.
+
+    A node's smaller buckets are 17 slots in which it differs from the pivot, with what
+    it has there, the least usual first. Of two near nodes that aren't both near the
+    pivot, one has ``n > 16`` such slots; they agree in ``n - 16`` of them or more, and
+    so in one that is among the first 17 of both. That holds for any pivot and any order.
+    """
     for batch in batches:
-        a, b = (np.array([np.frombuffer(bytes.fromhex(x), dtype=np.uint8) for x in c.to_pylist()]).reshape(-1, SLOTS) for c in (batch.column(2), batch.column(3)))
-        yield batch.select([0, 1]).filter(pa.array(_like(a, b) >= LIKE))
+        bucket, node, pivot = (batch.column(k).to_numpy() for k in range(3))
+        f, g, usual, often = (_bytes(batch.column(k)) for k in range(3, 7))
+        differs, near = f != g, _like(f, g) >= LIKE
+        rank = np.where(differs, np.where(f == usual, often.astype(np.int32), 0), 1 << 16)
+        first = np.argsort(rank, axis=1, kind="stable")[:, :FIRST]
+        row, k = np.nonzero(np.take_along_axis(differs, first, axis=1))
+        slot = first[row, k]
+        with np.errstate(over="ignore"):
+            key = mix(mix(bucket[row].view(U)) + (slot << 8 | f[row, slot].astype(np.int64)).astype(U)).view(np.int64)
+        found = np.flatnonzero(near)
+        columns = [pa.concat_arrays([pa.nulls(len(found), pa.int64()), pa.array(key, pa.int64())])]
+        at = np.concatenate((found, row))
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(node[at]), pa.array(pivot[at]), pa.array(near[at])], ["bucket", "node", "pivot", "near"])
 
 
 def fingerprint_classes(prints: DataFrame) -> DataFrame:
     """``prints (doc_id, fingerprint, ...)`` with ``class_id``: the smallest id reachable over near fingerprints.
 
-    Equal fingerprints are one node. In each bucket of a band, the smallest node is the
-    pivot that the others are verified against by the likeness of whole fingerprints.
+    Equal fingerprints are one node. Inside a bucket, whatever near fingerprints connect
+    is linked. A bucket of more than BLOCK nodes is first held against a pivot, and what
+    is not near it, or may be near to such, falls into smaller buckets, of which the
+    members agree in one slot more. Members that agree in 48 slots are all near their
+    pivot, so this ends. No pair is left out, and no task holds more than a block.
     """
     nodes = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node")).where("node is not null"), "prints")
-    rows = materialise(nodes.select("fingerprint", "node").mapInArrow(_bands, "bands array<long>, node long").select("node", F.explode("bands").alias("bucket")), "bands")
-    pivots = rows.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("high")).where("pivot < high").drop("high")
-    pairs = rows.join(pivots, "bucket").where("node <> pivot").select("pivot", "node").distinct()
-    a = nodes.select(F.col("node").alias("pivot"), F.col("fingerprint").alias("a"))
-    b = nodes.select("node", F.col("fingerprint").alias("b"))
-    links = pairs.join(a, "pivot").join(b, "node").select("pivot", "node", "a", "b").mapInArrow(_alike, "pivot long, node long")
-    roots = connected_components(links.select(F.col("node").alias("src"), F.col("pivot").alias("dst")))
+    known = nodes.select("node", F.unhex("fingerprint").alias("print"))
+    rows = materialise(nodes.select("fingerprint", "node").mapInArrow(_bands, "bands array<long>, node long").select("node", F.explode("bands").alias("bucket"), F.lit(False).alias("near")), "bands")
+    links = []
+    while True:
+        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("near").alias("done")).where("n > 1 and not done")
+        sizes = materialise(sizes, "sizes")
+        few = rows.join(sizes.where(F.col("n") <= BLOCK).select("bucket"), "bucket").join(known, "node").select("bucket", "node", "print")
+        links.append(few.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links, "src long, dst long"))
+        hot = sizes.where(F.col("n") > BLOCK).select("bucket")
+        if hot.isEmpty():
+            break
+        sample = rows.join(hot, "bucket").groupBy("bucket").agg(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(SAMPLE))).alias("nodes"))
+        sample = sample.select("bucket", F.explode(F.array_distinct("nodes")).alias("node")).join(known, "node").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("node", "print"))).alias("sample"))
+        pivots = materialise(sample.mapInArrow(_pivots, "bucket long, pivot long, pivot_print binary, usual binary, often binary"), "pivots")
+        many = rows.select("bucket", "node").join(pivots, "bucket").where("node <> pivot").join(known, "node")
+        many = materialise(many.select("bucket", "node", "pivot", "print", "pivot_print", "usual", "often").mapInArrow(_refine, "bucket long, node long, pivot long, near boolean"), "refined")
+        links.append(many.where("bucket is null").select(F.col("node").alias("src"), F.col("pivot").alias("dst")))
+        rows = many.where("bucket is not null").select("bucket", "node", "near")
+    roots = connected_components(reduce(DataFrame.unionByName, links))
     labels = nodes.join(roots, "node", "left").select("fingerprint", F.coalesce("root", "node").alias("class_id"))
     return prints.join(labels, "fingerprint", "left").select(*prints.columns, "class_id")

@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from scriba.llm import edit_embedding as op
@@ -89,3 +91,54 @@ def test_classes(spark):
     got = {r.doc_id: r.class_id for r in op.fingerprint_classes(prints).collect()}
     assert len({got[10 * b] for b in range(4)}) == 4
     assert sum(got[10 * b + k] == 10 * b for b in range(4) for k in range(5)) >= 15
+
+
+def classes(f):
+    """The smallest id reachable over near rows, by all pairs."""
+    near = (f[:, None, :] == f[None, :, :]).mean(axis=2) >= op.LIKE
+    label = np.arange(len(f))
+    while (low := np.where(near, label[None, :], len(f)).min(axis=1)).tolist() != label.tolist():
+        label = low
+    return label.tolist()
+
+
+@pytest.mark.parametrize("block", [512, 6])
+def test_classes_equal_all_pairs_on_chained_copies_in_hot_buckets(spark, monkeypatch, block):
+    monkeypatch.setattr(op, "BLOCK", block, raising=False)
+    rng = np.random.default_rng(6)
+    order = np.random.Generator(np.random.PCG64(5)).permutation(op.SLOTS)
+    rows = []
+    for k in range(40):
+        f = rng.integers(0, 256, op.SLOTS)
+        f[order[:40]] = np.where(rng.random(40) < 0.9, 7, f[order[:40]])  # a passage at the sampled steps
+        rows.append(f)
+        for _ in range(k % 6):  # copies of copies
+            f = f.copy()
+            where = rng.choice(op.SLOTS, int(rng.integers(10, 20)), replace=False)
+            f[where] = rng.integers(0, 256, len(where))
+            rows.append(f)
+    one = rng.integers(0, 256, op.SLOTS)
+    other = one.copy()
+    other[order.reshape(op.BANDS, op.ROWS)[:, 2]] += 1  # near, and another value in every band
+    rows = np.array([*rows, one, other])[rng.permutation(len(rows) + 2)].astype(np.uint8)
+    prints = spark.createDataFrame([(i, f.tobytes().hex()) for i, f in enumerate(rows)], "doc_id long, fingerprint string").repartition(5)
+    got = {r.doc_id: r.class_id for r in op.fingerprint_classes(prints).collect()}
+    want = classes(rows)
+    assert [got[i] for i in range(len(rows))] == want
+    assert 20 < len(set(want)) < len(rows) - 20
+
+
+def test_first_slots_lead_near_nodes_to_each_other():
+    rng = np.random.default_rng(3)
+    p = rng.integers(0, 3, op.SLOTS).astype(np.uint8)
+    for _ in range(300):
+        x = np.where(rng.random(op.SLOTS) < rng.random(), rng.integers(0, 3, op.SLOTS), p).astype(np.uint8)
+        y = x.copy()
+        y[rng.choice(op.SLOTS, int(rng.integers(1, 17)), replace=False)] = 9
+        f = [x.tobytes(), y.tobytes()]
+        usual, often = (rng.integers(0, 3, op.SLOTS).astype(np.uint8) for _ in range(2))
+        batch = pa.RecordBatch.from_arrays([pa.array([5, 5]), pa.array([1, 2]), pa.array([0, 0]), pa.array(f), *(pa.array([u.tobytes()] * 2) for u in (p, usual, often))], ["bucket", "node", "pivot", "print", "pivot_print", "usual", "often"])
+        out = [r for b in op._refine(iter([batch])) for r in b.to_pylist()]
+        near = {r["node"] for r in out if r["bucket"] is None}
+        buckets = [{r["bucket"] for r in out if r["node"] == k and r["bucket"] is not None} for k in (1, 2)]
+        assert near == {1, 2} or buckets[0] & buckets[1]
