@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 #: Values that take 10 to this power guesses are secrets.
 COST = 10.0
-#: Only so much of a longer value is weighed; that much brute force is a secret anyway.
-WEIGHED = 64
+#: Parts of a segmentation, and characters of a repeated unit.
+PARTS, UNIT = 8, 8
 
 # What people often pick, the most frequent first.
 COMMON = (
@@ -53,41 +53,90 @@ def guess_cost(value: str) -> float:
     A segmentation of k parts costs the product of its parts' guesses times k!, as an
     attacker has to find the order of the parts too.
     """
-    value = value[:WEIGHED]
     n, low = len(value), value.lower()
+    if not n:
+        return 0.0
     plain = low.translate(_LEET)
-    each = log10(_alphabet(value))
-    parts: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: (start, cost)
-    for i in range(n):
-        for j in range(i + 1, n + 1):
-            parts[j].append((i, each * (j - i)))
-        for j in range(i + 2, min(n, i + _LONGEST) + 1):
-            for text, extra in ((low, 0.0), (plain, 0.6)):
-                if rank := _RANK.get(text[i:j]):
-                    case = 0.0 if value[i:j] in (text[i:j], low[i:j]) else 0.3 if value[i:j].istitle() or value[i:j].isupper() else 1.2
-                    parts[j].append((i, log10(rank + 1) + extra + case))
-        if m := _DATE.match(value, i):
-            parts[m.end()].append((i, 2.1 if m.end() - i == 4 else 4.6))
-        for size in range(1, 9):  # a unit and how often it comes again
-            unit, j = value[i : i + size], i + size
-            while len(unit) == size and value.startswith(unit, j):
-                j += size
-                parts[j].append((i, each * size + log10((j - i) // size)))
-        for row in _WALKS:
-            at = row.find(low[i])
-            j = i
-            while at >= 0 and j < n and at + j - i < len(row) and low[j] == row[at + j - i]:
-                j += 1
-                if j - i >= 3:
-                    parts[j].append((i, log10(len(row) * 2) + log10(j - i)))
-    most = min(n, 8)
-    best = [[0.0] + [float("inf")] * most] + [[float("inf")] * (most + 1) for _ in range(n)]
+    each, inf = log10(_alphabet(value)), float("inf")
+    most = min(n, PARTS)
+    best = {0: [0.0] + [inf] * most}  # by end and number of parts; only the last ends are kept
+    ends: dict[int, list[tuple[int, float]]] = {}  # parts that end further on: (start, cost)
+    brute: list[tuple[float, int] | None] = [None] * most  # the start of brute force that is cheapest from here on
+    same = [0] * (UNIT + 1)  # so many characters up to here equal those a unit before
+    live: list[list[list[list[tuple[float, int]]]]] = [[[[] for _ in range(most)] for _ in range(size)] for size in range(UNIT + 1)]
     for j in range(1, n + 1):
-        for i, cost in parts[j]:
-            for k in range(most):
-                if best[i][k] + cost < best[j][k + 1]:
-                    best[j][k + 1] = best[i][k] + cost
-    return min((c + log10(factorial(k)) for k, c in enumerate(best[n])), default=0.0)
+        i = j - 1
+        for end, cost in _short_parts(value, low, plain, i):
+            ends.setdefault(end, []).append((i, cost))
+        now = [inf] * (most + 1)
+        for k, c in enumerate(best[i][:most]):
+            if c < inf and (brute[k] is None or c - each * i < brute[k][0] - each * brute[k][1]):
+                brute[k] = (c, i)
+            if brute[k] is not None:
+                now[k + 1] = brute[k][0] + each * (j - brute[k][1])
+        for start, cost in ends.pop(j, ()):
+            for k, c in enumerate(best[start][:most]):
+                now[k + 1] = min(now[k + 1], c + cost)
+        for size in range(1, min(UNIT, i) + 1):  # a unit and how often it comes again
+            if value[i] != value[i - size]:
+                if same[size] >= size:
+                    live[size] = [[[] for _ in range(most)] for _ in range(size)]
+                same[size] = 0
+                continue
+            same[size] += 1
+            if same[size] < size:
+                continue
+            for k, c in enumerate(best[j - 2 * size][:most]):
+                starts = live[size][j % size][k]
+                if c < inf:
+                    starts.append((c, j - 2 * size))
+                if starts:
+                    now[k + 1] = min(now[k + 1], _cheapest(starts, j, size, each))
+        best[j] = now
+        best.pop(j - _WIDEST, None)
+    return min(c + log10(factorial(k)) for k, c in enumerate(best[n]))
+
+
+#: No part other than brute force and repeats is longer; a unit and its first repeat aren't either.
+_WIDEST = max(_LONGEST, 2 * UNIT, 10, *map(len, ROWS)) + 1
+
+
+def _short_parts(value: str, low: str, plain: str, i: int) -> Iterator[tuple[int, float]]:
+    """``(end, cost)`` of the words, dates and keyboard walks from ``i`` on."""
+    n = len(value)
+    for j in range(i + 2, min(n, i + _LONGEST) + 1):
+        for text, extra in ((low, 0.0), (plain, 0.6)):
+            if rank := _RANK.get(text[i:j]):
+                case = 0.0 if value[i:j] in (text[i:j], low[i:j]) else 0.3 if value[i:j].istitle() or value[i:j].isupper() else 1.2
+                yield j, log10(rank + 1) + extra + case
+    if m := _DATE.match(value, i):
+        yield m.end(), 2.1 if m.end() - i == 4 else 4.6
+    for row in _WALKS:
+        at = row.find(low[i])
+        j = i
+        while at >= 0 and j < n and at + j - i < len(row) and low[j] == row[at + j - i]:
+            j += 1
+            if j - i >= 3:
+                yield j, log10(len(row) * 2) + log10(j - i)
+
+
+def _cheapest(starts: list[tuple[float, int]], j: int, size: int, each: float) -> float:
+    """The least cost of a repeat that ends at ``j``; starts that no later end makes the cheapest are taken out.
+
+    The logarithm of the count grows faster for a later start: one that is no cheaper
+    than an earlier one now never will be, and an earlier one that isn't cheaper to
+    reach never will be either.
+    """
+    least, kept = float("inf"), []
+    for c, i in starts:
+        cost = c + (each * size + log10((j - i) // size))
+        if cost < least:
+            least = cost
+            while kept and kept[-1][0] >= c:
+                kept.pop()
+            kept.append((c, i))
+    starts[:] = kept
+    return least
 
 
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)

@@ -76,3 +76,38 @@ def test_dynamic_programming_finds_the_cheapest_segmentation():
             return min(costs)
 
         assert whole <= best(0, 0) + 1e-9 and abs(whole - best(0, 0)) < 1e-6
+
+
+def all_segmentations(value):
+    """The cost over all parts of the whole value, each start with each end."""
+    n, each, inf = len(value), log10(op._alphabet(value)), float("inf")
+    low = value.lower()
+    best = [[0.0] + [inf] * 8] + [[inf] * 9 for _ in range(n)]
+    for i in range(n):
+        parts = [(j, each * (j - i)) for j in range(i + 1, n + 1)] + list(op._short_parts(value, low, low.translate(op._LEET), i))
+        for size in range(1, 9):
+            j = i + size
+            while j + size <= n and value[j : j + size] == value[i : i + size]:
+                j += size
+                parts.append((j, each * size + log10((j - i) // size)))
+        for j, cost in parts:
+            for k in range(8):
+                best[j][k + 1] = min(best[j][k + 1], best[i][k] + cost)
+    return min(c + log10(factorial(k)) for k, c in enumerate(best[n]))
+
+
+def test_whole_values_are_weighed():
+    rng = random.Random(6)
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGH23456789#$"
+    for _ in range(150):
+        parts = [rng.choice(["a" * rng.randrange(1, 60), "abc" * rng.randrange(1, 20), "xyxyz" * rng.randrange(1, 9), "password", "Monday", "2024-05-17", "qwertyuiop", rng.choice(letters), "".join(rng.choice(letters) for _ in range(9))]) for _ in range(rng.randrange(1, 9))]
+        value = "".join(parts)[:260]
+        assert abs(op.guess_cost(value) - all_segmentations(value)) < 1e-9, value
+
+
+def test_a_cheap_first_part_hides_nothing(spark):
+    rng = random.Random(2)
+    dear = "".join(rng.choice("bcdefghjkmnpqrtuvwxyzBCDEFGHJKMN#$%") for _ in range(40))
+    assert op.guess_cost("m" * 64 + dear) > op.COST and op.guess_cost("a" * 20_000) < op.COST
+    got = op.scan(spark.createDataFrame([(1, "pwd=" + "m" * 64 + dear)], "doc_id long, text string")).first()
+    assert got.spans == "guess:4:108" and got.max_cost > 40
