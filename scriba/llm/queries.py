@@ -41,7 +41,13 @@ def op7_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.linked(read_table(spark, sf_dir, "conversations"))
+    return quotes.conversations(read_table(spark, sf_dir, "conversations"))
+
+
+def quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator on messages that do quote: the table's own have no quote marks."""
+    read_table(spark, sf_dir, "conversations").createOrReplaceTempView("conversations")
+    return quotes.conversations(spark.sql(f"WITH {quotes.REPLIES.replace('chr(10), 1)', 'chr(10), 1)')} SELECT * FROM quoted"))
 
 
 def op9_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,5 +58,5 @@ def op10_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guess_cost.scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_edit_embedding, op2_language_codes, op3_superminhash, op4_hash_mixing, op5_site_quality, op6_spaced_seeds, op7_sampled_splitters, op8_quotation_linking, op9_capture_index, op10_guess_cost)}
-ORACLES: dict[str, str] = {"op3_superminhash": minhash.ORACLE, "op4_hash_mixing": mixing.ORACLE, "op8_quotation_linking": quotes.ORACLE, "op9_capture_index": warc.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_edit_embedding, op2_language_codes, op3_superminhash, op4_hash_mixing, op5_site_quality, op6_spaced_seeds, op7_sampled_splitters, op8_quotation_linking, quoted_replies, op9_capture_index, op10_guess_cost)}
+ORACLES: dict[str, str] = {"op3_superminhash": minhash.ORACLE, "op4_hash_mixing": mixing.ORACLE, "op8_quotation_linking": quotes.ORACLE, "quoted_replies": quotes.ORACLE_OF_REPLIES, "op9_capture_index": warc.ORACLE}
