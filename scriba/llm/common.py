@@ -117,6 +117,15 @@ def shingle_hashes(text: bytes | None, k: int = 5) -> np.ndarray:
     return s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """A string column's values as UTF-8 bytes."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
