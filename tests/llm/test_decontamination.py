@@ -56,14 +56,14 @@ def test_agreement_is_the_best_stretch():
 
 
 def test_edges(spark):
-    bench = [(1, "alpha beta gamma delta epsilon zeta"), (2, None), (3, ""), (4, "too short"), (None, "alpha beta gamma delta epsilon zeta"), (5, "alpha beta gamma delta epsilon zeta")]
+    bench = [(1, "alpha beta gamma delta epsilon zeta"), (2, None), (3, ""), (4, "too short"), (None, "alpha beta gamma delta epsilon zeta"), (5, "alpha beta gamma delta epsilon zeta"), (6, " , ")]
     docs = [(1, None, 0), (2, "", 0), (3, "x Alpha, beta (gamma) DELTA epsilon-zeta y", 0), (3, "x alpha beta gamma delta epsilon zeta y", 0), (4, "too short", 0), (None, "alpha beta gamma delta epsilon zeta", 0), (6, "pad " * 300_000 + "alpha beta gamma delta epsilon zeta", 0)]
     df, items = spark.createDataFrame(docs, "doc_id long, text string, item_id int"), spark.createDataFrame(bench, "item_id long, text string")
     got = op.find_leaks(df, items).collect()
-    assert sorted((str(r.doc_id), r.item_id) for r in got) == [("3", 1), ("3", 1), ("3", 5), ("3", 5), ("6", 1), ("6", 5), ("None", 1), ("None", 5)]
+    assert sorted((str(r.doc_id), r.item_id) for r in got) == [("3", 1), ("3", 1), ("3", 5), ("3", 5), ("4", 4), ("6", 1), ("6", 5), ("None", 1), ("None", 5)]
     assert {r.doc_token for r in got if r.doc_id == 6} == {300_000}
     left = op.decontaminate(df, items)
-    assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 4]
+    assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [1, 2]
     assert op.find_leaks(df, items.limit(0)).count() == 0 and op.find_leaks(df.limit(0), items).count() == 0
     assert op.decontaminate(df, items.limit(0)).count() == len(docs)
 
@@ -102,10 +102,10 @@ def test_substitutions_equal_brute_force():
                     part[k] = "other"
                 cut = rng.choice((0, 0, 1, 3))
                 doc = [rng.choice(words) for _ in range(rng.randrange(4))] + part[cut:] + [rng.choice(words) for _ in range(rng.randrange(4))]
-                got, want = op._Index([(7, " ".join(item))]).leaks(" ".join(doc)), leaks(item, doc)
+                got, want = op._Index([(7, 0, op.tokens(" ".join(item)))]).leaks(" ".join(doc)), leaks(item, doc)
                 seen.add((n < op.LENGTH, want))
                 assert bool(got) == want, (item, doc)
-                for _, at, start, length, matched in got:
+                for _, _, at, start, length, matched in got:
                     assert length >= min(op.LENGTH, n) and matched >= op.AGREE * length
                     assert matched == sum(item[start + q] == doc[at + q] for q in range(length))
     assert len(seen) == 4
@@ -116,3 +116,19 @@ def test_passages_of_the_review(spark):
     docs = [(1, " ".join(["x", *item13[1:]])), (2, " ".join("x" if k in (3, 12) else w for k, w in enumerate(item16)))]
     got = op.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item13)), (2, " ".join(item16))], "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id, r.length >= 13, r.agreement >= 0.75) for r in got} == {(1, 1, True, True), (2, 2, True, True)}
+
+
+def test_repeated_tokens_and_long_items(spark, monkeypatch):
+    item = "same " * 499 + "end"
+    index = op._Index([(1, 0, op.tokens(item))])
+    assert index.leaks("same " * 20_000) == [(1, 0, 0, 0, 499, 499)]
+    assert index.leaks("same " * 900 + "end here")[0][2:] == (401, 0, 500, 500)
+    monkeypatch.setattr(op, "HITS", 1000)
+    assert index.leaks("same " * 900 + "end here")[0][2:] == (401, 0, 500, 500)
+    monkeypatch.setattr(op, "PIECE", 100)
+    monkeypatch.setattr(op, "SEEDS_AT_ONCE", 300)
+    words = [f"w{k}" for k in range(450)]
+    docs = [(k, " ".join(["x", "y", *words[k : k + 25], "z"])) for k in range(0, 420, 7)]
+    got = op.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect()
+    assert {r.doc_id for r in got} == {i for i, _ in docs} and {r.doc_id for r in got if r.matched == 25} == {i for i, _ in docs}
+    assert all(r.item_part * 36 + r.item_token == r.doc_id for r in got if r.matched == 25)
