@@ -150,7 +150,7 @@ def linked(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     talk = m.join(m.where("_quoting and conv_id is not null").select("conv_id").distinct(), "conv_id", "left_semi").where("turn is not null")
     talk = talk.select("_row", "conv_id", "turn", "_quoting", lines_of(F.col("text")).alias("_lines"))
     own = F.transform(F.filter("_lines", lambda x: (x["depth"] == 0) & ~(x["credit"] & F.col("_quoting"))), lambda x: x["norm"])
-    talk = talk.select("_row", "conv_id", "turn", own.alias("_own"))
+    talk = materialise(talk.select("_row", "conv_id", "turn", own.alias("_own")), "talk")
     quoting = materialise(m.where("_quoting").select("_row", "conv_id", "turn", lines_of(F.col("text")).alias("_lines")), "lines")
     quoting = materialise(quoting.select("_row", "conv_id", "turn", passages_of(F.col("_lines")).alias("_passages")), "quoting")
     links = _links(quoting, talk)

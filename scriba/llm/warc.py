@@ -30,6 +30,10 @@ FILE_BYTES, FILE_RECORDS = 256 << 20, 50_000
 #: Payloads under so many bytes are stored every time.
 REVISIT_BYTES = 100
 LEVEL = 4
+#: Captures that one range of the index merges, about; the number of ranges grows with the index.
+RANGE_RECORDS = 100_000
+#: Repeated payloads up to so many reach all tasks, so that no payload is shuffled; more are joined by digest.
+BROADCAST_DIGESTS = 200_000
 _CHUNK = 1 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -194,7 +198,7 @@ class LoserTree:
 
 
 def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge a range's slices of runs, which come one after the other, each in order."""
+    """Merge a range's slices of runs, which come one after the other, each in order. A range has about RANGE_RECORDS captures."""
     runs: dict[str, list] = {}
     for batch in batches:
         for key, seconds, page, file, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -212,9 +216,10 @@ def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def merge_runs(runs: DataFrame) -> DataFrame:
     """The index with ``position``: its place in the order of URL key, timestamp and page, from 0.
 
-    Ranges of that order bound what a task holds, also for a URL with very many captures.
+    Ranges of that order, as many as the index is long, bound what a task holds, also for
+    a URL with very many captures. An empty index gives an empty one.
     """
-    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_RECORDS))
     ranges = runs.repartitionByRange(parts, "url_key", "seconds", F.coalesce("page_id", F.lit(-1)), "file", "offset")
     ordered = ranges.sortWithinPartitions("file", "url_key", "seconds", F.coalesce("page_id", F.lit(-1)), "offset").select("url_key", "seconds", "page_id", "file", "offset", "length")
     merged = materialise(ordered.mapInArrow(_merge, f"{_INDEX}, index_part int, index_pos long"), "merged")
@@ -235,7 +240,8 @@ _READ = "file string, offset long, page_id long, url string, record_type string,
 def read_archives(files: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records of ``files (file)``. A revisit has its payload's digest and length, not the payload itself.
 
-    A response's digest and length are those of what was read.
+    A response's digest and length are those of what was read. Each file is a task's own:
+    the list of names is dealt out one by one, in as many partitions as there are files.
     """
     def page(value: str | None) -> int | None:
         tail = (value or "").strip("<>").rpartition(":")[2]
@@ -262,19 +268,25 @@ def read_archives(files: DataFrame, folder: str, payloads: bool = True) -> DataF
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return files.select("file").mapInArrow(run, _READ)
+    names = materialise(files.select("file").distinct(), "files")
+    return names.coalesce(1).repartition(max(1, names.count())).mapInArrow(run, _READ)
 
 
 def captures_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", seconds_col: str | None = None) -> DataFrame:
     """Captures with their URL key, digest and the page that a revisit refers to.
 
     Without a column of capture times (seconds since 1970), a page's id stands in for it.
+    Payloads stay where they were read while the repeated ones are BROADCAST_DIGESTS or
+    fewer; beyond that they are shuffled by digest, and a frequent one is a skewed join.
     """
     seconds = F.col(seconds_col).cast("long") if seconds_col else F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.lit(4_000_000_000))
     payload = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "utf-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), url_key(F.col(url_col).cast("string")).alias("url_key"), seconds.alias("seconds"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     first = rows.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").drop("n")
+    first = materialise(first, "repeated")
+    if first.count() <= BROADCAST_DIGESTS:
+        first = F.broadcast(first)
     return rows.join(first, "digest", "left").withColumn("refers_to", F.when(F.coalesce(F.col("page_id") != F.col("first"), F.lit(True)), F.col("first"))).drop("first")
 
 
@@ -285,15 +297,14 @@ def archive(pages: DataFrame, folder: str | None = None, **columns: str) -> Data
     position)`` for every row. A null html is an empty payload, a null URL
     an empty one. Of equal payloads of 100 bytes and more the smallest page_id is the
     response; rows that repeat that page_id are responses too, and those of null id
-    revisit it, or are responses where no row has an id. An empty table gives an empty
-    result; other columns are ignored.
+    revisit it, or are responses where no row has an id. Payloads are written and read
+    whole, however long. An empty table gives an empty result; other columns are ignored.
     """
     spark = pages.sparkSession
     folder = folder or f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
     runs = write_archives(captures_of(pages, **columns), folder)
     merged = merge_runs(runs).select("file", "offset", "url_key", "position")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    records = read_archives(runs.select("file").distinct().repartition(parts, "file"), folder, payloads=False).drop("payload")
+    records = read_archives(runs, folder, payloads=False).drop("payload")
     return records.join(merged.hint("merge"), ["file", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "position")
 
 

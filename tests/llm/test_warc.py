@@ -3,6 +3,8 @@ import hashlib
 import io
 import random
 
+from pyspark.sql import functions as F
+
 from scriba.llm import warc as op
 from scriba.scratch import scratch_dir
 
@@ -38,6 +40,19 @@ def test_archives_read_with_any_gzip_reader_and_give_payloads(spark):
     assert raw.count(b"WARC/1.1\r\n") == 3 and b"WARC-Refers-To: <urn:page:2>" in raw
 
 
+def test_each_file_is_a_task_and_ranges_grow_with_the_index(spark, monkeypatch):
+    monkeypatch.setattr(op, "RANGE_RECORDS", 10)
+    monkeypatch.setattr(op, "BROADCAST_DIGESTS", 0)
+    rows = [(k, f"http://h{k % 7}.example/", "same text " * 20 if k % 3 else f"own {k}") for k in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = f"{scratch_dir(spark)}/warc-files"
+    runs = op.write_archives(op.captures_of(df).repartition(6), folder)
+    n = runs.select("file").distinct().count()
+    assert n == 6 and op.read_archives(runs, folder).select(F.spark_partition_id()).distinct().count() == 6
+    assert op.merge_runs(runs).select("position").distinct().count() == 200
+    assert sorted((r.page_id, r.refers_to) for r in op.archive(df).collect()) == [(k, 1 if k % 3 and k > 1 else None) for k in range(200)]
+
+
 def test_loser_tree_merges_like_sorting():
     rng = random.Random(2)
     for k in (0, 1, 2, 3, 7, 16):
