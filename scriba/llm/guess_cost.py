@@ -3,17 +3,21 @@
 Patterns find assigned secrets, access keys and long hexadecimal runs. Values in other
 credential contexts (a login, a passphrase, a private key, or an assigned value that is
 shorter than the pattern's) are weighed: the least number of guesses that finds the
-value when it is put together from common words, dates, repeats, keyboard walks and
-brute force. Dynamic programming over the value's positions finds the cheapest
-segmentation. A value that takes many guesses is a secret.
+value when it is put together from words, dates, repeats, keyboard walks and brute force.
+Dynamic programming over the value's positions finds the cheapest segmentation, of the
+whole value and of any number of parts. A value that takes many guesses is a secret.
+
+The words are what people often pick, and then the most frequent words of the corpus
+itself, counted over all documents.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
-from math import factorial, log10
+from math import log10
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,8 +25,12 @@ from pyspark.sql import functions as F
 
 #: Values that take 10 to this power guesses are secrets.
 COST = 10.0
-#: Parts of a segmentation, and characters of a repeated unit.
-PARTS, UNIT = 8, 8
+#: Characters of a repeated unit.
+UNIT = 8
+#: Words of the corpus that an attacker tries, and their length.
+WORDS, SHORTEST, LONGEST = 20_000, 3, 20
+#: Words that a task counts before it gives them out, and characters of a text that it splits at once.
+_HELD, _SLICE = 200_000, 1 << 20
 
 # What people often pick, the most frequent first.
 COMMON = (
@@ -33,91 +41,116 @@ COMMON = (
     "september", "october", "november", "december", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "red", "blue", "green", "black", "white",
     "house", "dog", "cat", "home", "work", "office", "server", "client", "database", "local", "host", "prod", "dev", "staging", "public", "private", "access", "system",
 )
-# Rows of a keyboard, read in either direction.
-ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "qazwsxedcrfvtgbyhnujmikolp")
+# Rows of a keyboard without and with shift, and how far each is moved to the right.
+KEYS = (("`1234567890-=", "~!@#$%^&*()_+", 0.0), ("qwertyuiop[]", "QWERTYUIOP{}", 1.5), ("asdfghjkl;'", 'ASDFGHJKL:"', 1.75), ("zxcvbnm,./", "ZXCVBNM<>?", 2.25))
 
-_RANK = {w: k + 1 for k, w in enumerate(COMMON)}
-_LONGEST = max(map(len, COMMON))
+_COMMON = {w: k + 1 for k, w in enumerate(COMMON)}
 _LEET = str.maketrans("@4301!$57", "aaeoiisst")
-_WALKS = [r for row in ROWS for r in (row, row[::-1])]
-_DATE = re.compile(r"(?:(?:19|20)\d\d(?:[-/.]?\d\d?(?:[-/.]?\d\d?)?)?|\d\d?[-/.]\d\d?[-/.](?:19|20)?\d\d)")
+# What a date looks like, and how many there are (as a power of 10).
+_DATES = ((re.compile(r"(?:19|20)\d\d"), 2.1), (re.compile(r"(?:19|20)\d\d[-/.]?\d\d?(?:[-/.]?\d\d?)?"), 4.6), (re.compile(r"\d\d?[-/.]\d\d?[-/.](?:19|20)?\d\d"), 4.6))
+#: What each part costs as such: which of the five kinds it is.
+PART = log10(5)
+
+
+def _key_places() -> dict[str, tuple[int, float, bool]]:
+    """Row, distance from the left, and whether it takes shift, of each character on a keyboard."""
+    return {c: (row, at + k, shift) for row, (low, high, at) in enumerate(KEYS) for shift, keys in enumerate((low, high)) for k, c in enumerate(keys)}
+
+
+_PLACES = _key_places()
+#: A walk starts at some key in some direction: one of six on the keyboard, or two in the alphabet. It goes straight on, or turns.
+_TURN = log10(8)
+_START, _STRAIGHT, _SHIFT = log10(sum(len(low) for low, _, _ in KEYS)) + _TURN, 0.1, log10(2)
+
+
+def directions(a: str, b: str) -> list[int]:
+    """The directions in which one steps from ``a`` to ``b``: 0 to 5 to a key beside it, 6 and 7 along the alphabet."""
+    out = []
+    if a in _PLACES and b in _PLACES:
+        (row, x, _), (to, y, _) = _PLACES[a], _PLACES[b]
+        if abs(to - row) <= 1 and 0 < abs(y - x) <= 1 and (to == row or abs(y - x) < 1):
+            out.append(2 * (to - row + 1) + (y > x))
+    low, high = a.lower(), b.lower()
+    if low.isascii() and high.isascii() and low.isalpha() and high.isalpha() and abs(ord(high) - ord(low)) == 1:
+        out.append(6 + (high > low))
+    return out
+
+
+def _shifted(c: str) -> bool:
+    return c.isupper() or (c in _PLACES and bool(_PLACES[c][2]))
 
 
 def _alphabet(s: str) -> int:
     return max(10, 10 * bool(re.search(r"\d", s)) + 26 * bool(re.search("[a-z]", s)) + 26 * bool(re.search("[A-Z]", s)) + 33 * bool(re.search("[^0-9A-Za-z]", s)))
 
 
-def guess_cost(value: str) -> float:
+def _lower(value: str) -> str:
+    """Lower case, character by character, so that positions stay."""
+    low = value.lower()
+    return low if len(low) == len(value) else "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+
+
+def guess_cost(value: str, words: dict[str, int] | None = None) -> float:
     """log10 of the guesses for the cheapest segmentation of a value; 0 for an empty one.
 
-    A segmentation of k parts costs the product of its parts' guesses times k!, as an
-    attacker has to find the order of the parts too.
+    A segmentation costs the product of its parts' guesses, where the kind of each part
+    has to be guessed too. ``words`` gives ranks. The value is read once: what is open at
+    a position is one cost for brute force, one for each direction of a walk, and the
+    starts of repeats that may still become the cheapest.
     """
-    n, low = len(value), value.lower()
+    words, n, inf = _COMMON if words is None else words, len(value), float("inf")
     if not n:
         return 0.0
-    plain = low.translate(_LEET)
-    each, inf = log10(_alphabet(value)), float("inf")
-    most = min(n, PARTS)
-    best = {0: [0.0] + [inf] * most}  # by end and number of parts; only the last ends are kept
+    low, each = _lower(value), log10(_alphabet(value))
+    plain, shifts = low.translate(_LEET), [_shifted(c) for c in value]
+    best = [0.0] + [inf] * n
     ends: dict[int, list[tuple[int, float]]] = {}  # parts that end further on: (start, cost)
-    brute: list[tuple[float, int] | None] = [None] * most  # the start of brute force that is cheapest from here on
+    brute = inf  # the cheapest brute force from here on, less what its characters cost
+    two: dict[int, float] = {}  # open walks of two keys, and of more, by direction
+    more: dict[int, float] = {}
     same = [0] * (UNIT + 1)  # so many characters up to here equal those a unit before
-    live: list[list[list[list[tuple[float, int]]]]] = [[[[] for _ in range(most)] for _ in range(size)] for size in range(UNIT + 1)]
+    live: list[list[list[tuple[float, int]]]] = [[[] for _ in range(size)] for size in range(UNIT + 1)]
     for j in range(1, n + 1):
         i = j - 1
-        for end, cost in _short_parts(value, low, plain, i):
+        for end, cost in _short_parts(value, low, plain, i, words):
             ends.setdefault(end, []).append((i, cost))
-        now = [inf] * (most + 1)
-        for k, c in enumerate(best[i][:most]):
-            if c < inf and (brute[k] is None or c - each * i < brute[k][0] - each * brute[k][1]):
-                brute[k] = (c, i)
-            if brute[k] is not None:
-                now[k + 1] = brute[k][0] + each * (j - brute[k][1])
+        brute = min(brute, best[i] - each * i)
+        now = brute + each * j + PART
         for start, cost in ends.pop(j, ()):
-            for k, c in enumerate(best[start][:most]):
-                now[k + 1] = min(now[k + 1], c + cost)
+            now = min(now, best[start] + cost + PART)
+        if i:
+            shift = _SHIFT * (shifts[i] != shifts[i - 1])
+            steps = directions(value[i - 1], value[i])
+            walks = {d: min(c + (_STRAIGHT if d == e else _TURN) for x in (two, more) for e, c in x.items()) + shift for d in steps} if two or more else {}
+            two = {d: best[i - 1] + _START + _SHIFT * shifts[i - 1] + shift for d in steps}
+            more = walks
+            now = min([now, *(c + PART for c in more.values())])
         for size in range(1, min(UNIT, i) + 1):  # a unit and how often it comes again
             if value[i] != value[i - size]:
                 if same[size] >= size:
-                    live[size] = [[[] for _ in range(most)] for _ in range(size)]
+                    live[size] = [[] for _ in range(size)]
                 same[size] = 0
                 continue
             same[size] += 1
-            if same[size] < size:
-                continue
-            for k, c in enumerate(best[j - 2 * size][:most]):
-                starts = live[size][j % size][k]
-                if c < inf:
-                    starts.append((c, j - 2 * size))
-                if starts:
-                    now[k + 1] = min(now[k + 1], _cheapest(starts, j, size, each))
+            if same[size] >= size:
+                starts = live[size][j % size]
+                starts.append((best[j - 2 * size], j - 2 * size))
+                now = min(now, _cheapest(starts, j, size, each) + PART)
         best[j] = now
-        best.pop(j - _WIDEST, None)
-    return min(c + log10(factorial(k)) for k, c in enumerate(best[n]))
+    return best[n]
 
 
-#: No part other than brute force and repeats is longer; a unit and its first repeat aren't either.
-_WIDEST = max(_LONGEST, 2 * UNIT, 10, *map(len, ROWS)) + 1
-
-
-def _short_parts(value: str, low: str, plain: str, i: int) -> Iterator[tuple[int, float]]:
-    """``(end, cost)`` of the words, dates and keyboard walks from ``i`` on."""
-    n = len(value)
-    for j in range(i + 2, min(n, i + _LONGEST) + 1):
+def _short_parts(value: str, low: str, plain: str, i: int, words: dict[str, int]) -> Iterator[tuple[int, float]]:
+    """``(end, cost)`` of the words and dates from ``i`` on."""
+    for j in range(i + 2, min(len(value), i + LONGEST) + 1):
         for text, extra in ((low, 0.0), (plain, 0.6)):
-            if rank := _RANK.get(text[i:j]):
+            if rank := words.get(text[i:j]):
                 case = 0.0 if value[i:j] in (text[i:j], low[i:j]) else 0.3 if value[i:j].istitle() or value[i:j].isupper() else 1.2
                 yield j, log10(rank + 1) + extra + case
-    if m := _DATE.match(value, i):
-        yield m.end(), 2.1 if m.end() - i == 4 else 4.6
-    for row in _WALKS:
-        at = row.find(low[i])
-        j = i
-        while at >= 0 and j < n and at + j - i < len(row) and low[j] == row[at + j - i]:
-            j += 1
-            if j - i >= 3:
-                yield j, log10(len(row) * 2) + log10(j - i)
+    if value[i].isdigit():
+        for pattern, cost in _DATES:
+            if m := pattern.match(value, i):
+                yield m.end(), cost
 
 
 def _cheapest(starts: list[tuple[float, int]], j: int, size: int, each: float) -> float:
@@ -139,6 +172,49 @@ def _cheapest(starts: list[tuple[float, int]], j: int, size: int, each: float) -
     return least
 
 
+# --------------------------------------------------------------------------
+# words of the corpus
+# --------------------------------------------------------------------------
+
+_RUN = re.compile(r"[^\W_]+")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each word occurs in a task's texts, outside of values in credential contexts."""
+    held: Counter[str] = Counter()
+
+    def out() -> pa.RecordBatch:
+        rows = [(w, n) for w, n in held.items() if SHORTEST <= len(w) <= LONGEST and w.isalpha()]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            if text and _CONTEXT_NAMED.search(text):
+                text = _CONTEXT.sub(" ", text)
+            at, n = 0, len(text or "")
+            while at < n:
+                end = min(at + _SLICE, n)
+                while end < n and text[end].isalnum():
+                    end += 1
+                held.update(_RUN.findall(text[at:end].lower()))
+                at = end
+                if len(held) > _HELD:
+                    yield out()
+    yield out()
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
+    """Ranks of words: COMMON, then the WORDS most frequent others of ``docs``, counted over all of it; of equal counts the first in order.
+
+    A word stands between other characters than letters and digits, so parts of keys are
+    none. The driver gets WORDS rows at most.
+    """
+    counts = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null").mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = [r["word"] for r in counts.where(~F.col("word").isin(*COMMON)).orderBy(F.desc("n"), "word").limit(WORDS).collect()]
+    return _COMMON | {w: len(COMMON) + 1 + k for k, w in enumerate(found)}
+
+
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 _NAMED = re.compile("password|passwd|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -159,11 +235,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def guessed_spans(text: str) -> list[tuple[int, int, int, float]]:
+def guessed_spans(text: str, words: dict[str, int] | None = None) -> list[tuple[int, int, int, float]]:
     """``(start, kind, end, cost)`` of values in credential contexts that take many guesses."""
     if not _CONTEXT_NAMED.search(text):
         return []
-    found = [(m.start(1), 3, m.end(1), guess_cost(m[1])) for m in _CONTEXT.finditer(text)]
+    found = [(m.start(1), 3, m.end(1), guess_cost(m[1], words)) for m in _CONTEXT.finditer(text)]
     return [x for x in found if x[3] >= COST]
 
 
@@ -174,11 +250,11 @@ def _written(spans: list[tuple]) -> str:
 _ROW = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("max_cost", pa.float64())])
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], words: dict[str, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            base, more = base_spans(text or ""), guessed_spans(text or "")
+            base, more = base_spans(text or ""), guessed_spans(text or "", words)
             kinds = [x[1] for x in base]
             every = sorted([*base, *(x[:3] for x in more)])
             rows.append((i, kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(_written(base).encode()).hexdigest(), _written(every), max((x[3] for x in more), default=None)))
@@ -190,9 +266,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     ``base_sha256`` is that of the patterns' spans, ``kind:start:end`` joined by commas
     in the order of start and kind; ``spans`` adds those found by their guess cost, and
-    ``max_cost`` is the highest of these. A null text counts as empty; an empty list of
-    spans is an empty string. Each row is scanned by itself, so repeated rows, null ids
-    and extra columns change nothing, and an empty table gives an empty result.
+    ``max_cost`` is the highest of these. The words that make a value cheap come from all
+    of ``docs``. A null text counts as empty; an empty list of spans is an empty string.
+    Texts and values are read whole, however long. Each row is scanned by itself, so
+    repeated rows and null ids are no special case; other columns are ignored, whatever
+    their names. An empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, max_cost double")
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _scan(batches, held.value)
+
+    return docs.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, max_cost double")

@@ -1,7 +1,7 @@
 import hashlib
 import random
 import re
-from math import factorial, log10
+from math import log10
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -51,58 +51,67 @@ def test_cost_orders_values():
     assert op.guess_cost("") == 0
 
 
-def test_dynamic_programming_finds_the_cheapest_segmentation():
-    rng = random.Random(3)
-    for _ in range(60):
-        value = "".join(rng.choice(["a", "1", "q", "w", "e", "cat", "2024", "zz"]) for _ in range(rng.randrange(1, 4)))[:7]
+def walk_cost(part):
+    """The cheapest walk along a whole part, over all choices of directions."""
+    cost = {}
+    for k in range(1, len(part)):
+        shift = op._SHIFT * (op._shifted(part[k]) != op._shifted(part[k - 1]))
+        steps = op.directions(part[k - 1], part[k])
+        if k == 1:
+            cost = {d: op._START + op._SHIFT * op._shifted(part[0]) + shift for d in steps}
+        else:
+            cost = {d: min((c + (op._STRAIGHT if d == e else op._TURN) for e, c in cost.items()), default=float("inf")) + shift for d in steps}
+    return min(cost.values(), default=float("inf")) if len(part) > 2 else float("inf")
 
-        def best(i, k):
-            if i == len(value):
-                return log10(factorial(k))
-            return min(cost_of(i, j) + best(j, k + 1) for j in range(i + 1, len(value) + 1))
 
-        whole = op.guess_cost(value)
-        each = log10(op._alphabet(value))
-
-        def cost_of(i, j, each=each, value=value):
-            costs = [each * (j - i)]
-            part = value[i:j]
-            if len(part) > 1 and part in op.COMMON:
-                costs.append(log10(op.COMMON.index(part) + 2))
-            if m := op._DATE.fullmatch(part):
-                costs.append(2.1 if len(m[0]) == 4 else 4.6)
-            costs += [each * s + log10(len(part) // s) for s in range(1, 9) if len(part) % s == 0 and len(part) > s and part[:s] * (len(part) // s) == part]
-            costs += [log10(len(r) * 2) + log10(len(part)) for r in op._WALKS if len(part) >= 3 and part in r]
-            return min(costs)
-
-        assert whole <= best(0, 0) + 1e-9 and abs(whole - best(0, 0)) < 1e-6
-
-
-def all_segmentations(value):
+def all_segmentations(value, words):
     """The cost over all parts of the whole value, each start with each end."""
-    n, each, inf = len(value), log10(op._alphabet(value)), float("inf")
-    low = value.lower()
-    best = [[0.0] + [inf] * 8] + [[inf] * 9 for _ in range(n)]
+    n, each, low = len(value), log10(op._alphabet(value)), value.lower()
+    best = [0.0] + [float("inf")] * n
     for i in range(n):
-        parts = [(j, each * (j - i)) for j in range(i + 1, n + 1)] + list(op._short_parts(value, low, low.translate(op._LEET), i))
-        for size in range(1, 9):
-            j = i + size
-            while j + size <= n and value[j : j + size] == value[i : i + size]:
-                j += size
-                parts.append((j, each * size + log10((j - i) // size)))
-        for j, cost in parts:
-            for k in range(8):
-                best[j][k + 1] = min(best[j][k + 1], best[i][k] + cost)
-    return min(c + log10(factorial(k)) for k, c in enumerate(best[n]))
-
-
-def test_whole_values_are_weighed():
+        for j in range(i + 1, n + 1):
+            part, costs = value[i:j], [each * (j - i), walk_cost(value[i:j])]
+            for text, extra in ((low[i:j], 0.0), (low[i:j].translate(op._LEET), 0.6)):
+                if len(part) > 1 and text in words:
+                    costs.append(log10(words[text] + 1) + extra + (0.0 if part in (text, low[i:j]) else 0.3 if part.istitle() or part.isupper() else 1.2))
+            costs += [cost for pattern, cost in op._DATES if (m := pattern.match(value, i)) and m.end() == j]
+            costs += [each * s + log10(len(part) // s) for s in range(1, op.UNIT + 1) if len(part) % s == 0 and len(part) > s and part[:s] * (len(part) // s) == part]
+            best[j] = min(best[j], best[i] + min(costs) + op.PART)
+    return best[n]
+
+
+def test_cheapest_segmentation_equals_brute_force():
     rng = random.Random(6)
     letters = "abcdefghijkmnpqrstuvwxyzABCDEFGH23456789#$"
-    for _ in range(150):
-        parts = [rng.choice(["a" * rng.randrange(1, 60), "abc" * rng.randrange(1, 20), "xyxyz" * rng.randrange(1, 9), "password", "Monday", "2024-05-17", "qwertyuiop", rng.choice(letters), "".join(rng.choice(letters) for _ in range(9))]) for _ in range(rng.randrange(1, 9))]
-        value = "".join(parts)[:260]
-        assert abs(op.guess_cost(value) - all_segmentations(value)) < 1e-9, value
+    words = op._COMMON | {"lantern": 900, "orchard": 950}
+    kinds = ["a", "1", "catcat", "abc" * 4, "xyxyz" * 3, "password", "Monday", "2024-05-17", "1999", "12/3/24", "qwertyuiop", "1qaz2wsx", "zxcVBN", "cdefgh", "lantern", "Orch@rd", "aaaaaaa"]
+    for k in range(120):
+        parts = [rng.choice([*kinds, rng.choice(letters), "".join(rng.choice(letters) for _ in range(9))]) for _ in range(rng.randrange(1, 14 if k % 4 == 0 else 5))]
+        value = "".join(parts)[:90]
+        assert abs(op.guess_cost(value, words) - all_segmentations(value, words)) < 1e-9, value
+
+
+def test_any_number_of_parts():
+    costs = [op.guess_cost("".join(["house", "dog", "green", "server"][k % 4] for k in range(n))) for n in range(1, 30)]
+    steps = [b - a for a, b in zip(costs, costs[1:], strict=False)]
+    assert max(steps) < 3 and min(steps) > 0
+    assert op.guess_cost("x" * 9 + "password" * 3) < op.COST
+
+
+def test_walks_go_to_neighbours_and_turn():
+    assert max(map(op.guess_cost, ["1qaz2wsx", "qwedsa", "zaq12wsx", "QWERTY", "abcdefgh"])) < op.COST
+    assert op.directions("q", "a") and op.directions("q", "w") != op.directions("w", "q") and not op.directions("q", "d") and op.directions("g", "h") == [3, 7]
+    assert op.guess_cost("İİİİİİqwertyuiop") - op.guess_cost("ÉÉÉÉÉÉqwertyuiop") < 1e-9
+
+
+def test_words_of_the_corpus_are_cheap(spark, monkeypatch):
+    monkeypatch.setattr(op, "WORDS", 3)
+    text = "lantern orchard lantern; umbrella umbrella umbrella, key4lantern x_y passphrase: secretsecretword secretsecretword"
+    docs = spark.createDataFrame([(1, text), (2, text), (3, None), (4, "passphrase=umbrellalanternpasswordorchard")], "doc_id long, text string")
+    words = op.vocabulary(docs)
+    assert sorted(words, key=words.get)[len(op.COMMON) :] == ["umbrella", "lantern", "orchard"] and words["umbrella"] == len(op.COMMON) + 1
+    assert op.guess_cost("umbrellalantern", words) < op.COST < op.guess_cost("umbrellalantern")
+    assert {r.doc_id: r.spans for r in op.scan(docs).collect()}[3] == ""
 
 
 def test_a_cheap_first_part_hides_nothing(spark):
