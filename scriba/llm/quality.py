@@ -5,7 +5,8 @@ good from bad and toxic from clean documents. Its site says more: sums of that e
 by host, and by path within the host, give posterior shares of good documents, each
 level shrunk towards the one above, sparse sites most. How strongly sites shrink is
 learned from how much they differ (method of moments). A document's final odds are its
-own odds times what its site's posterior odds are against the global ones.
+own odds times what its site's posterior odds, without that document, are against the
+global ones.
 
 The classifier learns from a bounded sample of labelled rows; the site levels are sums
 over all documents, which tasks add up before the shuffle.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriba.llm.common import U, materialise
+from scriba.llm.common import U, columns_of, fresh, materialise
 from scriba.llm.decontamination import tokens
 
 #: Labelled rows that the classifier learns from, those of the least hash.
@@ -32,6 +33,8 @@ BUCKETS, TELLING = 1 << 18, 30.0
 KEEP = 0.5
 #: A site counts as at most and at least so many documents of the level above.
 STRENGTH = (2.0, 10_000.0)
+#: Probabilities are summed as integers of this scale, and squares as decimals, so that sums don't depend on their order.
+UNITS, _EXACT = 1_000_000, "decimal(20,12)"
 
 _KINDS = np.zeros(256, dtype=np.int64)  # 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 sentence marks, 6 symbols
 for _c in range(128):
@@ -160,45 +163,69 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def site_posteriors(scored: DataFrame, levels: list[str]) -> DataFrame:
-    """For each combination of ``levels`` (host first): the posterior share of good documents at each, ``p_0``, ``p_1``, and so on.
+def _units(p: Column) -> Column:
+    """A probability as an integer, so that sums don't depend on their order."""
+    return F.round(p * UNITS).cast("long")
 
-    ``scored`` has the levels and ``p_doc``. ``p_all`` is the global share. Nulls are a site of their own.
+
+def site_sums(scored: DataFrame, levels: list[str]) -> tuple[DataFrame, float, list[float]]:
+    """``(sites, share, strengths)`` of ``scored (*levels, p_doc)``; ``levels`` come host first, nulls are a site of their own.
+
+    ``sites`` has, for each combination of levels, the sum of ``p_doc`` (in UNITS) and
+    the number of documents at each level, ``s_0, n_0, s_1, n_1`` and so on. ``share`` is
+    the global share of good documents; a level's strength says for how many documents of
+    the level above a site of it counts. It is learned from the variance between sites,
+    beyond that of their sampling.
     """
-    sums = scored.groupBy(*levels).agg(F.sum("p_doc").alias("sum"), F.count(F.lit(1)).alias("n"))
-    sums = materialise(sums, "sites")
-    share = sums.agg(F.sum("sum") / F.sum("n")).first()[0]
-    share = min(max(share if share is not None else 0.5, 1e-4), 1 - 1e-4)
-    out = sums.select(*levels, F.lit(share).alias("p_all"))
+    sums = materialise(scored.groupBy(*levels).agg(F.sum(_units(F.col("p_doc"))).alias("s"), F.count(F.lit(1)).alias("n")), "sites")
+    total = sums.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
+    share = min(max(total["s"] / UNITS / total["n"] if total["n"] else 0.5, 1e-4), 1 - 1e-4)
+    out, strengths = sums.select(*levels), []
     for k in range(len(levels)):
         keys = levels[: k + 1]
-        level = sums.groupBy(*keys).agg(F.sum("sum").alias("s"), F.sum("n").alias("n"))
-        # the variance between sites beyond that of their sampling gives the strength of the level above
-        spread = level.agg(F.avg(F.pow(F.col("s") / F.col("n") - share, 2)), F.avg(share * (1 - share) / F.col("n"))).first()
-        extra = max((spread[0] or 0) - (spread[1] or 0), 1e-9)
-        strength = min(max(share * (1 - share) / extra - 1, STRENGTH[0]), STRENGTH[1])
-        level = level.select(*(F.col(c).alias(f"_{c}") for c in keys), "s", "n")
-        same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys))
-        shrunk = (F.col("s") + strength * F.col(f"p_{k - 1}" if k else "p_all")) / (F.col("n") + strength)
-        out = out.join(level, same).select(*out.columns, shrunk.alias(f"p_{k}"))
+        level = sums.groupBy(*keys).agg(F.sum("s").alias(f"s_{k}"), F.sum("n").alias(f"n_{k}"))
+        apart, chance = F.pow(F.col(f"s_{k}") / F.col(f"n_{k}") / UNITS - share, 2), share * (1 - share) / F.col(f"n_{k}")
+        spread = level.agg(F.sum(apart.cast(_EXACT)).alias("apart"), F.sum(chance.cast(_EXACT)).alias("chance"), F.count(F.lit(1)).alias("n")).first()
+        extra = max(float(spread["apart"] - spread["chance"]) / spread["n"] if spread["n"] else 0.0, 1e-9)
+        strengths.append(min(max(share * (1 - share) / extra - 1, STRENGTH[0]), STRENGTH[1]))
+        same = reduce(lambda a, b: a & b, (F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in keys))
+        out = out.alias("_l").join(level.alias("_r"), same).select(*(F.col(f"_l.{c}") for c in out.columns), f"_r.s_{k}", f"_r.n_{k}")
+    return materialise(out, "levels"), share, strengths
+
+
+def posteriors(share: float, strengths: list[float], own: Column | None = None) -> list[Column]:
+    """The share of good documents at each level of ``site_sums``, shrunk towards the level above.
+
+    With ``own``, the document's own evidence in UNITS, it is left out of its site at
+    every level: what a site says of a document is what its other documents say.
+    """
+    out, above = [], F.lit(share)
+    for k, strength in enumerate(strengths):
+        s, n = F.col(f"s_{k}"), F.col(f"n_{k}")
+        if own is not None:
+            s, n = s - own, n - 1
+        above = (s / UNITS + strength * above) / (n + strength)
+        out.append(above)
     return out
 
 
-def assess(docs: DataFrame, labels: DataFrame, levels: dict[str, Column], id_col: str = "doc_id", text_col: str = "text") -> tuple[dict, DataFrame]:
-    """The fitted model and the site posteriors of ``docs``; ``levels`` names the site of a row, host first."""
+def assess(docs: DataFrame, labels: DataFrame, levels: dict[str, Column], id_col: str = "doc_id", text_col: str = "text") -> tuple[dict, tuple[DataFrame, float, list[float]]]:
+    """The fitted model and the site sums of ``docs``; ``levels`` names the site of a row, host first."""
     model = fit(docs, labels, id_col, text_col)
     slim = score(docs.select(*(c.cast("string").alias(n) for n, c in levels.items()), F.col(text_col).cast("string").alias("text")), model)
-    return model, materialise(site_posteriors(slim.drop("text"), list(levels)), "posteriors")
+    return model, site_sums(slim.drop("text"), list(levels))
 
 
-def judged(docs: DataFrame, model: dict, sites: DataFrame, levels: dict[str, Column], text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_p_doc``, ``_p_host``, ``_p_path``, ``_score`` and ``_keep``."""
-    scored = score(docs, model, text_col, "_p_doc")
-    sites = sites.select(*(F.col(n).alias(f"_{n}") for n in levels), F.col("p_0").alias("_p_host"), F.col(f"p_{len(levels) - 1}").alias("_p_path"), F.col("p_all").alias("_p_all"))
-    same = reduce(lambda a, b: a & b, (c.cast("string").eqNullSafe(F.col(f"_{n}")) for n, c in levels.items()))
-    odds = _logit(F.col("_p_doc")) + _logit(F.col("_p_path")) - _logit(F.col("_p_all"))
-    joined = scored.join(sites, same).withColumn("_score", 1 / (1 + F.exp(-odds)))
-    return joined.withColumn("_keep", F.col("_score") >= KEEP)
+def judged(docs: DataFrame, model: dict, sites: tuple[DataFrame, float, list[float]], levels: dict[str, Column], text_col: str = "text") -> DataFrame:
+    """``doc``, a struct of the row's own columns, and ``p_doc, p_host, p_path, score, keep``."""
+    sums, share, strengths = sites
+    own, site = fresh(docs, "p"), {n: fresh(docs, n) for n in levels}
+    scored = score(docs, model, text_col, own).select(F.struct(*columns_of(docs)).alias("doc"), F.col(own).alias("p_doc"), *(c.cast("string").alias(site[n]) for n, c in levels.items()))
+    same = reduce(lambda a, b: a & b, (F.col(site[n]).eqNullSafe(F.col(f"_s.{n}")) for n in levels))
+    p = posteriors(share, strengths, _units(F.col("p_doc")))
+    joined = scored.join(sums.alias("_s"), same).select("doc", "p_doc", p[0].alias("p_host"), p[-1].alias("p_path"))
+    odds = _logit(F.col("p_doc")) + _logit(F.col("p_path")) - _logit(F.lit(share))
+    return joined.withColumn("score", 1 / (1 + F.exp(-odds))).withColumn("keep", F.col("score") >= KEEP)
 
 
 def document_levels() -> dict[str, Column]:
@@ -214,16 +241,22 @@ def url_levels(url: str) -> dict[str, Column]:
 def assess_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, p_doc, p_host, p_path, score, keep)`` for every row of ``docs``.
 
-    A null or empty text has no words; its style alone counts. Null sources and
-    languages are sites of their own. Without labels everything is kept. Repeated rows
-    give repeated rows; an empty table gives an empty result.
+    ``p_host`` and ``p_path`` are what the other documents of the site say. A null or
+    empty text has no words; its style alone counts. Texts are read whole, however long.
+    Null sources and languages are sites of their own. Without labels everything is kept.
+    Repeated rows give repeated rows, each other's evidence; other columns are ignored.
+    An empty table gives an empty result.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
     model, sites = assess(slim, labels, document_levels())
-    return judged(slim, model, sites, document_levels()).select("doc_id", *(F.col(f"_{c}").alias(c) for c in ("p_doc", "p_host", "p_path", "score", "keep")))
+    return judged(slim, model, sites, document_levels()).select("doc.doc_id", "p_doc", "p_host", "p_path", "score", "keep")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rejected rows."""
+    """``docs`` without the rejected rows, as ``assess_documents`` judges them.
+
+    Columns may have any name and any nulls; they and their order are kept. Repeated rows
+    stay or go together; without labels everything stays. An empty table stays empty.
+    """
     model, sites = assess(docs, labels, document_levels())
-    return judged(docs, model, sites, document_levels()).where("_keep").select(docs.columns)
+    return judged(docs, model, sites, document_levels()).where("keep").select("doc.*")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from scriba.llm import quality as op
 
@@ -32,31 +33,42 @@ def test_rejects_bad_and_toxic_documents_and_keeps_clean_ones(spark):
     held = [i for i in got if i not in fit]
     assert np.mean([got[i] for i in held if i in clean]) > 0.97
     assert np.mean([got[i] for i in held if i not in clean]) < 0.05
-    more = df.selectExpr("*", "doc_id as keep", "doc_id as score", "doc_id as p_host", "1 as good", "2 as toxic", "3 as quality")
+    more = df.selectExpr("*", "doc_id as keep", "doc_id as score", "doc_id as p_host", "1 as good", "2 as toxic", "3 as quality", "doc_id as _score", "4 as _p_doc", "5 as _host", "6 as _p", "7 as host", "8 as doc", "9 as s_0", "10 as `a.b`")
     kept = op.keep_good(more, y)
     assert kept.columns == more.columns and {r.doc_id for r in kept.collect()} == {i for i, k in got.items() if k}
-    assert all(r.doc_id == r.keep == r.score == r.p_host for r in kept.collect())
+    assert all(r.doc_id == r.keep == r.score == r.p_host == r._score for r in kept.collect())
 
 
 def test_posteriors_equal_brute_force(spark):
     rng = random.Random(6)
     rows = [(rng.choice(("a", "b", None)), rng.choice(("x", "y")), rng.choice((0.1, 0.9, 0.5))) for _ in range(300)] + [("rare", "z", 0.01)]
-    got = {(r.host, r.path): (r.p_all, r.p_0, r.p_1) for r in op.site_posteriors(spark.createDataFrame(rows, "host string, path string, p_doc double"), ["host", "path"]).collect()}
+    df = spark.createDataFrame(rows, "host string, path string, p_doc double")
+    sums, all_, strengths = op.site_sums(df, ["host", "path"])
+    got = {(r.host, r.path): (r.p_0, r.p_1) for r in sums.select("host", "path", *(p.alias(f"p_{k}") for k, p in enumerate(op.posteriors(all_, strengths)))).collect()}
     share = sum(p for _, _, p in rows) / len(rows)
-    above = {(): share}
+    above, found, learned = {(): share}, {}, []
     for k in (1, 2):
-        sums = {}
+        sums_of = {}
         for h, p, v in rows:
-            s = sums.setdefault((h, p)[:k], [0.0, 0])
+            s = sums_of.setdefault((h, p)[:k], [0.0, 0])
             s[0] += v
             s[1] += 1
-        spread = np.mean([(s / n - share) ** 2 for s, n in sums.values()]) - np.mean([share * (1 - share) / n for _, n in sums.values()])
-        strength = min(max(share * (1 - share) / max(spread, 1e-9) - 1, op.STRENGTH[0]), op.STRENGTH[1])
-        above |= {key: (s + strength * above[key[: k - 1]]) / (n + strength) for key, (s, n) in sums.items()}
-    assert set(got) == {(h, p) for h, p, _ in rows}
+        spread = np.mean([(s / n - share) ** 2 for s, n in sums_of.values()]) - np.mean([share * (1 - share) / n for _, n in sums_of.values()])
+        learned.append(min(max(share * (1 - share) / max(spread, 1e-9) - 1, op.STRENGTH[0]), op.STRENGTH[1]))
+        above |= {key: (s + learned[-1] * above[key[: k - 1]]) / (n + learned[-1]) for key, (s, n) in sums_of.items()}
+        found |= sums_of
+    assert set(got) == {(h, p) for h, p, _ in rows} and np.isclose(all_, share)
     for (h, p), v in got.items():
-        assert np.allclose(v, (share, above[(h,)], above[(h, p)]))
-    assert got[("rare", "z")][2] > 0.1  # one document says little
+        assert np.allclose(v, (above[(h,)], above[(h, p)]))
+    assert got[("rare", "z")][1] > 0.1  # one document says little
+
+    # a document's own evidence is left out of its site
+    alone = op.posteriors(all_, strengths, op._units(F.col("p_doc")))
+    joined = df.withColumnRenamed("host", "h").join(sums.withColumnRenamed("path", "p"), F.col("h").eqNullSafe(F.col("host")) & (F.col("path") == F.col("p")))
+    for r in joined.select("h", "path", "p_doc", alone[0].alias("a"), alone[1].alias("b")).collect():
+        (s, n), (t, m) = found[(r.h,)], found[(r.h, r.path)]
+        one = (s - r.p_doc + learned[0] * share) / (n - 1 + learned[0])
+        assert np.allclose((r.a, r.b), (one, (t - r.p_doc + learned[1] * one) / (m - 1 + learned[1])))
 
 
 def test_edges(spark):
