@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriba.llm.common import materialise
+from scriba.llm.common import columns_of, materialise
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (3, 1, 2)
@@ -110,12 +110,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
+    """The rows of ``docs``, each as often as the mix takes it: not at all, once or twice.
+
+    Nulls and rows that repeat an id are treated as ``mix`` does. A source without words
+    has nothing to take. Columns may have any name; they and their order are kept. An
+    empty table stays empty.
+    """
     slim = docs.select(F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"), order_hash(id_col).alias("u"))
-    aims = planned(materialise(slim, "sizes")).select(F.col("s").alias("_s"), F.col("whole").alias("_whole"), F.col("below").alias("_below"))
-    joined = docs.withColumn("_u", order_hash(id_col)).join(aims, F.col(source_col).cast("string").eqNullSafe(aims["_s"]))
-    times = F.array_repeat(F.lit(1), _times("_u", "_whole", "_below").cast("int"))
-    return joined.withColumn("_time", F.explode(times)).select(docs.columns)
+    aims = planned(materialise(slim, "sizes"))
+    rows = docs.select(F.struct(*columns_of(docs)).alias("doc"), F.col(source_col).cast("string").alias("source"), order_hash(id_col).alias("u"))
+    joined = rows.join(aims, rows["source"].eqNullSafe(aims["s"]))
+    return joined.select("doc", F.explode(F.array_repeat(F.lit(1), _times().cast("int")))).select("doc.*")
 
 
 ORACLE = """
