@@ -48,7 +48,7 @@ def test_equals_brute_force(spark, seed):
 def test_mix_is_near_its_targets_and_repeats_rows(spark):
     rng = random.Random(11)
     docs = [(k, f"s{min(k % 7, 3)}", " ".join(["w"] * rng.randrange(1, 30)), k) for k in range(2000)]
-    df = spark.createDataFrame(docs, "doc_id long, source string, text string, u int").selectExpr("*", "1 as _s", "2 as _whole", "3 as _below", "4 as doc", "5 as below", "6 as _time", "7 as `a.b`")
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string, u int").selectExpr("*", "1 as _s", "2 as _whole", "3 as _below", "4 as doc", "5 as below", "6 as _time")
     rows = op.mix(df).collect()
     source = {d[0]: d[1] for d in docs}
     taken, target = defaultdict(int), {}
