@@ -12,7 +12,8 @@ the same length sample the same steps, whatever the length is.
 
 Groups: two near fingerprints share a bucket of a band of sampled slots; those of a
 bucket are compared as wholes, in large buckets over pivots and smaller buckets of one
-slot more; connected components group them. No near pair is missed.
+slot more, and not at all where they are in one group already; connected components group
+them. No near pair is missed.
 """
 
 from __future__ import annotations
@@ -211,8 +212,8 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """Fingerprint each text, and its likeness to an edited text and to the next document's.
 
     The edited text's last half is the start of the next document in ascending doc_id;
-    after the last comes the first. Null ids come first, rows that repeat an id in the
-    order of their texts. A null text counts as empty; empty texts are like each other
+    after the last comes the first. Null ids come first; rows that repeat an id come in
+    the order of a hash of their texts. Texts are read whole, however long. A null text counts as empty; empty texts are like each other
     and unlike others. One row for each row; other columns are ignored; an empty table
     gives an empty result.
 
@@ -222,7 +223,7 @@ def neighbour_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dealt = docs.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    dealt = docs.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     out = materialise(dealt.mapInArrow(_in_order, f"{_ROW}, part int, edge string, text string"), "fingerprints")
     heads = out.where("edge = 'head'").select("part", F.col("text").alias("after"))
     order = Window.orderBy("part")  # one row for each partition
@@ -335,18 +336,13 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, pa.array(node[at]), pa.array(pivot[at]), pa.array(near[at])], ["bucket", "node", "pivot", "near"])
 
 
-def fingerprint_classes(prints: DataFrame) -> DataFrame:
-    """``prints (doc_id, fingerprint, ...)`` with ``class_id``: the smallest id reachable over near fingerprints.
+def _bucket_links(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Links ``(src, dst)`` that connect what near fingerprints connect in the buckets of ``rows (bucket, node, near)``.
 
-    Equal fingerprints are one node. Inside a bucket, whatever near fingerprints connect
-    is linked. A bucket of more than BLOCK nodes is first held against a pivot, and what
-    is not near it, or may be near to such, falls into smaller buckets, of which the
-    members agree in one slot more. Members that agree in 48 slots are all near their
-    pivot, so this ends. No pair is left out, and no task holds more than a block.
+    A bucket of more than BLOCK nodes is first held against a pivot, and what is not near
+    it, or may be near to such, falls into smaller buckets, of which the members agree in
+    one slot more. Members that agree in 48 slots are all near their pivot, so this ends.
     """
-    nodes = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node")).where("node is not null"), "prints")
-    known = nodes.select("node", F.unhex("fingerprint").alias("print"))
-    rows = materialise(nodes.select("fingerprint", "node").mapInArrow(_bands, "bands array<long>, node long").select("node", F.explode("bands").alias("bucket"), F.lit(False).alias("near")), "bands")
     links = []
     while True:
         sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("near").alias("done")).where("n > 1 and not done")
@@ -355,7 +351,7 @@ def fingerprint_classes(prints: DataFrame) -> DataFrame:
         links.append(few.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links, "src long, dst long"))
         hot = sizes.where(F.col("n") > BLOCK).select("bucket")
         if hot.isEmpty():
-            break
+            return reduce(DataFrame.unionByName, links)
         sample = rows.join(hot, "bucket").groupBy("bucket").agg(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(SAMPLE))).alias("nodes"))
         sample = sample.select("bucket", F.explode(F.array_distinct("nodes")).alias("node")).join(known, "node").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("node", "print"))).alias("sample"))
         pivots = materialise(sample.mapInArrow(_pivots, "bucket long, pivot long, pivot_print binary, usual binary, often binary"), "pivots")
@@ -363,6 +359,29 @@ def fingerprint_classes(prints: DataFrame) -> DataFrame:
         many = materialise(many.select("bucket", "node", "pivot", "print", "pivot_print", "usual", "often").mapInArrow(_refine, "bucket long, node long, pivot long, near boolean"), "refined")
         links.append(many.where("bucket is null").select(F.col("node").alias("src"), F.col("pivot").alias("dst")))
         rows = many.where("bucket is not null").select("bucket", "node", "near")
-    roots = connected_components(reduce(DataFrame.unionByName, links))
+
+
+def fingerprint_classes(prints: DataFrame) -> DataFrame:
+    """``prints (doc_id, fingerprint, ...)`` with ``class_id``: the smallest id reachable over near fingerprints.
+
+    Equal fingerprints are one node, of the smallest id of these; rows that all have a
+    null id have a null class. Other columns pass through. An empty table gives an empty
+    result. Inside a bucket, whatever near fingerprints connect is linked. The buckets of
+    the first band come first; of the others, only those that hold more than one class
+    of these are looked at. No pair is left out, and no task holds more than a block.
+    """
+    nodes = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node")).where("node is not null"), "prints")
+    known = nodes.select("node", F.unhex("fingerprint").alias("print"))
+    bands = materialise(nodes.select("fingerprint", "node").mapInArrow(_bands, "bands array<long>, node long"), "bands")
+
+    def rows(keys: str, *more: str) -> DataFrame:
+        return bands.select("node", F.explode(F.expr(keys)).alias("bucket"), F.lit(False).alias("near"), *more)
+
+    first = connected_components(_bucket_links(rows(f"slice(bands, 1, {ROWS})"), known))
+    bands = materialise(bands.join(first, "node", "left").select("bands", "node", F.coalesce("root", "node").alias("label")), "labelled")
+    others = rows(f"slice(bands, {ROWS + 1}, size(bands))", "label")
+    apart = others.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+    others = materialise(others.join(apart, "bucket", "left_semi").select("bucket", "node", "near"), "apart")
+    roots = connected_components(_bucket_links(others, known).unionByName(first.select(F.col("node").alias("src"), F.col("root").alias("dst"))))
     labels = nodes.join(roots, "node", "left").select("fingerprint", F.coalesce("root", "node").alias("class_id"))
     return prints.join(labels, "fingerprint", "left").select(*prints.columns, "class_id")
