@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriba.llm.common import GOLDEN, MASK64, U, connected_components, materialise, mix, shingle_hashes, utf8
+from scriba.llm.common import GOLDEN, MASK64, U, columns_of, connected_components, fresh, materialise, mix, shingle_hashes, utf8
 
 SHINGLE, BANDS, ROWS = 5, 21, 3
 #: Pivots of a bucket in the rounds after the first, and the number of rounds.
@@ -161,14 +161,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A null or wordless text has no shingle, is linked with nothing and is kept. Rows
     that repeat a text fall into its component; rows that repeat a doc_id are one
-    document. A null doc_id is a document of its own set only and its component is that
-    of its set's smallest id, null if it has none. Other columns are ignored. An empty
-    table gives an empty result.
+    document, linked with whatever any of their texts is linked with. A null doc_id is a
+    document of its own set only and its component is that of its set's smallest id, null
+    if none that it reaches has one. Texts are read whole, however long. Other columns are
+    ignored. An empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = materialise(docs.mapInArrow(_sign, "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signed")
-    nodes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands"))
-    nodes = materialise(nodes, "nodes")
+    known = signed.where("set_key is not null and doc_id is not null")
+    nodes = known.groupBy("set_key").agg(F.min("doc_id").alias("first"), F.min_by("bands", "doc_id").alias("bands"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    # texts of one id are linked
+    twice = known.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low < high").select("doc_id")
+    twice = known.join(twice, "doc_id", "left_semi").select("doc_id", "set_key").distinct().join(nodes.select("set_key", "node"), "set_key")
+    one = twice.groupBy("doc_id").agg(F.min("node").alias("dst"))
 
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     full = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -178,13 +184,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pivots = materialise(pivots.select("bucket", (-F.col("x.minus")).alias("pivot")), "pivots")
     far = shared.select("bucket", "node")
 
-    links, held, seek, sets = [], [], [], None
+    links, held, seek, sets = [twice.join(one, "doc_id").select(F.col("node").alias("src"), "dst")], [], [], None
     for k in range(ROUNDS):
         tests = far.join(pivots, "bucket").where("node <> pivot")
         pairs = materialise(tests.select("pivot", "node").distinct(), "pairs")
         if sets is None:
-            wanted = pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).distinct().join(nodes.select("node", "set_key"), "node")
-            sets = docs.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "text", "set_key")
+            wanted = pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).distinct().join(nodes.select("node", "set_key", F.col("first").alias("doc_id")), "node")
+            sets = docs.join(wanted, "doc_id").select("node", "text", "set_key")
             sets = materialise(sets.mapInArrow(_sets, "node long, items array<long>").dropDuplicates(["node"]), "sets")
         now = materialise(_held(pairs, sets), "verified")
         links.append(now.where("linked").select(F.col("node").alias("src"), F.col("pivot").alias("dst")))
@@ -210,17 +216,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = _sharing(whole, whole, "x.node < y.node and 7 * most >= 3 * (x.size + y.size)")
     more = _held(bridge.unionByName(apart).distinct(), sets).where("linked").select(F.col("node").alias("src"), F.col("pivot").alias("dst"))
     roots = connected_components(reduce(DataFrame.unionByName, [*links, more]))
-    labels = nodes.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("component_id"))
+    labels = nodes.join(roots, "node", "left").select("set_key", "first", F.coalesce("root", "node").alias("root"))
+    least = labels.groupBy("root").agg(F.min("first").alias("component_id"))
+    labels = labels.join(least, "root").select("set_key", "component_id")
     out = signed.select("doc_id", "n_shingles", "set_key").join(labels, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: that of the smallest id (once, if that row is repeated)."""
-    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    own = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).otherwise(0)
-    return docs.join(gone, id_col, "left_anti").withColumn("_own", own).dropDuplicates([id_col, "_own"]).drop("_own")
+    """``docs`` with one document of each group: that of the smallest id.
+
+    Where rows repeat that id, the one of the least text stays, of equal ones the one of
+    the least hash of its columns. Rows of null id or without words stay, unless the id
+    goes for another text. Columns may have any name and any nulls; they and their order
+    are kept. An empty table stays empty. Texts are only shuffled for ids that repeat.
+    """
+    found = materialise(near_duplicates(docs, id_col, text_col).where("doc_id is not null").select("doc_id", "kept"), "kept")
+    once = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("kept").alias("kept")).where("n > 1 or not kept")
+    own = fresh(docs, "id")
+    rows = docs.withColumn(own, F.col(id_col).cast("long"))
+    alone = rows.join(once.select(F.col("doc_id").alias(own)), own, "left_anti").select(*columns_of(docs))
+    rows = rows.join(once.where("kept").select(F.col("doc_id").alias(own)), own, "left_semi")
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    least = rows.groupBy(own).agg(F.min_by(F.struct(*columns_of(docs)), F.struct(F.col(text_col).cast("string"), F.xxhash64(*plain))).alias(own + "_"))
+    return alone.unionByName(least.select(f"{own}_.*"))
 
 
 #: All pairs that share a shingle, and all documents that links reach: for small tables.

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scriba.llm import minhash
 from scriba.llm.common import shingle_hashes
@@ -75,6 +76,18 @@ def test_edge_cases(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_link_their_texts(spark):
+    rng = random.Random(9)
+    a, b = ([f"{x}{k}" for k in range(60)] for x in "ab")
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join([*a, "x"])), (9, " ".join([*b, "y"])), (4, "other words " * 9), (4, None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as _id", "map(1, 2) as m", "2 as kept").repartition(3)
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()}
+    assert got == {(5, 5, True), (7, 5, False), (9, 5, False), (4, 4, True)}
+    left = minhash.drop_near_duplicates(df)
+    assert left.columns == df.columns and sorted((r.doc_id, r.text) for r in left.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()) == [(4, ""), (5, " ".join(a))]
+
+
 def test_signature_equals_ranks_of_each_elements_permutation():
     items = shingle_hashes(b" ".join(b"w%d" % k for k in range(40)))
     sig = minhash.superminhash(items, 63)
