@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import struct
 
 import numpy as np
 import pandas as pd
@@ -39,21 +38,26 @@ def said(value: ColumnLike) -> Column:
     return F.when(col(value).isNull(), "none").otherwise(F.concat(F.lit("some:"), col(value).cast("string")))
 
 
-def _bits(number: str, whole: str, form: str, x: ColumnLike) -> Column:
+def _bits(kind: str, label: str, digits: int, x: ColumnLike) -> Column:
+    """The bits of a column of numbers, read as one array."""
+
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if pd.isna(v) else form.format(struct.unpack(whole, struct.pack(number, v))[0]))
+        there = values.notna()
+        raw = values[there].to_numpy(dtype=kind)
+        text = np.char.add(label, np.char.zfill(np.array([x.hex() for x in raw.byteswap().view(f"V{digits // 2}").tolist()], dtype=f"U{digits}"), digits)) if len(raw) else []
+        return pd.Series(text, index=values.index[there], dtype=object).reindex(values.index, fill_value=None)
 
     return F.pandas_udf(run, "string")(col(x))
 
 
 def f32_label(x: ColumnLike) -> Column:
     """The bits of a single-precision number."""
-    return _bits("<f", "<I", "f32:{:08x}", x)
+    return _bits("<f4", "f32:", 8, x)
 
 
 def f64_label(x: ColumnLike) -> Column:
     """The bits of a double-precision number."""
-    return _bits("<d", "<Q", "f64:{:016x}", x)
+    return _bits("<f8", "f64:", 16, x)
 
 
 def file_label(path: ColumnLike, size: ColumnLike, nanos: ColumnLike) -> Column:
@@ -81,3 +85,22 @@ def span_key(start_ns: ColumnLike, samples: ColumnLike) -> Column:
         return pd.Series([hashlib.sha256(int(t).to_bytes(16, "little") + len(s).to_bytes(8, "little") + np.asarray(s, dtype="<f4").tobytes()).hexdigest() for t, s in zip(starts, arrays, strict=True)])
 
     return F.pandas_udf(run, "string")(col(start_ns), col(samples))
+
+
+def settings_parts(settings: dict[str, ColumnLike], files: ColumnLike) -> Column:
+    """What decides a run's result, as parts of a fingerprint.
+
+    ``settings`` has the columns ``engine, itn, threads, max_output_tokens, hotwords,
+    threshold, min_silence, min_speech, floor, min_energetic, decoder``; ``files`` is an
+    array of ``(name, label)``, the model's own and the detector's under ``vad_model``.
+    """
+    s = {k: col(v) for k, v in settings.items()}
+    facts = {
+        "engine": s["engine"], "itn": s["itn"].cast("string"), "threads": s["threads"].cast("string"), "max_output_tokens": said(s["max_output_tokens"]), "hotwords": said(s["hotwords"]),
+        "vad.threshold": f32_label(s["threshold"]), "vad.min_silence": f32_label(s["min_silence"]), "vad.min_speech": f32_label(s["min_speech"]),
+        "guard.floor": f64_label(s["floor"]), "guard.min_energetic": f64_label(s["min_energetic"]), "ffmpeg": F.coalesce(s["decoder"], F.lit("unknown")),
+        "model.count": F.size(F.filter(col(files), lambda f: f["name"] != "vad_model")).cast("string"),
+    }
+    own = F.array(*(F.struct(F.lit(k).alias("label"), v.alias("value")) for k, v in facts.items()))
+    named = F.transform(col(files), lambda f: F.struct(F.when(f["name"] == "vad_model", f["name"]).otherwise(F.concat(F.lit("model:"), f["name"])).alias("label"), f["label"].alias("value")))
+    return F.concat(own, named)

@@ -69,3 +69,28 @@ def recognise(spans: DataFrame, name: str, samples: str = "samples") -> DataFram
             yield pdf.assign(text=[hear(np.asarray(s, dtype=np.float32)) for s in pdf[samples]])
 
     return spans.mapInPandas(run, schema)
+
+
+Stage = Callable[[DataFrame], DataFrame]
+_pipelines: dict[str, Callable[[], Stage]] = {}
+
+
+def route(kind: str, make: Callable[[], Stage]) -> None:
+    """Jobs of a kind go through what ``make`` makes."""
+    _pipelines[kind] = make
+
+
+def pipeline_of(kind: str) -> Stage:
+    """A fresh pipeline for a job of the kind; an unknown kind is an error."""
+    if kind not in _pipelines:
+        raise KeyError(f"no pipeline takes jobs of kind '{kind}'")
+    return _pipelines[kind]()
+
+
+def dispatched(jobs: DataFrame, kinds: list[str], by: str = "kind") -> DataFrame:
+    """The rows of each kind through the pipeline of that kind, one after the other."""
+    parts = [pipeline_of(k)(jobs.where(jobs[by] == k)) for k in kinds]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out

@@ -78,6 +78,16 @@ def human_bytes(n: ColumnLike) -> Column:
     return out
 
 
+def percent(received: ColumnLike, total: ColumnLike) -> Column:
+    """A whole percentage, a half rounded up; null where the total is unknown or 0."""
+    return F.when(col(total) > 0, F.floor(100.0 * col(received) / F.nullif(col(total), F.lit(0)) + 0.5).cast("long"))
+
+
+def megabytes(n: ColumnLike) -> Column:
+    """Decimal megabytes without decimals, a half rounded up."""
+    return F.format_string("%d", F.floor(_long(n) / 1_000_000 + 0.5))
+
+
 def parse_setting(flag: ColumnLike, environment: ColumnLike, default: int) -> Column:
     """The flag, or else the environment's value, or else the default; an empty value is unset and one that isn't a number counts as unset."""
     read = [F.nullif(F.trim(col(x)), F.lit("")).try_cast("bigint") for x in (flag, environment)]

@@ -88,3 +88,9 @@ def safe_id(name: ColumnLike) -> Column:
 def first_directory(*choices: ColumnLike) -> Column:
     """The first that is set; an empty one isn't."""
     return F.coalesce(*(F.nullif(col(c), F.lit("")) for c in choices))
+
+
+def tool_place(configured: ColumnLike, configured_exists: ColumnLike, bundled: ColumnLike, on_path: ColumnLike) -> Column:
+    """Where a tool is taken from: the configured place, the one shipped with the program, then the search path. ``missing`` if it is nowhere, ``misconfigured`` if it isn't where it is said to be."""
+    said = col(configured).isNotNull()
+    return first_that_holds([(said & col(configured_exists), "configured"), (said, "misconfigured"), (col(bundled), "bundled"), (col(on_path), "path")], "missing")

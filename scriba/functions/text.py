@@ -58,13 +58,16 @@ def describe_coverage(ratio: ColumnLike, recovered: ColumnLike) -> Column:
     return F.when(col(recovered), F.concat(kept, F.lit(", detector lost it and the file was re-read"))).otherwise(kept)
 
 
+def without_newlines(text: ColumnLike) -> Column:
+    """What is scored of a rendered text: its segments one after the other."""
+    return F.replace(col(text), F.lit("\n"), F.lit(""))
+
+
 def message_for(kind: ColumnLike, message: ColumnLike) -> Column:
     """An error's own words, after what its kind means to a user."""
     return F.concat(F.coalesce(lookup(kind, MESSAGE_PREFIXES), F.lit("")), col(message))
 
 
-
-
 # How lines of a decoder's description of its input start.
 BANNERS = ("Input #", "Output #", "Duration:", "Stream #", "Stream mapping:", "Press [q]")
 

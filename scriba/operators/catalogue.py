@@ -124,3 +124,28 @@ def longest_prefix(paths: DataFrame, mounts: DataFrame, path: str = "path", moun
     return paths.join(found, path, "left")
 
 
+def missing_bytes(files: DataFrame, disk: DataFrame) -> DataFrame:
+    """``(id, missing_bytes)``: what a download of each model would still write; unknown where a file that isn't complete has no known size, 0 where all are."""
+    absent = F.coalesce(~F.col("complete"), F.lit(True))
+    unknown = F.count_if(absent & F.col("size").isNull()) > 0
+    return file_states(files, disk).groupBy("id").agg(F.when(~unknown, F.coalesce(F.sum(F.when(absent, F.col("size"))), F.lit(0))).alias("missing_bytes"))
+
+
+def loadable(models: DataFrame, engines: DataFrame) -> DataFrame:
+    """The models that an engine is registered for."""
+    return models.join(engines.select("id").distinct(), "id", "left_semi")
+
+
+def usage(files: DataFrame, *by: str) -> DataFrame:
+    """Bytes and number of ``files (size)``, of folders or of what a cleanup removed."""
+    return files.groupBy(*by).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("files"))
+
+
+def freed(files: DataFrame, removed: str = "removed", *by: str) -> DataFrame:
+    """Bytes and number of the half-finished downloads that could be removed."""
+    return usage(files.where(F.lower("name").endswith(".part") & F.col(removed)), *by)
+
+
+def listed(files: DataFrame) -> DataFrame:
+    """``(id, files)``: each model's files in the order of their relative names, as a run's settings name them."""
+    return files.groupBy("id").agg(F.array_sort(F.collect_list("local")).alias("files"))

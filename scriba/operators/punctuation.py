@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,33 +33,47 @@ def tokenize(text: str, marks: str = MARKS) -> list[Token]:
     return [tuple(x) for x in out]
 
 
+def _costs(a: np.ndarray, b: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Rows of the distance matrix after ``first``, one for each of ``a``; a run of insertions is a running minimum."""
+    cost = np.empty((len(a) + 1, len(first)), dtype=np.int32)
+    steps = np.arange(len(first), dtype=np.int32)
+    cost[0] = first
+    here = np.empty(len(first), dtype=np.int32)
+    for i in range(len(a)):
+        here[0] = cost[i, 0] + 1
+        here[1:] = np.minimum(cost[i, :-1] + (b != a[i]), cost[i, 1:] + 1)
+        cost[i + 1] = np.minimum.accumulate(here - steps) + steps
+    return cost
+
+
 def align(ref: str, hyp: str) -> list[tuple[int | None, int | None]]:
     """The positions of a cheapest alignment in order; a side that lacks one has None.
 
     Where several are as cheap, from the end a pair of both sides comes first, then a
-    deletion, then an insertion. Rows of the distance matrix are computed at once: a run
-    of insertions is a running minimum.
+    deletion, then an insertion. Rows of the distance matrix are kept at intervals of the
+    root of their number, and those between are computed again on the way back, so a pair
+    of texts takes memory for twice that root of rows.
     """
     a, b = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for x in (ref, hyp))
-    cost = np.empty((len(a) + 1, len(b) + 1), dtype=np.int32)
-    steps = np.arange(len(b) + 1, dtype=np.int32)
-    cost[0] = steps
-    for i in range(len(a)):
-        here = np.empty(len(b) + 1, dtype=np.int32)
-        here[0] = i + 1
-        here[1:] = np.minimum(cost[i, :-1] + (b != a[i]), cost[i, 1:] + 1)
-        cost[i + 1] = np.minimum.accumulate(here - steps) + steps
+    every = isqrt(len(a)) + 1
+    kept = [np.arange(len(b) + 1, dtype=np.int32)]
+    for at in range(0, len(a) - every + 1, every):
+        kept.append(_costs(a[at : at + every], b, kept[-1])[-1].copy())
     i, j, out = len(a), len(b), []
-    while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
-            i -= 1
-            out.append((i, None))
-        else:
-            j -= 1
-            out.append((None, j))
+    for block in range(len(kept) - 1, -1, -1):
+        at = block * every
+        cost = _costs(a[at:i], b[:j], kept[block][: j + 1])
+        while (i > at or (block == 0 and i == 0)) and (i or j):
+            k = i - at
+            if i and j and cost[k, j] == cost[k - 1, j - 1] + (a[i - 1] != b[j - 1]):
+                i, j = i - 1, j - 1
+                out.append((i, j))
+            elif i and cost[k, j] == cost[k - 1, j] + 1:
+                i -= 1
+                out.append((i, None))
+            else:
+                j -= 1
+                out.append((None, j))
     return out[::-1]
 
 
@@ -93,7 +109,8 @@ def cells_of(reference: str, hypothesis: str, marks: str = MARKS) -> Column:
 def same_text_cells(reference: str, hypothesis: str, marks: str = MARKS) -> Column:
     """As ``cells_of`` where both sides have the same characters: no alignment and no Python.
 
-    Each character takes the first mark of the run that follows it.
+    Each character takes the first mark of the run that follows it; a mark that one side
+    has alone is a cell of its own.
     """
     run = "[^\\p{IsAlphabetic}\\p{N}]*"
 
@@ -101,16 +118,20 @@ def same_text_cells(reference: str, hypothesis: str, marks: str = MARKS) -> Colu
         runs = F.regexp_extract_all(F.col(text), F.lit(f"[\\p{{IsAlphabetic}}\\p{{N}}]({run})"), 1)
         return F.transform(runs, lambda x: F.nullif(F.substring(F.regexp_replace(x, f"[^{marks}]", ""), 1, 1), F.lit("")))
 
-    pairs = F.zip_with(attached(reference), attached(hypothesis), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return F.filter(pairs, lambda x: x["a"].isNotNull() | x["b"].isNotNull())
+    def cell(mark: Column, tp: int, fp: int, fn: int) -> Column:
+        return F.struct(mark.alias("mark"), *(F.lit(n).cast("long").alias(x) for n, x in ((tp, "tp"), (fp, "fp"), (fn, "fn"))))
+
+    def judged(a: Column, b: Column) -> Column:
+        return F.when(a.eqNullSafe(b), F.array(cell(a, 1, 0, 0))).otherwise(F.array(cell(b, 0, 1, 0), cell(a, 0, 0, 1)))
+
+    return F.filter(F.flatten(F.zip_with(attached(reference), attached(hypothesis), judged)), lambda x: x["mark"].isNotNull())
 
 
 def mark_sums(cells: DataFrame, *by: str) -> DataFrame:
     """Sums of ``cells (mark, tp, fp, fn)`` by mark, and over all marks where ``mark`` is null."""
     keys = [F.col(c) for c in by]
-    sums = cells.groupBy(*keys, "mark").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
-    micro = sums.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn"))).withColumn("mark", F.lit(None).cast("string"))
-    return sums.unionByName(micro)
+    sums = cells.groupingSets([[*keys, F.col("mark")], keys], *keys, F.col("mark"))
+    return sums.agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn"))).select("mark", *by, "tp", "fp", "fn")
 
 
 def with_prf(sums: DataFrame) -> DataFrame:

@@ -6,8 +6,12 @@ happens between rows of a file are windows over its order.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriba.functions.columns import ColumnLike, col
 
@@ -15,6 +19,7 @@ from scriba.functions.columns import ColumnLike, col
 WINDOW_SECONDS, RANGE_DB, SILENCE_PEAK = 0.1, 25.0, 1e-3
 FLOOR, MIN_ENERGETIC = 0.70, 1.0
 BLOCK_SECONDS, SAMPLE_RATE = 20, 16_000
+THRESHOLDS = (0.02, 1.0)
 THRESHOLD, MIN_SILENCE, MIN_SPEECH, MAX_SPAN, PAD, HOP = 0.05, 0.25, 0.25, 20.0, 0.4, 512
 
 
@@ -110,6 +115,85 @@ def segments_of(spans: DataFrame, file: str = "file_id", seq: str = "seq", text:
     return spans.where(F.length(text) > 0).withColumn("seg_id", F.row_number().over(order) - 1)
 
 
+def with_context(spans: DataFrame, chunks: DataFrame, pad: int, retained: int | None = None, file: str = "file_id") -> DataFrame:
+    """``spans (file, span, start, n, seen)`` with ``context``: the ``pad`` samples before each, out of as many of ``chunks (file, start, samples)`` as they reach into.
+
+    ``seen`` is how many samples had arrived when the span was closed. With ``retained``,
+    history is kept as a segmenter keeps it: cut to so many samples whenever it has grown
+    to over twice as many, at the end of a chunk. A span whose context begins before what is left goes
+    without any.
+
+    Chunks are joined by the blocks of samples that they touch, so a span meets the few
+    chunks it needs, however many its file has.
+    """
+    size = max(pad, 1)
+    block = lambda at: F.call_function("div", at, F.lit(size).cast("long"))
+    n = F.size("samples").cast("long")
+    parts = chunks.where(n > 0).select(file, F.col("start").alias("_at"), "samples", F.explode(F.sequence(block(F.col("start")), block(F.col("start") + n - 1))).alias("_block"))
+    begin = F.greatest(F.col("start") - pad, F.lit(0).cast("long"))
+    wanted = spans.withColumn("_from", begin).where("_from < start")
+    if retained is not None:
+        ends = chunks.withColumn("_end", F.col("start") + n)
+        wanted = _retained(wanted, ends, retained, file).where("_from >= _kept").drop("_kept")
+    wanted = wanted.select(file, "span", "start", "_from", F.explode(F.sequence(block(F.col("_from")), block(F.col("start") - 1))).alias("_block"))
+    met = wanted.join(parts, [file, "_block"]).dropDuplicates([file, "span", "_at"])
+    cut = F.slice("samples", (F.greatest(F.col("_from"), F.col("_at")) - F.col("_at") + 1).cast("int"), F.greatest(F.least(F.col("start"), F.col("_at") + n) - F.greatest(F.col("_from"), F.col("_at")), F.lit(0)).cast("int"))
+    found = met.groupBy(file, "span").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_at", cut.alias("x")))), lambda y: y["x"])).alias("context"))
+    return spans.join(found, [file, "span"], "left")
+
+
+def _retained(spans: DataFrame, ends: DataFrame, retained: int, file: str) -> DataFrame:
+    """``spans`` with ``_kept``: the first sample that is left when so many have been ``seen``.
+
+    Each cut depends on the one before it, so a file's chunks are one fold; it keeps two
+    numbers, and gives out one row for each cut.
+    """
+    schema = T.StructType([ends.schema[file], T.StructField("_cut_at", T.LongType()), T.StructField("_left", T.LongType())])
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, kept = None, 0
+        for pdf in pdfs:
+            out = []
+            for own, end in zip(pdf[file], pdf["_end"], strict=True):
+                if own != name:
+                    name, kept = own, 0
+                if end - kept > 2 * retained:
+                    kept = end - retained
+                    out.append((own, end, kept))
+            yield pd.DataFrame(out, columns=schema.names)
+
+    cuts = ends.select(file, "_end").repartition(file).sortWithinPartitions(file, "_end").mapInPandas(run, schema)
+    both = spans.join(cuts, file, "left").withColumn("_kept", F.when(F.col("_cut_at") <= F.col("seen"), F.col("_left")))
+    last = both.groupBy(file, "span").agg(F.coalesce(F.max("_kept"), F.lit(0).cast("long")).alias("_kept"))
+    return spans.join(last, [file, "span"])
+
+
+def checked_threshold(threshold: ColumnLike) -> Column:
+    """The threshold, if it is one: from 0.02 to 1. Anything else is an error."""
+    value = col(threshold)
+    wrong = F.raise_error(F.concat(F.lit("threshold "), F.coalesce(value.cast("string"), F.lit("null")), F.lit(" is not between 0.02 and 1")))
+    return F.when(value.between(*THRESHOLDS), value).otherwise(wrong.cast("double"))
+
+
+def swept(spans: DataFrame, chunks: DataFrame, file: str = "file_id", text: str = "text") -> DataFrame:
+    """What a sweep over each file's chunks gives out in order: ``file, at, ordinal, kind, seg_id``.
+
+    After each of ``chunks (file, end)`` come the segments of the recognised ``spans
+    (file, end, text)`` that it completes, those with text alone, and then the progress.
+    """
+    ordered = Window.partitionBy(file).orderBy("end")
+    bounds = chunks.withColumn("_after", F.coalesce(F.lag("end").over(ordered), F.lit(-1)))
+    known = spans.where(F.length(text) > 0).withColumn("seg_id", F.row_number().over(ordered) - 1)
+    last = chunks.groupBy(file).agg(F.max("end").alias("_last"))
+    closed = known.join(last, file).withColumn("_at", F.least("end", "_last"))
+    marks = bounds.select(file, F.col("end").alias("at"), F.lit(1).alias("ordinal"), F.lit("progress").alias("kind"), F.lit(None).cast("int").alias("seg_id"))
+    ends = closed.select(file, F.col("_at"), "seg_id").unionByName(bounds.select(file, F.col("end").alias("_at"), F.lit(None).cast("int").alias("seg_id")))
+    # a span belongs to the first chunk that ends with it or after it
+    after = Window.partitionBy(file).orderBy(F.desc("_at"), F.col("seg_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumn("at", F.min(F.when(F.col("seg_id").isNull(), F.col("_at"))).over(after)).where("seg_id is not null")
+    return marks.unionByName(ends.select(file, "at", F.lit(0).alias("ordinal"), F.lit("segment").alias("kind"), "seg_id"))
+
+
 def padded(chunks: DataFrame, pad: int, file: str = "file_id", seq: str = "seq", samples: str = "samples") -> DataFrame:
     """``chunks`` with the last ``pad`` samples of the chunk before each in front of it, as far as there are any."""
     before = F.lag(samples).over(Window.partitionBy(file).orderBy(seq))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # How much is kept, and when a half-written file counts as left behind.
 HISTORY, MOST_SERIALS = 200, 999
@@ -69,45 +70,84 @@ def stale(files: DataFrame, now: str) -> DataFrame:
     return files.where(F.col("name").rlike(r"\.tmp|\.part$") & (F.col(now).cast("long") - F.col("modified").cast("long") > STALE_HOURS * 3600))
 
 
+def upserted(rows: DataFrame, changes: DataFrame, key: str, *order: str) -> DataFrame:
+    """``rows`` with ``changes`` recorded: the last change of each key replaces its row."""
+    first = rows.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
+    return latest(first, key, "_new", *order).drop("_new")
+
+
+def source_of(owners: DataFrame, outputs: DataFrame, source: str = "source", output: str = "output") -> DataFrame:
+    """``outputs`` with the source that owns each, the least if several do; null where none does."""
+    found = owners.groupBy(output).agg(F.min(source).alias(source))
+    return outputs.join(found, output, "left")
+
+
+def existing(rows: DataFrame, files: DataFrame, output: str = "output", path: str = "path") -> DataFrame:
+    """The rows whose output is still there."""
+    return rows.join(files.select(F.col(path).alias(output)).distinct(), output, "left_semi").select(rows.columns)
+
+
+def readable(rows: DataFrame, parsed: DataFrame, output: str = "output", segments: str = "segments") -> DataFrame:
+    """``rows`` with the transcript that their output holds; those of which it can't be read are dropped."""
+    return rows.join(parsed.where(F.col(segments).isNotNull()).select(output, segments), output)
+
+
+_ROOT = r"( \([0-9]+\))+$"
+
+
 def output_names(requests: DataFrame, taken: DataFrame) -> DataFrame:
     """Where each of ``requests (dir, seq, source, stem, ext)`` writes: ``path`` and ``serial``.
 
     ``taken (dir, path, owner)``: names that are recorded as a source's, and, without an
     owner, files that nobody recorded. A source keeps its name in a folder; else it
     gets the plain name, or the first free number from 2 to 999; when all are taken, the
-    plain name with the serial 1000 tells the caller so. Claims are made in the order of
-    ``seq``, and one claim changes what is free for the next: a folder is one fold.
+    plain name with the serial 1000 tells the caller so, for all that this source asks for
+    there. Claims are made in the order of ``seq``, and one claim changes what is free for
+    the next.
+
+    Only a source's first request in a folder claims anything, and only names that differ
+    in their numbers can be in each other's way. So claims are folded by folder, extension
+    and stem without numbers, each as a sorted stream that keeps the numbers in use.
     """
-    schema = T.StructType([*requests.schema.fields, T.StructField("path", T.StringType()), T.StructField("serial", T.IntegerType())])
-    columns = requests.columns
-
-    def run(key: tuple, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        owners = dict(zip(known["path"], known["owner"], strict=True))
-        mine = {o: p for p, o in owners.items() if o is not None and not pd.isna(o)}
-        rows, tried = [], {}  # numbers are never given back, so a search goes on where the last one ended
-        for r in asked.sort_values("seq").to_dict("records"):
-            folder, stem, ext = r["dir"], r["stem"], r["ext"]
-            path, serial = mine.get(r["source"]), None
-            if path is not None:
-                inner = path[len(folder) + 1 :].removesuffix(f".{ext}")
-                number = inner[len(stem) :].strip(" ()") if inner.startswith(stem) else ""
-                serial = int(number) if number.isdigit() else None
-            else:
-                path = f"{folder}/{stem}.{ext}"
-                plain = path
-                n = tried.get((stem, ext), 1)
-                if n > 1:
-                    path, serial = f"{folder}/{stem} ({n}).{ext}", n
-                while path in owners and n <= MOST_SERIALS:
+    dir_source = ["dir", "source"]
+    recorded = taken.where("owner is not null").groupBy("dir", F.col("owner").alias("source")).agg(F.max("path").alias("path"))
+    first = requests.groupBy(*dir_source).agg(F.min_by(F.struct("seq", "stem", "ext"), "seq").alias("_x")).select(*dir_source, "_x.*")
+    root = F.regexp_replace("stem", _ROOT, "").alias("root")
+    claims = first.join(recorded, dir_source, "left_anti").select("dir", "ext", root, F.lit(1).alias("kind"), "seq", "source", "stem")
+    name = F.substr("path", F.length("dir") + 2)
+    held = taken.select("dir", F.regexp_extract(name, r"\.([^.]*)$", 1).alias("ext"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"))
+    held = held.select("dir", "ext", root, F.lit(0).alias("kind"), F.lit(None).cast(requests.schema["seq"].dataType).alias("seq"), F.lit(None).cast("string").alias("source"), "stem")
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, used, tried = None, set(), {}
+        for pdf in pdfs:
+            out = []
+            for folder, ext, base, kind, source, stem in zip(*(pdf[c] for c in ("dir", "ext", "root", "kind", "source", "stem")), strict=True):
+                if (folder, ext, base) != group:
+                    group, used, tried = (folder, ext, base), set(), {}
+                if kind == 0:
+                    used.add(stem)
+                    continue
+                n = tried.get(stem, 1)  # numbers are never given back, so a search goes on where the last one ended
+                while n <= MOST_SERIALS and (stem if n == 1 else f"{stem} ({n})") in used:
                     n += 1
-                    path, serial = f"{folder}/{stem} ({n}).{ext}", n
-                tried[stem, ext] = n
-                if serial == MOST_SERIALS + 1:
-                    path = plain
-                else:
-                    owners[path], mine[r["source"]] = r["source"], path
-            rows.append({**{c: r[c] for c in columns}, "path": path, "serial": serial})
-        return pd.DataFrame(rows, columns=[*columns, "path", "serial"]).astype({"serial": "Int32"})
-
-    return requests.groupBy("dir").cogroup(taken.groupBy("dir")).applyInPandas(run, schema)
-
+                tried[stem] = n
+                chosen = stem if n in (1, MOST_SERIALS + 1) else f"{stem} ({n})"
+                if n <= MOST_SERIALS:
+                    used.add(chosen)
+                out.append((folder, source, f"{folder}/{chosen}.{ext}", n > MOST_SERIALS))
+            yield pd.DataFrame(out, columns=["dir", "source", "_path", "_full"])
+
+    dealt = claims.unionByName(held).repartition("dir", "ext", "root").sortWithinPartitions("dir", "ext", "root", "kind", "seq")
+    given = dealt.mapInPandas(run, "dir string, source string, _path string, _full boolean")
+    rows = requests.join(recorded.select(*dir_source, F.col("path").alias("_path"), F.lit(False).alias("_full")).unionByName(given), dir_source)
+    plain = F.concat("dir", F.lit("/"), "stem", F.lit("."), "ext")
+    serial = F.when(F.col("_full"), MOST_SERIALS + 1).otherwise(_serial_in(F.col("_path"), F.col("dir"), F.col("stem")))
+    return rows.select(*requests.columns, F.when(F.col("_full"), plain).otherwise(F.col("_path")).alias("path"), serial.cast("int").alias("serial"))
+
+
+def _serial_in(path: Column, folder: Column, stem: Column) -> Column:
+    """The number in a recorded path that has the stem; null for none."""
+    inner = F.regexp_replace(F.substr(path, F.length(folder) + 2), r"\.[^.]*$", "")
+    rest = F.when(F.startswith(inner, stem), F.substr(inner, F.length(stem) + 1))
+    return F.nullif(F.regexp_extract(rest, r"^ \(([0-9]+)\)$", 1), F.lit("")).try_cast("int")

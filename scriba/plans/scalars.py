@@ -96,11 +96,11 @@ def duration_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", times.parse_duration_line(line).alias("seconds"))
 
 
-@query("""WITH b AS (SELECT o_orderkey, (o_totalprice * pow(10, o_orderkey % 9 - 3))::BIGINT AS n FROM (SELECT o_orderkey, floor(o_totalprice) AS o_totalprice FROM orders) WHERE o_orderkey % 9 >= 3)
+@query("""WITH b AS (SELECT o_orderkey, (o_totalprice * pow(10, o_orderkey % 6))::BIGINT // 1000 AS n FROM (SELECT o_orderkey, floor(o_totalprice) AS o_totalprice FROM orders))
 SELECT o_orderkey, CASE WHEN n >= 1000000000 THEN ((n + 50000000) // 100000000) // 10 || '.' || ((n + 50000000) // 100000000) % 10 || ' GB' WHEN n >= 1000000 THEN ((n + 50000) // 100000) // 10 || '.' || ((n + 50000) // 100000) % 10 || ' MB'
   WHEN n >= 1000 THEN ((n + 50) // 100) // 10 || '.' || ((n + 50) // 100) % 10 || ' KB' ELSE n || ' B' END AS size FROM b""")
 def human_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 9 >= 3").withColumn("n", (F.floor("o_totalprice") * F.pow(F.lit(10.0), F.col("o_orderkey") % 9 - 3)).cast("long"))
+    rows = table(spark, sf_dir, "orders").withColumn("n", F.expr("cast(floor(o_totalprice) * pow(10.0D, o_orderkey % 6) as long) div 1000"))
     return rows.select("o_orderkey", numbers.human_bytes("n").alias("size"))
 
 

@@ -1,7 +1,8 @@
 """Scoring queries: consecutive turns of conversations stand for references and hypotheses.
 
-Turns are scored where both are ASCII, as the SQL engine that checks the results
-counts bytes in its edit distance. The operators themselves have no such limit.
+The SQL engine that checks the results counts bytes in its edit distance, so its SQL
+first turns each other character of the normalised texts into an ASCII one that they
+don't have.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ ASCII_MARKS = ",.?!"
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pos, utt_id, dataset, reference, hypothesis, segments, coverage, recovered``."""
-    turns = table(spark, sf_dir, "conversations").where("octet_length(text) = length(text)")
+    turns = table(spark, sf_dir, "conversations")
     # edit distances cost far more than their input's bytes tell, so the join keeps this number of partitions
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     hyp = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hypothesis")).repartition(parts, "conv_id", "turn")
@@ -35,10 +36,11 @@ PAIRS = r"""
 p AS (
   SELECT a.conv_id * 1000 + a.turn AS pos, a.conv_id || '-' || a.turn AS utt_id, a.role AS dataset, a.text AS reference, b.text AS hypothesis,
          len(string_split(b.text, '.'))::BIGINT AS segments, CASE WHEN length(a.text) >= 40 THEN least(length(b.text) / length(a.text), 1.0) END AS coverage
-  FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
-  WHERE octet_length(encode(a.text)) = length(a.text) AND octet_length(encode(b.text)) = length(b.text)),
+  FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
 n AS (SELECT *, coalesce(coverage < 0.7, false) AS recovered, lower(regexp_replace(reference, '[^\p{L}\p{N}]', '', 'g')) AS r, lower(regexp_replace(hypothesis, '[^\p{L}\p{N}]', '', 'g')) AS h FROM p),
-s AS (SELECT *, levenshtein(r, h)::BIGINT AS errors, length(r)::BIGINT AS reference_len, CASE WHEN length(r) = 0 THEN 0 ELSE levenshtein(r, h) / length(r) END AS rate FROM n)
+k AS (SELECT coalesce(string_agg(c, '' ORDER BY c), '') AS chars FROM (SELECT DISTINCT unnest(string_split(r || h, '')) AS c FROM n) WHERE unicode(c) > 127),
+y AS (SELECT n.* REPLACE (translate(r, chars, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&()*+,-./:;<=>?@[]^_{|}~') AS r, translate(h, chars, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&()*+,-./:;<=>?@[]^_{|}~') AS h) FROM n, k),
+s AS (SELECT *, levenshtein(r, h)::BIGINT AS errors, length(r)::BIGINT AS reference_len, CASE WHEN length(r) = 0 THEN 0 ELSE levenshtein(r, h) / length(r) END AS rate FROM y)
 """
 
 
@@ -133,11 +135,8 @@ c AS (SELECT lang, a AS mark, CASE WHEN a = b THEN 1 ELSE 0 END AS tp, 0 AS fp,
 
 
 def _same_text_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _edited(spark, sf_dir).select("lang", F.explode(punctuation.same_text_cells("reference", "hypothesis", ASCII_MARKS)).alias("x")).select("lang", "x.a", "x.b")
-    hit = F.coalesce(F.col("a") == F.col("b"), F.lit(False)).cast("long")
-    ref = rows.where("a is not null").select("lang", F.col("a").alias("mark"), hit.alias("tp"), F.lit(0).cast("long").alias("fp"), (1 - hit).alias("fn"))
-    hyp = rows.where("b is not null and not (a <=> b)").select("lang", F.col("b").alias("mark"), F.lit(0).cast("long").alias("tp"), F.lit(1).cast("long").alias("fp"), F.lit(0).cast("long").alias("fn"))
-    return ref.unionByName(hyp)
+    rows = _edited(spark, sf_dir)
+    return rows.select("lang", F.explode(punctuation.same_text_cells("reference", "hypothesis", ASCII_MARKS)).alias("x")).select("lang", "x.*")
 
 
 @query(f"WITH {EDITED} SELECT lang, mark, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM c GROUP BY GROUPING SETS ((lang, mark), (lang))")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scriba.functions.digests import file_label
 from scriba.functions.paths import extension, looks_like_audio, parent
 
 # The version that stored documents must have, and the columns that may hold a reference.
 VERSION = 1
+TRANSCRIPT_EXTENSIONS = ("srt", "txt", "text")
 REFERENCE_COLUMNS = ("target_text", "original_text", "answer")
 
 SPAN = "struct<secs: bigint, nanos: int>"
@@ -74,11 +78,42 @@ def numbered(rows: DataFrame, order: str, parts: int = 16) -> DataFrame:
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, name, size, modified`` of all files below a folder; their contents aren't read."""
+    """``path, name, size, modified`` of all files below a folder; their contents aren't read. ``identified`` tells two states of a file apart."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     return files.select("path", F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+def identified(files: DataFrame) -> DataFrame:
+    """``files`` with ``key``: place, size and time, in nanoseconds."""
+    nanos = F.unix_micros(F.col("modified").cast("timestamp")) * 1000
+    return files.withColumn("key", file_label("path", "size", nanos))
+
+
+READERS = {"cache": "read_cache", "history": "read_history", "ownership": "read_ownership", "settings": "read_settings", "pending": "read_pending", "resume": "read_resume_log", "manifest": "read_manifest", "vocabulary": "read_vocabulary", "folder": "list_files"}
+
+
+def source(kind: str) -> Callable[..., DataFrame]:
+    """The reader of a kind of source; an unknown kind is an error that names those there are."""
+    if kind not in READERS:
+        raise KeyError(f"no source '{kind}'; there are {', '.join(sorted(READERS))}")
+    return globals()[READERS[kind]]
+
+
+def plan_outputs(inputs: list[str], output: str | None, default: str, output_is_file: bool = False) -> tuple[str | None, str | None]:
+    """``(path, folder)`` of a batch: the path of a single input as it was named, else the folder that ``store.output_names`` names files in.
+
+    ``-`` and what is, or is named like, a file hold one transcript only; more are an error.
+    """
+    if output is not None and len(inputs) == 1:
+        return output, None
+    if output == "-":
+        raise ValueError(f"'-o -' writes one transcript to stdout and cannot hold {len(inputs)}")
+    named = output is not None and output.rpartition("/")[2].rpartition(".")
+    if output is not None and (output_is_file or (named[0] and named[2].lower() in TRANSCRIPT_EXTENSIONS)):
+        raise ValueError(f"'-o {output}' names a file, but there are {len(inputs)} inputs; name a directory instead")
+    return None, output if output is not None else default
+
+
 def expand_inputs(spark: SparkSession, folders: list[str], named: list[str]) -> DataFrame:
     """``path`` of the audio below the folders and of the named files whatever they are, each once, in order. None at all is an error."""
     rows = spark.createDataFrame([(p,) for p in named], "path string")
@@ -116,6 +151,11 @@ def read_ownership(spark: SparkSession, path: str) -> DataFrame:
     return _stored(spark, path, OWNERSHIP).select(F.explode("outputs").alias("source", "output"))
 
 
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """``file, vocabulary``: vocabulary files as they are, with their line ends and white space."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("vocabulary"))
+
+
 def read_settings(spark: SparkSession, path: str) -> DataFrame:
     return _stored(spark, path, SETTINGS).drop("file", "version")
 

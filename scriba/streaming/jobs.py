@@ -116,19 +116,24 @@ def reduce_batch(events: DataFrame) -> DataFrame:
 
 
 def speech_sessions(frames: DataFrame, gap: str, delay: str = "1 hour") -> DataFrame:
-    """For append mode: closed runs of ``frames (job, ts)``, ended by a gap; late frames are dropped after ``delay``."""
+    """Runs of ``frames (job, ts)``, ended by a gap; late frames are dropped after ``delay``.
+
+    Append mode gives closed runs once, and keeps only the open ones; complete mode gives
+    all of them, open ones too, whenever anything comes, and so keeps all.
+    """
     late = frames.withWatermark("ts", delay)
     return late.groupBy("job", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("frames")).select("job", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "frames")
 
 
-def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
+def drain(stream: DataFrame, name: str, mode: str, at: str | None = None) -> DataFrame:
     """Run a stream over what is there now, and read what it wrote.
 
     Batches are written one after the other to shared storage, numbered; a batch that is
-    written again after a failure replaces itself.
+    written again after a failure replaces itself. A stream that is drained again ``at``
+    the same place goes on where its checkpoint says.
     """
     spark = stream.sparkSession
-    at = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    at = at or f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/out/n={number}")
@@ -139,6 +144,12 @@ def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{at}/out")
 
 
+def snapshot(rows: DataFrame) -> DataFrame:
+    """What complete mode gave last: the whole result."""
+    last = rows.agg(F.max("batch").alias("_last"))
+    return rows.join(F.broadcast(last), F.col("batch") == F.col("_last")).drop("batch", "_last")  # one row
+
+
 def latest_updates(updates: DataFrame, key: str) -> DataFrame:
     """The last row that update mode gave for each key."""
     rest = [c for c in updates.columns if c not in (key, "batch")]

@@ -17,10 +17,29 @@ def test_log_takes_a_span_once_and_tables_are_replaced(spark, tmp_path):
     path = str(tmp_path / "log")
     batch = spark.createDataFrame([("r", "s1", 1, "a"), ("r", "s1", 2, "b"), ("r", "s2", 3, "c")], "run string, span string, seq int, text string")
     for _ in range(2):
-        sinks.append_log(batch, path, "run", "span")
-    assert sorted(r.text for r in spark.read.parquet(path).collect()) == ["a", "c"]
-    sinks.replace_table(spark.read.parquet(path).where("span = 's2'"), path)
-    assert [r.text for r in spark.read.parquet(path).collect()] == ["c"]
+        sinks.append_log(batch, path, "run", "span", number=0)
+    more = spark.createDataFrame([("r", "s2", 9, "late"), ("r", "s3", 1, "d")], batch.schema)
+    for _ in range(2):
+        sinks.append_log(more, path, "run", "span", number=1)
+    log = sinks.read_log(spark, path, batch.schema)
+    assert sorted(r.text for r in log.collect()) == ["a", "c", "d"]
+    table = str(tmp_path / "table")
+    assert sinks.current_table(spark, table, batch.schema).count() == 0
+    sinks.replace_table(log, table)
+    for n in range(3):
+        sinks.replace_table(sinks.current_table(spark, table, batch.schema).where(f"span <> 's{n}'"), table)
+    assert [r.text for r in sinks.current_table(spark, table, batch.schema).collect()] == ["d"]
+    assert len(list((tmp_path / "table").glob("v-*"))) == 2
+    assert sinks.forget_log(spark, path) and not sinks.forget_log(spark, path) and sinks.read_log(spark, path, batch.schema).count() == 0
+
+
+def test_autosave_records_what_is_written(spark, tmp_path):
+    done = spark.createDataFrame([("a.srt", "1", "in/a", "out/a.srt", "e", 5), ("b.srt", "2", "in/b", "out/b.srt", "e", 7)], "name string, content string, input string, output string, engine string, finished_at_ms long")
+    folder, history = str(tmp_path / "out"), str(tmp_path / "history")
+    sinks.autosave(done, folder, history)
+    sinks.autosave(done.where("name = 'a.srt'").withColumn("finished_at_ms", F.lit(9).cast("long")), folder, history, keep=2)
+    rows = sinks.current_table(spark, history, "input string, output string, engine string, finished_at_ms long").collect()
+    assert sorted((r.input, r.finished_at_ms) for r in rows) == [("in/a", 9), ("in/b", 7)] and len(list((tmp_path / "out").iterdir())) >= 2
 
 
 def test_scripted_job_runs_through(spark):

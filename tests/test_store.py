@@ -15,6 +15,10 @@ def test_output_names(spark):
     assert names(spark, [("a", "t")], [("/o/t (7).srt", "a")]) == [("/o/t (7).srt", 7)]
 
 
+def test_names_that_differ_in_their_numbers(spark):
+    assert names(spark, [("a", "t"), ("b", "t (2)"), ("c", "t"), ("d", "t (2)"), ("c", "u")]) == [("/o/t.srt", None), ("/o/t (2).srt", None), ("/o/t (3).srt", 3), ("/o/t (2) (2).srt", 2), ("/o/t (3).srt", None)]
+
+
 def test_cache_resume_and_history(spark):
     requests = spark.createDataFrame([(1, "k1"), (2, "k2"), (3, "k3")], "id int, key string")
     hits, misses = store.cache_split(requests, spark.createDataFrame([("k1", 1, "t"), ("k2", 9, "t")], "key string, version int, text string"))
@@ -28,3 +32,15 @@ def test_cache_resume_and_history(spark):
     assert [(r.input, r.output) for r in store.history(rows, "input", "at", n=2).collect()] == [("a", "z"), ("b", "y")]
     left, changed = store.forget(rows, "input", ["a"])
     assert left.count() == 2 and changed.first().changed is True
+
+
+def test_records_and_what_is_left(spark):
+    rows = spark.createDataFrame([("s1", "o1", 1), ("s2", "o2", 1)], "source string, output string, at int")
+    changed = store.upserted(rows, spark.createDataFrame([("s2", "o3", 0), ("s4", "o1", 0), ("s2", "o9", 2)], rows.schema), "source", "at")
+    assert sorted((r.source, r.output) for r in changed.collect()) == [("s1", "o1"), ("s2", "o9"), ("s4", "o1")]
+    asked = spark.createDataFrame([("o1",), ("o7",)], "output string")
+    assert sorted((r.output, r.source) for r in store.source_of(changed, asked).collect()) == [("o1", "s1"), ("o7", None)]
+    there = spark.createDataFrame([("o2",)], "path string")
+    assert [r.source for r in store.existing(rows, there).collect()] == ["s2"]
+    parsed = spark.createDataFrame([("o1", ["a"]), ("o2", None)], "output string, segments array<string>")
+    assert [(r.source, r.segments) for r in store.readable(rows, parsed).collect()] == [("s1", ["a"])]
