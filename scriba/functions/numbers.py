@@ -61,7 +61,7 @@ def download_fraction(received: ColumnLike, total: ColumnLike) -> Column:
 
 def progress_fraction(end: ColumnLike, total: ColumnLike) -> Column:
     """As a single-precision number, as events carry it; null where the total is unknown."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(col(total) > 0, col(end) / col(total)))).cast("float")
+    return F.when(col(total) > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), col(end) / F.nullif(col(total), F.lit(0))))).cast("float")
 
 
 def backoff_ms(attempt: ColumnLike) -> Column:

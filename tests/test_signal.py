@@ -65,3 +65,39 @@ def test_two_passes_and_numbering(spark):
     verdicts = spark.createDataFrame([("a", True), ("b", False)], "file_id string, recovered boolean")
     got = signal.segments_of(signal.two_pass(first, second, verdicts)).collect()
     assert sorted((r.file_id, r.seg_id, r.text, r.recovered) for r in got) == [("a", 0, "X1", True), ("a", 1, "X2", True), ("b", 0, "y", False)]
+
+
+def test_context_reaches_over_chunks_as_far_as_history_is_kept(spark):
+    import random
+
+    rng = random.Random(5)
+    chunks, spans, want = [], [], {}
+    for f in ("a", "b"):
+        samples, kept, ends = [], 0, []
+        for _ in range(40):
+            n = rng.randrange(1, 9)
+            chunks.append((f, len(samples), [float(len(samples) + k) for k in range(n)]))
+            samples += [float(len(samples) + k) for k in range(n)]
+            if len(samples) - kept > 2 * 30:
+                kept = len(samples) - 30
+            ends.append((len(samples), kept))
+        for k in range(25):
+            seen, left = rng.choice(ends)
+            start = rng.randrange(max(0, seen - 60), seen)
+            begin = max(0, start - 12)
+            spans.append((f, k, start, seen))
+            want[f, k] = (samples[begin:start], samples[begin:start] if begin >= left else [])
+    spans = spark.createDataFrame(spans, "file_id string, span int, start long, seen long")
+    chunks = spark.createDataFrame(chunks, "file_id string, start long, samples array<float>")
+    got = {(r.file_id, r.span): r.context or [] for r in signal.with_context(spans, chunks, 12).collect()}
+    assert got == {k: a for k, (a, _) in want.items()}
+    got = {(r.file_id, r.span): r.context or [] for r in signal.with_context(spans, chunks, 12, retained=30).collect()}
+    assert got == {k: b for k, (_, b) in want.items()} and any(a != b for a, b in want.values())
+
+
+def test_thresholds(spark):
+    df = spark.createDataFrame([(0.02,), (1.0,)], "t double")
+    assert [r[0] for r in df.select(signal.checked_threshold("t")).collect()] == [0.02, 1.0]
+    for bad in (0.01, 1.5, None):
+        with pytest.raises(Exception, match="between 0.02 and 1"):
+            spark.createDataFrame([(bad,)], "t double").select(signal.checked_threshold("t")).collect()
