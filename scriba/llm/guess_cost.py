@@ -17,12 +17,14 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
-from math import log10
+from math import log, log10
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriba.llm.common import materialise
+
 #: Values that take 10 to this power guesses are secrets.
 COST = 10.0
 #: Characters of a repeated unit.
@@ -205,14 +207,24 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
-    """Ranks of words: COMMON, then the WORDS most frequent others of ``docs``, counted over all of it; of equal counts the first in order.
+    """Ranks of words: COMMON, then the most frequent others of ``docs``, counted over all of it.
 
-    A word stands between other characters than letters and digits, so parts of keys are
-    none. The driver gets WORDS rows at most.
+    These are the words of the highest levels of frequency, each a twentieth above the
+    next, as many whole levels as hold WORDS or fewer in all. The driver gets a number
+    for each level, and then those words. A word stands between other characters than
+    letters and digits, so parts of keys are none.
     """
     counts = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null").mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = [r["word"] for r in counts.where(~F.col("word").isin(*COMMON)).orderBy(F.desc("n"), "word").limit(WORDS).collect()]
-    return _COMMON | {w: len(COMMON) + 1 + k for k, w in enumerate(found)}
+    counts = materialise(counts.where(~F.col("word").isin(*COMMON)).withColumn("level", F.floor(F.log("n") / log(1.05)).cast("int")), "words")
+    sizes = {r["level"]: r["n"] for r in counts.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
+    held, least = 0, max(sizes, default=0) + 1
+    for level in sorted(sizes, reverse=True):
+        held += sizes[level]
+        if held > WORDS:
+            break
+        least = level
+    found = sorted((-r["n"], r["word"]) for r in counts.where(F.col("level") >= least).select("word", "n").collect())
+    return _COMMON | {w: len(COMMON) + 1 + k for k, (_, w) in enumerate(found)}
 
 
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)

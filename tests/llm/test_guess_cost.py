@@ -105,11 +105,11 @@ def test_walks_go_to_neighbours_and_turn():
 
 
 def test_words_of_the_corpus_are_cheap(spark, monkeypatch):
-    monkeypatch.setattr(op, "WORDS", 3)
+    monkeypatch.setattr(op, "WORDS", 5)
     text = "lantern orchard lantern; umbrella umbrella umbrella, key4lantern x_y passphrase: secretsecretword secretsecretword"
     docs = spark.createDataFrame([(1, text), (2, text), (3, None), (4, "passphrase=umbrellalanternpasswordorchard")], "doc_id long, text string")
     words = op.vocabulary(docs)
-    assert sorted(words, key=words.get)[len(op.COMMON) :] == ["umbrella", "lantern", "orchard"] and words["umbrella"] == len(op.COMMON) + 1
+    assert sorted(words, key=words.get)[len(op.COMMON) :] == ["umbrella", "lantern", "orchard", "secretsecretword"] and words["umbrella"] == len(op.COMMON) + 1
     assert op.guess_cost("umbrellalantern", words) < op.COST < op.guess_cost("umbrellalantern")
     assert {r.doc_id: r.spans for r in op.scan(docs).collect()}[3] == ""
 
