@@ -90,7 +90,8 @@ def codewords(n: int, seed: int = 3) -> np.ndarray:
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict:
     """Learn from all rows of ``docs`` that have a language and a letter.
 
-    The driver gets one integer for each language and bucket, whatever the number of rows.
+    The driver gets one integer for each language and bucket (8192 buckets, so 64 KB a
+    language), whatever the number of rows.
     """
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     sums = rows.mapInArrow(_summed, "lang string, bucket int, total long").groupBy("lang", "bucket").agg(F.sum("total").alias("total")).toPandas()
@@ -125,7 +126,7 @@ def decode(model: dict, text: str | None) -> tuple[str, float, bool]:
 
 
 def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` and ``ambiguous``, from the text alone."""
+    """``docs`` with ``lang_pred``, ``score`` and ``ambiguous``, from the text alone; existing columns of those names are replaced."""
     fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "ambiguous")]
     docs = docs.select([f.name for f in fields])
     at = docs.columns.index(text_col)
@@ -146,10 +147,13 @@ def held_out(id_col: str = "doc_id"):
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Learn from the rows that aren't held out and predict all.
+    """Learn from the rows that aren't held out and predict all: ``doc_id, held_out, lang_pred, score, ambiguous``.
 
     Texts that are null or have no letter are ``und`` with a score of 0; so is every text
-    where there is nothing to learn from, as in an empty table. One row for each row.
+    where there is nothing to learn from. Texts are read whole, however long. Of languages
+    that score the same, the first in order is taken. Null ids are held out; rows that
+    repeat are each learned from, or not, and predicted. Other columns are ignored,
+    whatever their names. An empty table gives an empty result.
     """
     model = fit(docs.where(~held_out(id_col)), lang_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))

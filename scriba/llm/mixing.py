@@ -56,7 +56,9 @@ def thresholds(slim: DataFrame, budgets: DataFrame) -> DataFrame:
     """``(source, below)``: rows of ``slim (source, size, u)`` with ``u < below`` make up each source's budget.
 
     ``budgets (source, rest)``; the rows taken are the longest prefix in the order of
-    the hash whose size doesn't exceed the budget; rows of equal hash go together.
+    the hash whose size doesn't exceed the budget; rows of equal hash go together. A
+    source whose rows all fit has no row here. The histograms have 65536 cells a source
+    at most; levels end as soon as no boundary bucket holds more than one row.
     """
     state = budgets.select("source", F.col("rest"), F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("prefix"))
     rows, shift = slim, sum(LEVELS)
@@ -65,6 +67,9 @@ def thresholds(slim: DataFrame, budgets: DataFrame) -> DataFrame:
             # only the boundary bucket of each source is counted on
             held = state.select(F.col("source").alias("s"), F.col("prefix").alias("p"))
             rows = materialise(rows.join(held, rows["source"].eqNullSafe(held["s"]) & (F.shiftright("u", shift) == held["p"])).select("source", "size", "u"), "boundary")
+            if (rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) <= 1:
+                # one row is left of each source, and its budget ends there
+                return rows.select("source", F.col("u").alias("below"))
         shift -= bits
         cells = rows.groupBy("source", F.shiftright("u", shift).alias("cell")).agg(F.sum("size").cast("double").alias("sum"))
         upto = Window.partitionBy("source").orderBy("cell")
@@ -99,8 +104,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
     ``taken`` counts a row's words as often as the mix takes it: 0, 1 or 2 times. A null
     text has no words, a null source is a source and comes last, a null id is hashed as
-    empty text; rows that repeat an id are taken together. An empty table gives an
-    empty result. Reruns agree, as only ids and sizes decide.
+    empty text; rows that repeat an id are taken together. Texts are counted whole,
+    however long; other columns are ignored. An empty table gives an empty result. Reruns
+    agree, as only ids and sizes decide. One row for each source meets in one task.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"), order_hash(id_col).alias("u"))
     slim = materialise(slim, "sizes")

@@ -80,18 +80,39 @@ def test_masks_miss_no_leak():
         assert not len(left), (n, wrong)
 
 
+def leaks(item, doc):
+    need = min(op.LENGTH, len(item))
+    for at in range(-len(item) + 1, len(doc)):
+        same = [item[q] == doc[at + q] for q in range(max(0, -at), min(len(item), len(doc) - at))]
+        if any(sum(same[a:b]) >= op.AGREE * (b - a) for a in range(len(same)) for b in range(a + need, len(same) + 1)):
+            return True
+    return False
+
+
+def test_all_documents_against_all_items_equal_brute_force(spark):
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(40)]
+    items = [[rng.choice(words) for _ in range(rng.choice((3, 5, 8, 13, 20, 40)))] for _ in range(14)]
+    docs = []
+    for _ in range(90):
+        doc = [rng.choice(words) for _ in range(rng.randrange(0, 30))]
+        part = list(rng.choice(items))
+        for _ in range(rng.randrange(0, max(1, len(part) // 3))):
+            part[rng.randrange(len(part))] = rng.choice(words)
+        at = rng.randrange(len(doc) + 1)
+        doc[at:at] = part[rng.randrange(3) :]
+        docs.append(doc if rng.random() < 0.9 else list(rng.choice(items)))
+    want = {(d, i) for d, doc in enumerate(docs) for i, item in enumerate(items) if (leaks(item, doc) if len(item) >= op.LEAST else doc == item)}
+    df = spark.createDataFrame([(d, " ".join(x)) for d, x in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in op.find_leaks(df, bench).collect()} == want and len(want) > 50
+    assert {r.doc_id for r in op.decontaminate(df, bench).collect()} == set(range(len(docs))) - {d for d, _ in want}
+
+
 def test_substitutions_equal_brute_force():
     rng = random.Random(12)
     words = [f"w{k}" for k in range(3000)]
 
-    def leaks(item, doc):
-        need = min(op.LENGTH, len(item))
-        for at in range(-len(item) + 1, len(doc)):
-            same = [item[q] == doc[at + q] for q in range(max(0, -at), min(len(item), len(doc) - at))]
-            if any(sum(same[a:b]) >= op.AGREE * (b - a) for a in range(len(same)) for b in range(a + need, len(same) + 1)):
-                return True
-        return False
-
     seen = set()
     for n in range(5, 26):
         for wrong in range(n // 3 + 2):

@@ -79,3 +79,17 @@ def test_edges(spark):
     some = spark.createDataFrame([(1, 1, None), (2, None, 1), (None, 0, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
     assert op.assess_documents(docs, some).count() == 5
     assert op.assess_documents(docs.limit(0), some).count() == 0
+
+
+def test_regression_is_at_its_optimum():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 3)) * (1, 5, 0.1)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x[:, 0] - 0.3 * x[:, 1])))).astype(float)
+    m = op._regression(x, y)
+    z = np.column_stack([np.ones(400), (x - m["mean"]) / m["scale"]])
+
+    def loss(w):
+        return np.logaddexp(0, z @ w).sum() - y @ (z @ w) + w @ w / 2
+
+    least = loss(m["w"])
+    assert all(loss(m["w"] + step) >= least for step in rng.normal(size=(300, 4)) * 0.05)
