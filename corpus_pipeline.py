@@ -1,4 +1,10 @@
-"""A training corpus from raw documents: reject, deduplicate, decontaminate, mix, shard."""
+"""A training corpus from raw documents: reject, deduplicate, decontaminate, mix, shard.
+
+Every stage takes any documents: null ids, texts, sources and languages, empty and very
+long texts, repeated rows, empty tables and extra columns of any name. What each makes
+of them is said at its operator in ``scriba.llm``; all but the last give back the columns
+they got, in their order.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +19,27 @@ from scriba.sources.tables import read_table
 
 
 def reject(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps; without labels, all. Null and empty texts are judged by their style. ``quality.keep_good``."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, that of the smallest id; of rows that repeat it, that of the least text. ``minhash.drop_near_duplicates``."""
     return minhash.drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark; null and empty texts hold none. ``decontamination.decontaminate``."""
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all, once or twice."""
+    """Documents as often as the mix takes them: not at all, once or twice; a null source is a source. ``mixing.repeated``."""
     return mixing.repeated(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and their slot in it."""
+    """All documents with their shard and their slot in it; columns of these names are replaced. ``sharding.shard``."""
     return sharding.shard(docs).drop("size", "text_crc32")
 
 

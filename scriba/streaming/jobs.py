@@ -104,15 +104,24 @@ def reduce_jobs(events: DataFrame, forgotten_ms: int | None = None) -> DataFrame
 
 
 def reduce_batch(events: DataFrame) -> DataFrame:
-    """The batch twin of ``reduce_jobs``: folds each job's events in order.
-
-    A job is one group; its events are what its one state has seen anyway.
-    """
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _row(key, fold(_NEW, pdf))
-
-    return events.select("job", "seq", "kind", "position").groupBy("job").applyInPandas(run, STATE)
+    """The batch twin of ``reduce_jobs``: folds each job's events in order, as a sorted stream, so that a job of any length is never held whole."""
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, _NEW
+        for pdf in pdfs:
+            done = []
+            for job, part in pdf.groupby("job", sort=False):
+                if key is not None and key != (job,):
+                    done.append(_row(key, held))
+                    held = _NEW
+                key, held = (job,), fold(held, part)
+            if done:
+                yield pd.concat(done)
+        if key is not None:
+            yield _row(key, held)
+
+    rows = events.select("job", "seq", "kind", "position").where("job is not null")
+    return rows.repartition("job").sortWithinPartitions("job", "seq").mapInPandas(run, STATE)
 
 
 def speech_sessions(frames: DataFrame, gap: str, delay: str = "1 hour") -> DataFrame:
