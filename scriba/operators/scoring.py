@@ -103,3 +103,47 @@ def guard_sweep(rows: DataFrame, floors: tuple[float, ...]) -> DataFrame:
         F.count_if(fires).alias("fired"), F.count_if(fires & (change < 0)).alias("better"), F.count_if(fires & (change == 0)).alias("same"), F.count_if(fires & (change > 0)).alias("worse"),
         F.sum(F.when(fires, change).otherwise(0)).alias("net_errors"), F.sum(F.when(fires, F.col("errors_second")).otherwise(F.col("errors_first"))).alias("errors"),
     )
+
+
+def _share(value: Column, decimals: int = 1) -> Column:
+    return F.when(value.isNull(), "—").otherwise(F.format_string(f"%.{decimals}f%%", value * 100))
+
+
+def summary_lines(rows: DataFrame, by: str = "dataset") -> DataFrame:
+    """``(by, line)``: a dataset's line of the summary, in columns of fixed width; what can't be known is a dash, and a half is rounded up.
+
+    ``rows`` has ``files, cer, exact_pct, f1, chars_per_segment, seconds, mean_coverage,
+    recovered`` of each dataset.
+    """
+    cells = [
+        F.rpad(F.col(by), F.greatest(F.lit(20), F.length(by)), " "), *(_right(x, n) for x, n in (
+            (F.col("files").cast("string"), 6), (_share(F.col("cer"), 2), 8), (_share(F.col("exact_pct") / 100), 8), (_share(F.col("f1")), 9), (F.format_string("%.1f", "chars_per_segment"), 8),
+            (F.format_string("%.0fs", "seconds"), 7), (_share(F.col("mean_coverage")), 7), (F.col("recovered").cast("string"), 5),
+        )),
+    ]
+    return rows.select(by, F.concat_ws(" ", *cells).alias("line"))
+
+
+def _right(text: Column, width: int) -> Column:
+    """The text at the end of so many characters; a longer one as it is."""
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), " ")
+
+
+def detail_rows(rows: DataFrame, by: str, pos: str, worst_shown: int = WORST) -> DataFrame:
+    """``(by, ordinal, fact, value)``: the account of each dataset: its roll-ups, how its error rates are distributed, and its worst files.
+
+    ``rows`` has ``errors, reference_len, rate, segments, coverage, recovered, utt_id``. A
+    dataset without a file has no rows.
+    """
+    all_ = roll_up(rows, by).join(coverage_roll_up(rows, by), by).join(mean_segment_chars(rows, by), by)
+    facts = {
+        "utterances": F.col("files").cast("string"), "reference chars": F.col("chars").cast("string"), "errors": F.col("errors").cast("string"), "CER": _share(F.col("cer"), 2),
+        "segments": F.concat(F.col("segments").cast("string"), F.format_string(" (%.1f chars each)", "chars_per_segment")),
+        "coverage": F.when(F.col("judged") > 0, F.concat(_share(F.col("mean_coverage")), F.lit(" mean, "), _share(F.col("min_coverage")), F.lit(" lowest of "), F.col("judged").cast("string"))),
+        "recovered": F.col("recovered").cast("string"), "exact matches": F.concat(F.col("exact").cast("string"), F.lit(" ("), _share(F.col("exact_pct") / 100), F.lit(")")),
+    }
+    named = all_.select(by, F.explode(F.array(*(F.struct(F.lit(k).alias("ordinal"), F.lit(n).alias("fact"), v.alias("value")) for k, (n, v) in enumerate(facts.items())))).alias("x")).select(by, "x.*").where("value is not null")
+    spread = percentiles(rows.withColumn("value", F.col("rate")), by, "value")
+    spread = spread.select(by, (F.lit(100) + F.round(F.col("p") * 100)).cast("int").alias("ordinal"), F.format_string("p%.0f", F.col("p") * 100).alias("fact"), _share(F.col("value")).alias("value"))
+    most = worst(rows, by, pos, worst_shown).select(by, (F.lit(1000) + F.col("rank")).cast("int").alias("ordinal"), F.col("utt_id").alias("fact"), F.concat(F.col("errors").cast("string"), F.lit(" errors / "), F.col("reference_len").cast("string"), F.lit(" chars")).alias("value"))
+    return named.unionByName(spread).unionByName(most)

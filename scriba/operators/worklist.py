@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriba.functions.columns import ColumnLike, col, first_that_holds
+from scriba.functions.columns import ColumnLike, col, first_that_holds, lookup
+from scriba.functions.paths import last_component, recovery
 from scriba.functions.text import trim_ws
 
 RUNNING, NEEDS_MODEL, QUEUED = "running", "needs_model", "queued"
@@ -100,3 +101,30 @@ def settled_deltas(deltas: DataFrame, by: str = "job", order: str = "seq") -> Da
     kept = deltas.join(last, by).where(F.col("stable") | (F.col(order) == F.col("_last")))
     return kept.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]), "").alias("text"))
 
+
+# The states of entries, and what a screen shows in each.
+_ENTRY_STATES = {RUNNING: "working", NEEDS_MODEL: "needsModel", QUEUED: "queued", "done": "done", "failed": "failed"}
+
+
+def entry_views(files: DataFrame) -> DataFrame:
+    """What a list shows of ``files (list, pos, input, state, engine, output)``: a name, a state, and whether there is a result to open."""
+    state = F.coalesce(lookup("state", _ENTRY_STATES), F.lit("queued"))
+    return files.select("list", "pos", last_component("input").alias("name"), "engine", state.alias("state"), ((state == "done") & F.col("output").isNotNull()).alias("has_result"))
+
+
+def screen_views(files: DataFrame) -> DataFrame:
+    """What a window shows of ``files (list, pos, input, state, position_ms, fraction, output, kind)``; what doesn't belong to a state is null."""
+    state = F.coalesce(lookup("state", _ENTRY_STATES), F.lit("empty"))
+    only = lambda which, value: F.when(state == which, value)
+    return files.select(
+        "list", "pos", state.alias("state"), F.when(state != "empty", last_component("input")).alias("file"), only("working", F.col("position_ms")).alias("elapsed_ms"), only("working", F.col("fraction")).alias("fraction"),
+        only("done", F.col("output")).alias("exported"), only("failed", recovery("kind")).alias("recovery"),
+    )
+
+
+def download_views(downloads: DataFrame, models: DataFrame) -> DataFrame:
+    """What a window shows of ``downloads (id, state, file, received, total)``: the file in flight and, from ``models (id, known_bytes, total_bytes)``, the whole model; only while it is fetched."""
+    fetching = F.col("state") == "fetching"
+    rows = downloads.join(models.select("id", F.col("known_bytes").alias("_known"), F.col("total_bytes").alias("_all")), "id", "left")
+    kept = {"file": F.col("file"), "received_bytes": F.col("received"), "total_bytes": F.col("total"), "model_total_bytes": F.col("_all")}
+    return rows.select("id", "state", *(F.when(fetching, v).alias(k) for k, v in kept.items()))

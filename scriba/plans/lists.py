@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriba.functions import digests, engines, numbers, paths, text, times
-from scriba.operators import catalogue, jobs, punctuation, signal, store, worklist
+from scriba.operators import catalogue, jobs, punctuation, segmenters, signal, store, worklist
+from scriba.operators import scoring as scores
 from scriba.plans import catalogues, scoring
 from scriba.plans.catalogues import MODELS
 from scriba.plans.registry import query, table
@@ -343,3 +344,68 @@ def settled_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job"), F.col("o_orderstatus").alias("kind"))
     state = F.when(F.col("kind") == "F", "done").otherwise("running")
     return rows.withColumn("real", state).select("job", F.col("kind").alias("state"), jobs.is_settled("real").alias("settled"))
+
+
+# -- reports and views -----------------------------------------------------
+
+
+@query(f"""WITH {scoring.PAIRS}, d AS (SELECT dataset, count(*) AS files, CASE WHEN sum(reference_len) = 0 THEN 0 ELSE sum(errors) / sum(reference_len) END AS cer, sum(reference_len) / sum(segments) AS per, sum(segments) AS seconds, avg(coverage) AS coverage, count(*) FILTER (recovered) AS recovered FROM s GROUP BY dataset)
+SELECT dataset, concat_ws(' ', rpad(dataset, 20, ' '), lpad(files::VARCHAR, 6, ' '), lpad(printf('%.2f%%', round(cer * 100, 2)), 8, ' '), lpad('0.0%', 8, ' '), lpad('—', 9, ' '), lpad(printf('%.1f', round(per, 1)), 8, ' '), lpad(printf('%ds', seconds::BIGINT), 7, ' '),
+  lpad(coalesce(printf('%.1f%%', round(coverage * 100, 1)), '—'), 7, ' '), lpad(recovered::VARCHAR, 5, ' ')) AS line FROM d""")
+def summary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Punctuation isn't scored here; segments stand for seconds."""
+    rows = scoring.scored(spark, sf_dir)
+    all_ = scores.roll_up(rows, "dataset").join(scores.coverage_roll_up(rows, "dataset"), "dataset").join(scores.mean_segment_chars(rows, "dataset"), "dataset")
+    return scores.summary_lines(all_.withColumns({"f1": F.lit(None).cast("double"), "seconds": F.col("segments").cast("double")}))
+
+
+@query(f"""WITH {scoring.PAIRS}, d AS (SELECT dataset, count(*) AS files, sum(reference_len) AS chars, sum(errors) AS errors, CASE WHEN sum(reference_len) = 0 THEN 0 ELSE sum(errors) / sum(reference_len) END AS cer, count(*) FILTER (errors = 0) AS exact, sum(segments) AS segments,
+    avg(coverage) AS mean, min(coverage) AS low, count(coverage) AS judged, count(*) FILTER (recovered) AS recovered, list_sort(list(rate)) AS rates FROM s GROUP BY dataset),
+o AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY errors DESC, reference_len DESC, pos) AS k FROM s), q AS (SELECT unnest([0.5, 0.9, 0.99])::DOUBLE AS p)
+SELECT dataset, 0::INTEGER AS ordinal, 'utterances' AS fact, files::VARCHAR AS value FROM d UNION ALL SELECT dataset, 1, 'reference chars', chars::VARCHAR FROM d UNION ALL SELECT dataset, 2, 'errors', errors::VARCHAR FROM d
+UNION ALL SELECT dataset, 3, 'CER', printf('%.2f%%', round(cer * 100, 2)) FROM d UNION ALL SELECT dataset, 4, 'segments', segments::VARCHAR || printf(' (%.1f chars each)', round(chars / segments, 1)) FROM d
+UNION ALL SELECT dataset, 5, 'coverage', printf('%.1f%% mean, %.1f%% lowest of %d', round(mean * 100, 1), round(low * 100, 1), judged) FROM d WHERE judged > 0 UNION ALL SELECT dataset, 6, 'recovered', recovered::VARCHAR FROM d
+UNION ALL SELECT dataset, 7, 'exact matches', printf('%d (%.1f%%)', exact, round(100.0::DOUBLE * exact / files, 1)) FROM d
+UNION ALL SELECT dataset, (100 + round(p * 100))::INTEGER, printf('p%.0f', p * 100), printf('%.1f%%', round(100 * rates[floor((len(rates) - 1) * p)::BIGINT + 1], 1)) FROM d, q
+UNION ALL SELECT dataset, (1000 + k)::INTEGER, utt_id, printf('%d errors / %d chars', errors, reference_len) FROM o WHERE k <= 20""")
+def detail_account(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.detail_rows(scoring.scored(spark, sf_dir), "dataset", "pos")
+
+
+@query(f"""WITH {LISTED} SELECT list, pos, regexp_extract(input, '[^/]*$') AS name, 'e' AS engine, CASE state WHEN 'running' THEN 'working' WHEN 'needs_model' THEN 'needsModel' ELSE state END AS state, state = 'done' AND pos % 3 <> 0 AS has_result FROM f""")
+def entry_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return worklist.entry_views(_listed(spark, sf_dir).withColumns({"engine": F.lit("e"), "output": F.when(F.col("pos") % 3 != 0, "o")}))
+
+
+@query(f"""WITH {LISTED} SELECT list, pos, CASE state WHEN 'running' THEN 'working' WHEN 'needs_model' THEN 'needsModel' ELSE state END AS state, regexp_extract(input, '[^/]*$') AS file, CASE WHEN state = 'running' THEN pos * 10 END AS elapsed_ms,
+  CASE WHEN state = 'running' THEN 0.5 END::DOUBLE AS fraction, CASE WHEN state = 'done' AND pos % 3 <> 0 THEN 'o' END AS exported, NULL::VARCHAR AS recovery FROM f""")
+def screen_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _listed(spark, sf_dir).withColumns({"position_ms": F.col("pos") * 10, "fraction": F.lit(0.5), "output": F.when(F.col("pos") % 3 != 0, "o"), "kind": F.lit("io")})
+    return worklist.screen_views(rows)
+
+
+@query("""WITH m AS (SELECT l_orderkey AS id, CASE WHEN bool_and(l_linestatus = 'O') THEN sum(l_quantity)::BIGINT END AS total FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'fetching' ELSE 'ready' END AS state, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS file, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS received_bytes, NULL::BIGINT AS total_bytes, CASE WHEN o_orderkey % 2 = 0 THEN total END AS model_total_bytes
+FROM orders LEFT JOIN m ON m.id = o_orderkey""")
+def download_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = catalogue.sizes(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.when(F.col("l_linestatus") == "O", F.col("l_quantity").cast("long")).alias("size")))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, "fetching").otherwise("ready").alias("state"), F.col("o_orderpriority").alias("file"), F.col("o_custkey").alias("received"), F.lit(None).cast("long").alias("total"))
+    return worklist.download_views(rows, sizes)
+
+
+@query("""WITH t AS (SELECT conv_id AS file_id, sum(length(text) * 80)::BIGINT AS total FROM conversations GROUP BY conv_id), b AS (SELECT file_id, total, unnest(range(0, (total - 1) // 20000 + 1)) AS block FROM t WHERE total > 0)
+SELECT file_id, block * 20000 AS start, least(20000, total - block * 20000) AS n FROM b""")
+def segmented_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks by a segmenter that takes chunks one after the other."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), F.col("turn").alias("seq"), (F.length("text") * 80).cast("long").alias("n"), F.lit(1.0).alias("score"))
+    return segmenters.segmented(signal.chunk_starts(rows), lambda: segmenters.Blocks(20_000))
+
+
+@query("""WITH c AS (SELECT user_id AS file_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, value >= 20 AS speech FROM events),
+g AS (SELECT *, k - row_number() OVER (PARTITION BY file_id, speech ORDER BY k) AS run FROM c), r AS (SELECT file_id, min(k) * 10 AS start, count(*) * 10 AS n FROM g WHERE speech GROUP BY file_id, run)
+SELECT file_id, start::BIGINT AS start, n::BIGINT AS n FROM r WHERE n >= 20""")
+def segmented_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of two events and more with enough value; one without ends a run."""
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("file_id"), ((F.row_number().over(order) - 1) * 10).cast("long").alias("start"), F.lit(10).cast("long").alias("n"), F.col("value").alias("score"))
+    return segmenters.segmented(rows, lambda: segmenters.Gaps(20.0, 10, 20, 1 << 40))
