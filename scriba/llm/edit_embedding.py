@@ -11,7 +11,7 @@ minimum of a random function over all steps of a text of that length, so texts o
 the same length sample the same steps, whatever the length is.
 
 Groups: two near fingerprints share a bucket of a band of sampled slots; those of a
-bucket are compared as wholes, in large buckets over pivots and smaller buckets of one
+bucket are compared as wholes, in large buckets over a sample and smaller buckets of one
 slot more, and not at all where they are in one group already; connected components group
 them. No near pair is missed.
 """
@@ -145,7 +145,7 @@ def _positions(walk: _Walk, seen: np.ndarray, start: np.ndarray, steps: np.ndarr
 
 
 def _like(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a == b).mean(axis=1)
+    return (a == b).mean(axis=-1)
 
 
 _ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -298,22 +298,38 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket's sample: the node with most of what is usual, and what is usual in each slot and how often."""
+    """Of each bucket's sample: its nodes and prints, the print with most of what is usual, and what is usual in each slot and how often."""
     for batch in batches:
-        pivot, prints, usual, often = [], [], [], []
+        nodes, prints, pivot, usual, often = [], [], [], [], []
         for x in batch.column(1).to_pylist():
             f = np.frombuffer(b"".join(r["print"] for r in x), dtype=np.uint8).reshape(-1, SLOTS)
             n = (f[:, None, :] == f[None, :, :]).sum(axis=1)
             top, best = n.argmax(axis=0), int(n.sum(axis=1).argmax())
-            pivot.append(x[best]["node"])
-            prints.append(f[best].tobytes())
+            # the pivot comes first
+            order = [best, *(k for k in range(len(f)) if k != best)]
+            nodes.append([x[k]["node"] for k in order])
+            prints.append(f[order].tobytes())
+            pivot.append(f[best].tobytes())
             usual.append(f[top, np.arange(SLOTS)].tobytes())
             often.append(n.max(axis=0).astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pivot, pa.int64()), *(pa.array(x, pa.binary()) for x in (prints, usual, often))], ["bucket", "pivot", "pivot_print", "usual", "often"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.list_(pa.int64())), *(pa.array(x, pa.binary()) for x in (prints, pivot, usual, often))], ["bucket", "nodes", "prints", "pivot_print", "usual", "often"])
+
+
+def _near_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of ``node, print`` to those of the bucket's sample ``nodes, prints`` that are near."""
+    for batch in batches:
+        src, dst = [], []
+        for node, own, nodes, prints in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            f = np.frombuffer(prints, dtype=np.uint8).reshape(-1, SLOTS)
+            for k in np.flatnonzero(_like(f, np.frombuffer(own, dtype=np.uint8)) >= LIKE).tolist():
+                if nodes[k] != node:
+                    src.append(node)
+                    dst.append(nodes[k])
+        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
 
 def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``bucket, node, pivot, near`` for the smaller buckets of each node, and a row without bucket for a link to the pivot.
+    """``bucket, node, label`` for the smaller buckets of each node ``bucket, node, label, print, pivot_print, usual, often``.
 
     A node's smaller buckets are 17 slots in which it differs from the pivot, with what
     it has there, the least usual first. Of two near nodes that aren't both near the
@@ -321,44 +337,54 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     so in one that is among the first 17 of both. That holds for any pivot and any order.
     """
     for batch in batches:
-        bucket, node, pivot = (batch.column(k).to_numpy() for k in range(3))
+        bucket, node, label = (batch.column(k).to_numpy() for k in range(3))
         f, g, usual, often = (_bytes(batch.column(k)) for k in range(3, 7))
-        differs, near = f != g, _like(f, g) >= LIKE
+        differs = f != g
         rank = np.where(differs, np.where(f == usual, often.astype(np.int32), 0), 1 << 16)
         first = np.argsort(rank, axis=1, kind="stable")[:, :FIRST]
         row, k = np.nonzero(np.take_along_axis(differs, first, axis=1))
         slot = first[row, k]
         with np.errstate(over="ignore"):
             key = mix(mix(bucket[row].view(U)) + (slot << 8 | f[row, slot].astype(np.int64)).astype(U)).view(np.int64)
-        found = np.flatnonzero(near)
-        columns = [pa.concat_arrays([pa.nulls(len(found), pa.int64()), pa.array(key, pa.int64())])]
-        at = np.concatenate((found, row))
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(node[at]), pa.array(pivot[at]), pa.array(near[at])], ["bucket", "node", "pivot", "near"])
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(node[row]), pa.array(label[row])], ["bucket", "node", "label"])
+
 
+_LINK = "src long, dst long"
 
-def _bucket_links(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Links ``(src, dst)`` that connect what near fingerprints connect in the buckets of ``rows (bucket, node, near)``.
 
-    A bucket of more than BLOCK nodes is first held against a pivot, and what is not near
-    it, or may be near to such, falls into smaller buckets, of which the members agree in
-    one slot more. Members that agree in 48 slots are all near their pivot, so this ends.
+def _labelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels (node, label)`` after more links: each node with the smallest that it reaches."""
+    known = labels.where("label <> node").select(F.col("node").alias("src"), F.col("label").alias("dst"))
+    roots = connected_components(known.unionByName(links))
+    return materialise(labels.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label")), "labels")
+
+
+def _linked(rows: DataFrame, known: DataFrame, labels: DataFrame) -> DataFrame:
+    """``labels`` after what near fingerprints connect in the buckets of ``rows (bucket, node, label)``.
+
+    Buckets whose nodes have one label connect nothing more. The others are compared as
+    wholes; one of more than BLOCK nodes is first held against a sample of its own. Its
+    nodes then fall into smaller buckets by what they differ from one of that sample in,
+    and those that are left with several labels are dealt with in the same way. A smaller
+    bucket's members agree in one slot more; where they agree in 48 they are all near,
+    so this ends.
     """
-    links = []
     while True:
-        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("near").alias("done")).where("n > 1 and not done")
-        sizes = materialise(sizes, "sizes")
+        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        sizes = materialise(sizes.select("bucket", "n"), "sizes")
         few = rows.join(sizes.where(F.col("n") <= BLOCK).select("bucket"), "bucket").join(known, "node").select("bucket", "node", "print")
-        links.append(few.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links, "src long, dst long"))
+        links = few.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links, _LINK)
         hot = sizes.where(F.col("n") > BLOCK).select("bucket")
         if hot.isEmpty():
-            return reduce(DataFrame.unionByName, links)
-        sample = rows.join(hot, "bucket").groupBy("bucket").agg(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(SAMPLE))).alias("nodes"))
+            return _labelled(labels, links)
+        many = materialise(rows.join(hot, "bucket").select("bucket", "node"), "hot")
+        sample = many.groupBy("bucket").agg(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(SAMPLE))).alias("nodes"))
         sample = sample.select("bucket", F.explode(F.array_distinct("nodes")).alias("node")).join(known, "node").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("node", "print"))).alias("sample"))
-        pivots = materialise(sample.mapInArrow(_pivots, "bucket long, pivot long, pivot_print binary, usual binary, often binary"), "pivots")
-        many = rows.select("bucket", "node").join(pivots, "bucket").where("node <> pivot").join(known, "node")
-        many = materialise(many.select("bucket", "node", "pivot", "print", "pivot_print", "usual", "often").mapInArrow(_refine, "bucket long, node long, pivot long, near boolean"), "refined")
-        links.append(many.where("bucket is null").select(F.col("node").alias("src"), F.col("pivot").alias("dst")))
-        rows = many.where("bucket is not null").select("bucket", "node", "near")
+        pivots = materialise(sample.mapInArrow(_pivots, "bucket long, nodes array<long>, prints binary, pivot_print binary, usual binary, often binary"), "pivots")
+        near = many.join(known, "node").join(pivots, "bucket").select("node", "print", "nodes", "prints").mapInArrow(_near_pivots, _LINK)
+        labels = _labelled(labels, links.unionByName(near))
+        many = many.join(known.join(labels, "node"), "node").join(pivots, "bucket").select("bucket", "node", "label", "print", "pivot_print", "usual", "often")
+        rows = materialise(many.mapInArrow(_refine, "bucket long, node long, label long"), "refined")
 
 
 def fingerprint_classes(prints: DataFrame) -> DataFrame:
@@ -366,22 +392,17 @@ def fingerprint_classes(prints: DataFrame) -> DataFrame:
 
     Equal fingerprints are one node, of the smallest id of these; rows that all have a
     null id have a null class. Other columns pass through. An empty table gives an empty
-    result. Inside a bucket, whatever near fingerprints connect is linked. The buckets of
-    the first band come first; of the others, only those that hold more than one class
-    of these are looked at. No pair is left out, and no task holds more than a block.
+    result. The buckets of one band come first; of the other bands, only those that hold
+    more than one class of these are looked at. No pair is left out, and no task holds
+    more than a block.
     """
     nodes = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node")).where("node is not null"), "prints")
     known = nodes.select("node", F.unhex("fingerprint").alias("print"))
+    labels = nodes.select("node", F.col("node").alias("label"))
     bands = materialise(nodes.select("fingerprint", "node").mapInArrow(_bands, "bands array<long>, node long"), "bands")
-
-    def rows(keys: str, *more: str) -> DataFrame:
-        return bands.select("node", F.explode(F.expr(keys)).alias("bucket"), F.lit(False).alias("near"), *more)
-
-    first = connected_components(_bucket_links(rows(f"slice(bands, 1, {ROWS})"), known))
-    bands = materialise(bands.join(first, "node", "left").select("bands", "node", F.coalesce("root", "node").alias("label")), "labelled")
-    others = rows(f"slice(bands, {ROWS + 1}, size(bands))", "label")
-    apart = others.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    others = materialise(others.join(apart, "bucket", "left_semi").select("bucket", "node", "near"), "apart")
-    roots = connected_components(_bucket_links(others, known).unionByName(first.select(F.col("node").alias("src"), F.col("root").alias("dst"))))
-    labels = nodes.join(roots, "node", "left").select("fingerprint", F.coalesce("root", "node").alias("class_id"))
-    return prints.join(labels, "fingerprint", "left").select(*prints.columns, "class_id")
+    first = bands.select(F.col("bands")[ROWS].alias("bucket"), "node", F.col("node").alias("label"))
+    labels = _linked(first, known, labels)
+    others = bands.join(labels, "node").select("node", "label", F.explode(F.array_remove("bands", F.col("bands")[ROWS])).alias("bucket"))
+    labels = _linked(materialise(others, "others"), known, labels)
+    classes = nodes.join(labels, "node").select("fingerprint", F.col("label").alias("class_id"))
+    return prints.join(classes, "fingerprint", "left").select(*prints.columns, "class_id")

@@ -137,8 +137,8 @@ def test_first_slots_lead_near_nodes_to_each_other():
         y[rng.choice(op.SLOTS, int(rng.integers(1, 17)), replace=False)] = 9
         f = [x.tobytes(), y.tobytes()]
         usual, often = (rng.integers(0, 3, op.SLOTS).astype(np.uint8) for _ in range(2))
-        batch = pa.RecordBatch.from_arrays([pa.array([5, 5]), pa.array([1, 2]), pa.array([0, 0]), pa.array(f), *(pa.array([u.tobytes()] * 2) for u in (p, usual, often))], ["bucket", "node", "pivot", "print", "pivot_print", "usual", "often"])
+        batch = pa.RecordBatch.from_arrays([pa.array([5, 5]), pa.array([1, 2]), pa.array([1, 2]), pa.array(f), *(pa.array([u.tobytes()] * 2) for u in (p, usual, often))], ["bucket", "node", "label", "print", "pivot_print", "usual", "often"])
         out = [r for b in op._refine(iter([batch])) for r in b.to_pylist()]
-        near = {r["node"] for r in out if r["bucket"] is None}
-        buckets = [{r["bucket"] for r in out if r["node"] == k and r["bucket"] is not None} for k in (1, 2)]
-        assert near == {1, 2} or buckets[0] & buckets[1]
+        both_near = (x == p).mean() >= op.LIKE and (y == p).mean() >= op.LIKE
+        buckets = [{r["bucket"] for r in out if r["node"] == k} for k in (1, 2)]
+        assert both_near or buckets[0] & buckets[1]
