@@ -128,6 +128,14 @@ def _links(quoting: DataFrame, talk: DataFrame) -> DataFrame:
     return links.groupBy("_row").agg(F.array_sort(F.collect_set("origin")).alias("quotes"), F.max(F.struct((-F.col("depth")).alias("d"), "origin"))["origin"].alias("quoted"))
 
 
+def _talk(m: DataFrame) -> DataFrame:
+    """``(_row, conv_id, turn, _own)``: what the messages of conversations with quote marks say themselves, line by line."""
+    talk = m.join(m.where("_quoting and conv_id is not null").select("conv_id").distinct(), "conv_id", "left_semi").where("turn is not null")
+    talk = talk.select("_row", "conv_id", "turn", "_quoting", lines_of(F.col("text")).alias("_lines"))
+    own = F.transform(F.filter("_lines", lambda x: (x["depth"] == 0) & ~(x["credit"] & F.col("_quoting"))), lambda x: x["norm"])
+    return materialise(talk.select("_row", "conv_id", "turn", own.alias("_own")), "talk")
+
+
 def linked(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str = "role") -> DataFrame:
     """``(conv_id, turn, role, content, n_quoted, max_depth, quotes, reply_to, linked)`` for every message.
 
@@ -146,14 +154,10 @@ def linked(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     m = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), text.alias("text"))
     m = materialise(m.withColumns({"_row": F.monotonically_increasing_id(), "_quoting": F.coalesce(F.col("text").rlike(_QUOTING), F.lit(False))}), "messages")
 
-    # only conversations with quote marks are parsed
-    talk = m.join(m.where("_quoting and conv_id is not null").select("conv_id").distinct(), "conv_id", "left_semi").where("turn is not null")
-    talk = talk.select("_row", "conv_id", "turn", "_quoting", lines_of(F.col("text")).alias("_lines"))
-    own = F.transform(F.filter("_lines", lambda x: (x["depth"] == 0) & ~(x["credit"] & F.col("_quoting"))), lambda x: x["norm"])
-    talk = materialise(talk.select("_row", "conv_id", "turn", own.alias("_own")), "talk")
     quoting = materialise(m.where("_quoting").select("_row", "conv_id", "turn", lines_of(F.col("text")).alias("_lines")), "lines")
     quoting = materialise(quoting.select("_row", "conv_id", "turn", passages_of(F.col("_lines")).alias("_passages")), "quoting")
-    links = _links(quoting, talk)
+    # without a quotation there is nothing to look up, and only conversations with quote marks are parsed
+    links = quoting.select("_row", F.array().cast("array<long>").alias("quotes"), F.lit(None).cast("long").alias("quoted")) if quoting.isEmpty() else _links(quoting, _talk(m))
     counts = quoting.select("_row", F.size("_passages").cast("long").alias("n_quoted"), F.coalesce(F.array_max(F.transform("_passages", lambda x: x["depth"])), F.lit(0)).alias("max_depth"))
 
     kept = F.filter(F.split("text", _LINES), lambda x: ~x.rlike(_MARKS) & ~x.rlike(_CREDIT))
