@@ -8,7 +8,8 @@ their sets' Jaccard similarity is 0.75 or more; a component is what links connec
    rank, until no further rank could lower a slot. 21 bands of 3 slots miss a pair at
    0.75 with a probability of 1e-5, and less above.
 2. Equal sets are one node. A bucket is what shares a band; in each one a pivot, the node
-   with most neighbours over all its buckets, is held against all others, on full sets,
+   with most neighbours over all its buckets, of these the one of the smallest doc_id, is
+   held against all others, on full sets,
    so the number of pairs is that of the buckets' rows.
 3. Nodes far from their pivot (under 0.5) are dealt with again in two more rounds, with
    several pivots. Links that no pivot has show otherwise. With ``D(x)`` the symmetric
@@ -176,12 +177,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     twice = known.join(twice, "doc_id", "left_semi").select("doc_id", "set_key").distinct().join(nodes.select("set_key", "node"), "set_key")
     one = twice.groupBy("doc_id").agg(F.min("node").alias("dst"))
 
-    rows = nodes.select("node", F.explode("bands").alias("bucket"))
+    rows = nodes.select("node", "first", F.explode("bands").alias("bucket"))
     full = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialise(rows.join(full, "bucket"), "buckets")
     mass = shared.groupBy("node").agg(F.sum("n").alias("mass"))
-    pivots = shared.join(mass, "node").groupBy("bucket").agg(F.max(F.struct("mass", (-F.col("node")).alias("minus"))).alias("x"))
-    pivots = materialise(pivots.select("bucket", (-F.col("x.minus")).alias("pivot")), "pivots")
+    pivots = shared.join(mass, "node").groupBy("bucket").agg(F.max(F.struct("mass", (-F.col("first")).alias("minus"), "node")).alias("x"))
+    pivots = materialise(pivots.select("bucket", F.col("x.node").alias("pivot")), "pivots")
     far = shared.select("bucket", "node")
 
     links, held, seek, sets = [twice.join(one, "doc_id").select(F.col("node").alias("src"), "dst")], [], [], None
