@@ -15,11 +15,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 from math import log, log10
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +32,8 @@ COST = 10.0
 UNIT = 8
 #: Words of the corpus that an attacker tries, and their length.
 WORDS, SHORTEST, LONGEST = 20_000, 3, 20
-#: Words that a task counts before it gives them out, and characters of a text that it splits at once.
-_HELD, _SLICE = 200_000, 1 << 20
+#: Words that a task holds.
+_HELD = 400_000
 
 # What people often pick, the most frequent first.
 COMMON = (
@@ -178,32 +179,37 @@ def _cheapest(starts: list[tuple[float, int]], j: int, size: int, each: float) -
 # words of the corpus
 # --------------------------------------------------------------------------
 
-_RUN = re.compile(r"[^\W_]+")
+_BETWEEN = r"[^\p{L}\p{N}]+"
+
+
+def _counts(texts: pa.Array) -> pa.Table:
+    """``word, n``: how often each word occurs in the texts, outside of values in credential contexts."""
+    named = pc.fill_null(pc.match_substring_regex(texts, _CONTEXT_NAMED.pattern, ignore_case=True), False)
+    if pc.any(named).as_py():
+        texts = pc.replace_with_mask(texts, named, pa.array([_CONTEXT.sub(" ", t) for t in pc.filter(texts, named).to_pylist()], texts.type))
+    found = pc.value_counts(pc.list_flatten(pc.split_pattern_regex(pc.utf8_lower(texts), _BETWEEN)))
+    words, n = found.field(0), found.field(1)
+    size = pc.utf8_length(words)
+    kept = pc.and_(pc.and_(pc.greater_equal(size, SHORTEST), pc.less_equal(size, LONGEST)), pc.utf8_is_alpha(words))
+    return pa.table({"word": pc.filter(words, kept).cast(pa.string()), "n": pc.filter(n, kept)})
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each word occurs in a task's texts, outside of values in credential contexts."""
-    held: Counter[str] = Counter()
+    """``_counts`` of a task's texts; given out whenever so many words are held."""
+    held: list[pa.Table] = []
 
-    def out() -> pa.RecordBatch:
-        rows = [(w, n) for w, n in held.items() if SHORTEST <= len(w) <= LONGEST and w.isalpha()]
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
+    def summed() -> pa.Table:
+        return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            if text and _CONTEXT_NAMED.search(text):
-                text = _CONTEXT.sub(" ", text)
-            at, n = 0, len(text or "")
-            while at < n:
-                end = min(at + _SLICE, n)
-                while end < n and text[end].isalnum():
-                    end += 1
-                held.update(_RUN.findall(text[at:end].lower()))
-                at = end
-                if len(held) > _HELD:
-                    yield out()
-    yield out()
+        held.append(_counts(batch.column(0).cast(pa.large_string())))
+        if sum(t.num_rows for t in held) > _HELD:
+            held = [summed()]
+            if held[0].num_rows > _HELD // 2:
+                yield from held[0].to_batches()
+                held = []
+    if held:
+        yield from summed().to_batches()
 
 
 def vocabulary(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
@@ -262,15 +268,24 @@ def _written(spans: list[tuple]) -> str:
 _ROW = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("max_cost", pa.float64())])
 
 
+_NOTHING = hashlib.sha256(b"").hexdigest()
+
+
 def _scan(batches: Iterator[pa.RecordBatch], words: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``doc_id, text``; only texts that hold a part of some pattern are looked at one by one."""
     for batch in batches:
-        rows = []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            base, more = base_spans(text or ""), guessed_spans(text or "", words)
-            kinds = [x[1] for x in base]
-            every = sorted([*base, *(x[:3] for x in more)])
-            rows.append((i, kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(_written(base).encode()).hexdigest(), _written(every), max((x[3] for x in more), default=None)))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_ROW), _ROW, strict=True)], schema=_ROW)
+        texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
+        named = pc.match_substring_regex(texts, _CONTEXT_NAMED.pattern, ignore_case=True)
+        some = pc.or_(named, pc.or_(pc.match_substring(texts, "AKIA"), pc.match_substring_regex(texts, "[0-9a-f]{16}")))
+        n = batch.num_rows
+        kinds, digests, spans, cost = np.zeros((3, n), dtype=np.int64), [_NOTHING] * n, [""] * n, [None] * n
+        at = np.flatnonzero(some.to_numpy(zero_copy_only=False))
+        for k, text, more in zip(at.tolist(), texts.take(pa.array(at)).to_pylist(), named.take(pa.array(at)).to_pylist(), strict=True):
+            base, guessed = base_spans(text), guessed_spans(text, words) if more else []
+            kinds[:, k] = np.bincount([x[1] for x in base], minlength=3)
+            digests[k], spans[k] = hashlib.sha256(_written(base).encode()).hexdigest(), _written(sorted([*base, *(x[:3] for x in guessed)]))
+            cost[k] = max((x[3] for x in guessed), default=None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, kinds), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(cost, pa.float64())], schema=_ROW)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

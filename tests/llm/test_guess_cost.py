@@ -3,6 +3,7 @@ import random
 import re
 from math import log10
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -28,6 +29,17 @@ def test_patterns_equal_plain_matching(pieces):
     assert op.base_spans(text) == brute(text)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(PIECES, min_size=1, max_size=6))
+def test_what_is_not_looked_at_has_nothing(texts):
+    texts = ["".join(x) for x in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    for text, r in zip(texts, next(op._scan(iter([batch]), op._COMMON)).to_pylist(), strict=True):
+        base, more = brute(text), op.guessed_spans(text)
+        assert r["spans"] == op._written(sorted([*base, *(x[:3] for x in more)])) and (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == j for _, k, _ in base) for j in range(3))
+        assert r["base_sha256"] == hashlib.sha256(op._written(base).encode()).hexdigest() and r["max_cost"] == max((x[3] for x in more), default=None)
+
+
 def test_rows(spark):
     rng = random.Random(1)
     token = "".join(rng.choice("0123456789abcdef") for _ in range(40))
