@@ -315,17 +315,17 @@ def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.list_(pa.int64())), *(pa.array(x, pa.binary()) for x in (prints, pivot, usual, often))], ["bucket", "nodes", "prints", "pivot_print", "usual", "often"])
 
 
+_HELD = "bucket long, node long, print binary, pivot_print binary, usual binary, often binary, near array<long>"
+
+
 def _near_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of ``node, print`` to those of the bucket's sample ``nodes, prints`` that are near."""
+    """``bucket, node, print, pivot_print, usual, often, nodes, prints`` with ``near``, the nodes of the bucket's sample that are near, in place of the sample."""
     for batch in batches:
-        src, dst = [], []
-        for node, own, nodes, prints in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+        near = []
+        for node, own, nodes, prints in zip(*(batch.column(k).to_pylist() for k in (1, 2, 6, 7)), strict=True):
             f = np.frombuffer(prints, dtype=np.uint8).reshape(-1, SLOTS)
-            for k in np.flatnonzero(_like(f, np.frombuffer(own, dtype=np.uint8)) >= LIKE).tolist():
-                if nodes[k] != node:
-                    src.append(node)
-                    dst.append(nodes[k])
-        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+            near.append([nodes[k] for k in np.flatnonzero(_like(f, np.frombuffer(own, dtype=np.uint8)) >= LIKE).tolist() if nodes[k] != node])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(near, pa.list_(pa.int64()))], [x.split()[0] for x in _HELD.split(", ")])
 
 
 def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,13 +377,14 @@ def _linked(rows: DataFrame, known: DataFrame, labels: DataFrame) -> DataFrame:
         hot = sizes.where(F.col("n") > BLOCK).select("bucket")
         if hot.isEmpty():
             return _labelled(labels, links)
-        many = materialise(rows.join(hot, "bucket").select("bucket", "node"), "hot")
-        sample = many.groupBy("bucket").agg(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(SAMPLE))).alias("nodes"))
+        sample = rows.join(hot, "bucket").groupBy("bucket").agg(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(SAMPLE))).alias("nodes"))
         sample = sample.select("bucket", F.explode(F.array_distinct("nodes")).alias("node")).join(known, "node").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("node", "print"))).alias("sample"))
         pivots = materialise(sample.mapInArrow(_pivots, "bucket long, nodes array<long>, prints binary, pivot_print binary, usual binary, often binary"), "pivots")
-        near = many.join(known, "node").join(pivots, "bucket").select("node", "print", "nodes", "prints").mapInArrow(_near_pivots, _LINK)
+        many = rows.join(pivots, "bucket").join(known, "node").select("bucket", "node", "print", "pivot_print", "usual", "often", "nodes", "prints")
+        many = materialise(many.mapInArrow(_near_pivots, _HELD), "held")
+        near = many.select(F.col("node").alias("src"), F.explode("near").alias("dst"))
         labels = _labelled(labels, links.unionByName(near))
-        many = many.join(known.join(labels, "node"), "node").join(pivots, "bucket").select("bucket", "node", "label", "print", "pivot_print", "usual", "often")
+        many = many.join(labels, "node").select("bucket", "node", "label", "print", "pivot_print", "usual", "often")
         rows = materialise(many.mapInArrow(_refine, "bucket long, node long, label long"), "refined")
 
 
