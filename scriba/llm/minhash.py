@@ -40,6 +40,8 @@ from scriba.llm.common import GOLDEN, MASK64, U, columns_of, connected_component
 SHINGLE, BANDS, ROWS = 5, 21, 3
 #: Pivots of a bucket in the rounds after the first, and the number of rounds.
 PIVOTS, ROUNDS = 8, 3
+#: Ids of repeated or dropped documents up to so many reach all tasks.
+BROADCAST_IDS = 500_000
 
 
 def superminhash(items: np.ndarray, m: int) -> np.ndarray:
@@ -231,14 +233,17 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Where rows repeat that id, the one of the least text stays, of equal ones the one of
     the least hash of its columns. Rows of null id or without words stay, unless the id
     goes for another text. Columns may have any name and any nulls; they and their order
-    are kept. An empty table stays empty. Texts are only shuffled for ids that repeat.
+    are kept. An empty table stays empty. Texts are shuffled for ids that repeat, and once
+    more where over BROADCAST_IDS ids repeat or go.
     """
     found = materialise(near_duplicates(docs, id_col, text_col).where("doc_id is not null").select("doc_id", "kept"), "kept")
     once = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("kept").alias("kept")).where("n > 1 or not kept")
-    own = fresh(docs, "id")
-    rows = docs.withColumn(own, F.col(id_col).cast("long"))
-    alone = rows.join(once.select(F.col("doc_id").alias(own)), own, "left_anti").select(*columns_of(docs))
-    rows = rows.join(once.where("kept").select(F.col("doc_id").alias(own)), own, "left_semi")
+    own, stays = fresh(docs, "id"), fresh(docs, "stays")
+    once = materialise(once.select(F.col("doc_id").alias(own), F.col("kept").alias(stays)), "once")
+    # a short list reaches the documents where they are; they meet a longer one in one shuffle
+    rows = docs.withColumn(own, F.col(id_col).cast("long")).join(F.broadcast(once) if once.count() <= BROADCAST_IDS else once, own, "left")
+    alone = rows.where(F.col(stays).isNull()).select(*columns_of(docs))
+    rows = rows.where(F.col(stays))
     plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     least = rows.groupBy(own).agg(F.min_by(F.struct(*columns_of(docs)), F.struct(F.col(text_col).cast("string"), F.xxhash64(*plain))).alias(own + "_"))
     return alone.unionByName(least.select(f"{own}_.*"))
