@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriba.llm import decontamination, edit_embedding, guess_cost, language_codes, minhash, mixing, quality, quotes, sharding, warc
+from scriba.llm import byte_bpe, collocations, decontamination, edit_embedding, guess_cost, language_codes, minhash, mixing, quality, quotes, sharding, token_alignment, warc
 from scriba.sources.tables import read_table
 
 
@@ -58,5 +58,17 @@ def op10_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guess_cost.scan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_edit_embedding, op2_language_codes, op3_superminhash, op4_hash_mixing, op5_site_quality, op6_spaced_seeds, op7_sampled_splitters, op8_quotation_linking, quoted_replies, op9_capture_index, op10_guess_cost)}
-ORACLES: dict[str, str] = {"op3_superminhash": minhash.ORACLE, "op4_hash_mixing": mixing.ORACLE, "op8_quotation_linking": quotes.ORACLE, "quoted_replies": quotes.ORACLE_OF_REPLIES, "op9_capture_index": warc.ORACLE}
+def op11_pair_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(read_table(spark, sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(read_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_edit_embedding, op2_language_codes, op3_superminhash, op4_hash_mixing, op5_site_quality, op6_spaced_seeds, op7_sampled_splitters, op8_quotation_linking, quoted_replies, op9_capture_index, op10_guess_cost, op11_pair_keys, op12_byte_bpe, op13_collocations)}
+ORACLES: dict[str, str] = {"op3_superminhash": minhash.ORACLE, "op4_hash_mixing": mixing.ORACLE, "op8_quotation_linking": quotes.ORACLE, "quoted_replies": quotes.ORACLE_OF_REPLIES, "op9_capture_index": warc.ORACLE, "op13_collocations": collocations.ORACLE}
