@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriba.functions.columns import ColumnLike, col
+from scriba.operators.scans import as_of, running
 
 # What the guard takes as silence, sound, and too little.
 WINDOW_SECONDS, RANGE_DB, SILENCE_PEAK = 0.1, 25.0, 1e-3
@@ -55,8 +56,7 @@ def energetic(windows: DataFrame, file: str = "file_id", range_db: float = RANGE
 def union_length(spans: DataFrame, file: str = "file_id", seq: str = "seq", start: str = "start", n: str = "n") -> DataFrame:
     """``(file, voiced)``: samples that spans cover, in the order of their arrival; what an earlier span reached counts once."""
     rows = spans.select(file, seq, F.col(start).alias("_from"), (F.col(start) + F.col(n)).alias("_to"))
-    before = Window.partitionBy(file).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_mark", F.coalesce(F.max("_to").over(before), F.lit(0)))
+    rows = running(rows, file, seq, {"_reached": ("max", F.col("_to"))}).withColumn("_mark", F.coalesce("_reached", F.lit(0)))
     return rows.groupBy(file).agg(F.sum(F.greatest(F.lit(0), F.col("_to") - F.greatest("_from", "_mark"))).alias("voiced"))
 
 
@@ -74,8 +74,7 @@ def should_recover(voiced: ColumnLike, energetic: ColumnLike, floor: float = FLO
 
 def chunk_starts(chunks: DataFrame, file: str = "file_id", seq: str = "seq", n: str = "n") -> DataFrame:
     """``chunks`` with ``start``: the samples before each."""
-    before = Window.partitionBy(file).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    return chunks.withColumn("start", F.coalesce(F.sum(n).over(before), F.lit(0)).cast("long"))
+    return running(chunks, file, seq, {"start": ("sum", F.col(n))}).withColumn("start", F.col("start").cast("long"))
 
 
 def fixed_blocks(chunks: DataFrame, size: int = BLOCK_SECONDS * SAMPLE_RATE, file: str = "file_id", n: str = "n") -> DataFrame:
@@ -109,10 +108,14 @@ def two_pass(first: DataFrame, second: DataFrame, verdicts: DataFrame, file: str
     return good.unionByName(bad)
 
 
+def numbered(rows: DataFrame, file: str, order: str) -> DataFrame:
+    """``rows`` with ``seg_id``, their place in a file from 0."""
+    return running(rows, file, order, {"seg_id": ("count", F.lit(1))}).withColumn("seg_id", F.col("seg_id").cast("int"))
+
+
 def segments_of(spans: DataFrame, file: str = "file_id", seq: str = "seq", text: str = "text") -> DataFrame:
     """Recognised spans as segments numbered from 0; a span without text is none."""
-    order = Window.partitionBy(file).orderBy(seq)
-    return spans.where(F.length(text) > 0).withColumn("seg_id", F.row_number().over(order) - 1)
+    return numbered(spans.where(F.length(text) > 0), file, seq)
 
 
 def with_context(spans: DataFrame, chunks: DataFrame, pad: int, retained: int | None = None, file: str = "file_id") -> DataFrame:
@@ -163,9 +166,7 @@ def _retained(spans: DataFrame, ends: DataFrame, retained: int, file: str) -> Da
             yield pd.DataFrame(out, columns=schema.names)
 
     cuts = ends.select(file, "_end").repartition(file).sortWithinPartitions(file, "_end").mapInPandas(run, schema)
-    both = spans.join(cuts, file, "left").withColumn("_kept", F.when(F.col("_cut_at") <= F.col("seen"), F.col("_left")))
-    last = both.groupBy(file, "span").agg(F.coalesce(F.max("_kept"), F.lit(0).cast("long")).alias("_kept"))
-    return spans.join(last, [file, "span"])
+    return as_of(spans, cuts, file, "seen", "_cut_at", ["_left"]).withColumn("_kept", F.coalesce("_left", F.lit(0).cast("long"))).drop("_left")
 
 
 def checked_threshold(threshold: ColumnLike) -> Column:
@@ -181,21 +182,20 @@ def swept(spans: DataFrame, chunks: DataFrame, file: str = "file_id", text: str
     After each of ``chunks (file, end)`` come the segments of the recognised ``spans
     (file, end, text)`` that it completes, those with text alone, and then the progress.
     """
-    ordered = Window.partitionBy(file).orderBy("end")
-    bounds = chunks.withColumn("_after", F.coalesce(F.lag("end").over(ordered), F.lit(-1)))
-    known = spans.where(F.length(text) > 0).withColumn("seg_id", F.row_number().over(ordered) - 1)
+    bounds = chunks.select(file, "end")
+    known = numbered(spans.where(F.length(text) > 0), file, "end")
     last = chunks.groupBy(file).agg(F.max("end").alias("_last"))
-    closed = known.join(last, file).withColumn("_at", F.least("end", "_last"))
+    closed = known.join(last, file).select(file, F.least("end", "_last").alias("_at"), "seg_id")
     marks = bounds.select(file, F.col("end").alias("at"), F.lit(1).alias("ordinal"), F.lit("progress").alias("kind"), F.lit(None).cast("int").alias("seg_id"))
-    ends = closed.select(file, F.col("_at"), "seg_id").unionByName(bounds.select(file, F.col("end").alias("_at"), F.lit(None).cast("int").alias("seg_id")))
-    # a span belongs to the first chunk that ends with it or after it
-    after = Window.partitionBy(file).orderBy(F.desc("_at"), F.col("seg_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    ends = ends.withColumn("at", F.min(F.when(F.col("seg_id").isNull(), F.col("_at"))).over(after)).where("seg_id is not null")
-    return marks.unionByName(ends.select(file, "at", F.lit(0).alias("ordinal"), F.lit("segment").alias("kind"), "seg_id"))
+    # a span belongs to the first chunk that ends with it or after it, that is, the last one in the order of falling ends
+    falling = lambda rows, number: rows.select(file, (-F.col("_at")).alias("_falling"), number.cast("int").alias("seg_id"))
+    met = as_of(falling(closed, F.col("seg_id")), bounds.select(file, (-F.col("end")).alias("_since"), F.col("end").alias("at")), file, "_falling", "_since", ["at"])
+    return marks.unionByName(met.select(file, "at", F.lit(0).alias("ordinal"), F.lit("segment").alias("kind"), "seg_id"))
 
 
 def padded(chunks: DataFrame, pad: int, file: str = "file_id", seq: str = "seq", samples: str = "samples") -> DataFrame:
     """``chunks`` with the last ``pad`` samples of the chunk before each in front of it, as far as there are any."""
-    before = F.lag(samples).over(Window.partitionBy(file).orderBy(seq))
-    tail = F.slice(before, F.greatest(F.size(before) - pad + 1, F.lit(1)), F.lit(pad))
-    return chunks.withColumn("padded", F.when(before.isNull(), F.col(samples)).otherwise(F.concat(tail, F.col(samples))))
+    own = F.col(samples)
+    ends = F.slice(own, F.greatest(F.size(own) - pad + 1, F.lit(1)), F.lit(pad))
+    rows = running(chunks, file, seq, {"_tail": ("last", F.coalesce(ends, F.array().cast(chunks.schema[samples].dataType)))})
+    return rows.withColumn("padded", F.when(F.col("_tail").isNull(), own).otherwise(F.concat("_tail", own))).drop("_tail")
