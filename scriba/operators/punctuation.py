@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from math import isqrt
+from typing import NamedTuple
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,47 +32,122 @@ def tokenize(text: str, marks: str = MARKS) -> list[Token]:
     return [tuple(x) for x in out]
 
 
-def _costs(a: np.ndarray, b: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Rows of the distance matrix after ``first``, one for each of ``a``; a run of insertions is a running minimum."""
-    cost = np.empty((len(a) + 1, len(first)), dtype=np.int32)
-    steps = np.arange(len(first), dtype=np.int32)
-    cost[0] = first
-    here = np.empty(len(first), dtype=np.int32)
-    for i in range(len(a)):
-        here[0] = cost[i, 0] + 1
-        here[1:] = np.minimum(cost[i, :-1] + (b != a[i]), cost[i, 1:] + 1)
-        cost[i + 1] = np.minimum.accumulate(here - steps) + steps
-    return cost
+#: Half the width of the first band of cells that is tried, and the columns of a block of it at least.
+FIRST_BAND, LEAST_BLOCK = 512, 512
+#: Columns are kept for the way back while they have so many bits in all; more are computed again, block by block.
+KEPT_BITS = 1 << 27
+
+
+class _Block(NamedTuple):
+    """Columns ``[j, end)`` of a band over rows ``[top, bottom)``, as bits by row: what the last column steps down by, and where the diagonal is free."""
+
+    j: int
+    end: int
+    top: int
+    bottom: int
+    up: int
+    down: int
+    columns: tuple[list[int], list[int]] | None
+
+
+def _swept(a: str, b: str, j: int, end: int, top: int, bottom: int, up: int, down: int) -> tuple[int, int, list[int], list[int]]:
+    """Columns of the distance matrix over some rows, all rows of a column at once.
+
+    ``up`` and ``down`` are the rows whose cell is one more or less than that above, in the
+    column before. The row above the first counts one more with each column. For each
+    column: the rows that are one more than above, and those where the diagonal costs nothing.
+    """
+    mask, rows = (1 << (bottom - top)) - 1, {}
+    for i, c in enumerate(a[top:bottom]):
+        rows[c] = rows.get(c, 0) | 1 << i
+    ups, frees = [], []
+    for c in b[j:end]:
+        same = rows.get(c, 0)
+        free = (((same & up) + up) ^ up) | same | down
+        right = down | ~(free | up) & mask
+        left = free & up
+        right, left = (right << 1 | 1) & mask, left << 1 & mask
+        up, down = left | ~(free | right) & mask, right & free & mask
+        ups.append(up)
+        frees.append(free & mask)
+    return up, down, ups, frees
+
+
+def _banded(a: str, b: str, most: int) -> tuple[int, list[_Block]]:
+    """A distance that is right if it is no more than ``most``, and the blocks it came from.
+
+    A path of so few edits stays near the diagonals from start to end. Rows that come into
+    the band from below count one more than the row above: such cells are never too low, so
+    they change no cell of a cheapest path.
+    """
+    n, m = len(a), len(b)
+    spare = max(0, most - abs(m - n)) // 2 + 1
+    above, below = spare + max(0, m - n), spare + max(0, n - m)  # how far the band goes to either side of i = j
+    size = max(LEAST_BLOCK, above + below)
+    keep = m * min(n, above + below + size) * 2 <= KEPT_BITS
+    blocks, top, bottom, up, down, first = [], 0, 0, 0, 0, 0
+    for j in range(0, m, size):
+        end = min(j + size, m)
+        new_top, new_bottom = max(0, min(j - above, n)), min(n, end + below)
+        gone = (1 << (new_top - top)) - 1
+        first += (up & gone).bit_count() - (down & gone).bit_count()
+        up, down = up >> (new_top - top), down >> (new_top - top)
+        known = max(0, bottom - new_top)
+        up |= (1 << (new_bottom - new_top)) - (1 << known)
+        top, bottom = new_top, new_bottom
+        after_up, after_down, ups, frees = _swept(a, b, j, end, top, bottom, up, down)
+        blocks.append(_Block(j, end, top, bottom, up, down, (ups, frees) if keep else None))
+        first += end - j
+        up, down = after_up, after_down
+    return first + up.bit_count() - down.bit_count() + (n - bottom), blocks
 
 
 def align(ref: str, hyp: str) -> list[tuple[int | None, int | None]]:
     """The positions of a cheapest alignment in order; a side that lacks one has None.
 
     Where several are as cheap, from the end a pair of both sides comes first, then a
-    deletion, then an insertion. Rows of the distance matrix are kept at intervals of the
-    root of their number, and those between are computed again on the way back, so a pair
-    of texts takes memory for twice that root of rows.
+    deletion, then an insertion. What both texts end with is paired, and what they begin
+    with needs no matrix either. Of the rest only a band of the matrix is computed, twice
+    as wide until it holds every path that is as cheap as the distance, and a column of it
+    is a few operations on whole numbers of bits.
     """
-    a, b = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for x in (ref, hyp))
-    every = isqrt(len(a)) + 1
-    kept = [np.arange(len(b) + 1, dtype=np.int32)]
-    for at in range(0, len(a) - every + 1, every):
-        kept.append(_costs(a[at : at + every], b, kept[-1])[-1].copy())
-    i, j, out = len(a), len(b), []
-    for block in range(len(kept) - 1, -1, -1):
-        at = block * every
-        cost = _costs(a[at:i], b[:j], kept[block][: j + 1])
-        while (i > at or (block == 0 and i == 0)) and (i or j):
-            k = i - at
-            if i and j and cost[k, j] == cost[k - 1, j - 1] + (a[i - 1] != b[j - 1]):
-                i, j = i - 1, j - 1
-                out.append((i, j))
-            elif i and cost[k, j] == cost[k - 1, j] + 1:
-                i -= 1
-                out.append((i, None))
-            else:
-                j -= 1
-                out.append((None, j))
+    n, m, tail = len(ref), len(hyp), 0
+    while tail < min(n, m) and ref[n - tail - 1] == hyp[m - tail - 1]:
+        tail += 1
+    out: list[tuple[int | None, int | None]] = [(n - k, m - k) for k in range(1, tail + 1)]
+    i, j, head = n - tail, m - tail, 0
+    while head < min(i, j) and ref[head] == hyp[head]:
+        head += 1
+    a, b, most = ref[head:i], hyp[head:j], max(FIRST_BAND, abs(i - j))
+    if a and b:
+        distance, blocks = _banded(a, b, most)
+        while distance > most:
+            most *= 2
+            distance, blocks = _banded(a, b, most)
+        while i > head and j > head:
+            block = blocks.pop()
+            ups, frees = block.columns or _swept(a, b, *block[:6])[2:]
+            while j - head > block.j and i > head:
+                row, at = i - head - 1 - block.top, j - head - 1 - block.j
+                if ref[i - 1] == hyp[j - 1] or not frees[at] >> row & 1:
+                    i, j = i - 1, j - 1
+                    out.append((i, j))
+                elif ups[at] >> row & 1:
+                    i -= 1
+                    out.append((i, None))
+                else:
+                    j -= 1
+                    out.append((None, j))
+    while i or j:  # one side is what both begin with, so the other has a pair or one more
+        if i and j and ref[i - 1] == hyp[j - 1]:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif i > j:
+            i -= 1
+            out.append((i, None))
+        else:
+            j -= 1
+            out.append((None, j))
     return out[::-1]
 
 

@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriba.functions.text import normalize
+from scriba.scratch import materialise
 
 #: References that are looked at to tell whether a dataset is punctuated.
 PROBED = 200
 WORST = 20
 PERCENTILES = (0.5, 0.9, 0.99)
+#: Buckets of a histogram that a rank is looked for in, and values that are sorted.
+BUCKETS, SORTED = 4096, 100_000
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -46,17 +49,43 @@ def mean_segment_chars(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, by: str, value: str = "rate", at: tuple[float, ...] = PERCENTILES) -> DataFrame:
-    """``(by, p, value)``: the value at rank ``floor((n - 1) * p)`` of each group.
+    """``(by, p, value)``: the value at rank ``floor((n - 1) * p)`` of each group; a null value is the least.
 
-    Equal values are counted before they are ordered, so a large group costs its number
-    of distinct values.
+    Exact selection without sorting a group: equal values are counted once, then each
+    rank looks at a histogram of BUCKETS equal widths, and goes on inside the bucket that
+    holds it, until that has SORTED values or fewer. No window sees more than these.
     """
-    counts = rows.groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy(by).orderBy(value)
-    counts = counts.withColumns({"upto": F.sum("n").over(order), "all": F.sum("n").over(Window.partitionBy(by))})
-    counts = counts.withColumn("p", F.explode(F.array(*map(F.lit, at))))
-    rank = F.floor((F.col("all") - 1) * F.col("p"))
-    return counts.where((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)).select(by, "p", value)
+    counts = materialise(rows.groupBy(F.col(by).alias("_by"), F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n")), "counts")
+    nulls = F.sum(F.when(F.col("_value").isNull(), F.col("_n")).otherwise(0))
+    edges = [F.count("_value").alias("_values"), F.min("_value").alias("_low"), F.max("_value").alias("_high")]
+    ranks = counts.groupBy("_by").agg(F.sum("_n").alias("_all"), nulls.alias("_nulls"), *edges).withColumn("_p", F.explode(F.array(*map(F.lit, at))))
+    ranks = ranks.withColumn("_rank", F.floor((F.col("_all") - 1) * F.col("_p")) - F.col("_nulls")).select(F.col("_by").alias("_of"), "_p", "_rank", "_values", "_low", "_high")
+    narrow, found = (F.col("_values") <= SORTED) | (F.col("_low") == F.col("_high")) | (F.col("_rank") < 0), []
+
+    def inside(held: DataFrame) -> DataFrame:
+        return counts.join(held, counts["_by"].eqNullSafe(held["_of"]) & F.col("_value").between(F.col("_low"), F.col("_high")))
+
+    def holding(parts: DataFrame, order: str) -> DataFrame:
+        """Of each rank's parts ``(_of, _p, _rank, _n)`` the one it is in, with its rank there."""
+        before = Window.partitionBy("_of", "_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        placed = parts.withColumn("_rank", F.col("_rank") - F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        return placed.where((F.col("_rank") >= 0) & (F.col("_rank") < F.col("_n")))
+
+    ranks = materialise(ranks, "ranks")
+    while True:
+        found.append(ranks.where(narrow))
+        wide = ranks.where(~narrow)
+        if wide.isEmpty():
+            break
+        share = (F.col("_value") - F.col("_low")) / (F.col("_high") - F.col("_low"))
+        buckets = inside(wide).groupBy("_of", "_p", "_rank", F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).alias("_bucket")).agg(F.sum("_n").alias("_n"), *edges)
+        ranks = materialise(holding(buckets, "_bucket").select("_of", "_p", "_rank", "_values", "_low", "_high"), "ranks")
+    held = found[0]
+    for x in found[1:]:
+        held = held.unionByName(x)
+    valued = holding(inside(held).select("_of", "_p", "_rank", "_n", "_value"), "_value").select("_of", "_p", "_value")
+    none = held.where("_rank < 0").select("_of", "_p", F.lit(None).cast(counts.schema["_value"].dataType).alias("_value"))
+    return valued.unionByName(none).select(F.col("_of").alias(by), F.col("_p").alias("p"), F.col("_value").alias(value))
 
 
 def worst(rows: DataFrame, by: str, pos: str, n: int = WORST) -> DataFrame:

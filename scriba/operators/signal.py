@@ -91,6 +91,44 @@ def gap_sessions(frames: DataFrame, file: str = "file_id", ts: str = "ts", score
     return out.select(file, "start", "end", "frames")
 
 
+def frames_of(chunks: DataFrame, hop: int = HOP, file: str = "file_id", start: str = "start", samples: str = "samples") -> DataFrame:
+    """``(file, frame, start, samples)``: a file's samples in frames of ``hop``, whatever its chunks are; the last may be short.
+
+    Frames that lie inside a chunk stay where it is. Only the parts of frames at its two
+    ends are brought together, so what is shuffled is the edges between chunks.
+    """
+    n, first = F.size(samples).cast("long"), F.col(start).cast("long")
+    div = lambda x: F.call_function("div", x, F.lit(hop).cast("long"))
+    cut = chunks.where(n > 0).select(file, first.alias("_at"), F.col(samples).alias("_samples"), F.explode(F.sequence(div(first), div(first + n - 1))).alias("frame"))
+    low, high = F.greatest(F.col("_at"), F.col("frame") * hop), F.least(F.col("_at") + F.size("_samples"), (F.col("frame") + 1) * hop)
+    cut = cut.select(file, "frame", (low - F.col("frame") * hop).alias("_offset"), F.slice("_samples", (low - F.col("_at") + 1).cast("int"), (high - low).cast("int")).alias("samples"))
+    whole = F.size("samples") == hop
+    parts = cut.where(~whole).groupBy(file, "frame").agg(F.array_sort(F.collect_list(F.struct("_offset", "samples"))).alias("_parts"))
+    joined = parts.select(file, "frame", F.flatten(F.transform("_parts", lambda x: x["samples"])).alias("samples"))
+    both = cut.where(whole).select(file, "frame", "samples").unionByName(joined)
+    return both.select(file, "frame", (F.col("frame") * hop).alias("start"), "samples")
+
+
+def voice_spans(frames: DataFrame, threshold: float, silence: int, shortest: int, longest: int, file: str = "file_id") -> DataFrame:
+    """``(file, start, n)``: spans of ``frames (file, start, n, score)`` with enough speech, in samples.
+
+    A span ends where ``silence`` samples go by without speech. One that is longer than
+    ``longest`` is cut; what is left, and a span as a whole, must have ``shortest``.
+    Spans are numbered by running values over a file's frames, so a file of any length is
+    as many tasks as it needs.
+    """
+    speech = frames.where(F.col("score") >= threshold).select(file, F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n")).cast("long").alias("_end"))
+    speech = running(speech, file, "start", {"_before": ("last", F.col("_end"))})
+    opens = F.coalesce((F.col("start") - F.col("_before") >= silence), F.lit(True)).cast("long")
+    speech = running(speech.withColumn("_opens", opens), file, "start", {"_span": ("sum", F.col("_opens"))}, through=True)
+    spans = speech.groupBy(file, "_span").agg(F.min("start").alias("_from"), F.max("_end").alias("_to"))
+    length = F.col("_to") - F.col("_from")
+    parts = spans.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", length - 1, F.lit(longest).cast("long")))))
+    begin = F.col("_from") + F.col("_part") * longest
+    n = F.least(F.col("_to") - begin, F.lit(longest).cast("long"))
+    return parts.where(n >= min(shortest, longest)).select(file, begin.alias("start"), n.alias("n"))
+
+
 def speech_spans(sessions: DataFrame, start: str = "start_s", end: str = "end_s", shortest: float = MIN_SPEECH, longest: float = MAX_SPAN, pad: float = PAD) -> DataFrame:
     """Sessions as spans: short ones dropped, long ones split, each with some context before it."""
     long_enough = sessions.where(F.col(end) - F.col(start) >= shortest)

@@ -139,3 +139,59 @@ def pad_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("file_id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("samples"))
     total = F.aggregate("padded", F.lit(0.0), lambda a, x: a + x)
     return signal.padded(rows, 8).select(F.col("seq").alias("vec_id"), F.size("padded").alias("n"), F.round(total, 6).alias("total"))
+
+
+# -- frames ----------------------------------------------------------------
+
+#: Chunks have 64 samples, so a frame of 24 often has parts of two.
+FRAME, LOUD = 24, 0.12
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``file_id, seq, start, samples``: the embeddings of a label, one after the other."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("file_id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("samples"))
+    return signal.chunk_starts(rows.withColumn("n", F.size("samples").cast("long"))).drop("n")
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = signal.frames_of(_chunks(spark, sf_dir), FRAME)
+    return frames.select("file_id", "frame", "start", F.size("samples").cast("long").alias("n"), signal.rms("samples").alias("score"))
+
+
+FRAMES = f"""
+s AS (SELECT label AS file_id, flatten(list(embedding ORDER BY vec_id)) AS x FROM embeddings GROUP BY label),
+i AS (SELECT file_id, x, unnest(range(0, (len(x) - 1) // {FRAME} + 1)) AS frame FROM s),
+f AS (SELECT file_id, frame, frame * {FRAME} AS start, x[frame * {FRAME} + 1:frame * {FRAME} + {FRAME}] AS y FROM i),
+q AS (SELECT file_id, frame, start, len(y)::BIGINT AS n, sqrt(list_sum(list_transform(y, lambda v: v::DOUBLE * v::DOUBLE)) / len(y)) AS score FROM f)
+"""
+
+
+@query(f"WITH {FRAMES} SELECT file_id, frame, start, n, round(score, 9) AS score FROM q")
+def voice_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _frames(spark, sf_dir).withColumn("score", F.round("score", 9))
+
+
+@query(f"""WITH {FRAMES}, t AS (SELECT file_id, start, start + n AS stop FROM q WHERE round(score, 9) >= {LOUD}),
+o AS (SELECT *, CASE WHEN start - lag(stop) OVER w >= 48 THEN 1 ELSE 0 END AS new FROM t WINDOW w AS (PARTITION BY file_id ORDER BY start)),
+k AS (SELECT *, sum(new) OVER (PARTITION BY file_id ORDER BY start ROWS UNBOUNDED PRECEDING) AS span FROM o),
+g AS (SELECT file_id, min(start) AS a, max(stop) AS b FROM k GROUP BY file_id, span),
+p AS (SELECT file_id, a, b, unnest(range(0, (b - a - 1) // 200 + 1)) AS part FROM g)
+SELECT file_id, (a + part * 200)::BIGINT AS start, least(b - a - part * 200, 200)::BIGINT AS n FROM p WHERE least(b - a - part * 200, 200) >= 48""")
+def voice_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that are loud enough; two silent ones end a span, which has two frames at least and 200 samples at most."""
+    return signal.voice_spans(_frames(spark, sf_dir).withColumn("score", F.round("score", 9)), LOUD, silence=48, shortest=48, longest=200)
+
+
+@query("""WITH c AS (SELECT label AS file_id, vec_id, embedding, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) * 64 AS first FROM embeddings),
+s AS (SELECT file_id, flatten(list(embedding ORDER BY vec_id)) AS x FROM c GROUP BY file_id),
+p AS (SELECT file_id, vec_id, first + 32 AS start, first + 64 * (1 + vec_id % 30) AS seen FROM c),
+k AS (SELECT p.*, greatest(start - 100, 0) AS b, CASE WHEN least(seen, len(x)) < 1344 THEN 0 ELSE 704 * ((least(seen, len(x)) - 1344) // 704 + 1) END AS kept, x FROM p JOIN s USING (file_id)),
+y AS (SELECT file_id, vec_id AS span, CASE WHEN b >= kept THEN x[b + 1:start] ELSE [] END AS y FROM k)
+SELECT file_id, span, len(y)::INTEGER AS n, coalesce(round(list_sum(list_transform(y, lambda v: v::DOUBLE)), 6), 0) AS total FROM y""")
+def context_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred samples before each span, as far as a history of 640 still has them; spans are closed up to 30 chunks later."""
+    chunks = _chunks(spark, sf_dir)
+    spans = chunks.select("file_id", F.col("seq").alias("span"), (F.col("start") + 32).alias("start"), F.lit(32).cast("long").alias("n"), (F.col("start") + 64 * (1 + F.col("seq") % 30)).alias("seen"))
+    found = signal.with_context(spans, chunks, 100, retained=640)
+    context = F.coalesce("context", F.array().cast("array<float>"))
+    return found.select("file_id", "span", F.size(context).alias("n"), F.round(F.aggregate(context, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))

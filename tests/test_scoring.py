@@ -24,6 +24,21 @@ def test_roll_up_counts_errors_against_empty_references(spark):
     assert (got["a"].cer, got["a"].exact, got["a"].files) == (0.5, 1, 3) and got["b"].cer == 0.0
 
 
+@pytest.mark.parametrize(("buckets", "few"), [(4096, 100_000), (3, 2), (7, 1)])
+def test_percentiles_by_refining_histograms(spark, monkeypatch, buckets, few):
+    """Ranks in skewed values, in groups with nulls, repeats and one value alone."""
+    monkeypatch.setattr(scoring, "BUCKETS", buckets)
+    monkeypatch.setattr(scoring, "SORTED", few)
+    rng = random.Random(buckets)
+    values = [(rng.choice(["a", "a", None]), rng.choice([rng.random() ** 9, rng.random() * 1e6, 0.25, None, -3.0])) for _ in range(700)] + [("one", 5.0), ("none", None), ("none", None)]
+    got = {(r.d, r.p): r.rate for r in scoring.percentiles(spark.createDataFrame(values, "d string, rate double"), "d", at=(0.0, 0.1, 0.5, 0.9, 1.0)).collect()}
+    want = {}
+    for d in {d for d, _ in values}:
+        own = sorted((v for g, v in values if g == d), key=lambda v: (v is not None, v or 0))
+        want |= {(d, p): own[int((len(own) - 1) * p)] for p in (0.0, 0.1, 0.5, 0.9, 1.0)}
+    assert got == want
+
+
 def test_percentile_is_the_floor_rank(spark):
     values = [("a", float(v)) for v in (1, 2, 3, 4)] + [("b", 5.0)] * 3
     got = {(r.d, r.p): r.rate for r in scoring.percentiles(spark.createDataFrame(values, "d string, rate double"), "d").collect()}
@@ -81,6 +96,30 @@ def slow_align(a, b):
     return out[::-1]
 
 
+@pytest.mark.parametrize(("band", "block", "bits"), [(1, 1, 0), (2, 3, 1 << 27), (4, 5, 0), (512, 512, 1 << 27)])
+def test_bands_of_any_width_give_the_same_alignment(monkeypatch, band, block, bits):
+    for name, n in (("FIRST_BAND", band), ("LEAST_BLOCK", block), ("KEPT_BITS", bits)):
+        monkeypatch.setattr(punctuation, name, n)
+    rng = random.Random(band)
+    for _ in range(300):
+        letters = rng.choice(["ab", "abc", "abcdefgh"])
+        a = [rng.choice(letters) for _ in range(rng.randrange(0, 40))]
+        b = list(a) if rng.random() < 0.5 else [rng.choice(letters) for _ in range(rng.randrange(0, 40))]
+        for _ in range(rng.randrange(0, 8)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choices(letters, k=rng.randrange(2))
+        assert punctuation.align("".join(a), "".join(b)) == slow_align("".join(a), "".join(b))
+
+
+def test_near_texts_of_any_length_need_a_narrow_band():
+    rng = random.Random(9)
+    a = "".join(rng.choice("abcdefghij") for _ in range(60_000))
+    b = a[:5000] + "xx" + a[5003:40_000] + "y" + a[40_000:]
+    got = punctuation.align(a, b)
+    assert len(got) == len(a) + 1 and sum(i is None or j is None or a[i] != b[j] for i, j in got) == 4
+    assert max(x.bottom - x.top for x in punctuation._banded(a, b, punctuation.FIRST_BAND)[1]) < 2000
+
+
 def test_alignment_equals_cell_by_cell():
     rng = random.Random(4)
     for _ in range(300):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from scriba.operators import signal
 
-RATE = 16_000
+RATE, HOP = 16_000, 512
 
 
 def test_rms_and_blocks(spark):
@@ -101,3 +101,46 @@ def test_thresholds(spark):
     for bad in (0.01, 1.5, None):
         with pytest.raises(Exception, match="between 0.02 and 1"):
             spark.createDataFrame([(bad,)], "t double").select(signal.checked_threshold("t")).collect()
+
+
+def plain_frames(samples, hop):
+    return [(k, k * hop, samples[k * hop : (k + 1) * hop]) for k in range(-(-len(samples) // hop))]
+
+
+@pytest.mark.parametrize("hop", [1, 7, 24, 1000])
+def test_frames_are_the_same_for_any_split(spark, hop):
+    import random
+
+    rng = random.Random(hop)
+    files = {f: [float(k) for k in range(rng.randrange(1, 400))] for f in ("a", "b")} | {"one": [5.0]}
+    want = {(f, *x[:2], tuple(x[2])) for f, s in files.items() for x in plain_frames(s, hop)}
+    for longest in (1, 5, 24, 60, 500):
+        chunks = [("none", 0, []), ("none", 0, None)]
+        for f, s in files.items():
+            at = 0
+            while at < len(s):
+                n = rng.randrange(1, longest + 1)
+                chunks.append((f, at, s[at : at + n]))
+                at += n
+        got = signal.frames_of(spark.createDataFrame(chunks, "file_id string, start long, samples array<float>"), hop)
+        assert {(r.file_id, r.frame, r.start, tuple(r.samples)) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("block", [20, 10**6])
+def test_voice_spans_are_those_of_the_segmenter(spark, monkeypatch, block):
+    import random
+
+    from scriba.operators import scans, segmenters
+
+    monkeypatch.setattr(scans, "BLOCK_ROWS", block)
+    rng = random.Random(block)
+    frames = []
+    for f in ("hot", "a", "b"):
+        loud = False
+        for k in range(400 if f == "hot" else 60):
+            loud = loud if rng.random() < 0.7 else not loud
+            frames.append((f, k * HOP, HOP if k < 399 else 100, 0.9 if loud else 0.01))
+    df = spark.createDataFrame(frames, "file_id string, start long, n long, score double")
+    got = signal.voice_spans(df, 0.05, silence=3 * HOP, shortest=2 * HOP, longest=5 * HOP)
+    want = segmenters.segmented(df, lambda: segmenters.Gaps(0.05, silence=3 * HOP, shortest=2 * HOP, longest=5 * HOP))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 20
