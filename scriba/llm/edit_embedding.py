@@ -391,19 +391,22 @@ def _linked(rows: DataFrame, known: DataFrame, labels: DataFrame) -> DataFrame:
 def fingerprint_classes(prints: DataFrame) -> DataFrame:
     """``prints (doc_id, fingerprint, ...)`` with ``class_id``: the smallest id reachable over near fingerprints.
 
-    Equal fingerprints are one node, of the smallest id of these; rows that all have a
-    null id have a null class. Other columns pass through. An empty table gives an empty
-    result. The buckets of one band come first; of the other bands, only those that hold
-    more than one class of these are looked at. No pair is left out, and no task holds
-    more than a block.
+    Equal fingerprints are one node, whatever ids they have; rows that reach no id have a
+    null class. Rows that repeat an id with another fingerprint are apart: each has the
+    class of its own, and the id links nothing. Other columns pass through. An empty
+    table gives an empty result. The buckets of one band come first; of the other bands,
+    only those that hold more than one class of these are looked at. No pair is left out,
+    and no task holds more than a block.
     """
-    nodes = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node")).where("node is not null"), "prints")
+    nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "prints")
     known = nodes.select("node", F.unhex("fingerprint").alias("print"))
     labels = nodes.select("node", F.col("node").alias("label"))
     bands = materialise(nodes.select("fingerprint", "node").mapInArrow(_bands, "bands array<long>, node long"), "bands")
     first = bands.select(F.col("bands")[ROWS].alias("bucket"), "node", F.col("node").alias("label"))
     labels = _linked(first, known, labels)
     others = bands.join(labels, "node").select("node", "label", F.explode(F.array_remove("bands", F.col("bands")[ROWS])).alias("bucket"))
-    labels = _linked(materialise(others, "others"), known, labels)
-    classes = nodes.join(labels, "node").select("fingerprint", F.col("label").alias("class_id"))
+    labels = nodes.join(_linked(materialise(others, "others"), known, labels), "node")
+    least = labels.groupBy("label").agg(F.min("first").alias("class_id"))
+    classes = labels.join(least, "label").select("fingerprint", "class_id")
     return prints.join(classes, "fingerprint", "left").select(*prints.columns, "class_id")

@@ -93,6 +93,16 @@ def test_classes(spark):
     assert sum(got[10 * b + k] == 10 * b for b in range(4) for k in range(5)) >= 15
 
 
+def test_ids_that_repeat_with_another_text_have_a_row_and_a_class_each(spark):
+    rng = random.Random(4)
+    a, b = text(rng, 900), text(rng, 900)
+    near = b[:450] + "x" + b[450:]
+    docs = [(1, a), (8, a), (8, b), (9, near), (None, near + "y"), (None, text(rng, 900)), (10, "long " * 100_000)]
+    prints = op.neighbour_fingerprints(spark.createDataFrame(docs, "doc_id long, text string"))
+    got = op.fingerprint_classes(prints).select("doc_id", "n_chars", "class_id").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 900, 1), (8, 900, 1), (8, 900, 8), (9, 901, 8), (None, 902, 8), (None, 900, None), (10, 500_000, 10)], key=str)
+
+
 def classes(f):
     """The smallest id reachable over near rows, by all pairs."""
     near = (f[:, None, :] == f[None, :, :]).mean(axis=2) >= op.LIKE
