@@ -131,6 +131,11 @@ def columns_of(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """``df`` with columns ``c0``, ``c1`` and so on, as readers of schemas don't take any name; ``toDF(*df.columns)`` gives them back."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """A string column's values as UTF-8 bytes."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriba.llm.common import U, _stream, materialise, mix, word_hashes
+from scriba.llm.common import U, _stream, materialise, mix, plain_names, word_hashes
 
 #: Masks over token positions; 1 is read, 0 is ignored. Wherever the substitutions of a
 #: leak stand, one of the masks reads none of them, so no leak is without a hit: a stretch
@@ -229,7 +229,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     empty. Repeated rows stay or go together. Columns may have any name and any nulls;
     they and their order are kept.
     """
-    at, schema = docs.columns.index(text_col), docs.schema
+    names, at = docs.columns, docs.columns.index(text_col)
+    docs = plain_names(docs)
+    schema = docs.schema
     for k, index in enumerate(_blocks(benchmark, item_col, item_text_col)):
         if k and k % BLOCKS_AT_ONCE == 0:
             docs = materialise(docs, "decontaminated")
@@ -240,4 +242,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 yield batch.filter(pa.array([not held.value.leaks(t, any_one=True) for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, schema)
-    return docs
+    return docs.toDF(*names)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriba.llm.common import U, columns_of, fresh, materialise
+from scriba.llm.common import U, columns_of, fresh, materialise, plain_names
 from scriba.llm.decontamination import tokens
 
 #: Labelled rows that the classifier learns from, those of the least hash.
@@ -85,11 +85,12 @@ def _evidence(words: np.ndarray, tables: np.ndarray) -> list[float]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Learn what to keep: documents of good quality that aren't toxic.
 
-    At most SAMPLE labelled rows are used. The driver holds their features and one row
+    At most SAMPLE labelled rows are used; an id with several labels has the worst of
+    each. The driver holds their features and one row
     for each word bucket.
     """
     y = labels.select(F.col(id_col).alias("_id"), F.col("quality").cast("int").alias("good"), F.coalesce(F.col("toxic").cast("int"), F.lit(0)).alias("toxic"))
-    y = y.where("good is not null and _id is not null").dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
+    y = y.where("good is not null and _id is not null").groupBy("_id").agg(F.min("good").alias("good"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(y), F.col("_doc") == F.col("_id"))  # SAMPLE rows at most
     rows = materialise(rows.select("text", "good", "toxic"), "labelled")
@@ -154,9 +155,10 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", name: str = "p_d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = [probability(held.value, t) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*batch.schema.names, "p"])
 
-    return docs.mapInArrow(run, type(docs.schema)(list(docs.schema.fields)).add(name, "double"))
+    plain = plain_names(docs)
+    return plain.mapInArrow(run, type(plain.schema)(list(plain.schema.fields)).add("p", "double")).toDF(*docs.columns, name)
 
 
 def _logit(p: Column) -> Column:

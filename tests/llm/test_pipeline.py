@@ -115,10 +115,10 @@ def test_stages_keep_columns_of_any_name_and_odd_rows(spark, folder):
     at, *_ = folder
     docs = spark.read.parquet(f"{at}/documents.parquet").limit(60)
     odd = spark.createDataFrame([(None, None, None, None, None), (9001, "", "xx", "s1", 0), (9001, "", "xx", "s1", 0), (9005, "one two", None, "s1", 7), (9006, "word " * 200_000, "xx", None, 1)], docs.schema)
-    docs = docs.unionByName(odd).selectExpr("*", "1 as _id", "2 as doc", "3 as _key", "4 as u", "5 as kept", "map(1, 2) as m", "6 as _p", "7 as source_size", "8 as below", "9 as `range`", "10 as p_doc")
+    docs = docs.unionByName(odd).selectExpr("*", "1 as _id", "2 as doc", "3 as _key", "4 as u", "5 as kept", "map(1, 2) as m", "6 as _p", "7 as source_size", "8 as below", "9 as `range`", "10 as p_doc", "11 as `a.b`", "12 as c0", "13 as `p`")
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, at)
         assert out.columns == docs.columns + (["shard", "slot"] if name == "shard" else [])
         docs = spark.createDataFrame(out.collect(), out.schema)
     rows = docs.collect()
-    assert len(rows) > 20 and all((r._id, r.doc, r._key, r.u, r.kept, r.m, r._p, r.source_size, r.below, r["range"], r.p_doc) == (1, 2, 3, 4, 5, {1: 2}, 6, 7, 8, 9, 10) for r in rows)
+    assert len(rows) > 20 and all((r._id, r.doc, r._key, r.u, r.kept, r.m, r._p, r.source_size, r.below, r["range"], r.p_doc, r["a.b"], r.c0, r.p) == (1, 2, 3, 4, 5, {1: 2}, 6, 7, 8, 9, 10, 11, 12, 13) for r in rows)

@@ -93,3 +93,11 @@ def test_regression_is_at_its_optimum():
 
     least = loss(m["w"])
     assert all(loss(m["w"] + step) >= least for step in rng.normal(size=(300, 4)) * 0.05)
+
+
+def test_labels_of_repeated_ids_are_the_worst_of_each(spark):
+    docs = spark.createDataFrame([(k, f"word{k % 7} text {'bad' if k % 2 else 'fine'} " * 5, "s", "xx") for k in range(60)], "doc_id long, text string, source string, lang string")
+    once = [(k, int(k % 2 == 0), 0) for k in range(60)]
+    twice = [*once, *((k, 1, 0) for k in range(1, 60, 2)), *((k, q, None) for k, q, _ in once)]
+    a, b = (op.fit(docs, spark.createDataFrame(x, "doc_id long, quality int, toxic int").repartition(n)) for x, n in ((once, 1), (twice, 7)))
+    assert abs(a["w"] - b["w"]).max() < 1e-9
