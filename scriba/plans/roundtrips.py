@@ -7,12 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriba.operators import jobs
+from scriba.functions import tables
+from scriba.operators import jobs, subtitles
 from scriba.plans.jobs import COUNTERS, job_events
 from scriba.plans.registry import query, table
+from scriba.plans.scoring import PAIRS, pairs
 from scriba.plans.signals import SESSIONS
+from scriba.plans.subtitles import SEGMENTS, STAMP, segments
 from scriba.scratch import scratch_dir
-from scriba.sources import files, pcm, sinks
+from scriba.sources import documents, files, pcm, sinks
 from scriba.sources.scripted import scripted_events
 from scriba.streaming import jobs as streams
 
@@ -29,8 +32,10 @@ def _written(rows: DataFrame, name: str) -> str:
 
 
 def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations, each with a few words."""
-    return table(spark, sf_dir, "nation").withColumn("n_comment", F.concat_ws(" ", "n_name", F.col("n_regionkey").cast("string")))
+    """Suppliers, each with a name of two words and a few more; a file each in what follows, so their number grows with the tables."""
+    key = F.col("s_suppkey")
+    named = table(spark, sf_dir, "supplier").select(key.alias("n_nationkey"), F.concat(F.lit("SUPPLIER "), key.cast("string")).alias("n_name"), (F.col("s_nationkey") % 5).alias("n_regionkey"))
+    return named.withColumn("n_comment", F.concat_ws(" ", "n_name", F.col("n_regionkey").cast("string")))
 
 
 def _documents(spark: SparkSession, sf_dir: str, content: str, name: str = "concat('d', n_nationkey, '.json')") -> str:
@@ -55,25 +60,26 @@ def corpus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.audio_corpus(rows, "doc_id").select("id", F.octet_length("bytes").cast("long").alias("n"), "reference")
 
 
+_NATION = "(SELECT s_suppkey AS n_nationkey, 'SUPPLIER ' || s_suppkey AS n_name, s_nationkey % 5 AS n_regionkey FROM supplier)"
 _NAME = "concat(n_name, case n_nationkey % 3 when 0 then '.WAV' when 1 then '.part' else '.txt' end)"
 _NAME_SQL = "n_name || CASE n_nationkey % 3 WHEN 0 THEN '.WAV' WHEN 1 THEN '.part' ELSE '.txt' END"
 
 
-@query(f"SELECT {_NAME_SQL} AS name, octet_length(encode(n_comment)) AS size, true AS known FROM (SELECT *, n_name || ' ' || n_regionkey AS n_comment FROM nation)")
+@query(f"SELECT {_NAME_SQL} AS name, octet_length(encode(n_comment)) AS size, true AS known FROM (SELECT *, n_name || ' ' || n_regionkey AS n_comment FROM {_NATION})")
 def folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = _documents(spark, sf_dir, "n_comment", _NAME)
     rows = files.identified(files.list_files(spark, at))
     return rows.select(F.regexp_replace("name", "%20", " ").alias("name"), "size", (F.split("key", r"\|")[1].cast("long") == F.col("size")).alias("known"))
 
 
-@query(f"SELECT {_NAME_SQL} AS name FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT 'odd.xyz'")
+@query(f"SELECT {_NAME_SQL} AS name FROM {_NATION} WHERE n_nationkey % 3 = 0 UNION ALL SELECT 'odd.xyz'")
 def inputs_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audio below a folder, named twice, and a file by its name."""
     at = _documents(spark, sf_dir, "n_comment", _NAME)
     return files.expand_inputs(spark, [at, at], ["odd.xyz", "odd.xyz"]).select(F.regexp_replace(F.regexp_extract("path", "([^/]*)$", 1), "%20", " ").alias("name"))
 
 
-@query(f"SELECT {_NAME_SQL} AS name, octet_length(encode(n_comment)) AS size FROM (SELECT *, n_name || ' ' || n_regionkey AS n_comment FROM nation) WHERE n_nationkey % 3 = 1")
+@query(f"SELECT {_NAME_SQL} AS name, octet_length(encode(n_comment)) AS size FROM (SELECT *, n_name || ' ' || n_regionkey AS n_comment FROM {_NATION}) WHERE n_nationkey % 3 = 1")
 def partial_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.partial_files(spark, _documents(spark, sf_dir, "n_comment", _NAME)).select(F.regexp_replace("name", "%20", " ").alias("name"), "size")
 
@@ -81,7 +87,7 @@ def partial_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SEGMENT = "named_struct('id', n_nationkey, 'start', named_struct('secs', n_nationkey, 'nanos', 5), 'end', named_struct('secs', n_nationkey + 1, 'nanos', 0), 'text', n_name)"
 
 
-@query("SELECT 'd' || n_nationkey AS key, n_name AS text, n_nationkey::BIGINT AS secs, 5 AS nanos, n_regionkey / 2 AS voiced, n_regionkey % 2 = 0 AS recovered FROM nation WHERE n_nationkey % 4 NOT IN (0, 3)")
+@query(f"SELECT 'd' || n_nationkey AS key, n_name AS text, n_nationkey::BIGINT AS secs, 5 AS nanos, n_regionkey / 2 AS voiced, n_regionkey % 2 = 0 AS recovered FROM {_NATION} WHERE n_nationkey % 4 NOT IN (0, 3)")
 def cache_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fourth entry is of another version, and every fourth is cut."""
     entry = f"to_json(named_struct('version', if(n_nationkey % 4 = 0, 2, 1), 'transcript', named_struct('segments', array({_SEGMENT}), 'language', 'en'), 'coverage', named_struct('decoded_seconds', 9.5D, 'voiced_seconds', n_regionkey / 2, 'energetic_seconds', 1.0D), 'recovered', n_regionkey % 2 = 0))"
@@ -90,7 +96,7 @@ def cache_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("key", "s.text", "s.start.secs", "s.start.nanos", F.col("coverage.voiced_seconds").alias("voiced"), "recovered")
 
 
-@query("SELECT n_nationkey::VARCHAR AS span, n_nationkey + 100 AS id FROM nation")
+@query(f"SELECT n_nationkey::VARCHAR AS span, n_nationkey + 100 AS id FROM {_NATION}")
 def resume_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second record of a span counts, and a cut line doesn't."""
     line = "to_json(named_struct('span', string(n_nationkey), 'segments', array(named_struct('id', n_nationkey + {}, 'text', n_name))))"
@@ -98,18 +104,18 @@ def resume_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_resume_log(spark, at).select("span", F.col("segments")[0]["id"].alias("id"))
 
 
-@query("SELECT n_name AS input, n_comment AS output, n_nationkey * 10 AS finished_at_ms FROM (SELECT *, n_name || ' ' || n_regionkey AS n_comment FROM nation) WHERE n_nationkey % 4 <> 0")
+@query(f"SELECT n_name AS input, n_comment AS output, n_nationkey * 10 AS finished_at_ms FROM (SELECT *, n_name || ' ' || n_regionkey AS n_comment FROM {_NATION}) WHERE n_nationkey % 4 <> 0")
 def history_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = _documents(spark, sf_dir, "to_json(named_struct('version', if(n_nationkey % 4 = 0, 7, 1), 'entries', array(named_struct('input', n_name, 'output', n_comment, 'engine', 'e', 'finished_at_ms', n_nationkey * 10))))")
     return files.read_history(spark, at).select("input", "output", "finished_at_ms")
 
 
-@query("SELECT n_name AS source, n_comment AS output FROM (SELECT *, n_name || ' ' || n_regionkey AS n_comment FROM nation)")
+@query(f"SELECT n_name AS source, n_comment AS output FROM (SELECT *, n_name || ' ' || n_regionkey AS n_comment FROM {_NATION})")
 def ownership_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_ownership(spark, _documents(spark, sf_dir, "to_json(named_struct('version', 1, 'outputs', map(n_name, n_comment)))"))
 
 
-@query("SELECT n_nationkey % 2 AS pos, n_name AS path, CASE WHEN n_nationkey % 2 = 0 THEN 'quit' ELSE 'tray' END AS close FROM nation")
+@query(f"SELECT n_nationkey % 2 AS pos, n_name AS path, CASE WHEN n_nationkey % 2 = 0 THEN 'quit' ELSE 'tray' END AS close FROM {_NATION}")
 def settings_and_pending_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A list of files that waits, beside how its window is closed."""
     waiting = _documents(spark, sf_dir, "to_json(named_struct('version', 1, 'files', if(n_nationkey % 2 = 0, array(n_name), array('-', n_name)), 'engine', n_name))")
@@ -127,13 +133,13 @@ def catalogue_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.join(parts, "id").join(mirrors, "id").select("id", "display_name", "requires", "local", "size", "base_url")
 
 
-@query("SELECT n_name || '.txt' AS file, n_comment || chr(10) || '  ' || n_name || chr(10) AS vocabulary FROM (SELECT *, n_name || ' ' || n_regionkey AS n_comment FROM nation)")
+@query(f"SELECT n_name || '.txt' AS file, n_comment || chr(10) || '  ' || n_name || chr(10) AS vocabulary FROM (SELECT *, n_name || ' ' || n_regionkey AS n_comment FROM {_NATION})")
 def vocabulary_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = _documents(spark, sf_dir, "concat(n_comment, '\\n  ', n_name, '\\n')", "concat(n_name, '.txt')")
     return files.source("vocabulary")(spark, at).withColumn("file", F.regexp_replace("file", "%20", " "))
 
 
-@query("SELECT n_name || '.srt' AS name, octet_length(encode(n_comment)) AS bytes, n_comment AS content FROM (SELECT *, n_name || ' ' || n_regionkey AS n_comment FROM nation)")
+@query(f"SELECT n_name || '.srt' AS name, octet_length(encode(n_comment)) AS bytes, n_comment AS content FROM (SELECT *, n_name || ' ' || n_regionkey AS n_comment FROM {_NATION})")
 def rendered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a writer says of its files, beside what is in them."""
     at = _folder(spark, "rendered")
@@ -163,7 +169,7 @@ def table_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.current_table(spark, at, rows.schema).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT n_name AS input, n_nationkey + 25 AS finished_at_ms FROM nation WHERE n_nationkey >= 15")
+@query(f"SELECT n_name AS input, n_nationkey + 25 AS finished_at_ms FROM {_NATION} ORDER BY n_nationkey DESC LIMIT 10")
 def autosaved_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each transcript is saved twice; ten entries are kept."""
     rows = _nations(spark, sf_dir).select(F.concat(F.lit("t"), F.col("n_nationkey").cast("string"), F.lit(".txt")).alias("name"), F.col("n_comment").alias("content"), F.col("n_name").alias("input"), F.col("n_name").alias("output"), F.lit("e").alias("engine"), F.col("n_nationkey").cast("long").alias("finished_at_ms"))
@@ -204,6 +210,46 @@ def pcm_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select(F.regexp_extract("file_id", r"([^/]+)\.f32$", 1).alias("file"), "seq", "start", F.size("samples").cast("long").alias("n"), F.round(total, 4).alias("total"))
 
 
+# -- documents and lines ---------------------------------------------------
+
+
+@query(f"""WITH {SEGMENTS} SELECT file_id || '.srt' AS name, string_agg(cue || chr(10) || {STAMP.format("start_ms")} || ' --> ' || {STAMP.format("end_ms")} || chr(10) || shown || chr(10) || chr(10), '' ORDER BY cue) AS content FROM q GROUP BY file_id
+UNION ALL SELECT file_id || '.txt', regexp_replace(string_agg(text, chr(10) ORDER BY seg_id), '^\\n+', '') || CASE WHEN max(length(text)) > 0 THEN chr(10) ELSE '' END FROM g GROUP BY file_id""")
+def documents_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A subtitle file and a text for each conversation, as they are in the folder after both jobs."""
+    at, rows = _folder(spark, "documents"), segments(spark, sf_dir)
+    documents.write_subtitles(rows, at)
+    documents.write_transcripts(rows, at)
+    return spark.read.text(at, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))
+
+
+@query("SELECT 'o' || o_custkey % 20 || '.txt' AS file, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) AS line, o_orderkey || ' ' || o_orderpriority AS value FROM orders")
+def lines_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as the lines of twenty files, which are read in ranges of bytes."""
+    at = _folder(spark, "lines")
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), (F.col("o_custkey") % 20).cast("string")).alias("file_id"), F.col("o_orderkey").alias("seg_id"), F.concat_ws(" ", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("text"))
+    documents.write_transcripts(rows, at)
+    return files.read_lines(spark, at).withColumn("file", F.regexp_extract("file", "([^/]*)$", 1))
+
+
+@query(f"WITH {SEGMENTS} SELECT file_id, (cue - 1)::INTEGER AS seg_id, start_ms, end_ms, shown AS text FROM q")
+def subtitles_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subtitle documents and their cues, in SQL alone."""
+    tables.register(spark)
+    subtitles.to_srt(segments(spark, sf_dir)).createOrReplaceTempView("scriba_documents")
+    return spark.sql("SELECT file_id, seg_id, start_ms, end_ms, text FROM scriba_documents, LATERAL parse_srt(srt)")
+
+
+@query(f"WITH {PAIRS} SELECT utt_id, errors FROM s")
+def alignments_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps of each pair's alignment that aren't a match, in SQL alone; a pair of empty texts has no step."""
+    tables.register(spark)
+    pairs(spark, sf_dir).createOrReplaceTempView("scriba_pairs")
+    return spark.sql(r"""
+        WITH n AS (SELECT utt_id, lower(regexp_replace(reference, '[^\\p{IsAlphabetic}\\p{N}]', '')) AS r, lower(regexp_replace(hypothesis, '[^\\p{IsAlphabetic}\\p{N}]', '')) AS h FROM scriba_pairs)
+        SELECT utt_id, count_if(step IS NOT NULL AND NOT ref_char <=> hyp_char) AS errors FROM n LEFT JOIN LATERAL align_chars(r, h) GROUP BY utt_id""")
+
+
 # -- streams ---------------------------------------------------------------
 
 

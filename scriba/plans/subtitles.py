@@ -22,10 +22,10 @@ t AS (SELECT conv_id AS file_id, turn AS seg_id, length(text) AS n, coalesce(sum
 g AS (SELECT file_id, seg_id, (s * 80)::BIGINT AS start_ms, ((s + n) * 80)::BIGINT AS end_ms, text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS shown FROM t),
 q AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY seg_id) AS cue FROM g WHERE shown <> '')
 """
-_STAMP = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
+STAMP = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
 
 
-@query(f"""WITH {SEGMENTS} SELECT file_id, string_agg(cue || chr(10) || {_STAMP.format("start_ms")} || ' --> ' || {_STAMP.format("end_ms")} || chr(10) || shown || chr(10) || chr(10), '' ORDER BY cue) AS srt FROM q GROUP BY file_id""")
+@query(f"""WITH {SEGMENTS} SELECT file_id, string_agg(cue || chr(10) || {STAMP.format("start_ms")} || ' --> ' || {STAMP.format("end_ms")} || chr(10) || shown || chr(10) || chr(10), '' ORDER BY cue) AS srt FROM q GROUP BY file_id""")
 def srt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subtitles.to_srt(segments(spark, sf_dir))
 

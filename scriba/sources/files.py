@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scriba.functions.digests import file_label
 from scriba.functions.paths import extension, looks_like_audio, parent
+from scriba.scratch import materialise
 
 # The version that stored documents must have, and the columns that may hold a reference.
 VERSION = 1
@@ -30,20 +31,39 @@ CATALOGUE = (
 )
 
 
+#: Byte ranges whose line counts are broadcast to where the lines are; those of more are joined by a shuffle.
+BROADCAST_RANGES = 100_000
+
+
+def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """``file, line, value``: the lines of text files, numbered from 1 in each file.
+
+    A large file is read in byte ranges, as Spark cuts it. A range numbers its own lines
+    by the order in which a task gives ids to rows; the ranges' line counts, summed up in
+    the order of the file, say where each begins. So the session must not change how files
+    are cut before the rows are read. Lines end with a line feed, and keep a carriage
+    return before it.
+    """
+    read = spark.read.option("lineSep", "\n").text(list(paths))
+    rows = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_range"), F.monotonically_increasing_id().alias("_id"), "value")
+    ranges = materialise(rows.groupBy("file", "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first")), "ranges")
+    before = Window.partitionBy("file").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select("file", "_range", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    starts = F.broadcast(starts) if ranges.count() <= BROADCAST_RANGES else starts
+    return rows.join(starts, ["file", "_range"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line"), "value")
+
+
 def read_manifest(spark: SparkSession, *paths: str) -> DataFrame:
     """``dataset, line, utt_id, path, reference`` of tab-separated manifests.
 
     A line has three fields; further tabs belong to the reference. A line with fewer,
     also a blank one, is an error that names its number. Paths are relative to the
-    manifest's folder, and the folder's name is the dataset. A file is one row while it
-    is cut into lines, as line numbers are positions in the file.
+    manifest's folder, and the folder's name is the dataset.
     """
-    files = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = F.split(F.regexp_replace("value", "\n$", ""), "\n")
-    rows = files.where("value <> ''").select("file", F.posexplode(lines).alias("n", "raw"))
-    fields = F.split(F.regexp_replace("raw", "\r$", ""), "\t", 3)
-    bad = F.raise_error(F.format_string("%s: line %d needs three fields", "file", F.col("n") + 1))
-    rows = rows.select("file", (F.col("n") + 1).alias("line"), F.when(F.size(fields) == 3, fields).otherwise(F.when(F.size(fields) < 3, bad).cast("array<string>")).alias("x"))
+    rows = read_lines(spark, *paths)
+    fields = F.split(F.regexp_replace("value", "\r$", ""), "\t", 3)
+    bad = F.raise_error(F.format_string("%s: line %d needs three fields", "file", "line"))
+    rows = rows.select("file", F.col("line").cast("int").alias("line"), F.when(F.size(fields) == 3, fields).otherwise(F.when(F.size(fields) < 3, bad).cast("array<string>")).alias("x"))
     folder = parent("file")
     return rows.select(F.regexp_extract(folder, "([^/]*)$", 1).alias("dataset"), "line", F.col("x")[0].alias("utt_id"), F.concat_ws("/", folder, F.col("x")[1]).alias("path"), F.col("x")[2].alias("reference"))
 
@@ -166,8 +186,8 @@ def read_pending(spark: SparkSession, path: str) -> DataFrame:
 
 def read_resume_log(spark: SparkSession, path: str) -> DataFrame:
     """The last record of each span; lines that can't be read, as a cut last one, are skipped."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("seq", "line"))
-    rows = lines.select("file", "seq", F.from_json("line", RESUME_RECORD).alias("x")).where("x.span is not null and x.segments is not null")
+    lines = read_lines(spark, path).withColumn("file", F.regexp_extract("file", "([^/]*)$", 1))
+    rows = lines.select("file", F.col("line").alias("seq"), F.from_json("value", RESUME_RECORD).alias("x")).where("x.span is not null and x.segments is not null")
     return rows.groupBy("file", F.col("x.span").alias("span")).agg(F.max_by("x.segments", "seq").alias("segments"))
 
 

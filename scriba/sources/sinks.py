@@ -60,7 +60,7 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
 
 
-def append_log(batch: DataFrame, path: str, *keys: str, number: int = 0) -> None:
+def append_log(batch: DataFrame, path: str, *keys: str, number: int) -> None:
     """Append a batch's records of spans that the log at ``path`` hasn't, for ``foreachBatch``.
 
     A batch is a folder of its own, by its number: one that comes again after a failure,
