@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 from collections import Counter
 
@@ -72,6 +73,15 @@ def test_equals_brute_force(spark, monkeypatch, small):
     assert sorted(map(tuple, got.collect()), key=str) == brute(docs)
 
 
+def test_ranks_are_the_same_tokenizer_and_others_are_not_taken_for_it():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [f"a{chr(c)}1{chr(c)} {chr(c)}{chr(c)}b" for c in range(0x3400) if not 0xD800 <= c < 0xE000] + [t or "" for _, t in some_docs()]
+    assert op.side_a(path).encode(texts) == [x.ids for x in A.encode_batch(texts, add_special_tokens=False)]
+    model = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "use_regex": True, "add_prefix_space": False}, "model": {"vocab": {}, "merges": []}}
+    assert op._ranked(model, [], set()) is None
+    assert op._ranked(json.load(open(public_tokenizers.path("word_bpe_49k.json"))), [], set()) is None
+
+
 def test_shards_hold_the_counts_of_all_pairs(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(op, "RANGE_PAIRS", 50)
     rng = random.Random(2)
