@@ -4,6 +4,10 @@
 single-precision samples as chunks of a tenth of a second: ``file_id, seq, start,
 samples``. A file is a partition, or several of a fixed size; a trailing partial sample
 is dropped.
+
+``spark.readStream.format("pcm")`` gives the chunks of files that grow, each once: its
+offset is how many samples of each file were read, so it is as long as the list of files.
+A chunk comes when it is whole.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 CHUNK = 1_600
 #: Samples that one task reads.
@@ -30,15 +34,21 @@ class Slice(InputPartition):
     count: int
 
 
-class _Reader(DataSourceReader):
+class _Files:
+    """The files of a folder, and slices of them."""
+
     def __init__(self, options: dict):
         self.folder = options["path"]
         self.suffix = options.get("suffix", ".f32")
 
-    def partitions(self) -> list[Slice]:
+    def sizes(self) -> dict[str, int]:
+        """Samples of each file, whole ones alone."""
         store, path = fs.FileSystem.from_uri(self.folder)
         files = store.get_file_info(fs.FileSelector(path, recursive=True))
-        return [Slice(f.path, at, min(SPLIT, f.size // 4 - at)) for f in sorted(files, key=lambda x: x.path) if f.is_file and f.path.endswith(self.suffix) for at in range(0, f.size // 4, SPLIT)]
+        return {f.path: f.size // 4 for f in sorted(files, key=lambda x: x.path) if f.is_file and f.path.endswith(self.suffix)}
+
+    def slices(self, path: str, first: int, end: int) -> list[Slice]:
+        return [Slice(path, at, min(SPLIT, end - at)) for at in range(first, end, SPLIT)]
 
     def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(self.folder)
@@ -53,6 +63,25 @@ class _Reader(DataSourceReader):
                 )
 
 
+class _Reader(_Files, DataSourceReader):
+    def partitions(self) -> list[Slice]:
+        return [x for path, n in self.sizes().items() for x in self.slices(path, 0, n)]
+
+
+class _StreamReader(_Files, DataSourceStreamReader):
+    def initialOffset(self) -> dict[str, int]:
+        return {}
+
+    def latestOffset(self) -> dict[str, int]:
+        return {path: n // CHUNK * CHUNK for path, n in self.sizes().items()}
+
+    def partitions(self, start: dict[str, int], end: dict[str, int]) -> list[Slice]:
+        return [x for path, n in end.items() for x in self.slices(path, start.get(path, 0), n)]
+
+    def commit(self, end: dict[str, int]) -> None:
+        """The files stay."""
+
+
 class PcmDataSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -64,6 +93,9 @@ class PcmDataSource(DataSource):
     def reader(self, schema: object) -> DataSourceReader:
         return _Reader(self.options)
 
+    def streamReader(self, schema: object) -> DataSourceStreamReader:
+        return _StreamReader(self.options)
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(PcmDataSource)
