@@ -1,4 +1,4 @@
 """All queries; importing the modules registers them."""
 
-from scriba.plans import catalogues, jobs, lists, roundtrips, scalars, scoring, signals, stores, subtitles  # noqa: F401
+from scriba.plans import catalogues, jobs, lists, roundtrips, scalars, scoring, signals, stores, streams, subtitles  # noqa: F401
 from scriba.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -70,7 +70,7 @@ def job_sequence_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.sequence_violations(_events(spark, sf_dir)).select("job", "seq", "kind", "previous")
 
 
-def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orders_as_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as jobs; what isn't fulfilled hasn't finished."""
     key = F.col("o_orderkey")
     state = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "queued").otherwise("running")
@@ -86,12 +86,12 @@ t AS (SELECT *, CASE WHEN state <> 'queued' THEN submitted + job % 17 END AS sta
 
 @query(f"WITH {JOBS} SELECT job, started - submitted AS queued_ms, finished - started AS elapsed_ms FROM t")
 def wait_vs_work(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.wait_and_work(_jobs(spark, sf_dir)).select("job", "queued_ms", "elapsed_ms")
+    return jobs.wait_and_work(orders_as_jobs(spark, sf_dir)).select("job", "queued_ms", "elapsed_ms")
 
 
 @query(f"WITH {JOBS}, o AS (SELECT *, row_number() OVER (PARTITION BY service, state = 'done' ORDER BY job DESC) AS k FROM t) SELECT service, job, state FROM o WHERE state <> 'done' OR k <= 32")
 def settled_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.retained(_jobs(spark, sf_dir), 32, "service").select("service", "job", "state")
+    return jobs.retained(orders_as_jobs(spark, sf_dir), 32, "service").select("service", "job", "state")
 
 
 @query("""WITH u AS (SELECT user_id AS worker, ts, event_type AS identity FROM events), l AS (SELECT *, lag(ts) OVER w AS last, lag(identity) OVER w AS was FROM u WINDOW w AS (PARTITION BY worker ORDER BY ts)),
@@ -165,7 +165,7 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {JOBS} SELECT t.job, 'talk' || t.job || '.mp3' AS label, state, started - submitted AS queued_ms, finished - started AS elapsed_ms, state = 'done' AS settled, state = 'done' AND t.job % 3 <> 0 AS deletable FROM t""")
 def job_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("job").cast("string")
-    rows = _jobs(spark, sf_dir).withColumns({"input": F.concat(F.lit("/in/talk"), key, F.lit(".mp3")), "output": F.when(F.col("job") % 3 != 0, key)})
+    rows = orders_as_jobs(spark, sf_dir).withColumns({"input": F.concat(F.lit("/in/talk"), key, F.lit(".mp3")), "output": F.when(F.col("job") % 3 != 0, key)})
     return jobs.views(rows)
 
 
@@ -178,7 +178,7 @@ def error_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {JOBS} SELECT service, median(finished - started)::DOUBLE AS median, min(finished - started) AS least, max(finished - started) AS most, count(finished - started) AS n FROM t GROUP BY service")
 def job_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.durations(jobs.wait_and_work(_jobs(spark, sf_dir)), "service")
+    return jobs.durations(jobs.wait_and_work(orders_as_jobs(spark, sf_dir)), "service")
 
 
 @query("SELECT o_custkey, o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INTEGER AS place FROM orders WHERE o_orderstatus <> 'P'")

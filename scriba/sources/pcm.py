@@ -12,13 +12,15 @@ A chunk comes when it is whole.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 CHUNK = 1_600
@@ -97,5 +99,29 @@ class PcmDataSource(DataSource):
         return _StreamReader(self.options)
 
 
+def write_samples(rows: DataFrame, folder: str, file: str, order: str, samples: str) -> None:
+    """A file for each ``file`` of ``rows``: its samples in order. A file is written under another name and moved; a task streams through its files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path, recursive=True)
+        name, out, part = None, None, f"{path}/.{uuid.uuid4().hex}"
+        for batch in batches:
+            for own, values in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if own != name:
+                    if out is not None:
+                        out.close()
+                        store.move(part, f"{path}/{name}.f32")
+                    name, out = own, store.open_output_stream(part, compression=None)
+                out.write(values.values.to_numpy(zero_copy_only=False).astype("<f4").tobytes())
+        if out is not None:
+            out.close()
+            store.move(part, f"{path}/{name}.f32")
+        yield pa.RecordBatch.from_arrays([pa.array([name], pa.string())], ["file"])
+
+    dealt = rows.select(F.col(file).cast("string").alias("file"), order, F.col(samples).cast("array<float>").alias("samples")).where("samples is not null")
+    dealt.repartition("file").sortWithinPartitions("file", order).select("file", "samples").mapInArrow(run, "file string").count()
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(PcmDataSource)

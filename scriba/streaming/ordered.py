@@ -46,6 +46,7 @@ class InOrder(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.rows)
         self.held = handle.getValueState("held", self.state)
+        self.revision = handle.getValueState("revision", "n long")
 
     def _advance(self, key: tuple, came: list[Row], over: int) -> Iterator[pd.DataFrame]:
         waiting = sorted([*(map(tuple, self.waiting.get()) if self.waiting.exists() else ()), *came])
@@ -63,10 +64,12 @@ class InOrder(StatefulProcessor):
             self.handle.registerTimer(wake // 1000 + 1)
         open_ = self.fold(held, rest, _NEVER)[1]
         # a row without values says that what was open before isn't any more
+        n = self.revision.get()[0] + 1 if self.revision.exists() else 0
+        self.revision.update((n,))
         said = [(*x, True) for x in settled] + ([(*x, False) for x in open_] or [(*[None] * len(self.results), False)])
         out = pd.DataFrame(said, columns=[*self.results, "settled"])
         out.insert(0, "key", key[0])
-        yield out.astype({c: "Int64" for c in self.results})
+        yield out.assign(revision=n).astype({c: "Int64" for c in self.results})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in self.rows.split(", ")]
@@ -82,15 +85,15 @@ class InOrder(StatefulProcessor):
 
 def _in_order(rows: DataFrame, key: str, processor: InOrder) -> DataFrame:
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    schema = T.StructType([T.StructField("key", rows.schema[key].dataType), *(T.StructField(c, T.LongType()) for c in processor.results), T.StructField("settled", T.BooleanType())])
+    schema = T.StructType([T.StructField("key", rows.schema[key].dataType), *(T.StructField(c, T.LongType()) for c in processor.results), T.StructField("settled", T.BooleanType()), T.StructField("revision", T.LongType())])
     return rows.groupBy(key).transformWithStateInPandas(processor, schema, "Update", "EventTime").withColumnRenamed("key", key)
 
 
 def so_far(rows: DataFrame, key: str) -> DataFrame:
-    """Of what ``drain`` wrote: all that is settled, and what a key's last batch says is open."""
-    last = Window.partitionBy(key)
-    rows = rows.withColumn("_last", F.max("batch").over(last))
-    return rows.where("settled or batch = _last").where(F.col([c for c in rows.columns if c not in (key, "settled", "batch", "_last")][0]).isNotNull()).drop("_last", "batch")
+    """Of what ``drain`` wrote: all that is settled, and what a key has last said to be open."""
+    said = rows.withColumn("_last", F.max("revision").over(Window.partitionBy(key))).where("settled or revision = _last")
+    results = [c for c in rows.columns if c not in (key, "settled", "revision", "batch")]
+    return said.where(F.col(results[0]).isNotNull()).select(key, *results, "settled")
 
 
 class Spans(InOrder):
@@ -122,7 +125,7 @@ class Spans(InOrder):
 
 
 def speech_spans(frames: DataFrame, silence: int, shortest: int, longest: int, key: str = "job", delay: str = "1 hour") -> DataFrame:
-    """``(key, start, n, settled)`` of a stream of ``frames (key, ts, n)`` that have speech, all in microseconds.
+    """``(key, start, n, settled, revision)`` of a stream of ``frames (key, ts, n)`` that have speech, all in microseconds.
 
     Frames that come later than ``delay`` are dropped. A key keeps the frames that may
     still have others before them, and the span that is open.
@@ -153,7 +156,7 @@ class Loads(InOrder):
 
 
 def model_loads(uses: DataFrame, idle: int = IDLE_SECONDS, key: str = "worker", delay: str = "1 hour") -> DataFrame:
-    """``(key, loads, reuses, loaded, settled)`` of a stream of ``uses (key, ts, identity)``."""
+    """``(key, loads, reuses, loaded, settled, revision)`` of a stream of ``uses (key, ts, identity)``."""
     rows = uses.withWatermark("ts", delay).select(key, "ts", F.unix_micros("ts").alias("at"), "identity")
     return _in_order(rows, key, Loads(idle * 1_000_000))
 
