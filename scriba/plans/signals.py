@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriba.operators import signal
+from scriba.functions import engines
+from scriba.functions.digests import span_key
+from scriba.operators import recognition, signal
 from scriba.plans.registry import query, table
+from scriba.scratch import scratch_dir
+from scriba.sources.sinks import append_log
 
 #: Eight windows of eight samples; their loudness differs less than that of audio.
 SIZE, RANGE_DB = 8, 6.0
@@ -195,3 +201,29 @@ def context_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = signal.with_context(spans, chunks, 100, retained=640)
     context = F.coalesce("context", F.array().cast("array<float>"))
     return found.select("file_id", "span", F.size(context).alias("n"), F.round(F.aggregate(context, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+# -- recognition -----------------------------------------------------------
+
+
+def _loudest() -> engines.Recognise:
+    """Says where a span is loudest; at every fifth place it hears nothing."""
+    return lambda samples: "" if int(samples.argmax()) % 5 == 0 else f"at {int(samples.argmax())}"
+
+
+engines.register(engines.Engine("loudest", "Loudest sample", _loudest))
+
+_SPANS = """
+c AS (SELECT label::VARCHAR AS file_id, vec_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) * 64 AS start, embedding, list_position(embedding, list_max(embedding)) - 1 AS top FROM embeddings),
+t AS (SELECT file_id, start::BIGINT AS start, 64::BIGINT AS n, vec_id % 3 = 0 AS old, CASE WHEN vec_id % 3 = 0 THEN 'kept ' || vec_id WHEN top % 5 = 0 THEN '' ELSE 'at ' || top END AS text FROM c)
+"""
+
+
+@query(f"WITH {_SPANS} SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY start) - 1)::INTEGER AS seg_id, start, n, text, old AS reused FROM t WHERE text <> ''")
+def recognised_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that was stopped had recorded every third span, in other words than the engine of this one has."""
+    log = f"{scratch_dir(spark)}/{uuid.uuid4().hex[:12]}/log"
+    spans = _chunks(spark, sf_dir)
+    before = spans.where("seq % 3 = 0").select(F.col("file_id").cast("string").alias("file_id"), span_key(F.call_function("div", F.col("start") * 1_000_000_000, F.lit(16_000).cast("long")), "samples").alias("span"), F.col("start").alias("seq"), F.concat(F.lit("kept "), F.col("seq").cast("string")).alias("text"))
+    append_log(before, log, "file_id", "span", number=0)
+    return recognition.recognise_spans(spans, "loudest", log, number=1)
