@@ -7,9 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scriba.functions.columns import ColumnLike, col, lookup
+from scriba.functions.text import blank_to_null
+
 Recognise = Callable[[np.ndarray], str]
 
 
@@ -58,6 +62,16 @@ def accepted_hotwords(name: str, hotwords: str | None) -> tuple[str | None, str
     return None, f"{engine(name).display_name} takes no vocabulary; it was ignored"
 
 
+def vocabulary_of(name: ColumnLike, hotwords: ColumnLike) -> tuple[Column, Column]:
+    """As ``accepted_hotwords``, of columns: the vocabulary that is applied, and the warning. An engine that isn't registered is an error."""
+    name, given = col(name), blank_to_null(hotwords)
+    takes = lookup(name, {e.id: e.supports_hotwords for e in engines()})
+    unknown = F.raise_error(F.concat(F.lit("no engine '"), F.coalesce(name, F.lit("null")), F.lit("' is registered"))).cast("boolean")
+    takes = F.when(takes.isNull(), unknown).otherwise(takes)
+    shown = lookup(name, {e.id: e.display_name for e in engines()})
+    return F.when(takes, given), F.when(~takes & given.isNotNull(), F.concat(shown, F.lit(" takes no vocabulary; it was ignored")))
+
+
 def recognise(spans: DataFrame, name: str, samples: str = "samples") -> DataFrame:
     """``spans`` with the ``text`` an engine hears in each; the engine is loaded once for each task."""
     chosen = engine(name)

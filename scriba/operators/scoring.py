@@ -158,6 +158,14 @@ def _right(text: Column, width: int) -> Column:
     return F.lpad(text, F.greatest(F.lit(width), F.length(text)), " ")
 
 
+def mark_rows(sums: DataFrame, by: str, marks: str) -> DataFrame:
+    """``(by, ordinal, fact, value)`` beside ``detail_rows``: a line of the account for each mark of ``sums (mark, tp, fp, fn, precision, recall, f1)``, in the order of ``marks``, and one for all of them."""
+    place = F.when(F.col("mark").isNull(), F.lit(len(marks))).otherwise(F.instr(F.lit(marks), F.col("mark")) - 1)
+    shares = [_right(_share(F.col(c)), 7) for c in ("precision", "recall", "f1")]
+    counts = [_right(F.col(c).cast("string"), 6) for c in ("tp", "fp", "fn")]
+    return sums.select(by, (F.lit(500) + place).cast("int").alias("ordinal"), F.coalesce(F.concat(F.lit("mark "), "mark"), F.lit("marks overall")).alias("fact"), F.concat_ws(" ", *shares, *counts).alias("value"))
+
+
 def detail_rows(rows: DataFrame, by: str, pos: str, worst_shown: int = WORST) -> DataFrame:
     """``(by, ordinal, fact, value)``: the account of each dataset: its roll-ups, how its error rates are distributed, and its worst files.
 

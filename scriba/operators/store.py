@@ -151,3 +151,20 @@ def _serial_in(path: Column, folder: Column, stem: Column) -> Column:
     inner = F.regexp_replace(F.substr(path, F.length(folder) + 2), r"\.[^.]*$", "")
     rest = F.when(F.startswith(inner, stem), F.substr(inner, F.length(stem) + 1))
     return F.nullif(F.regexp_extract(rest, r"^ \(([0-9]+)\)$", 1), F.lit("")).try_cast("int")
+
+
+def planned_outputs(batches: DataFrame, default: str, extensions: tuple[str, ...]) -> DataFrame:
+    """``batches (inputs, output, output_is_file)`` with ``path``, ``folder`` and ``error``: where each batch of so many inputs writes.
+
+    A single input goes to the path as it was named. ``-`` and what is, or is named like, a
+    file hold one transcript only, so more inputs are an error. Otherwise files are named in
+    a folder, the default one where none is given.
+    """
+    output, one = F.col("output"), (F.col("inputs") == 1) & F.col("output").isNotNull()
+    name = F.regexp_extract(output, "([^/]*)$", 1)
+    like_a_file = F.col("output_is_file") | F.lower(F.regexp_extract(name, r"^.+\.([^.]*)$", 1)).isin(*extensions)
+    n = F.col("inputs").cast("string")
+    stdout = F.concat(F.lit("'-o -' writes one transcript to stdout and cannot hold "), n)
+    named = F.concat(F.lit("'-o "), output, F.lit("' names a file, but there are "), n, F.lit(" inputs; name a directory instead"))
+    error = F.when(one, None).when(output == "-", stdout).when(like_a_file, named)
+    return batches.withColumns({"path": F.when(one, output), "folder": F.when(~one & error.isNull(), F.coalesce(output, F.lit(default))), "error": error})

@@ -11,6 +11,7 @@ from scriba.operators import scoring as scores
 from scriba.plans import catalogues, scoring
 from scriba.plans.catalogues import MODELS
 from scriba.plans.registry import query, table
+from scriba.sources.files import TRANSCRIPT_EXTENSIONS
 
 # -- lists -----------------------------------------------------------------
 
@@ -372,6 +373,39 @@ def detail_account(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.detail_rows(scoring.scored(spark, sf_dir), "dataset", "pos")
 
 
+@query(f"""WITH {scoring.EDITED}, g AS (SELECT lang, mark, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM c GROUP BY GROUPING SETS ((lang, mark), (lang))),
+q AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS r FROM g), x AS (SELECT *, CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END AS f1 FROM q)
+SELECT lang, (500 + CASE WHEN mark IS NULL THEN 4 ELSE instr(',.?!', mark) - 1 END)::INTEGER AS ordinal, coalesce('mark ' || mark, 'marks overall') AS fact,
+  printf('%6.1f%% %6.1f%% %6.1f%% %6d %6d %6d', round(p * 100, 1), round(r * 100, 1), round(f1 * 100, 1), tp, fp, fn) AS value FROM x""")
+def detail_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The account's lines of marks, of texts whose commas were heard as full stops."""
+    sums = punctuation.with_prf(punctuation.mark_sums(scoring._same_text_cells(spark, sf_dir), "lang"))
+    return scores.mark_rows(sums, "lang", scoring.ASCII_MARKS)
+
+
+@query("""WITH b AS (SELECT o_custkey AS batch, count(*) AS inputs, CASE o_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '-' WHEN 2 THEN 'out/all.SRT' WHEN 3 THEN 'out/v1.2' WHEN 4 THEN '.txt' ELSE 'taken' END AS output, o_custkey % 12 = 5 AS is_file FROM orders GROUP BY o_custkey),
+e AS (SELECT *, inputs = 1 AND output IS NOT NULL AS one, is_file OR o_ext IN ('srt', 'txt', 'text') AS file FROM (SELECT *, lower(regexp_extract(regexp_extract(output, '[^/]*$'), '^.+[.]([^.]*)$', 1)) AS o_ext FROM b)),
+f AS (SELECT *, CASE WHEN one THEN NULL WHEN output = '-' THEN printf('%s-o -%s writes one transcript to stdout and cannot hold %d', chr(39), chr(39), inputs) WHEN file THEN printf('%s-o %s%s names a file, but there are %d inputs; name a directory instead', chr(39), output, chr(39), inputs) END AS error FROM e)
+SELECT batch, CASE WHEN one THEN output END AS path, CASE WHEN NOT one AND error IS NULL THEN coalesce(output, 'transcripts') END AS folder, error FROM f""")
+def outputs_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders are the inputs of a batch, which may name where they go."""
+    k = F.col("o_custkey")
+    named = F.when(k % 6 == 1, "-").when(k % 6 == 2, "out/all.SRT").when(k % 6 == 3, "out/v1.2").when(k % 6 == 4, ".txt").when(k % 6 == 5, "taken")
+    batches = table(spark, sf_dir, "orders").groupBy(k).agg(F.count(F.lit(1)).alias("inputs"))
+    planned = store.planned_outputs(batches.withColumns({"output": named, "output_is_file": k % 12 == 5}), "transcripts", TRANSCRIPT_EXTENSIONS)
+    return planned.select(k.alias("batch"), "path", "folder", "error")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN trim(o_orderpriority) END AS applied, CASE WHEN o_orderkey % 4 = 3 THEN 'Fixed words takes no vocabulary; it was ignored' END AS warning FROM orders""")
+def vocabularies_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as jobs of two engines, of which one takes a vocabulary; every fourth has a blank one."""
+    engines.register(engines.Engine("worded", "Words with a vocabulary", engines.fixed("words"), supports_hotwords=True))
+    k = F.col("o_orderkey") % 4
+    words = F.when(k == 2, "  ").otherwise(F.trim("o_orderpriority"))
+    applied, warning = engines.vocabulary_of(F.when(k < 2, "worded").otherwise("fixed"), words)
+    return table(spark, sf_dir, "orders").select("o_orderkey", applied.alias("applied"), warning.alias("warning"))
+
+
 @query(f"""WITH {LISTED} SELECT list, pos, regexp_extract(input, '[^/]*$') AS name, 'e' AS engine, CASE state WHEN 'running' THEN 'working' WHEN 'needs_model' THEN 'needsModel' ELSE state END AS state, state = 'done' AND pos % 3 <> 0 AS has_result FROM f""")
 def entry_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return worklist.entry_views(_listed(spark, sf_dir).withColumns({"engine": F.lit("e"), "output": F.when(F.col("pos") % 3 != 0, "o")}))

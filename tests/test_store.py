@@ -44,3 +44,17 @@ def test_records_and_what_is_left(spark):
     assert [r.source for r in store.existing(rows, there).collect()] == ["s2"]
     parsed = spark.createDataFrame([("o1", ["a"]), ("o2", None)], "output string, segments array<string>")
     assert [(r.source, r.segments) for r in store.readable(rows, parsed).collect()] == [("s1", ["a"])]
+
+
+def test_planned_outputs_are_those_of_one_batch(spark):
+    from scriba.sources.files import TRANSCRIPT_EXTENSIONS, plan_outputs
+
+    cases = [(n, o, f) for n in (1, 2) for o in (None, "-", "a.srt", "d/b.TXT", ".txt", "dir", "v1.2", "x/y.z/") for f in (False, True)]
+    rows = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, inputs int, output string, output_is_file boolean")
+    got = {r.k: (r.path, r.folder, r.error) for r in store.planned_outputs(rows, "out", TRANSCRIPT_EXTENSIONS).collect()}
+    for k, (n, output, is_file) in enumerate(cases):
+        try:
+            want = (*plan_outputs(["i"] * n, output, "out", is_file), None)
+        except ValueError as e:
+            want = (None, None, str(e))
+        assert got[k] == want, cases[k]
