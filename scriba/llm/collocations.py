@@ -6,7 +6,8 @@ phrase of its first k - 1 words at a position and that of its last k - 1 at the
 so lists of the next level are a merge join of adjacent positions, and a list's length is
 the phrase's frequency in the block. Frequencies are summed over all blocks; only phrases
 with enough of them get an id, go back to the blocks they stand in, and are extended.
-Nothing of a level is held by the driver or by all tasks, but for tables of a checked size.
+Nothing of a level is held by the driver or by all tasks, but for frequent phrases while
+these are few.
 
 A phrase is known by the ids of its two parts, so counts are exact, not those of hashes.
 """
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,25 +31,54 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 BLOCK_WORDS = 1 << 21
 #: Long texts are cut into words by and by.
 SLICE_BYTES = 1 << 22
-#: Frequent phrases up to so many are broadcast to what looks them up; more are joined by shuffles.
-BROADCAST_PHRASES = 200_000
+#: Frequent phrases of a level up to so many reach the tasks, and blocks stay where they are; more are joined by shuffles.
+BROADCAST_PHRASES = 500_000
 
 _END = b"\xff"  # is in no UTF-8 text
 _PLAIN = bytes(0xFF if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b for b in range(256))
 _zstd = pa.Codec("zstd", compression_level=1)
 
 
-def _packed(lengths: np.ndarray, positions: np.ndarray) -> bytes:
-    """Lists of ascending positions as one compressed value."""
-    steps = np.diff(positions.astype(np.int32), prepend=np.int32(0))
-    raw = np.concatenate((np.array([len(lengths), len(positions)], dtype=np.int32), lengths.astype(np.int32), steps)).tobytes()
+def _packed(raw: bytes) -> bytes:
     return len(raw).to_bytes(8, "little") + _zstd.compress(raw, asbytes=True)
 
 
-def _unpacked(value: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(_zstd.decompress(value[8:], int.from_bytes(value[:8], "little")), dtype=np.int32)
+def _unpacked(value: bytes) -> bytes:
+    return _zstd.decompress(value[8:], int.from_bytes(value[:8], "little")).to_pybytes()
+
+
+Lists = tuple[np.ndarray, np.ndarray]  # their lengths, and the ascending positions of each
+Keys = tuple[np.ndarray, ...]  # what each list's phrase is: its word, or the ids of its two parts
+
+
+def _packed_lists(lists: Lists) -> bytes:
+    lengths, positions = lists
+    steps = np.diff(positions.astype(np.int32), prepend=np.int32(0))
+    return _packed(np.concatenate((np.array([len(lengths)]), lengths, steps)).astype(np.int32).tobytes())
+
+
+def _read_lists(value: bytes) -> Lists:
+    raw = np.frombuffer(_unpacked(value), dtype=np.int32)
     n = int(raw[0])
-    return raw[2 : 2 + n].astype(np.int64), np.cumsum(raw[2 + n :], dtype=np.int64)
+    return raw[1 : 1 + n].astype(np.int64), np.cumsum(raw[1 + n :], dtype=np.int64)
+
+
+def _packed_keys(keys: Keys) -> bytes:
+    return _packed(b"\n".join(keys[0]) if len(keys) == 1 else np.concatenate((np.diff(keys[0], prepend=0), keys[1])).tobytes())
+
+
+def _read_keys(value: bytes, parts: int) -> Keys:
+    raw = _unpacked(value)
+    if parts == 1:
+        return (np.array(raw.split(b"\n"), dtype=object),)
+    both = np.frombuffer(raw, dtype=np.int64)
+    return np.cumsum(both[: len(both) // 2]), both[len(both) // 2 :]
+
+
+def _columns(keys: Keys) -> dict[str, pa.Array]:
+    if len(keys) == 1:
+        return {"word": pa.array([w.decode("utf-8", "replace") for w in keys[0]], pa.string())}
+    return {"p": pa.array(keys[0], pa.int64()), "s": pa.array(keys[1], pa.int64())}
 
 
 class _Codes(dict):
@@ -67,30 +98,36 @@ class _Block:
         self.size += len(words)
 
 
-_WORDS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("idx", pa.int32()), ("word", pa.string()), ("n", pa.int64()), ("lists", pa.binary())])
-_PAIRS = pa.schema([("block", pa.int64()), ("idx", pa.int32()), ("p", pa.int64()), ("s", pa.int64()), ("n", pa.int64()), ("lists", pa.binary())])
+_BLOCKS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("lists", pa.binary()), ("keys", pa.binary())])
+_KINDS = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
 
 
 def _ddl(schema: pa.Schema) -> str:
-    kinds = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.binary(): "binary"}
-    return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
+    return ", ".join(f"{f.name} {_KINDS[f.type]}" for f in schema)
+
+
+def _told(*columns: str) -> pa.Schema:
+    """Rows of a block's phrases."""
+    kinds = {"lang": pa.string(), "word": pa.string()}
+    return pa.schema([(c, kinds.get(c, pa.int64())) for c in columns])
+
+
+def _rows(schema: pa.Schema, **columns: pa.Array) -> Iterator[pa.RecordBatch]:
+    size = len(next(iter(columns.values())))
+    for at in range(0, size, 1 << 16):
+        yield pa.RecordBatch.from_arrays([columns[f.name].slice(at, 1 << 16) for f in schema], schema=schema)
 
 
-def _row(schema: pa.Schema, **values: object) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([values], schema=schema)
+def _block_row(number: int, lang: str, lists: Lists, keys: Keys) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{"block": number, "lang": lang, "lists": _packed_lists(lists), "keys": _packed_keys(keys)}], schema=_BLOCKS)
 
 
-def _closed(number: int, lang: str, block: _Block) -> Iterator[pa.RecordBatch]:
-    """A block's words with their frequencies, and their lists."""
+def _closed(number: int, lang: str, block: _Block) -> pa.RecordBatch:
+    """A block's words, and the list of each."""
     codes = np.concatenate(block.parts)
     n = np.bincount(codes, minlength=len(block.codes))
-    yield _row(_WORDS, block=number, lang=lang, lists=_packed(n[1:], np.argsort(codes, kind="stable")[n[0] :]))
-    words = [w.decode("utf-8", "replace") for w in block.codes][1:]
-    size = len(words)
-    for i in range(0, size, 1 << 16):
-        j = min(i + (1 << 16), size)
-        columns = [pa.array([number] * (j - i), pa.int64()), pa.array([lang] * (j - i)), pa.array(range(i, j), pa.int32()), pa.array(words[i:j], pa.string()), pa.array(n[1 + i : 1 + j], pa.int64()), pa.nulls(j - i, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, schema=_WORDS)
+    words = np.array([*block.codes][1:], dtype=object)
+    return _block_row(number, lang, (n[1:], np.argsort(codes, kind="stable")[n[0] :]), (words,))
 
 
 def _slices(text: bytes) -> Iterator[bytes]:
@@ -122,78 +159,163 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     largest = max(blocks, key=lambda x: blocks[x].size)
                     full = blocks.pop(largest)  # all of them end with a piece
                     total -= full.size
-                    yield from _closed(number, largest, full)
+                    yield _closed(number, largest, full)
                     number += 1
     for lang, block in blocks.items():
-        yield from _closed(number, lang, block)
+        yield _closed(number, lang, block)
         number += 1
 
 
-def _extended(last: bool):  # noqa: ANN202 - a function of two tables
-    """Lists of the next level in a block, of its ``lists`` and the ids of those of its phrases that are frequent."""
-
-    def run(lists: pa.Table, frequent: pa.Table) -> pa.Table:
-        if not lists.num_rows or not frequent.num_rows:
-            return _PAIRS.empty_table()
-        number = lists.column("of")[0].as_py()
-        lengths, positions = _unpacked(lists.column("lists")[0].as_py())
-        known = np.full(len(lengths), -1, dtype=np.int64)
-        known[frequent.column("idx").to_numpy()] = frequent.column("id").to_numpy()
-        local = np.repeat(np.arange(len(lengths)), lengths)
-        kept = known[local] >= 0
-        at, local = positions[kept], local[kept]
-        order = np.argsort(at, kind="stable")
-        at, local = at[order], local[order]
-        first = np.flatnonzero(at[1:] == at[:-1] + 1)  # the merge join: what stands here, and one further
-        if not len(first):
-            return _PAIRS.empty_table()
-        key = local[first] * len(lengths) + local[first + 1]
-        order = np.argsort(key, kind="stable")
-        key, first = key[order], first[order]
-        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        n = np.diff(np.append(start, len(key)))
-        p, s = known[key[start] // len(lengths)], known[key[start] % len(lengths)]
-        size = len(start)
-        rows = pa.table([pa.array(np.full(size, number)), pa.array(np.arange(size, dtype=np.int32)), pa.array(p), pa.array(s), pa.array(n.astype(np.int64)), pa.nulls(size, pa.binary())], schema=_PAIRS)
-        if last:
-            return rows
-        return pa.concat_tables([rows, pa.Table.from_batches([_row(_PAIRS, block=number, lists=_packed(n, at[first]))])])
-
-    return run
-
-
-def _looked_up(rows: DataFrame, frequent: DataFrame, keys: list[str], count: int) -> DataFrame:
-    """``(block, idx, id)`` of the rows whose phrase is frequent."""
-    ids = frequent.select(*keys, "id")
-    return rows.join(F.broadcast(ids) if count <= BROADCAST_PHRASES else ids, keys).select("block", "idx", "id")
+def _extended(lists: Lists, known: np.ndarray) -> tuple[Lists, Keys]:
+    """The lists of the next level, of lists and the ids (-1 for none) of the phrases that they are of."""
+    lengths, positions = lists
+    local = np.repeat(np.arange(len(lengths)), lengths)
+    kept = known[local] >= 0
+    at, local = positions[kept], known[local[kept]]
+    order = np.argsort(at, kind="stable")
+    at, local = at[order], local[order]
+    first = np.flatnonzero(at[1:] == at[:-1] + 1)  # the merge join: what stands here, and one further
+    p, s = local[first], local[first + 1]
+    order = np.lexsort((s, p))
+    p, s, at = p[order], s[order], at[first[order]]
+    start = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (s[1:] != s[:-1])))) if len(p) else np.zeros(0, dtype=np.int64)
+    return (np.diff(np.append(start, len(p))), at), (p[start], s[start])
+
+
+class _Words:
+    """Ids of frequent words, by language."""
+
+    def __init__(self, frequent: pa.Table):
+        order = frequent.sort_by("lang").combine_chunks()
+        ends: dict[str, tuple[int, int]] = {}
+        for i, lang in enumerate(order["lang"].to_pylist()):
+            ends[lang] = (ends.get(lang, (i, i))[0], i + 1)
+        self.known = {x: (order["word"][a:b].combine_chunks(), order["id"][a:b].to_numpy()) for x, (a, b) in ends.items()}
+
+    def ids(self, lang: str, keys: Keys) -> np.ndarray:
+        if lang not in self.known:
+            return np.full(len(keys[0]), -1, dtype=np.int64)
+        values, ids = self.known[lang]
+        at = pc.index_in(_columns(keys)["word"], value_set=values)
+        return np.where(at.is_valid(), ids[at.fill_null(0).to_numpy()], -1)
+
+
+class _Pairs:
+    """Ids of frequent phrases, by the ids of their two parts."""
+
+    def __init__(self, frequent: pa.Table):
+        p, s, ids = (frequent[c].to_numpy() for c in ("p", "s", "id"))
+        self.p, self.s = np.unique(p), np.unique(s)
+        key = self._key(p, s)
+        order = np.argsort(key)
+        self.key, self.id = key[order], ids[order]
+
+    def _key(self, p: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """One number for both, -1 where a part is in no frequent phrase."""
+        x, y = (np.minimum(np.searchsorted(a, b), len(a) - 1) for a, b in ((self.p, p), (self.s, s)))
+        return np.where((self.p[x] == p) & (self.s[y] == s), x * len(self.s) + y, -1)
+
+    def ids(self, lang: str, keys: Keys) -> np.ndarray:
+        if not len(self.key):
+            return np.full(len(keys[0]), -1, dtype=np.int64)
+        key = self._key(*keys)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.id[at], -1)
+
+
+class _Levels:
+    """Blocks of some level as they are written, and what leads from there to the present one: the frequent phrases of the levels between."""
+
+    def __init__(self, blocks: DataFrame, parts: int):
+        self.blocks, self.parts, self.held = blocks, parts, []
+
+    @property
+    def keys(self) -> list[str]:
+        return ["lang", "word"] if self.parts == 1 and not self.held else ["p", "s"]
+
+    def extend(self, frequent: DataFrame, few: bool) -> None:
+        """Go on to the next level. A few frequent phrases are sent to where the blocks are; otherwise ids meet the blocks in shuffles, and these are written again."""
+        if few:
+            kind = _Words if self.keys[0] == "lang" else _Pairs
+            self.held.append(self.blocks.sparkSession.sparkContext.broadcast(kind(frequent.select(*self.keys, "id").toArrow())))
+            return
+        rest = [c for c in self.keys if c != "lang"]
+        ids = self.phrases("block", "lang", "idx", *rest).join(frequent.select(*self.keys, "id"), self.keys).select("block", "idx", "id")
+
+        def met(own: pa.Table, ids: pa.Table) -> pa.Table:
+            if not own.num_rows or not ids.num_rows:
+                return _BLOCKS.empty_table()
+            number, lang, lists = (own.column(c)[0].as_py() for c in ("of", "lang", "lists"))
+            lists = _read_lists(lists)
+            known = np.full(len(lists[0]), -1, dtype=np.int64)
+            known[ids.column("idx").to_numpy()] = ids.column("id").to_numpy()
+            lists, keys = _extended(lists, known)
+            return pa.Table.from_batches([_block_row(number, lang, lists, keys)] if len(keys[0]) else [], schema=_BLOCKS)
+
+        own = self._mapped(lambda number, lang, lists, keys: iter([_block_row(number, lang, lists, keys)]), _BLOCKS).select(F.col("block").alias("of"), "lang", "lists")
+        written = own.groupBy("of").cogroup(ids.groupBy("block")).applyInArrow(met, _ddl(_BLOCKS))
+        self.blocks, self.parts, self.held = materialise(written, "blocks"), 2, []
+
+    def phrases(self, *columns: str) -> DataFrame:
+        """The phrases of each block at the present level, of ``block, lang, idx, n`` and the keys."""
+        schema = _told(*columns)
+
+        def rows(number: int, lang: str, lists: Lists, keys: Keys) -> Iterator[pa.RecordBatch]:
+            size = len(keys[0])
+            own = {"block": lambda: pa.array(np.full(size, number)), "lang": lambda: pa.array([lang] * size, pa.string()), "idx": lambda: pa.array(np.arange(size)), "n": lambda: pa.array(lists[0].astype(np.int64))}
+            yield from _rows(schema, **{c: own[c]() for c in columns if c in own}, **_columns(keys))
+
+        return self._mapped(rows, schema)
+
+    def _mapped(self, give, schema: pa.Schema) -> DataFrame:  # noqa: ANN001 - a function of a block
+        parts, held = self.parts, list(self.held)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for number, lang, lists, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    lists, keys = _read_lists(lists), _read_keys(keys, parts)
+                    if not len(lists[0]):
+                        continue  # no word
+                    for x in held:
+                        lists, keys = _extended(lists, x.value.ids(lang, keys))
+                    if len(keys[0]):
+                        yield from give(number, lang, lists, keys)
+
+        return self.blocks.mapInArrow(run, _ddl(schema))
+
+
+def _numbered(frequent: DataFrame, name: str) -> DataFrame:
+    """``frequent`` written, with ``id`` from 0 without gaps: small numbers take little in shuffles."""
+    rows = materialise(frequent.withColumn("_id", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_id", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # a row for each task that wrote
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    placed = rows.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return placed.withColumn("id", F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_before", "_id")
 
 
 def _next(rows: DataFrame, parts: DataFrame, few: bool) -> DataFrame:
-    """The frequent phrases of a level: id, lang, words, and the frequencies of all that begins (``heads``) or ends (``tails``) them."""
+    """The frequent phrases of a level: lang, words, and the frequencies of all that begins (``heads``) or ends (``tails``) them."""
     f = rows.groupBy("p", "s").agg(F.sum("n").alias("f")).where(F.col("f") >= LEAST)
     side = lambda x: F.broadcast(x) if few else x
     first = parts.select(F.col("id").alias("p"), "lang", F.col("words").alias("_begin"), F.concat("heads", F.array("f")).alias("heads"))
     second = parts.select(F.col("id").alias("s"), F.element_at("words", -1).alias("_end"), F.concat("tails", F.array("f")).alias("tails"))
     out = f.join(side(first), "p").join(side(second), "s")
-    return out.select(F.monotonically_increasing_id().alias("id"), "lang", "p", "s", "f", F.concat("_begin", F.array("_end")).alias("words"), "heads", "tails")
+    return out.select("lang", "p", "s", "f", F.concat("_begin", F.array("_end")).alias("words"), "heads", "tails")
 
 
 def frequent_phrases(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """``(lang, n)``, all words of a language, and by number of words from 1 the phrases that come LEAST times or more."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    found = materialise(texts.mapInArrow(_split, _ddl(_WORDS)), "words")
-    rows, keys = found.where("lists is null"), ["lang", "word"]
-    sizes = rows.groupBy("lang").agg(F.sum("n").alias("n"))
+    at = _Levels(materialise(texts.mapInArrow(_split, _ddl(_BLOCKS)), "blocks"), 1)
+    words = at.phrases("lang", "word", "n").groupBy("lang", "word").agg(F.sum("n").alias("f"))
     none = F.array().cast("array<bigint>")
-    words = rows.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= LEAST)
-    levels = [materialise(words.select(F.monotonically_increasing_id().alias("id"), *keys, "f", F.array("word").alias("words"), none.alias("heads"), none.alias("tails")), "phrases1")]
+    sizes = materialise(at.phrases("lang", "n").groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
+    levels = [_numbered(words.where(F.col("f") >= LEAST).select("lang", "word", "f", F.array("word").alias("words"), none.alias("heads"), none.alias("tails")), "phrases1")]
     for k in range(2, LONGEST + 1):
-        count = levels[-1].count()
-        ids = _looked_up(rows, levels[-1], keys, count)
-        lists = found.where("lists is not null").select(F.col("block").alias("of"), "lists")
-        found = materialise(lists.groupBy("of").cogroup(ids.groupBy("block")).applyInArrow(_extended(k == LONGEST), _ddl(_PAIRS)), f"pairs{k}")
-        rows, keys = found.where("lists is null"), ["p", "s"]
-        levels.append(materialise(_next(rows, levels[-1], count <= BROADCAST_PHRASES), f"phrases{k}"))
+        few = levels[-1].count() <= BROADCAST_PHRASES
+        at.extend(levels[-1], few)
+        levels.append(_numbered(_next(at.phrases("p", "s", "n"), levels[-1], few), f"phrases{k}"))
     return sizes, levels
 
 

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from scriba.llm import collocations as op
@@ -92,10 +93,8 @@ def test_large_products_are_exact(spark):
 
 
 def test_lists_come_back():
-    import numpy as np
-
     lengths, positions = np.array([2, 1, 3]), np.array([5, 9, 0, 1, 2, 70_000])
-    got = op._unpacked(op._packed(lengths, positions))
+    got = op._read_lists(op._packed_lists((lengths, positions)))
     assert got[0].tolist() == lengths.tolist() and got[1].tolist() == positions.tolist()
 
 
