@@ -11,7 +11,7 @@ from scriba.operators import scoring as scores
 from scriba.plans import catalogues, scoring
 from scriba.plans.catalogues import MODELS
 from scriba.plans.registry import query, table
-from scriba.sources.files import TRANSCRIPT_EXTENSIONS
+from scriba.sources.files import TRANSCRIPT_EXTENSIONS, numbered
 
 # -- lists -----------------------------------------------------------------
 
@@ -74,7 +74,7 @@ def restored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filtered_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that contain the first three letters of the first one; each keeps its place in the whole list."""
     rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"))
-    counted = rows.withColumn("pos", F.col("p_partkey"))  # keys run from 0 without gaps
+    counted = numbered(rows, "p_partkey").withColumnRenamed("number", "pos")
     needle = rows.where("p_partkey = 1").select(F.concat(F.lit(" "), F.upper(F.substring("name", 1, 3)), F.lit(" ")).alias("needle"))
     return worklist.matching(counted.join(F.broadcast(needle)), "needle").drop("needle")
 
@@ -84,10 +84,14 @@ def jobs_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return worklist.newest_first(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job"), F.col("o_orderstatus").alias("state")))
 
 
-@query("SELECT c_custkey AS pos, c_name AS input, s_name AS output FROM customer JOIN supplier ON s_suppkey = c_custkey")
+@query("""WITH i AS (SELECT c_name AS input, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer WHERE c_custkey % 3 = 1), o AS (SELECT s_name AS output, row_number() OVER (ORDER BY s_suppkey) - 1 AS pos FROM supplier WHERE s_suppkey % 2 = 0)
+SELECT pos, input, output FROM i JOIN o USING (pos)""")
 def zipped_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pos"), F.col("c_name").alias("input"))
-    return worklist.zipped(left, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pos"), F.col("s_name").alias("output")))
+    """Every third customer beside every other supplier, by their places in both lists."""
+    left = table(spark, sf_dir, "customer").where("c_custkey % 3 = 1").select("c_custkey", F.col("c_name").alias("input"))
+    right = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select("s_suppkey", F.col("s_name").alias("output"))
+    placed = (numbered(rows, key).withColumnRenamed("number", "pos").drop(key) for rows, key in ((left, "c_custkey"), (right, "s_suppkey")))
+    return worklist.zipped(*placed).select("pos", "input", "output")
 
 
 _METHODS, _PATHS = ("GET", "POST", "DELETE", "PUT"), ("/health", "/models", "/jobs", "/jobs/{}", "/jobs/{}/x", "/jobs/x{}", "/other")

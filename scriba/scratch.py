@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +42,28 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+_tables: list[str] = []
+
+
+@contextmanager
+def passing(spark: SparkSession, *kept: str) -> Iterator[None]:
+    """Tables that are made inside are removed at the end, but for those of the given names.
+
+    For work whose result is written, as ``materialise`` does: what it was made of is no
+    longer read. Tables are removed whether or not the work succeeds.
+    """
+    first = len(_tables)
+    try:
+        yield
+    finally:
+        made, _tables[first:] = _tables[first:], []
+        for path in made:
+            if path.rsplit("/", 1)[-1].rsplit("-", 1)[0] in kept:
+                _tables.append(path)
+            else:
+                _remove(spark, path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back; this cuts the lineage.
 
@@ -47,5 +71,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     table is in shared storage.
     """
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    _tables.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

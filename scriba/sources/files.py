@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scriba.functions.digests import file_label
 from scriba.functions.paths import extension, looks_like_audio, parent
+from scriba.operators.scans import running
 from scriba.scratch import materialise
 
 # The version that stored documents must have, and the columns that may hold a reference.
@@ -88,13 +89,9 @@ def audio_corpus(rows: DataFrame, order: str) -> DataFrame:
     return numbered(kept, order).select(F.format_string("%06d", "number").alias("id"), "bytes", "reference")
 
 
-def numbered(rows: DataFrame, order: str, parts: int = 16) -> DataFrame:
-    """``rows`` with ``number`` from 0 in the order of a column: positions in ranges, after the sizes of the ranges before."""
-    dealt = rows.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
-    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inner = dealt.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1)
-    return inner.join(before, "_part").withColumn("number", F.col("_before") + F.col("_k")).drop("_part", "_k", "_before")
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """``rows`` with ``number``, their place from 0 in the order of a column; a large table is numbered in blocks (``operators.scans``)."""
+    return running(rows.withColumn("_all", F.lit(0)), "_all", order, {"number": ("count", F.lit(1))}).drop("_all")
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:

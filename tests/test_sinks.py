@@ -47,3 +47,29 @@ def test_scripted_job_runs_through(spark):
     assert jobs.sequence_violations(events).count() == 0
     assert {tuple(r) for r in jobs.outcomes(events).collect()} == {(1, "done", 12), (2, "done", 12)}
     assert {r.fraction for r in jobs.counters(events).collect()} == {1.0}
+
+
+def test_passing_tables_go_and_kept_ones_stay(spark):
+    import os
+
+    from scriba.scratch import materialise, passing
+
+    def there(df):
+        return os.path.exists(df.inputFiles()[0].removeprefix("file://"))
+
+    before = materialise(spark.range(3), "before")
+    with passing(spark, "result"):
+        part = materialise(before.selectExpr("id + 1 as id"), "part")
+        with passing(spark, "inner"):
+            inner = materialise(part, "inner")
+        result = materialise(inner.union(part), "result")
+        files = {n: x.inputFiles()[0].removeprefix("file://") for n, x in (("part", part), ("inner", inner))}
+        assert all(map(os.path.exists, files.values()))
+    assert there(before) and there(result) and not any(map(os.path.exists, files.values()))
+    assert sorted(r.id for r in result.collect()) == [1, 1, 2, 2, 3, 3]
+    try:
+        with passing(spark):
+            lost = materialise(spark.range(2), "lost").inputFiles()[0].removeprefix("file://")
+            raise KeyError
+    except KeyError:
+        assert not os.path.exists(lost)
