@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriba.llm import decontamination, minhash, mixing, quality, sharding
-from scriba.llm.common import materialise
+from scriba.llm.common import materialise, passing
 from scriba.sources.tables import read_table
 
 
@@ -51,8 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents, each on the written result of the one before."""
+    """Apply the stages to the documents, each on the written result of the one before; a stage's own tables go once its result is written."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        with passing(spark, name):
+            docs = materialise(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir).select("doc_id", "source", "lang", F.length("text").cast("long").alias("n_chars"), F.crc32("text").alias("text_crc32"), "shard", "slot")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriba.scratch import materialise, scratch_dir  # noqa: F401
+from scriba.scratch import materialise, passing, scratch_dir  # noqa: F401
 
 # --------------------------------------------------------------------------
 # words and hashes inside a task

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriba.llm.common import GOLDEN, MASK64, U, columns_of, connected_components, fresh, materialise, mix, shingle_hashes, utf8
+from scriba.llm.common import GOLDEN, MASK64, U, columns_of, connected_components, fresh, materialise, passing, mix, shingle_hashes, utf8
 
 SHINGLE, BANDS, ROWS = 5, 21, 3
 #: Pivots of a bucket in the rounds after the first, and the number of rounds.
@@ -236,7 +236,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     are kept. An empty table stays empty. Texts are shuffled for ids that repeat, and once
     more where over BROADCAST_IDS ids repeat or go.
     """
-    found = materialise(near_duplicates(docs, id_col, text_col).where("doc_id is not null").select("doc_id", "kept"), "kept")
+    with passing(docs.sparkSession, "kept"):
+        found = materialise(near_duplicates(docs, id_col, text_col).where("doc_id is not null").select("doc_id", "kept"), "kept")
     once = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("kept").alias("kept")).where("n > 1 or not kept")
     own, stays = fresh(docs, "id"), fresh(docs, "stays")
     once = materialise(once.select(F.col("doc_id").alias(own), F.col("kept").alias(stays)), "once")
