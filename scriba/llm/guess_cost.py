@@ -28,10 +28,10 @@ from scriba.llm.common import materialise
 
 #: Values that take 10 to this power guesses are secrets.
 COST = 10.0
-#: Characters of a repeated unit.
-UNIT = 8
 #: Words of the corpus that an attacker tries, and their length.
 WORDS, SHORTEST, LONGEST = 20_000, 3, 20
+#: Characters of a repeated unit, as many as a word may have.
+UNIT = LONGEST
 #: Words that a task holds.
 _HELD = 400_000
 
@@ -99,12 +99,17 @@ def guess_cost(value: str, words: dict[str, int] | None = None) -> float:
     A segmentation costs the product of its parts' guesses, where the kind of each part
     has to be guessed too. ``words`` gives ranks. The value is read once: what is open at
     a position is one cost for brute force, one for each direction of a walk, and the
-    starts of repeats that may still become the cheapest.
+    starts of repeats that may still become the cheapest. A repeat costs its unit's own
+    cheapest segmentation and how often it comes.
     """
-    words, n, inf = _COMMON if words is None else words, len(value), float("inf")
-    if not n:
-        return 0.0
-    low, each = _lower(value), log10(_alphabet(value))
+    words = _COMMON if words is None else words
+    return _cost(value, words, log10(_alphabet(value)), {}) if value else 0.0
+
+
+def _cost(value: str, words: dict[str, int], each: float, units: dict[str, float]) -> float:
+    """``guess_cost`` where a character of brute force costs ``each``; ``units`` has the costs of repeated units."""
+    n, inf = len(value), float("inf")
+    low = _lower(value)
     plain, shifts = low.translate(_LEET), [_shifted(c) for c in value]
     best = [0.0] + [inf] * n
     ends: dict[int, list[tuple[int, float]]] = {}  # parts that end further on: (start, cost)
@@ -138,7 +143,10 @@ def guess_cost(value: str, words: dict[str, int] | None = None) -> float:
             if same[size] >= size:
                 starts = live[size][j % size]
                 starts.append((best[j - 2 * size], j - 2 * size))
-                now = min(now, _cheapest(starts, j, size, each) + PART)
+                unit = value[j - size : j]
+                if unit not in units:
+                    units[unit] = _cost(unit, words, each, units)
+                now = min(now, _cheapest(starts, j, size, units[unit]) + PART)
         best[j] = now
     return best[n]
 
@@ -156,7 +164,7 @@ def _short_parts(value: str, low: str, plain: str, i: int, words: dict[str, int]
                 yield m.end(), cost
 
 
-def _cheapest(starts: list[tuple[float, int]], j: int, size: int, each: float) -> float:
+def _cheapest(starts: list[tuple[float, int]], j: int, size: int, unit: float) -> float:
     """The least cost of a repeat that ends at ``j``; starts that no later end makes the cheapest are taken out.
 
     The logarithm of the count grows faster for a later start: one that is no cheaper
@@ -165,7 +173,7 @@ def _cheapest(starts: list[tuple[float, int]], j: int, size: int, each: float) -
     """
     least, kept = float("inf"), []
     for c, i in starts:
-        cost = c + (each * size + log10((j - i) // size))
+        cost = c + (unit + log10((j - i) // size))
         if cost < least:
             least = cost
             while kept and kept[-1][0] >= c:

@@ -76,9 +76,9 @@ def walk_cost(part):
     return min(cost.values(), default=float("inf")) if len(part) > 2 else float("inf")
 
 
-def all_segmentations(value, words):
-    """The cost over all parts of the whole value, each start with each end."""
-    n, each, low = len(value), log10(op._alphabet(value)), value.lower()
+def all_segmentations(value, words, each=None, units=None):
+    """The cost over all parts of the whole value, each start with each end; a repeat costs its unit as a value by itself, and how often it comes."""
+    n, each, low, units = len(value), each or log10(op._alphabet(value)), value.lower(), {} if units is None else units
     best = [0.0] + [float("inf")] * n
     for i in range(n):
         for j in range(i + 1, n + 1):
@@ -87,7 +87,11 @@ def all_segmentations(value, words):
                 if len(part) > 1 and text in words:
                     costs.append(log10(words[text] + 1) + extra + (0.0 if part in (text, low[i:j]) else 0.3 if part.istitle() or part.isupper() else 1.2))
             costs += [cost for pattern, cost in op._DATES if (m := pattern.match(value, i)) and m.end() == j]
-            costs += [each * s + log10(len(part) // s) for s in range(1, op.UNIT + 1) if len(part) % s == 0 and len(part) > s and part[:s] * (len(part) // s) == part]
+            for s in range(1, op.UNIT + 1):
+                if len(part) % s == 0 and len(part) > s and part[:s] * (len(part) // s) == part:
+                    if part[:s] not in units:
+                        units[part[:s]] = all_segmentations(part[:s], words, each, units)
+                    costs.append(units[part[:s]] + log10(len(part) // s))
             best[j] = min(best[j], best[i] + min(costs) + op.PART)
     return best[n]
 
@@ -96,13 +100,21 @@ def test_cheapest_segmentation_equals_brute_force():
     rng = random.Random(6)
     letters = "abcdefghijkmnpqrstuvwxyzABCDEFGH23456789#$"
     words = op._COMMON | {"lantern": 900, "orchard": 950}
-    kinds = ["a", "1", "catcat", "abc" * 4, "xyxyz" * 3, "password", "Monday", "2024-05-17", "1999", "12/3/24", "qwertyuiop", "1qaz2wsx", "zxcVBN", "cdefgh", "lantern", "Orch@rd", "aaaaaaa"]
+    kinds = ["a", "1", "catcat", "abc" * 4, "xyxyz" * 3, "password", "Monday", "2024-05-17", "1999", "12/3/24", "qwertyuiop", "password" * 4, "x7Kq2Lm9Z" * 3, "1qaz2wsx", "zxcVBN", "cdefgh", "lantern", "Orch@rd", "aaaaaaa"]
     for k in range(120):
         parts = [rng.choice([*kinds, rng.choice(letters), "".join(rng.choice(letters) for _ in range(9))]) for _ in range(rng.randrange(1, 14 if k % 4 == 0 else 5))]
         value = "".join(parts)[:90]
         assert abs(op.guess_cost(value, words) - all_segmentations(value, words)) < 1e-9, value
 
 
+def test_repeats_cost_their_unit_and_how_often():
+    assert op.guess_cost("password" * 12) < op.guess_cost("password") + log10(12) + op.PART + 1e-9 < op.COST
+    assert op.guess_cost("x7Kq2Lm9Z" * 4) - op.guess_cost("x7Kq2Lm9Z") < log10(4) + op.PART + 1e-9
+    assert op.guess_cost("summer2024!" * 5) < op.COST
+    for unit, n in (("ab", 50_000), ("abcdefghijklmnopqrs#", 5000)):
+        assert op.guess_cost(unit * n) < op.guess_cost(unit) + log10(n) + op.PART + 1e-9
+
+
 def test_any_number_of_parts():
     costs = [op.guess_cost("".join(["house", "dog", "green", "server"][k % 4] for k in range(n))) for n in range(1, 30)]
     steps = [b - a for a, b in zip(costs, costs[1:], strict=False)]
