@@ -297,35 +297,56 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield linked(*held)
 
 
+_PIVOTS = "bucket long, nodes array<long>, prints binary, classes array<long>, labels array<long>, pivot_print binary, usual binary, often binary"
+
+
 def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket's sample: its nodes and prints, the print with most of what is usual, and what is usual in each slot and how often."""
+    """Of each bucket's sample: its nodes and prints, what of it is connected, the print with most of what is usual, and what is usual in each slot and how often."""
     for batch in batches:
-        nodes, prints, pivot, usual, often = [], [], [], [], []
+        nodes, prints, classes, labels, pivot, usual, often = [], [], [], [], [], [], []
         for x in batch.column(1).to_pylist():
             f = np.frombuffer(b"".join(r["print"] for r in x), dtype=np.uint8).reshape(-1, SLOTS)
             n = (f[:, None, :] == f[None, :, :]).sum(axis=1)
             top, best = n.argmax(axis=0), int(n.sum(axis=1).argmax())
+            label = np.array([r["label"] for r in x])
+            near = ((f[:, None, :] == f[None, :, :]).mean(axis=2) >= LIKE) | (label[:, None] == label[None, :])
+            own = label
+            while True:  # the least label that is reached
+                low = np.where(near, own[None, :], own.max()).min(axis=1)
+                if (low == own).all():
+                    break
+                own = low
             # the pivot comes first
             order = [best, *(k for k in range(len(f)) if k != best)]
             nodes.append([x[k]["node"] for k in order])
             prints.append(f[order].tobytes())
+            classes.append(own[order].tolist())
+            labels.append(label[order].tolist())
             pivot.append(f[best].tobytes())
             usual.append(f[top, np.arange(SLOTS)].tobytes())
             often.append(n.max(axis=0).astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.list_(pa.int64())), *(pa.array(x, pa.binary()) for x in (prints, pivot, usual, often))], ["bucket", "nodes", "prints", "pivot_print", "usual", "often"])
+        longs = (pa.array(x, pa.list_(pa.int64())) for x in (nodes, classes, labels))
+        nodes, classes, labels = longs
+        yield pa.RecordBatch.from_arrays([batch.column(0), nodes, pa.array(prints, pa.binary()), classes, labels, *(pa.array(x, pa.binary()) for x in (pivot, usual, often))], [x.split()[0] for x in _PIVOTS.split(", ")])
 
 
-_HELD = "bucket long, node long, print binary, pivot_print binary, usual binary, often binary, near array<long>"
+_HELD = "bucket long, node long, label long, print binary, pivot_print binary, usual binary, often binary, near array<long>"
 
 
 def _near_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``bucket, node, print, pivot_print, usual, often, nodes, prints`` with ``near``, the nodes of the bucket's sample that are near, in place of the sample."""
+    """``bucket, node, label, print, pivot_print, usual, often, nodes, prints, classes, labels`` with ``near``, the nodes of the bucket's sample that are near, in place of the sample.
+
+    The new label says what is known to be connected in this bucket: nodes that are near
+    connected ones of the sample, or have their label, have one.
+    """
     for batch in batches:
-        near = []
-        for node, own, nodes, prints in zip(*(batch.column(k).to_pylist() for k in (1, 2, 6, 7)), strict=True):
+        near, label = [], []
+        for node, was, own, nodes, prints, classes, labels in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 7, 8, 9, 10)), strict=True):
             f = np.frombuffer(prints, dtype=np.uint8).reshape(-1, SLOTS)
-            near.append([nodes[k] for k in np.flatnonzero(_like(f, np.frombuffer(own, dtype=np.uint8)) >= LIKE).tolist() if nodes[k] != node])
-        yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(near, pa.list_(pa.int64()))], [x.split()[0] for x in _HELD.split(", ")])
+            found = np.flatnonzero(_like(f, np.frombuffer(own, dtype=np.uint8)) >= LIKE).tolist()
+            near.append([nodes[k] for k in found if nodes[k] != node])
+            label.append(min([classes[k] for k in found] + [c for c, x in zip(classes, labels, strict=True) if x == was] or [was]))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(label, pa.int64()), *batch.columns[3:7], pa.array(near, pa.list_(pa.int64()))], [x.split()[0] for x in _HELD.split(", ")])
 
 
 def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,25 +388,25 @@ def _linked(rows: DataFrame, known: DataFrame, labels: DataFrame) -> DataFrame:
     nodes then fall into smaller buckets by what they differ from one of that sample in,
     and those that are left with several labels are dealt with in the same way. A smaller
     bucket's members agree in one slot more; where they agree in 48 they are all near,
-    so this ends.
+    so this ends. In a round labels are those of a bucket, by its sample; what all links
+    connect is found once, at the end.
     """
+    links = []
     while True:
         sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
         sizes = materialise(sizes.select("bucket", "n"), "sizes")
-        few = rows.join(sizes.where(F.col("n") <= BLOCK).select("bucket"), "bucket").join(known, "node").select("bucket", "node", "print")
-        links = few.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links, _LINK)
+        few = rows.join(sizes.where(F.col("n") <= BLOCK).select("bucket"), "bucket", "left_semi").join(known, "node").select("bucket", "node", "print")
+        links.append(few.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links, _LINK))
         hot = sizes.where(F.col("n") > BLOCK).select("bucket")
         if hot.isEmpty():
-            return _labelled(labels, links)
-        sample = rows.join(hot, "bucket").groupBy("bucket").agg(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(SAMPLE))).alias("nodes"))
-        sample = sample.select("bucket", F.explode(F.array_distinct("nodes")).alias("node")).join(known, "node").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("node", "print"))).alias("sample"))
-        pivots = materialise(sample.mapInArrow(_pivots, "bucket long, nodes array<long>, prints binary, pivot_print binary, usual binary, often binary"), "pivots")
-        many = rows.join(pivots, "bucket").join(known, "node").select("bucket", "node", "print", "pivot_print", "usual", "often", "nodes", "prints")
+            return _labelled(labels, reduce(DataFrame.unionByName, links))
+        sample = rows.join(hot, "bucket", "left_semi").groupBy("bucket").agg(F.array(*(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(k))) for k in range(SAMPLE))).alias("nodes"))
+        sample = sample.select("bucket", F.explode(F.array_distinct("nodes")).alias("x")).select("bucket", "x.*").join(known, "node").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("node", "print", "label"))).alias("sample"))
+        pivots = materialise(sample.mapInArrow(_pivots, _PIVOTS), "pivots")
+        many = rows.join(pivots, "bucket").join(known, "node").select("bucket", "node", "label", "print", "pivot_print", "usual", "often", "nodes", "prints", "classes", "labels")
         many = materialise(many.mapInArrow(_near_pivots, _HELD), "held")
-        near = many.select(F.col("node").alias("src"), F.explode("near").alias("dst"))
-        labels = _labelled(labels, links.unionByName(near))
-        many = many.join(labels, "node").select("bucket", "node", "label", "print", "pivot_print", "usual", "often")
-        rows = materialise(many.mapInArrow(_refine, "bucket long, node long, label long"), "refined")
+        links.append(many.select(F.col("node").alias("src"), F.explode("near").alias("dst")))
+        rows = materialise(many.drop("near").mapInArrow(_refine, "bucket long, node long, label long"), "refined")
 
 
 def fingerprint_classes(prints: DataFrame) -> DataFrame:
