@@ -18,7 +18,7 @@ def cues(segments: DataFrame, file: str = "file_id") -> DataFrame:
 
 
 def to_srt(segments: DataFrame, file: str = "file_id") -> DataFrame:
-    """``(file, srt)``: one document for each file that has a cue."""
+    """``(file, srt)``: one document for each file that has a cue. A document is one value, so a task holds it; ``sources.documents`` writes files without."""
     return cues(segments, file).groupBy(file).agg(_in_order("cue", "body", "").alias("srt"))
 
 
@@ -30,7 +30,8 @@ def _in_order(key: str, text: str, sep: str) -> Column:
 def to_text(segments: DataFrame, file: str = "file_id") -> DataFrame:
     """``(file, txt)``: segments a line each, with a line feed at the end unless all are empty.
 
-    Blank segments keep their line, but empty ones at the start add none.
+    Blank segments keep their line, but empty ones at the start add none. A task holds the
+    text of a file; ``sources.documents`` writes it without.
     """
     lines = F.transform(F.array_sort(F.collect_list(F.struct("seg_id", "text"))), lambda x: x["text"])
     joined = F.regexp_replace(F.array_join(lines, "\n"), "^\n+", "")

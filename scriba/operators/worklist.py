@@ -96,7 +96,7 @@ def cancelled_after(chunks: DataFrame, requests: DataFrame, job: str = "job", at
 
 
 def settled_deltas(deltas: DataFrame, by: str = "job", order: str = "seq") -> DataFrame:
-    """``(by, text)``: what a job's ``deltas (by, order, text, stable)`` add up to, the stable ones in order and the last unstable one after them; an unstable one is replaced by what follows it."""
+    """``(by, text)``: what a job's ``deltas (by, order, text, stable)`` add up to, the stable ones in order and the last unstable one after them; an unstable one is replaced by what follows it. A task holds the text of a job."""
     last = deltas.groupBy(by).agg(F.max(order).alias("_last"))
     kept = deltas.join(last, by).where(F.col("stable") | (F.col(order) == F.col("_last")))
     return kept.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]), "").alias("text"))

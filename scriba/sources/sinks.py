@@ -87,6 +87,8 @@ def replace_table(rows: DataFrame, path: str) -> None:
     Each version is a folder of its own, and a pointer names the one that counts. The
     pointer is replaced by one atomic rename, so a reader sees the old table or the new
     one, and so does everyone after a crash. The version before stays for who reads it.
+    One writer at a time: of two that read the same version, the last to finish wins, and
+    what the other changed is lost.
     """
     spark, version = rows.sparkSession, f"v-{uuid.uuid4().hex}"
     before = _version(spark, path)
