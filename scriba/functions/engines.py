@@ -62,19 +62,20 @@ def accepted_hotwords(name: str, hotwords: str | None) -> tuple[str | None, str
     return None, f"{engine(name).display_name} takes no vocabulary; it was ignored"
 
 
-def vocabulary_of(name: ColumnLike, hotwords: ColumnLike) -> tuple[Column, Column]:
-    """As ``accepted_hotwords``, of columns: the vocabulary that is applied, and the warning. An engine that isn't registered is an error."""
+def vocabulary_of(name: ColumnLike, hotwords: ColumnLike, *more: Engine) -> tuple[Column, Column]:
+    """As ``accepted_hotwords``, of columns: the vocabulary that is applied, and the warning. An engine that is neither registered nor one of ``more`` is an error."""
     name, given = col(name), blank_to_null(hotwords)
-    takes = lookup(name, {e.id: e.supports_hotwords for e in engines()})
+    known = [*engines(), *more]
+    takes = lookup(name, {e.id: e.supports_hotwords for e in known})
     unknown = F.raise_error(F.concat(F.lit("no engine '"), F.coalesce(name, F.lit("null")), F.lit("' is registered"))).cast("boolean")
     takes = F.when(takes.isNull(), unknown).otherwise(takes)
-    shown = lookup(name, {e.id: e.display_name for e in engines()})
+    shown = lookup(name, {e.id: e.display_name for e in known})
     return F.when(takes, given), F.when(~takes & given.isNotNull(), F.concat(shown, F.lit(" takes no vocabulary; it was ignored")))
 
 
-def recognise(spans: DataFrame, name: str, samples: str = "samples") -> DataFrame:
-    """``spans`` with the ``text`` an engine hears in each; the engine is loaded once for each task."""
-    chosen = engine(name)
+def recognise(spans: DataFrame, name: str | Engine, samples: str = "samples") -> DataFrame:
+    """``spans`` with the ``text`` an engine hears in each; the engine, registered or given, is loaded once for each task."""
+    chosen = name if isinstance(name, Engine) else engine(name)
     schema = T.StructType([*spans.schema.fields, T.StructField("text", T.StringType())])
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -22,7 +22,7 @@ SAMPLE_RATE = 16_000
 RECORD = "file_id string, span string, seq long, text string"
 
 
-def recognise_spans(spans: DataFrame, engine: str, log: str | None = None, number: int = 0, rate: int = SAMPLE_RATE) -> DataFrame:
+def recognise_spans(spans: DataFrame, engine: str | engines.Engine, log: str | None = None, number: int = 0, rate: int = SAMPLE_RATE) -> DataFrame:
     """``(file_id, seg_id, start, n, text, reused)`` for ``spans (file_id, start, samples)``; a span in which nothing is heard is no segment.
 
     With a ``log``, a span counts as done if the log has its start and samples for its

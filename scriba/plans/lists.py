@@ -403,10 +403,10 @@ def outputs_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN trim(o_orderpriority) END AS applied, CASE WHEN o_orderkey % 4 = 3 THEN 'Fixed words takes no vocabulary; it was ignored' END AS warning FROM orders""")
 def vocabularies_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as jobs of two engines, of which one takes a vocabulary; every fourth has a blank one."""
-    engines.register(engines.Engine("worded", "Words with a vocabulary", engines.fixed("words"), supports_hotwords=True))
+    worded = engines.Engine("worded", "Words with a vocabulary", engines.fixed("words"), supports_hotwords=True)
     k = F.col("o_orderkey") % 4
     words = F.when(k == 2, "  ").otherwise(F.trim("o_orderpriority"))
-    applied, warning = engines.vocabulary_of(F.when(k < 2, "worded").otherwise("fixed"), words)
+    applied, warning = engines.vocabulary_of(F.when(k < 2, "worded").otherwise("fixed"), words, worded)
     return table(spark, sf_dir, "orders").select("o_orderkey", applied.alias("applied"), warning.alias("warning"))
 
 

@@ -211,7 +211,8 @@ def _loudest() -> engines.Recognise:
     return lambda samples: "" if int(samples.argmax()) % 5 == 0 else f"at {int(samples.argmax())}"
 
 
-engines.register(engines.Engine("loudest", "Loudest sample", _loudest))
+#: Not registered: a query leaves the list of engines as it is.
+LOUDEST = engines.Engine("loudest", "Loudest sample", _loudest)
 
 _SPANS = """
 c AS (SELECT label::VARCHAR AS file_id, vec_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) * 64 AS start, embedding, list_position(embedding, list_max(embedding)) - 1 AS top FROM embeddings),
@@ -226,4 +227,4 @@ def recognised_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = _chunks(spark, sf_dir)
     before = spans.where("seq % 3 = 0").select(F.col("file_id").cast("string").alias("file_id"), span_key(F.call_function("div", F.col("start") * 1_000_000_000, F.lit(16_000).cast("long")), "samples").alias("span"), F.col("start").alias("seq"), F.concat(F.lit("kept "), F.col("seq").cast("string")).alias("text"))
     append_log(before, log, "file_id", "span", number=0)
-    return recognition.recognise_spans(spans, "loudest", log, number=1)
+    return recognition.recognise_spans(spans, LOUDEST, log, number=1)

@@ -65,3 +65,13 @@ def test_no_spans_and_no_engine(spark):
     assert recognition.recognise_spans(spark.createDataFrame([], SCHEMA), "sums").collect() == []
     with pytest.raises(KeyError, match="no engine 'other'"):
         recognition.recognise_spans(spark.createDataFrame([], SCHEMA), "other")
+
+
+def test_queries_leave_the_list_of_engines_as_it_is(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    monkeypatch.delitem(engines._engines, "sums")
+    queries = entry.queries()
+    for name in ("recognised_resumed", "vocabularies_applied"):  # both use an engine of their own
+        queries[name](spark, "/root/testdata/sf0.001")
+    assert [tuple(r) for r in queries["engine_list"](spark, "/root/testdata/sf0.001").collect()] == [("fixed", "Fixed words", False, False, True)]
