@@ -141,6 +141,22 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+#: Rows of an intermediate table that are worth a task.
+TASK_ROWS = 50_000
+
+
+def few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in as many tasks as its stage's ``rows`` are worth, where a shuffle gives twice as many or more; nothing is shuffled or left out.
+
+    A task of no rows still costs its start, twice where it runs Python, and its place in
+    the driver. The number grows with the rows, from one for each core to half of what a
+    shuffle gives; beyond that, the shuffle's own tasks stay.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    return df.coalesce(n) if 2 * n <= int(spark.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 # --------------------------------------------------------------------------
 # connected components
 # --------------------------------------------------------------------------
@@ -194,14 +210,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src <> dst")
     e = materialise(e.mapInArrow(_local_forest, "src long, dst long").distinct(), "forest")
     while True:
+        n = 2 * e.count()
         both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         low = both.groupBy("src").agg(F.least("src", F.min("dst")).alias("low"))
-        large = both.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
-        large = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+        large = few_tasks(both.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst"), n).distinct()
+        large = few_tasks(large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")), n)
         low = large.groupBy("src").agg(F.min("dst").alias("low"))
-        small = large.join(low, "src").select(F.explode(F.array(F.struct(F.col("dst").alias("src"), F.col("low").alias("dst")), F.struct("src", F.col("low").alias("dst")))).alias("x")).select("x.*").where("src <> dst").distinct()
-        e = materialise(small, "stars")
-        ends = e.select("dst").distinct()
-        open_ = e.join(ends.withColumnRenamed("dst", "src"), "src", "left_semi").select("src").unionByName(e.groupBy("src").count().where("count > 1").select("src"))
-        if open_.isEmpty():
+        small = large.join(low, "src").select(F.explode(F.array(F.struct(F.col("dst").alias("src"), F.col("low").alias("dst")), F.struct("src", F.col("low").alias("dst")))).alias("x")).select("x.*").where("src <> dst")
+        e = materialise(few_tasks(few_tasks(small, n).distinct(), n), "stars")
+        # done when no node has two links up, or one up and one down
+        ends = e.select(F.col("src").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("dst").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        open_ = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)")
+        if few_tasks(open_, n).isEmpty():
             return e.select(F.col("src").alias("node"), F.col("dst").alias("root"))

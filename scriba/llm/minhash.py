@@ -35,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriba.llm.common import GOLDEN, MASK64, U, columns_of, connected_components, fresh, materialise, passing, mix, shingle_hashes, utf8
+from scriba.llm.common import GOLDEN, MASK64, U, columns_of, connected_components, few_tasks, fresh, materialise, passing, mix, shingle_hashes, utf8
 
 SHINGLE, BANDS, ROWS = 5, 21, 3
 #: Pivots of a bucket in the rounds after the first, and the number of rounds.
 PIVOTS, ROUNDS = 8, 3
+#: A row that bears a text or sets counts as so many rows of numbers when tasks are dealt out.
+HEAVY = 10
 #: Ids of repeated or dropped documents up to so many reach all tasks.
 BROADCAST_IDS = 500_000
 
@@ -141,10 +143,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _held(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Verify ``pairs (pivot, node)`` against ``sets (node, items)``."""
+    """Verify ``pairs (pivot, node)``, a written table, against ``sets (node, items)``."""
     a = sets.select(F.col("node").alias("pivot"), F.col("items").alias("a"))
     b = sets.select("node", F.col("items").alias("b"))
-    return pairs.join(a, "pivot").join(b, "node").select("pivot", "node", "a", "b").mapInArrow(_verify, _VERIFIED)
+    n = HEAVY * pairs.count()
+    both = few_tasks(few_tasks(pairs.join(a, "pivot"), n).join(b, "node"), n)
+    return both.select("pivot", "node", "a", "b").mapInArrow(_verify, _VERIFIED)
 
 
 def _sharing(x: DataFrame, y: DataFrame, enough: str) -> DataFrame:
@@ -173,7 +177,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = materialise(docs.mapInArrow(_sign, "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signed")
     known = signed.where("set_key is not null and doc_id is not null")
     nodes = known.groupBy("set_key").agg(F.min("doc_id").alias("first"), F.min_by("bands", "doc_id").alias("bands"))
-    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = materialise(few_tasks(nodes, HEAVY * signed.count()).withColumn("node", F.monotonically_increasing_id()), "nodes")
     # texts of one id are linked
     twice = known.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low < high").select("doc_id")
     twice = known.join(twice, "doc_id", "left_semi").select("doc_id", "set_key").distinct().join(nodes.select("set_key", "node"), "set_key")
@@ -181,47 +185,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rows = nodes.select("node", "first", F.explode("bands").alias("bucket"))
     full = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialise(rows.join(full, "bucket"), "buckets")
+    shared = materialise(few_tasks(rows.join(full, "bucket"), BANDS * nodes.count()), "buckets")
+    n = shared.count()
     mass = shared.groupBy("node").agg(F.sum("n").alias("mass"))
-    pivots = shared.join(mass, "node").groupBy("bucket").agg(F.max(F.struct("mass", (-F.col("first")).alias("minus"), "node")).alias("x"))
-    pivots = materialise(pivots.select("bucket", F.col("x.node").alias("pivot")), "pivots")
+    pivots = few_tasks(shared.join(mass, "node"), n).groupBy("bucket").agg(F.max(F.struct("mass", (-F.col("first")).alias("minus"), "node")).alias("x"))
+    pivots = materialise(few_tasks(pivots.select("bucket", F.col("x.node").alias("pivot")), n), "pivots")
     far = shared.select("bucket", "node")
 
     links, held, seek, sets = [twice.join(one, "doc_id").select(F.col("node").alias("src"), "dst")], [], [], None
     for k in range(ROUNDS):
-        tests = far.join(pivots, "bucket").where("node <> pivot")
-        pairs = materialise(tests.select("pivot", "node").distinct(), "pairs")
+        n = (PIVOTS if k else 1) * far.count()
+        tests = few_tasks(far.join(pivots, "bucket").where("node <> pivot"), n)
+        pairs = materialise(few_tasks(tests.select("pivot", "node").distinct(), n), "pairs")
         if sets is None:
             wanted = pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).distinct().join(nodes.select("node", "set_key", F.col("first").alias("doc_id")), "node")
-            sets = docs.join(wanted, "doc_id").select("node", "text", "set_key")
-            sets = materialise(sets.mapInArrow(_sets, "node long, items array<long>").dropDuplicates(["node"]), "sets")
+            most = HEAVY * nodes.count()
+            sets = few_tasks(docs.join(few_tasks(wanted, most), "doc_id"), most).select("node", "text", "set_key")
+            sets = materialise(few_tasks(sets.mapInArrow(_sets, "node long, items array<long>").dropDuplicates(["node"]), most), "sets")
         now = materialise(_held(pairs, sets), "verified")
         links.append(now.where("linked").select(F.col("node").alias("src"), F.col("pivot").alias("dst")))
         held.append(now.where("near").select("pivot", "node", "size", "extra", "n", F.posexplode("prefix").alias("at", "item")))
         seek.append(now.where("differs is not null").select("pivot", "node", "size", "extra", "n", F.posexplode("differs").alias("at", "item")))
         # what is far from all pivots of its bucket is dealt with again, among itself
-        seen = tests.join(now.select("pivot", "node", "near"), ["pivot", "node"]).groupBy("bucket", "node").agg(F.max("near").alias("near"))
-        rest = seen.where("not near").select("bucket", "node").join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
+        seen = few_tasks(tests.join(now.select("pivot", "node", "near"), ["pivot", "node"]), n).groupBy("bucket", "node").agg(F.max("near").alias("near"))
+        rest = few_tasks(seen.where("not near").select("bucket", "node").join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti"), n)
         if k + 1 == ROUNDS:
             # one pivot of each bucket gives the order of all that remains far in it
             first = pivots.groupBy("bucket").agg(F.min("pivot").alias("pivot"))
             whole = rest.join(first, "bucket").select("pivot", "node").distinct().join(now.where("whole is not null").select("pivot", "node", "whole", "size", "extra"), ["pivot", "node"])
-            whole = whole.select("pivot", "node", "size", "extra", F.col("size").alias("n"), F.posexplode("whole").alias("at", "item"))
+            whole = few_tasks(whole, n).select("pivot", "node", "size", "extra", F.col("size").alias("n"), F.posexplode("whole").alias("at", "item"))
         else:
             alone = rest.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
-            far = materialise(rest.join(alone, "bucket", "left_semi"), "far")
+            far = materialise(few_tasks(rest.join(alone, "bucket", "left_semi"), n), "far")
             order = Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
             pivots = far.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS).select("bucket", F.col("node").alias("pivot"))
-            pivots = materialise(pivots, "pivots")
+            pivots = materialise(few_tasks(pivots, n), "pivots")
 
     x, y = (reduce(DataFrame.unionByName, rows) for rows in (seek, held))
     bridge = _sharing(x, y, "x.node <> y.node and 14 * most >= 7 * (x.n + y.n) - (x.size + y.size)")
     apart = _sharing(whole, whole, "x.node < y.node and 7 * most >= 3 * (x.size + y.size)")
-    more = _held(bridge.unionByName(apart).distinct(), sets).where("linked").select(F.col("node").alias("src"), F.col("pivot").alias("dst"))
-    roots = connected_components(reduce(DataFrame.unionByName, [*links, more]))
-    labels = nodes.join(roots, "node", "left").select("set_key", "first", F.coalesce("root", "node").alias("root"))
+    # each join is a job of its own, so that the driver plans and tracks one at a time
+    bridge, apart = materialise(bridge, "bridge"), materialise(apart, "apart")
+    pairs = materialise(few_tasks(bridge.unionByName(apart).distinct(), bridge.count() + apart.count()), "pairs")
+    more = _held(pairs, sets).where("linked").select(F.col("node").alias("src"), F.col("pivot").alias("dst"))
+    roots = connected_components(reduce(DataFrame.unionByName, [*links, materialise(more, "more")]))
+    n = nodes.count()
+    labels = few_tasks(nodes.join(roots, "node", "left").select("set_key", "first", F.coalesce("root", "node").alias("root")), n)
     least = labels.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = labels.join(least, "root").select("set_key", "component_id")
+    labels = few_tasks(labels.join(least, "root").select("set_key", "component_id"), n)
     out = signed.select("doc_id", "n_shingles", "set_key").join(labels, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
