@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriba.llm.common import U, _stream, connected_components, materialise, mix
+from scriba.llm.common import U, _stream, connected_components, few_tasks, materialise, mix
 
 WALKS, SLOTS = 2, 64
 BANDS, ROWS = 16, 4
@@ -389,22 +389,27 @@ def _linked(rows: DataFrame, known: DataFrame, labels: DataFrame) -> DataFrame:
     and those that are left with several labels are dealt with in the same way. A smaller
     bucket's members agree in one slot more; where they agree in 48 they are all near,
     so this ends. In a round labels are those of a bucket, by its sample; what all links
-    connect is found once, at the end.
+    connect is found once, at the end. Later rounds have few rows, and so few tasks.
     """
     links = []
     while True:
         sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        sizes = materialise(sizes.select("bucket", "n"), "sizes")
-        few = rows.join(sizes.where(F.col("n") <= BLOCK).select("bucket"), "bucket", "left_semi").join(known, "node").select("bucket", "node", "print")
-        links.append(few.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links, _LINK))
-        hot = sizes.where(F.col("n") > BLOCK).select("bucket")
-        if hot.isEmpty():
-            return _labelled(labels, reduce(DataFrame.unionByName, links))
-        sample = rows.join(hot, "bucket", "left_semi").groupBy("bucket").agg(F.array(*(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(k))) for k in range(SAMPLE))).alias("nodes"))
-        sample = sample.select("bucket", F.explode(F.array_distinct("nodes")).alias("x")).select("bucket", "x.*").join(known, "node").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("node", "print", "label"))).alias("sample"))
-        pivots = materialise(sample.mapInArrow(_pivots, _PIVOTS), "pivots")
-        many = rows.join(pivots, "bucket").join(known, "node").select("bucket", "node", "label", "print", "pivot_print", "usual", "often", "nodes", "prints", "classes", "labels")
-        many = materialise(many.mapInArrow(_near_pivots, _HELD), "held")
+        sizes = materialise(few_tasks(sizes.select("bucket", "n"), rows.count()), "sizes")
+        small, large = F.col("n") <= BLOCK, F.col("n") > BLOCK
+        n = sizes.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in (F.when(small, F.col("n")), F.when(large, F.col("n")), F.when(large, SAMPLE)))).first()
+        if n[0]:
+            few = few_tasks(rows.join(sizes.where(small).select("bucket"), "bucket", "left_semi"), n[0])
+            few = few_tasks(few.join(known, "node").select("bucket", "node", "print"), n[0])
+            links.append(few_tasks(few.repartition("bucket"), n[0]).sortWithinPartitions("bucket").mapInArrow(_links, _LINK))
+        if not n[1]:
+            return _labelled(labels, reduce(DataFrame.unionByName, links)) if links else labels
+        many = few_tasks(rows.join(sizes.where(large).select("bucket"), "bucket", "left_semi"), n[1])
+        many = materialise(few_tasks(many.join(known, "node"), n[1]), "many")
+        sample = F.array(*(F.min_by(F.struct("node", "print", "label"), F.xxhash64("node", F.lit(k))) for k in range(SAMPLE)))
+        sample = many.groupBy("bucket").agg(F.sort_array(F.array_distinct(sample)).alias("sample"))
+        pivots = materialise(few_tasks(sample, n[2]).mapInArrow(_pivots, _PIVOTS), "pivots")
+        many = many.join(pivots, "bucket").select("bucket", "node", "label", "print", "pivot_print", "usual", "often", "nodes", "prints", "classes", "labels")
+        many = materialise(few_tasks(many, n[1]).mapInArrow(_near_pivots, _HELD), "held")
         links.append(many.select(F.col("node").alias("src"), F.explode("near").alias("dst")))
         rows = materialise(many.drop("near").mapInArrow(_refine, "bucket long, node long, label long"), "refined")
 

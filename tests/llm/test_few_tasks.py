@@ -5,7 +5,7 @@ import uuid
 
 import pytest
 
-from scriba.llm import common, minhash
+from scriba.llm import common, edit_embedding, minhash
 
 
 @pytest.fixture
@@ -43,3 +43,12 @@ def test_near_duplicates(many):
     docs = [(k, texts[k % 12] + (" x" if k % 5 == 0 else "")) for k in range(120)]
     rows, tasks, stages = rows_and_tasks(many, lambda: minhash.near_duplicates(many.createDataFrame(docs, "doc_id long, text string")))
     assert [r[2] for r in rows] == [k % 12 for k in range(120)] and tasks < 12 * stages
+
+
+def test_classes(many, monkeypatch):
+    monkeypatch.setattr(edit_embedding, "BLOCK", 8)
+    rng = random.Random(4)
+    base = bytes(rng.randrange(256) for _ in range(64))
+    prints = [(k, bytes(b if i >= k % 20 else (b + k) % 256 for i, b in enumerate(base)).hex()) for k in range(200)]
+    rows, tasks, stages = rows_and_tasks(many, lambda: edit_embedding.fingerprint_classes(many.createDataFrame(prints, "doc_id long, fingerprint string")))
+    assert len(rows) == 200 and tasks < 17 * stages
