@@ -58,7 +58,7 @@ class Vocabulary:
             self.tokens.add_word(b.decode("latin-1"), (len(b) - 1, r))
         self.tokens.make_automaton()
         self._edges: dict[tuple[int, int], list[int] | None] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}  # left << 32 | right, less than half of a tuple's memory
         self._known: dict[str, bytes] = {}
 
     def _prefix(self, token: bytes) -> int:
@@ -95,11 +95,12 @@ class Vocabulary:
         the left edge grows into, and not above that of the right one: of equal merges
         the leftmost is made.
         """
-        found = self._fits.get((left, right))
+        pair = left << 32 | right
+        found = self._fits.get(pair)
         if found is None:
             if len(self._fits) >= PAIRS:
                 self._fits.clear()
-            found = self._fits[left, right] = self._replay(self._edge(left, 1), self._edge(right, 0))
+            found = self._fits[pair] = self._replay(self._edge(left, 1), self._edge(right, 0))
         return found
 
     def _replay(self, ends: list[int] | None, starts: list[int] | None) -> bool:
@@ -171,23 +172,42 @@ class Vocabulary:
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of ids that ``encode`` gives."""
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        return _joined(self.bytes_of, ids)
 
 
-@lru_cache(maxsize=4)
-def vocabulary(path: str, pattern: str) -> Vocabulary:
+def _joined(bytes_of: dict[int, bytes], ids: bytes) -> bytes:
+    return b"".join(map(bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+
+
+def _ranks(path: str) -> dict[bytes, int]:
     """A file of lines ``base64 rank``, as the node that runs the task has it."""
     with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return Vocabulary(ranks, pattern)
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def _in_blocks(values: Iterable[tuple[int, bytes]], most: int = 8 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
-    """Consecutive values in blocks of some bytes: first, end, values."""
+@lru_cache(maxsize=4)
+def vocabulary(path: str, pattern: str) -> Vocabulary:
+    return Vocabulary(_ranks(path), pattern)
+
+
+@lru_cache(maxsize=4)
+def _bytes_of(path: str) -> dict[int, bytes]:
+    """What decoding needs of a vocabulary."""
+    return {r: b for b, r in _ranks(path).items()}
+
+
+def _one_by_one(column: pa.Array) -> Iterator[bytes | None]:
+    """A string column's values as UTF-8 bytes; few of them are copied at once."""
+    for first in range(0, len(column), 64):
+        yield from utf8(column.slice(first, 64))
+
+
+def _in_blocks(values: Iterable[tuple[int, bytes, bytes]], most: int = 8 << 20) -> Iterator[tuple[int, int, list[tuple[bytes, bytes]]]]:
+    """Consecutive pairs of values in blocks of some bytes: first, end, values."""
     first, block, size = 0, [], 0
-    for i, x in values:
+    for i, *x in values:
         block.append(x)
-        size += len(x)
+        size += len(x[0]) + len(x[1])
         if size >= most:
             yield first, i + 1, block
             first, block, size = i + 1, [], 0
@@ -195,51 +215,54 @@ def _in_blocks(values: Iterable[tuple[int, bytes]], most: int = 8 << 20) -> Iter
         yield first, first + len(block), block
 
 
-def encode(docs: DataFrame, text: str = "text", ids: str = "token_ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", ids: str = "token_ids", path: str | None = None, pattern: str | None = None, back: str | None = None) -> DataFrame:
     """``docs`` with its text's tokens as the binary column ``ids``: little-endian unsigned 32-bit integers.
 
+    ``back`` names one more binary column: the bytes that those ids decode to, in the same
+    tasks, so that neither the ids nor the vocabulary go to other workers for it.
+
     Every row stays by itself, nothing is shuffled: repeated rows and ids keep their rows.
     A null or empty text has no tokens, a text of any length is encoded whole. A column of
-    the name ``ids``, in any case, is replaced; others stay as they are, whatever their
-    names. Special tokens are plain text. An empty table gives an empty one.
+    the name ``ids`` or ``back``, in any case, is replaced; others stay as they are, whatever
+    their names. Special tokens are plain text. An empty table gives an empty one.
     """
     at, split = default_vocabulary() if path is None or pattern is None else (path, pattern)
     at, split = path or at, pattern or split
-    kept = [c for c in docs.columns if c.lower() != ids.lower()]
+    made = [ids] if back is None else [ids, back]
+    kept = [c for c in docs.columns if c.lower() not in [x.lower() for x in made]]
     own = docs.select(*[c for c, name in zip(columns_of(docs), docs.columns, strict=True) if name in kept])
     plain = own.toDF(*(f"c{i}" for i in range(len(kept))))  # names that any reader of schemas takes
     read = fresh(plain, "text")
     rows = plain.withColumn(read, F.col(f"c{kept.index(text)}").cast("string"))
-    schema = T.StructType([*plain.schema.fields, T.StructField("ids", T.BinaryType())])
+    schema = T.StructType([*plain.schema.fields, *(T.StructField(x, T.BinaryType()) for x in ("ids", "back")[: len(made)])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(at, split)
         for batch in batches:
-            texts = utf8(batch.column(batch.num_columns - 1))
-            found = ((i, words.encode(x.decode("utf-8", "replace")) if x else b"") for i, x in enumerate(texts))
+            coded = (words.encode(x.decode("utf-8", "replace")) if x else b"" for x in _one_by_one(batch.column(batch.num_columns - 1)))
+            found = ((i, x, b"" if back is None else words.decode(x)) for i, x in enumerate(coded))
             for first, end, block in _in_blocks(found):
                 columns = [c.slice(first, end - first) for c in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(block, pa.binary())], names=schema.names)
+                new = [pa.array(list(x), pa.binary()) for x in zip(*block, strict=True)][: len(made)]
+                yield pa.RecordBatch.from_arrays([*columns, *new], names=schema.names)
 
-    return rows.mapInArrow(run, schema).toDF(*kept, ids)
+    return rows.mapInArrow(run, schema).toDF(*kept, *made)
 
 
 def decoded(ids: Column, path: str | None = None, pattern: str | None = None) -> Column:
-    """The bytes that a column of ``encode`` stands for; null for null."""
-    at, split = default_vocabulary() if path is None or pattern is None else (path, pattern)
-    at, split = path or at, pattern or split
+    """The bytes that a column of ``encode`` stands for; null for null. The pattern has no part in it."""
+    at = path or default_vocabulary()[0]
 
     @F.pandas_udf("binary")
     def run(column):  # noqa: ANN001, ANN202 - pandas reads hints of its own
-        words = vocabulary(at, split)
-        return column.map(lambda x: None if x is None else words.decode(x))
+        tokens = _bytes_of(at)
+        return column.map(lambda x: None if x is None else _joined(tokens, x))
 
     return run(ids)
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every text; see ``encode`` for what odd rows give."""
-    rows = encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).select("doc_id", "token_ids")
-    rows = rows.withColumn("decoded", decoded(F.col("token_ids")))
+    rows = encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), back="decoded")
     n = F.call_function("div", F.octet_length("token_ids"), F.lit(4)).cast("long")
     return rows.select("doc_id", n.alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

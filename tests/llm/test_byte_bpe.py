@@ -103,3 +103,15 @@ def test_encode_keeps_columns_of_any_name(spark):
 
 def test_empty_table(spark):
     assert op.round_trip(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_ids_are_decoded_where_they_are_made(spark, monkeypatch):
+    docs = spark.createDataFrame(ODD, "doc_id long, text string")
+    got = op.encode(docs.selectExpr("*", "1 as Back"), back="back")
+    assert got.columns == ["doc_id", "text", "token_ids", "back"]
+    assert all(bytes(r.back) == (r.text or "").encode() == bytes(r.again) for r in got.withColumn("again", op.decoded(got["token_ids"])).collect())
+    plan = op.round_trip(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan  # one worker a task, with one vocabulary
+    monkeypatch.setattr(op, "Vocabulary", None)
+    op._bytes_of.cache_clear()
+    assert op._joined(op._bytes_of(op.default_vocabulary()[0]), both()[0].encode("x y")) == b"x y"  # decoding makes no automaton
