@@ -143,10 +143,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _held(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Verify ``pairs (pivot, node)``, a written table, against ``sets (node, items)``."""
+    """Verify ``pairs (pivot, node)`` against ``sets (node, items)``; both are written tables."""
     a = sets.select(F.col("node").alias("pivot"), F.col("items").alias("a"))
     b = sets.select("node", F.col("items").alias("b"))
-    n = HEAVY * pairs.count()
+    n = HEAVY * (pairs.count() + sets.count())  # the sets are dealt out by the same tasks, even if few pairs meet them
     both = few_tasks(few_tasks(pairs.join(a, "pivot"), n).join(b, "node"), n)
     return both.select("pivot", "node", "a", "b").mapInArrow(_verify, _VERIFIED)
 
