@@ -95,15 +95,15 @@ def readable(rows: DataFrame, parsed: DataFrame, output: str = "output", segment
 _ROOT = r"( \([0-9]+\))+$"
 
 
-def output_names(requests: DataFrame, taken: DataFrame) -> DataFrame:
+def output_names(requests: DataFrame, taken: DataFrame, most: int | None = MOST_SERIALS) -> DataFrame:
     """Where each of ``requests (dir, seq, source, stem, ext)`` writes: ``path`` and ``serial``.
 
     ``taken (dir, path, owner)``: names that are recorded as a source's, and, without an
     owner, files that nobody recorded. A source keeps its name in a folder; else it
-    gets the plain name, or the first free number from 2 to 999; when all are taken, the
-    plain name with the serial 1000 tells the caller so, for all that this source asks for
-    there. Claims are made in the order of ``seq``, and one claim changes what is free for
-    the next.
+    gets the plain name, or the first free number from 2 to ``most``; when all are taken,
+    the plain name with the serial after ``most`` tells the caller so, for all that this
+    source asks for there. Without ``most`` there is always a free number. Claims are made
+    in the order of ``seq``, and one claim changes what is free for the next.
 
     Only a source's first request in a folder claims anything, and only names that differ
     in their numbers can be in each other's way. So claims are folded by folder, extension
@@ -129,20 +129,22 @@ def output_names(requests: DataFrame, taken: DataFrame) -> DataFrame:
                     used.add(stem)
                     continue
                 n = tried.get(stem, 1)  # numbers are never given back, so a search goes on where the last one ended
-                while n <= MOST_SERIALS and (stem if n == 1 else f"{stem} ({n})") in used:
+                while (most is None or n <= most) and (stem if n == 1 else f"{stem} ({n})") in used:
                     n += 1
                 tried[stem] = n
-                chosen = stem if n in (1, MOST_SERIALS + 1) else f"{stem} ({n})"
-                if n <= MOST_SERIALS:
+                full = most is not None and n > most
+                chosen = stem if n == 1 or full else f"{stem} ({n})"
+                if not full:
                     used.add(chosen)
-                out.append((folder, source, f"{folder}/{chosen}.{ext}", n > MOST_SERIALS))
+                out.append((folder, source, f"{folder}/{chosen}.{ext}", full))
             yield pd.DataFrame(out, columns=["dir", "source", "_path", "_full"])
 
     dealt = claims.unionByName(held).repartition("dir", "ext", "root").sortWithinPartitions("dir", "ext", "root", "kind", "seq")
     given = dealt.mapInPandas(run, "dir string, source string, _path string, _full boolean")
     rows = requests.join(recorded.select(*dir_source, F.col("path").alias("_path"), F.lit(False).alias("_full")).unionByName(given), dir_source)
     plain = F.concat("dir", F.lit("/"), "stem", F.lit("."), "ext")
-    serial = F.when(F.col("_full"), MOST_SERIALS + 1).otherwise(_serial_in(F.col("_path"), F.col("dir"), F.col("stem")))
+    numbered = _serial_in(F.col("_path"), F.col("dir"), F.col("stem"))
+    serial = numbered if most is None else F.when(F.col("_full"), most + 1).otherwise(numbered)
     return rows.select(*requests.columns, F.when(F.col("_full"), plain).otherwise(F.col("_path")).alias("path"), serial.cast("int").alias("serial"))
 
 

@@ -19,6 +19,19 @@ def test_names_that_differ_in_their_numbers(spark):
     assert names(spark, [("a", "t"), ("b", "t (2)"), ("c", "t"), ("d", "t (2)"), ("c", "u")]) == [("/o/t.srt", None), ("/o/t (2).srt", None), ("/o/t (3).srt", 3), ("/o/t (2) (2).srt", 2), ("/o/t (3).srt", None)]
 
 
+def test_names_without_a_most_are_all_their_own(spark, tmp_path):
+    from scriba.plans import all_queries
+
+    full = [("/o/t.srt", "x"), *((f"/o/t ({n}).srt", None) for n in range(2, 1000))]
+    df = spark.createDataFrame([("/o", k, s, "t", "srt") for k, s in enumerate("abc")], "dir string, seq int, source string, stem string, ext string")
+    known = spark.createDataFrame([("/o", p, o) for p, o in full], "dir string, path string, owner string")
+    got = store.output_names(df, known, most=None).orderBy("seq").collect()
+    assert [(r.path, r.serial) for r in got] == [(f"/o/t ({n}).srt", n) for n in (1000, 1001, 1002)]
+    spark.range(1100).selectExpr("id * 7 as o_orderkey", "0L as o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    rows = all_queries.QUERIES["output_naming"](spark, str(tmp_path)).orderBy("seq").collect()
+    assert [r.serial for r in rows] == [None, *range(2, 1101)] and len({r.path for r in rows}) == 1100
+
+
 def test_cache_resume_and_history(spark):
     requests = spark.createDataFrame([(1, "k1"), (2, "k2"), (3, "k3")], "id int, key string")
     hits, misses = store.cache_split(requests, spark.createDataFrame([("k1", 1, "t"), ("k2", 9, "t")], "key string, version int, text string"))
