@@ -88,6 +88,24 @@ def megabytes(n: ColumnLike) -> Column:
     return F.format_string("%d", F.floor(_long(n) / 1_000_000 + 0.5))
 
 
+def fixed(x: ColumnLike, decimals: int) -> Column:
+    """``x`` with so many decimals, one to seven, rounded from its exact binary value, a tie to even, as C's ``printf`` does; ``format_string`` rounds the shortest decimal for it, half up.
+
+    For ``x`` from 0 up to where a number has no fraction. The product's rounding error is
+    computed exactly, from halves of ``x`` that have 26 bits each; it tells which side of
+    a tie the exact product is on.
+    """
+    x, scale = col(x), 10**decimals
+    product, split = x * float(scale), x * float(2**27 + 1)
+    high = split - (split - x)
+    error = high * float(scale) - product + (x - high) * float(scale)
+    whole = F.floor(product)
+    above = product - whole - 0.5
+    up = (above > 0) | ((above == 0) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    n = whole + up.cast("long")
+    return F.when(x.isNotNull(), F.format_string(f"%d.%0{decimals}d", div(n, scale), n % scale))
+
+
 def parse_setting(flag: ColumnLike, environment: ColumnLike, default: int) -> Column:
     """The flag, or else the environment's value, or else the default; an empty value is unset and one that isn't a number counts as unset."""
     read = [F.nullif(F.trim(col(x)), F.lit("")).try_cast("bigint") for x in (flag, environment)]

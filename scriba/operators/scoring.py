@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriba.functions.numbers import fixed
 from scriba.functions.text import normalize
 from scriba.scratch import materialise
 
@@ -106,8 +107,11 @@ def punctuated(rows: DataFrame, by: str, pos: str, marks: str, text: str = "refe
 
 
 def dump_lines(rows: DataFrame) -> DataFrame:
-    """A tab-separated line for each of ``rows (utt_id, errors, reference, hypothesis, coverage, recovered)``."""
-    coverage = F.when(F.col("coverage").isNull(), "-").otherwise(F.format_string("%.4f", "coverage"))
+    """A tab-separated line for each of ``rows (utt_id, errors, reference, hypothesis, coverage, recovered)``.
+
+    Coverage has four decimals, as ``printf`` rounds it; see ``numbers.fixed``.
+    """
+    coverage = F.coalesce(fixed("coverage", 4), F.lit("-"))
     return rows.select("utt_id", F.concat_ws("\t", F.col("utt_id").cast("string"), F.col("errors").cast("string"), "reference", "hypothesis", coverage, F.when(F.col("recovered"), "1").otherwise("0")).alias("line"))
 
 

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -151,3 +152,12 @@ def test_dump_line(spark):
     df = spark.createDataFrame([("u", 1, "r", "h", 0.5, True), ("v", 0, "r", "h", None, False)], "utt_id string, errors long, reference string, hypothesis string, coverage double, recovered boolean")
     assert [r.line for r in scoring.dump_lines(df).orderBy("utt_id").collect()] == ["u\t1\tr\th\t0.5000\t1", "v\t0\tr\th\t-\t0"]
     assert df.select(F.lit(1)).count() == 2
+
+
+def test_dump_rounds_the_exact_value(spark):
+    rng = random.Random(2)
+    near = [k / 20000 for k in range(1, 20000, 2)]  # ties, or as near to one as a double gets
+    values = [61 / 160, 2 / 13, 1 / 32, 3 / 32, 0.00005, 0.99995, 0.0, 1.0, *near, *(math.nextafter(v, 2) for v in near), *(math.nextafter(v, 0) for v in near), *(rng.random() for _ in range(2000)), *(rng.random() * 1e-4 for _ in range(500))]
+    df = spark.createDataFrame([(str(k), 1, "r", "h", v, False) for k, v in enumerate(values)], "utt_id string, errors long, reference string, hypothesis string, coverage double, recovered boolean")
+    got = {int(r.utt_id): r.line.split("\t")[4] for r in scoring.dump_lines(df).collect()}
+    assert got == {k: f"{v:.4f}" for k, v in enumerate(values)} and got[0] == "0.3812" and got[2] == "0.0312"
