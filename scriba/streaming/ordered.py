@@ -3,11 +3,16 @@
 Rows come in any order. A key keeps those that the watermark hasn't passed in a list, and
 folds the others into its state; timers of event time wake it when nothing more comes.
 What it would say if no more came is given out beside what is settled, so that a reader
-has the whole result at any time.
+has the whole result at any time. Keys are dealt into buckets by a hash, and a bucket's
+state is read and written once for all of its keys that a batch has something of: each
+call from Python to the state store costs far more than to fold a key's rows.
 """
 
 from __future__ import annotations
 
+import pickle
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,17 +26,20 @@ from scriba.streaming.jobs import ROCKSDB
 
 Row = tuple
 _NEVER = 1 << 62
+#: Buckets that keys are dealt into; a checkpoint holds state by bucket, so it is fixed. Null keys have one of their own.
+BUCKETS, _NULL = 512, -1
 
 
 class InOrder(StatefulProcessor):
-    """Folds a key's rows ``(at, ...)`` in the order of ``at``, in microseconds.
+    """Folds the rows ``(at, ...)`` of each of a bucket's keys in the order of ``at``, in microseconds.
 
-    A subclass says what its rows, its state and its results are. ``fold`` takes a state,
-    rows in order and the time that is over, and gives the state and the results then.
+    A subclass says what its rows, its state and its results are. ``fold`` takes a key's
+    state, rows in order and the time that is over, and gives the state and the results
+    then. What a key holds is what it takes to go on: its state, and rows that others
+    may still come before.
     """
 
-    rows: str
-    state: str
+    rows: list[str]
     results: list[str]
     new: Row
 
@@ -44,49 +52,59 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.rows)
-        self.held = handle.getValueState("held", self.state)
-        self.revision = handle.getValueState("revision", "n long")
-
-    def _advance(self, key: tuple, came: list[Row], over: int) -> Iterator[pd.DataFrame]:
-        waiting = sorted([*(map(tuple, self.waiting.get()) if self.waiting.exists() else ()), *came])
-        cut = next((i for i, r in enumerate(waiting) if r[0] >= over), len(waiting))
-        held = tuple(self.held.get()) if self.held.exists() else self.new
-        held, settled = self.fold(held, waiting[:cut], over)
-        rest = waiting[cut:]
-        self.held.update(held)
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
-        wake = max((x for x in (rest[-1][0] if rest else None, self.wakes(held)) if x is not None), default=None)
-        if wake is not None and wake >= over:
+        # pickled: a row of a list state, and one in an array, takes longer to convert than to fold
+        self.kept = handle.getValueState("kept", "keys binary")
+
+    def _advance(self, came: dict[object, list[Row]] | None, over: int) -> Iterator[pd.DataFrame]:
+        """Fold what came, or, where a timer woke the bucket, what keys have that were to wake by now."""
+        kept = self.kept.get()
+        held, waiting = pickle.loads(kept[0]) if kept else ({}, {})  # by key: (wake, revision, state), and rows
+        due = list(came) if came is not None else [k for k, (wake, *_) in held.items() if wake is not None and wake < over]
+        if not due:
+            return
+        said = []
+        for k in due:
+            rows = sorted([*waiting.pop(k, ()), *(came or {}).get(k, ())])
+            cut = bisect_left(rows, over, key=lambda r: r[0])
+            _, n, state = held.get(k, (None, -1, self.new))
+            state, settled = self.fold(state, rows[:cut], over)
+            rest = rows[cut:]
+            if rest:
+                waiting[k] = rest
+            wake = max((x for x in (rest[-1][0] if rest else None, self.wakes(state)) if x is not None), default=None)
+            held[k] = (wake if wake is not None and wake >= over else None, n + 1, state)
+            open_ = self.fold(state, rest, _NEVER)[1]
+            # a row without values says that what was open before isn't any more
+            said += [(k, *x, True, n + 1) for x in settled] + ([(k, *x, False, n + 1) for x in open_] or [(k, *[None] * len(self.results), False, n + 1)])
+        self.kept.update((pickle.dumps((held, waiting), 5),))
+        # one that was to wake before now has a timer, which ends in this batch or the next
+        wake = min((w for w, *_ in held.values() if w is not None and w >= over), default=None)
+        if wake is not None:
             self.handle.registerTimer(wake // 1000 + 1)
-        open_ = self.fold(held, rest, _NEVER)[1]
-        # a row without values says that what was open before isn't any more
-        n = self.revision.get()[0] + 1 if self.revision.exists() else 0
-        self.revision.update((n,))
-        said = [(*x, True) for x in settled] + ([(*x, False) for x in open_] or [(*[None] * len(self.results), False)])
-        out = pd.DataFrame(said, columns=[*self.results, "settled"])
-        out.insert(0, "key", key[0])
-        yield out.assign(revision=n).astype({c: "Int64" for c in self.results})
+        yield pd.DataFrame(said, columns=["key", *self.results, "settled", "revision"]).astype({c: "Int64" for c in self.results})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in self.rows.split(", ")]
-        came = [r for pdf in rows for r in pdf[names].itertuples(index=False, name=None)]
-        yield from self._advance(key, came, timerValues.getCurrentWatermarkInMs() * 1000)
+        came = defaultdict(list)
+        for pdf in rows:
+            for k, *x in pdf[["key", *self.rows]].itertuples(index=False, name=None):
+                came[None if key[0] == _NULL else k].append(tuple(x))
+        yield from self._advance(came, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, [], timerValues.getCurrentWatermarkInMs() * 1000)
+        yield from self._advance(None, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def close(self) -> None:
         pass
 
 
 def _in_order(rows: DataFrame, key: str, processor: InOrder) -> DataFrame:
+    """``rows (key, ts, at, ...)`` in buckets; a row without a time has no place in the order."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    schema = T.StructType([T.StructField("key", rows.schema[key].dataType), *(T.StructField(c, T.LongType()) for c in processor.results), T.StructField("settled", T.BooleanType()), T.StructField("revision", T.LongType())])
-    return rows.groupBy(key).transformWithStateInPandas(processor, schema, "Update", "EventTime").withColumnRenamed("key", key)
+    kind = rows.schema[key].dataType
+    bucket = F.when(F.col("key").isNull(), _NULL).otherwise(F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
+    dealt = rows.where("at is not null").withColumnRenamed(key, "key").withColumn("bucket", bucket.cast("int"))
+    schema = T.StructType([T.StructField("key", kind), *(T.StructField(c, T.LongType()) for c in processor.results), T.StructField("settled", T.BooleanType()), T.StructField("revision", T.LongType())])
+    return dealt.groupBy("bucket").transformWithStateInPandas(processor, schema, "Update", "EventTime").withColumnRenamed("key", key)
 
 
 def so_far(rows: DataFrame, key: str) -> DataFrame:
@@ -99,7 +117,7 @@ def so_far(rows: DataFrame, key: str) -> DataFrame:
 class Spans(InOrder):
     """Spans of frames of speech, in microseconds; see ``operators.signal.voice_spans``."""
 
-    rows, state = "at long, n long", "begin long, last long"
+    rows = ["at", "n"]
     results, new = ["start", "n"], (None, None)
 
     def __init__(self, silence: int, shortest: int, longest: int):
@@ -137,7 +155,7 @@ def speech_spans(frames: DataFrame, silence: int, shortest: int, longest: int, k
 class Loads(InOrder):
     """How often a worker loads its model and finds it loaded; see ``operators.jobs.loads``. After ``idle`` it is released."""
 
-    rows, state = "at long, identity string", "last long, identity string, loads long, reuses long"
+    rows = ["at", "identity"]
     results, new = ["loads", "reuses", "loaded"], (None, None, 0, 0)
 
     def __init__(self, idle: int):

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,52 @@ def test_loads_of_a_stream_are_those_of_the_batch(spark, tmp_path):
     assert sorted((r.worker, r.loads, r.reuses) for r in out.collect()) == sorted(map(tuple, batch.collect()))
 
 
+def test_state_is_read_and_written_once_for_a_buckets_keys():
+    class Handle:
+        value, reads, writes, timers = None, 0, 0, []
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            self.reads += 1
+            return self.value
+
+        def update(self, value):
+            self.writes, self.value = self.writes + 1, value
+
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+
+    class Times:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    handle, loads = Handle(), ordered.Loads(300 * SECOND)
+    loads.init(handle)
+    came = pd.DataFrame([(k, at * SECOND, "a") for k in range(1000) for at in (1000 + k, 900, 1250)], columns=["key", "at", "identity"])
+    (out,) = loads.handleInputRows((7,), iter([came[:1500], came[1500:]]), Times(0))
+    assert (handle.reads, handle.writes, handle.timers) == (1, 1, [1250 * 1000 + 1]) and len(out) == 1000
+    assert list(out.query("key == 999")[["loads", "reuses", "loaded", "settled", "revision"]].iloc[0]) == [3, 0, 1, False, 0]  # 900, 1250 and 1999
+    assert list(out.query("key == 0")[["loads", "reuses"]].iloc[0]) == [1, 2]
+    (out,) = loads.handleExpiredTimer((7,), Times(1_600_000), None)
+    assert set(out["key"]) == set(range(600)) and set(out["revision"]) == {1}  # all uses of these were before that
+    assert handle.timers[1:] == [1_600_001]
+    assert list(loads.handleExpiredTimer((7,), Times(1_600_000), None)) == [] and handle.writes == 2
+
+
+def test_keys_that_share_a_bucket_have_states_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ordered, "BUCKETS", 3)
+    rng = random.Random(11)
+    rows = [(rng.choice([None, *(2**60 + k for k in range(40))]), 1000 + k * 7, rng.choice("aab"), k // 200) for k in range(600)]
+    stream = fed(spark, rows, "worker long, s long, identity string, part int", str(tmp_path / "in"), 3, maxFilesPerTrigger=1)
+    uses = stream.select("worker", F.timestamp_seconds("s").alias("ts"), "identity")
+    out = ordered.so_far(streams.drain(ordered.model_loads(uses, idle=300, delay="10 minutes"), "shared", "update"), "worker")
+    batch = jobs.loads(spark.createDataFrame(rows, "worker long, s long, identity string, part int").withColumn("ts", F.timestamp_seconds("s")))
+    got = [(r.worker, r.loads, r.reuses) for r in out.collect()]
+    assert sorted(got, key=str) == sorted(map(tuple, batch.collect()), key=str) and len(got) == 41
+
+
 @pytest.mark.parametrize("n", [1, 4, 1000])
 def test_retention_of_a_stream_is_that_of_the_batch(spark, tmp_path, n):
     rng = random.Random(n)
