@@ -22,13 +22,22 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def _in_parts(rows: DataFrame, n: int, order: str) -> DataFrame:
-    """A stream that gets ``rows`` in so many files, one each batch, by the order of a number; what one holds is late by no more than that order says."""
-    at = _folder(rows.sparkSession, "parts")
+    """A stream that gets ``rows`` in so many parts, one each batch, by the order of a number; what one holds is late by no more than that order says.
+
+    Each part is written by as many tasks as its rows are read by, up to one a core. The
+    stream takes as many files at once, by their age, so every part has just as many.
+    """
+    spark = rows.sparkSession
+    at = _folder(spark, "parts")
     low, high = rows.agg(F.min(order), F.max(order)).first()
     width = max(1, ((high or 0) - (low or 0)) // n + 1)
+    files = max(1, min(spark.sparkContext.defaultParallelism, rows._jdf.queryExecution().toRdd().getNumPartitions()))
     for k in range(n):
-        rows.where(F.call_function("div", F.col(order) - F.lit(low), F.lit(width).cast("long")) == k).coalesce(1).write.parquet(f"{at}/n={k:04d}")
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/*")
+        folder = f"{at}/n={k:04d}"
+        rows.where(F.call_function("div", F.col(order) - F.lit(low), F.lit(width).cast("long")) == k).repartition(files).write.parquet(folder)
+        for _ in range(files - len(spark.read.parquet(folder).inputFiles())):  # tasks without a row write no file, but for the first
+            spark.createDataFrame([], rows.schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{at}/*")
 
 
 @query("""WITH f AS (SELECT user_id AS job, epoch_us(ts) AS a FROM events WHERE value >= 20),

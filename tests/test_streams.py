@@ -123,6 +123,20 @@ def test_keys_that_share_a_bucket_have_states_of_their_own(spark, tmp_path, monk
     assert sorted(got, key=str) == sorted(map(tuple, batch.collect()), key=str) and len(got) == 41
 
 
+@pytest.mark.parametrize("n", [7, 4000])
+def test_parts_of_several_files_are_batches(spark, tmp_path, monkeypatch, n):
+    """Each part is written by several tasks, and its files, empty ones too, make up one batch."""
+    from scriba.plans import streams as plans
+
+    monkeypatch.setattr(plans, "_folder", lambda spark, name: str(tmp_path / name))
+    rows = spark.range(0, n, 1, 4).where("id <= 3 or id > 5").selectExpr("id", "id div 2 as v")  # of the smaller one, a part has two rows or none
+    out = streams.drain(plans._in_parts(rows, 4, "id"), "drained", "append")
+    width = (n - 1) // 4 + 1
+    got = [(r.id, r.v, r.batch) for r in out.collect()]
+    assert sorted(got) == [(k, k // 2, k // width) for k in range(n) if k not in (4, 5)]
+    assert [len(list(x.glob("*.parquet"))) for x in sorted((tmp_path / "parts").iterdir())] == [4] * 4
+
+
 @pytest.mark.parametrize("n", [1, 4, 1000])
 def test_retention_of_a_stream_is_that_of_the_batch(spark, tmp_path, n):
     rng = random.Random(n)
